@@ -37,3 +37,29 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
 def held_out(modulus: int, remainder: int, doc_id: str = "doc_id"):
     """True for the rows that a model must not learn from: crc32 of the id's decimal text."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def bounded_sample(df: DataFrame, label: str, per_label: int, total: int, key: str = "doc_id") -> DataFrame:
+    """Rows with a label, about per_label of each value and never more than total rows.
+
+    Which rows are taken follows from a hash of their key, so a rerun takes the same. Labels are
+    counted first (one short row each; beyond 10,000 values the rarest are left out), and rows of
+    a value are taken at the rate that its count asks for.
+    """
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(10_000).collect()
+    if not counts:
+        return df.limit(0)
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, per_label / r["count"]))])
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_003)) / 1_000_003
+    return df.where(F.col(label).isNotNull() & (draw < F.try_element_at(rates, F.col(label)))).limit(total)
+
+
+def per_worker(key: tuple, build: Callable[[], object]) -> object:
+    """What build() returned when this Python worker first asked for key; workers outlive tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tarn_per_worker", types.ModuleType("_tarn_per_worker")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
