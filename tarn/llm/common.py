@@ -15,6 +15,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _array(values, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
+        names = [f.name for f in kind.value_type]
+        values = [None if v is None else [dict(zip(names, x)) for x in v] for v in values]
+    return pa.array(values, kind)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """One output row for each row of df, in Arrow batches.
 
@@ -29,7 +36,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
         for batch in batches:
             out = [row(*x) for x in zip(*(c.to_pylist() for c in batch.columns))]
             cols = list(zip(*out)) if out else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([_array(c, t.type) for c, t in zip(cols, arrow)], schema=arrow)
 
     return df.mapInArrow(run, struct)
 
