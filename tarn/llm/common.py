@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -62,11 +64,35 @@ def bounded_sample(df: DataFrame, label: str, per_label: int, total: int, key: s
 
 
 def per_worker(key: tuple, build: Callable[[], object]) -> object:
-    """What build() returned when this Python worker first asked for key; workers outlive tasks."""
+    """What build() returned when this Python worker last asked for key; workers outlive tasks.
+
+    Of each kind, key[0], the last value is kept.
+    """
     import sys
     import types
 
     kept = sys.modules.setdefault("_tarn_per_worker", types.ModuleType("_tarn_per_worker")).__dict__
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+    if kept.get(key[0], (None,))[0] != key:
+        kept[key[0]] = None
+        kept[key[0]] = (key, build())
+    return kept[key[0]][1]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder's path below the one that the session names for checkpoints.
+
+    Executors and the driver must all reach that folder. Where the setting is absent, as in
+    tests on one machine, a temporary folder is set for the session.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="tarn-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends there."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

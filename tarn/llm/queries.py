@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, langid, licence, quality, toxicity
+from tarn.llm import bpe, langid, lattice, licence, quality, toxicity
 from tarn.llm.common import documents
 
 
@@ -15,6 +15,13 @@ def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir)).select(*cols, "fail_bits", "n_lines", "n_letters", "n_upper")
 
 
+def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice.score(documents(spark, sf_dir), pieces)
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence.scan(documents(spark, sf_dir)).drop("spans")
 
