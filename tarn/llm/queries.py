@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, decontaminate, langid, lattice, licence, quality, toxicity
+from tarn.llm import bpe, decontaminate, langid, lattice, licence, linededup, quality, toxicity
 from tarn.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(documents(spark, sf_dir), pieces)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
