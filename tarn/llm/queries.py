@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, decontaminate, jaccard, langid, lattice, licence, linededup, quality, toxicity
+from tarn.llm import bpe, decontaminate, jaccard, langid, lattice, licence, linededup, quality, suffix, toxicity
 from tarn.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(documents(spark, sf_dir))
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence.scan(documents(spark, sf_dir)).drop("spans")
 
