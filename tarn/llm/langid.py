@@ -14,6 +14,7 @@ repeated rows and null ids get a row each. Long texts are read in pieces of PIEC
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,3 +136,14 @@ def report(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
     """predict() over all rows, learned from those that are not held out."""
     out = held_out(modulus, remainder)
     return predict(docs, fit(docs.where(~out))).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not rejected."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([not classify(model, t)[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
