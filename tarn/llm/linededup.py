@@ -8,7 +8,8 @@ any such pair stays unless a still earlier one drops it. Lines without a word ne
 
 1. Equal lines are reduced to their first occurrence and number, before the shuffle.
 2. Lines within one edit share their first or their last half. Only lines whose half occurs in
-   another line go on; no other line can have a partner, so none is lost.
+   another line go on, and only their words are fetched; no other line can have a partner, so
+   none is lost.
 3. For each word of such a line, the variant without it becomes a hashed key of the place, of
    the words before it and of those after it (running XORs, so the work is linear in the line),
    and each place of the line itself becomes such a key as well. Equal variants join:
@@ -24,124 +25,148 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.common import keep
+
 MIN_WORDS = 8
-_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 _ID = ("doc_id", "text_hash")
-_LINE = ("h1", "h2", "n")
+_LINE = ("h1", "h2")
 
 
 def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "pos")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos, words and the identity (h1, h2, n) of every line that has a word."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    words = F.split(F.lower(F.regexp_replace("line", f"^{_SPACE}|{_SPACE}$", "")), _SPACE)
-    return rows.where(F.col("line").rlike("[^ \\t\\n\\x0B\\f\\r]")).select(*_ID, "pos", words.alias("words")).withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(71), "words"), "n": F.size("words")})
+def _odd(text: Column) -> Column:
+    """Whether some words of a text are apart by other than one blank or line feed."""
+    return text.rlike("[\\t\\x0B\\f\\r]|  ")
+
+
+def _plain(line: Column, odd: Column) -> Column:
+    """The line's words in lower case, joined by one blank."""
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(line)))
+
 
+def _halves(line: Column, n: Column) -> list[Column]:
+    """Hashes of the first and last halves; where n is odd, of both roundings, else two are null."""
+    low, high = F.floor(n / 2).cast("int"), F.when(n % 2 == 1, F.floor(n / 2).cast("int") + 1)
+    part = lambda size: F.call_function("substring_index", line, F.lit(" "), size)
+    keys = [F.xxhash64(F.lit(0), low, part(low)), F.xxhash64(F.lit(1), low, part(-low))]
+    return keys + [F.when(high.isNotNull(), F.xxhash64(F.lit(side), high, part(high * sign))) for side, sign in ((0, 1), (1, -1))]
 
-def _distinct(lines: DataFrame) -> DataFrame:
-    """One row for each different line: identity, first (order), times, words (null below MIN_WORDS)."""
-    kept = F.when(F.col("n") >= MIN_WORDS, F.concat_ws(" ", "words"))
-    return lines.select(*_LINE, _order().alias("at"), kept.alias("line")).groupBy(*_LINE).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"), F.min("line").alias("line"))
 
+def _lines(docs: DataFrame, halves: bool = False) -> DataFrame:
+    """doc_id, text_hash, pos and the identity (h1, h2) of every line that has a word; n and its halves if asked for."""
+    # hashed in a projection of its own, so that it is done once for a text and not for each line
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _odd(F.col("text")).alias("odd"), "text").select(*_ID, "odd", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = rows.select(*_ID, "pos", _plain(F.col("line"), F.col("odd")).alias("line")).where("line <> ''")
+    rows = rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(71), "line")})
+    if not halves:
+        return rows.select(*_ID, "pos", *_LINE)
+    rows = rows.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    keys = [F.when(F.col("n") >= MIN_WORDS, k).alias(f"half{i}") for i, k in enumerate(_halves(F.col("line"), F.col("n")))]
+    return rows.select(*_ID, "pos", *_LINE, *keys)
 
-def _halves(distinct: DataFrame) -> DataFrame:
-    """Identities of lines of which a half stands in another line too."""
-    n, w = F.col("n"), F.split("line", " ")
 
-    def half(side: int, size: Column) -> Column:
-        part = F.slice(w, F.lit(1), size) if side == 0 else F.slice(w, n - size + 1, size)
-        return F.xxhash64(F.lit(side), size, part)
+def _distinct(docs: DataFrame) -> DataFrame:
+    """One row for each different line: identity, first (order), times, and its halves (null below MIN_WORDS)."""
+    halves = [f"half{i}" for i in range(4)]
+    lines = _lines(docs, True).select(*_LINE, _order().alias("at"), *halves)
+    return lines.groupBy(*_LINE).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"), *(F.min(h).alias(h) for h in halves))
 
-    low, high = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
-    keys = F.array_distinct(F.array(half(0, low), half(0, high), half(1, low), half(1, high)))
-    rows = distinct.where("line is not null").select(*_LINE, F.explode(keys).alias("half"))
+
+def _candidates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """id, identity and line of the lines of which a half stands in another line too; ids rise as lines come."""
+    keys = F.array_compact(F.array(*(f"half{i}" for i in range(4))))
+    rows = distinct.where("half0 is not null").select(*_LINE, F.explode(keys).alias("half"))
     shared = rows.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half")
-    return rows.join(shared, "half", "left_semi").select(*_LINE).distinct()
+    some = rows.join(shared, "half", "left_semi").select(*_LINE).distinct()
+    where = distinct.select(*_LINE, "first").join(some, list(_LINE), "left_semi")
+    where = where.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("first", *_LINE)).alias("xs"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
+    at = texts.join(where, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
+    at = at.withColumn("lines", F.split("text", "\n")).select("lines", F.explode("xs").alias("x"))
+    found = at.select("x.first", "x.h1", "x.h2", _plain(F.get("lines", F.col("x.first.pos")), F.lit(True)).alias("line"))
+    # sorted by ranges, so that the ids of later partitions are larger; equal rows of docs share a line
+    return found.dropDuplicates(list(_LINE)).orderBy("first").select(F.monotonically_increasing_id().alias("id"), *_LINE, "line")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """key, removed (a variant, or the line itself), i, identity and first for each place of each line.
+    """key, removed (a variant, or the line itself), i and id for each place of each line.
 
     Before place i the words count from the start, after it from the end, so that the keys of
     lines of different length agree.
     """
     from pyspark.sql import Window
 
-    group = Window.partitionBy(*_LINE)
+    group = Window.partitionBy("id")
     before = group.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    words = lines.select(*_LINE, "first", F.posexplode(F.concat(F.split("line", " "), F.array(F.lit(None).cast("string")))).alias("i", "word"))
-    head, tail = F.xxhash64(F.lit(1), "i", "word"), F.xxhash64(F.lit(2), F.col("n") - F.col("i"), "word")
-    real = F.col("word").isNotNull()
+    split = lines.select("id", F.split("line", " ").alias("w")).repartition("id")
+    words = split.select("id", F.size("w").alias("n"), F.posexplode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("i", "word"))
     zero = F.lit(0).cast("long")
-    marked = words.select("*", F.when(real, head).otherwise(zero).alias("head"), F.when(real, tail).otherwise(zero).alias("tail"))
-    sums = marked.select(*_LINE, "first", "i", "word", "tail", F.coalesce(F.bit_xor("head").over(before), zero).alias("p"), F.bit_xor("tail").over(group).bitwiseXOR(F.coalesce(F.bit_xor("tail").over(before), zero)).alias("s"))
-    own = F.struct(F.lit(False).alias("removed"), F.xxhash64("i", "n", "p", "s").alias("k1"), F.xxhash64(F.lit(3), "s", "p", "n", "i").alias("k2"))
-    less, m = F.col("s").bitwiseXOR(F.col("tail")), F.col("n") - 1
-    cut = F.struct(F.lit(True).alias("removed"), F.xxhash64("i", m, "p", less).alias("k1"), F.xxhash64(F.lit(3), less, "p", m, "i").alias("k2"))
-    return sums.select(*_LINE, "first", "i", F.inline(F.when(F.col("word").isNull(), F.array(own)).otherwise(F.array(own, cut))))
-
-
-def _near(distinct: DataFrame) -> DataFrame:
-    """Identities of lines that an earlier line within one edit drops."""
-    some = distinct.where("line is not null").join(_halves(distinct), list(_LINE), "left_semi")
-    places = _variants(some)
-    me = F.struct("first", *_LINE)
-    groups = places.groupBy("k1", "k2").agg(F.min(F.when(F.col("removed"), me)).alias("cut"), F.min(F.when(~F.col("removed"), me)).alias("own"), F.count(F.lit(1)).alias("members")).where("members > 1 and cut is not null")
+    real = F.col("word").isNotNull()
+    head = F.when(real, F.xxhash64(F.lit(1), "i", "word")).otherwise(zero)
+    tail = F.when(real, F.xxhash64(F.lit(2), F.col("n") - F.col("i"), "word")).otherwise(zero)
+    marked = words.select("id", "i", "n", real.alias("real"), head.alias("head"), tail.alias("tail"))
+    after = F.bit_xor("tail").over(group).bitwiseXOR(F.coalesce(F.bit_xor("tail").over(before), zero))
+    sums = marked.select("id", "i", "n", "real", "tail", F.coalesce(F.bit_xor("head").over(before), zero).alias("p"), after.alias("s"))
+    own = F.struct(F.lit(False).alias("removed"), F.xxhash64("i", "n", "p", "s").alias("key"))
+    cut = F.struct(F.lit(True).alias("removed"), F.xxhash64("i", F.col("n") - 1, "p", F.col("s").bitwiseXOR(F.col("tail"))).alias("key"))
+    return sums.select("id", "i", F.inline(F.when(F.col("real"), F.array(own, cut)).otherwise(F.array(own))))
+
+
+def _near(some: DataFrame) -> DataFrame:
+    """Identities of candidate lines that an earlier line within one edit drops."""
+    places = keep(_variants(some))
+    least = lambda removed: F.min(F.when(F.col("removed") == removed, F.col("id")))
+    groups = places.groupBy("key").agg(least(True).alias("cut"), least(False).alias("own"), F.max("id").alias("last")).where("cut is not null and least(cut, own) < last")
     partner = F.when(F.col("removed"), F.least("cut", "own")).otherwise(F.col("cut"))
-    pairs = places.join(groups, ["k1", "k2"]).select(*_LINE, "first", F.struct(partner.alias("to"), "i").alias("to")).where(F.col("to.to.first") < F.col("first"))
-    best = pairs.groupBy(*_LINE).agg(F.min("to").alias("to")).select(*_LINE, F.col("to.to.h1").alias("b1"), F.col("to.to.h2").alias("b2"), F.col("to.to.n").alias("bn"), F.col("to.i").alias("i"))
-    texts = distinct.where("line is not null")
-    own = texts.select(*_LINE, F.split("line", " ").alias("a"))
-    other = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("bn"), F.split("line", " ").alias("b"))
-    both = best.join(own, list(_LINE)).join(other, ["b1", "b2", "bn"])
+    pairs = places.join(groups, "key").select("id", partner.alias("to"), "i").where("to < id")
+    best = pairs.groupBy("id").agg(F.min(F.struct("to", "i")).alias("to")).select("id", "to.to", "to.i")
+    own = some.select("id", *_LINE, F.split("line", " ").alias("a"))
+    other = some.select(F.col("id").alias("to"), F.split("line", " ").alias("b"))
+    both = best.join(own, "id").join(other, "to")
 
     def without(x: str) -> Column:
         return F.concat(F.slice(x, F.lit(1), F.col("i")), F.slice(x, F.col("i") + 2, F.size(x)))
 
-    longest = F.greatest("n", "bn")
-    a = F.when(F.col("n") == longest, without("a")).otherwise(F.col("a"))
-    b = F.when(F.col("bn") == longest, without("b")).otherwise(F.col("b"))
-    return both.where((F.abs(F.col("n") - F.col("bn")) <= 1) & (a == b)).select(*_LINE)
+    longest = F.greatest(F.size("a"), F.size("b"))
+    a = F.when(F.size("a") == longest, without("a")).otherwise(F.col("a"))
+    b = F.when(F.size("b") == longest, without("b")).otherwise(F.col("b"))
+    return both.where((F.abs(F.size("a") - F.size("b")) <= 1) & (a == b)).select(*_LINE).distinct()
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, pos, near: every line to drop; near is false where the same line stands earlier."""
-    lines = _lines(docs)
-    distinct = _distinct(lines)
-    near = _near(distinct).withColumn("near", F.lit(True))
+    distinct = keep(_distinct(docs))
+    near = _near(keep(_candidates(docs, distinct))).withColumn("near", F.lit(True))
     status = distinct.select(*_LINE, "first", "times").join(near, list(_LINE), "left").where("times > 1 or near").select(*_LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    hit = lines.select(*_ID, "pos", *_LINE).join(status, list(_LINE))
-    return hit.where(F.col("near") | (_order() > F.col("first"))).select(*_ID, "pos", (F.col("near") & (_order() == F.col("first"))).alias("near")).distinct()
+    hit = _lines(docs).join(status, list(_LINE))
+    return hit.where(F.col("near") | (_order() > F.col("first"))).select(*_ID, "pos", (F.col("near") & (_order() == F.col("first"))).alias("near"))
 
 
 def _by_document(docs: DataFrame) -> DataFrame:
-    return dropped(docs).groupBy(*_ID).agg(F.count(F.lit(1)).alias("n_dropped"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list("pos")).alias("gone"))
+    gone = dropped(docs).groupBy(*_ID).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("pos", "near")))).alias("x"))
+    return gone.select(*_ID, F.size("x").cast("long").alias("n_dropped"), F.size(F.filter("x", lambda y: y["near"])).cast("long").alias("n_near"), F.transform("x", lambda y: y["pos"]).alias("gone"))
 
 
-def _keyed(docs: DataFrame, gone: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     g = gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("n_dropped").alias("_n"), F.col("n_near").alias("_near"), F.col("gone").alias("_gone"))
-    return docs.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
+    return docs.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_h")), "left")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near and gone (places of the dropped lines) for each row of docs."""
-    rows = _keyed(docs.select("doc_id", "text"), _by_document(docs))
+    # what is needed of a text is taken before the join, so that no text is shuffled for it
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.size(F.split("text", "\n")).cast("long"), F.lit(0)).alias("n_lines"))
+    rows = _keyed(own, _by_document(docs), F.col("text_key"))
     zero = F.lit(0).cast("long")
-    return rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.size(F.split("text", "\n")).cast("long"), zero).alias("n_lines"),
-        F.coalesce(F.col("_n") - F.col("_near"), zero).alias("n_exact"),
-        F.coalesce("_near", zero).alias("n_near"),
-        F.coalesce("_gone", F.array().cast("array<int>")).alias("gone"),
-    )
+    return rows.select("doc_id", "n_lines", F.coalesce(F.col("_n") - F.col("_near"), zero).alias("n_exact"), F.coalesce("_near", zero).alias("n_near"), F.coalesce("_gone", F.array().cast("array<int>")).alias("gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the dropped lines taken out of text; rows left without a word by that are gone."""
-    rows = _keyed(docs, _by_document(docs))
+    rows = _keyed(docs, _by_document(docs), F.xxhash64("text"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("kind"), x.alias("line")))
     marks = F.transform("_gone", lambda p: F.struct(p.alias("i"), F.lit(0).alias("kind"), F.lit("").alias("line")))
     rows = rows.withColumn("_all", F.when(F.col("_gone").isNotNull(), F.array_sort(F.concat(marks, lines))))
