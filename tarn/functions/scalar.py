@@ -129,7 +129,7 @@ def work_place(*texts: Column) -> Column:
 
 def location_parts(c: Column) -> Column:
     """struct(city, state, country) of 'City, State, Country' or 'City, State'; 'Remote' has none."""
-    parts = F.transform(F.split(c, ","), F.trim)
+    parts = F.transform(F.split(c, ","), lambda p: F.trim(p))
     n = F.size(parts)
     field = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit(""))
     return F.when(c.isNotNull() & ~F.lower(F.trim(c)).isin("remote", ""), F.struct(field(0).alias("city"), F.when(n >= 2, field(1)).alias("state"), F.when(n >= 3, field(2)).alias("country")))
