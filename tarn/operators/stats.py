@@ -64,10 +64,10 @@ def job_texts(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-def requests(log: DataFrame) -> DataFrame:
+def requests(log: DataFrame, digits: int = 2) -> DataFrame:
     """One row over a request log (status, total_ms, cache_hit, refused, prompt_tokens, completion_tokens, pipeline_version)."""
     rate = lambda c: percent(F.count_if(c), F.count(F.lit(1)), 2)
-    at = lambda p: F.bround(F.percentile("total_ms", p), 2)
+    at = lambda p: F.bround(F.percentile("total_ms", p), digits)
     return log.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status") == "error").alias("failed"),

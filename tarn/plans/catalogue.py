@@ -120,14 +120,14 @@ def _log(spark, sf_dir):
     return e.select("event_id", "ts", F.col("event_type").alias("status"), F.col("value").alias("total_ms"), (F.col("user_id") % 3 == 0).alias("cache_hit"), (F.col("event_type") == "view").alias("refused"), F.col("user_id").alias("prompt_tokens"), (F.col("event_id") % 10).alias("completion_tokens"), F.col("event_type").alias("pipeline_version"))
 
 
-@query(f"select count(*) as total, count_if(status = 'error') as failed, round_even(count_if(cache_hit) * 100.0 / count(*), 2) as cache_hit_rate, round_even(count_if(refused) * 100.0 / count(*), 2) as refusal_rate, round_even(quantile_cont(total_ms, 0.5), 2) as p50, round_even(quantile_cont(total_ms, 0.95), 2) as p95, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens, array_to_string(list_sort(list(distinct pipeline_version)), ',') as pipelines from ({_LOG})")
+@query(f"select count(*) as total, count_if(status = 'error') as failed, round_even(count_if(cache_hit) * 100.0 / count(*), 2) as cache_hit_rate, round_even(count_if(refused) * 100.0 / count(*), 2) as refusal_rate, round_even(quantile_cont(total_ms, 0.5), 6) as p50, round_even(quantile_cont(total_ms, 0.95), 6) as p95, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens, array_to_string(list_sort(list(distinct pipeline_version)), ',') as pipelines from ({_LOG})")
 def ops_summary(spark, sf_dir):
-    return stats.requests(_log(spark, sf_dir)).withColumn("pipelines", F.array_join("pipelines", ","))
+    return stats.requests(_log(spark, sf_dir), 6).withColumn("pipelines", F.array_join("pipelines", ","))
 
 
-@query("select event_type, round_even(quantile_cont(value, 0.5), 2) as p50, round_even(quantile_cont(value, 0.95), 2) as p95, count(*) as n from events group by event_type")
+@query("select event_type, round_even(quantile_cont(value, 0.5), 6) as p50, round_even(quantile_cont(value, 0.95), 6) as p95, count(*) as n from events group by event_type")
 def latency_percentiles(spark, sf_dir):
-    at = lambda p: F.bround(F.percentile("value", p), 2)
+    at = lambda p: F.bround(F.percentile("value", p), 6)
     return table(spark, sf_dir, "events").groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.count(F.lit(1)).alias("n"))
 
 
