@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from tarn.session import keep
+
+__all__ = ["bounded_sample", "documents", "held_out", "keep", "map_rows", "per_worker"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -76,23 +78,3 @@ def per_worker(key: tuple, build: Callable[[], object]) -> object:
         kept[key[0]] = None
         kept[key[0]] = (key, build())
     return kept[key[0]][1]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below the one that the session names for checkpoints.
-
-    Executors and the driver must all reach that folder. Where the setting is absent, as in
-    tests on one machine, a temporary folder is set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tarn-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
