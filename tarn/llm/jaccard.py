@@ -10,13 +10,16 @@ that is within RADIUS of the Jaccard distance, which is a metric.
    bound which it must be replicated to: the first n - ceil(0.8 n) + 1 in a fixed order, of which
    any two linked sets share one. The order puts shingles that are frequent in a sample last;
    it affects the size of regions, never the result. Regions with one class end here.
-3. Within a region the smallest class is the pivot; each class is measured against the smallest
-   of its pivots, then, if its region still falls into several components, against the others.
-   A region whose classes are one component is done: this settles copies of one text, however
-   many, by as many distances as there are copies.
+3. Each class has a sketch, the numbers of its shingles in BINS bins; the sketches' L1 distance never
+   exceeds the symmetric difference, so it rules pairs out for good. Within a region the smallest
+   class is the pivot; each class is measured against the smallest of its pivots, then, if its
+   region still falls into several components, against the others. A region whose classes are
+   one component is done: this settles copies of one text, however many, by as many distances
+   as there are copies.
 4. The rest of a region is joined in blocks of at most about BLOCK classes, pairs of blocks
-   apart, each recursively: pivots make Voronoi regions, and a class is replicated to a region
-   if its distance there exceeds its smallest by at most 2 * RADIUS.
+   apart, each recursively in the sketches' metric: pivots make Voronoi cells, and a class is
+   replicated to another cell as far as the triangle inequality asks for. Pairs of classes that
+   this cannot tell apart are measured exactly.
 
 Null or empty texts have no shingle and no links; their component is their own id. Rows with a
 null id link like others; a component's id is the smallest one that is not null. Repeated rows
@@ -39,7 +42,9 @@ SIZE = 5
 RADIUS = 0.2
 BLOCK = 192
 #: The sample by which frequent shingles are found, and how many of them are remembered.
-SAMPLE_ROWS, FREQUENT_FROM, FREQUENT = 20_000, 6, 50_000
+SAMPLE_ROWS, FREQUENT_FROM, FREQUENT = 6_000, 4, 50_000
+#: Shingles for each bin of a sketch, and the fewest and most bins; numbers over 255 count as 255, which keeps the bound.
+PER_BIN, FEWEST, MOST = 1, 64, 1 << 20
 #: Bits of the filter that spares most documents' sets the shuffle; its size is fixed.
 FILTER_BITS = 1 << 26
 HELD = 300_000
@@ -75,9 +80,10 @@ def shingles(text: str | None, hashes: dict) -> np.ndarray:
     n = min(SIZE, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for j in range(n):
-        out += _scramble(h[j : j + len(out)] + _MIX[j])* _MIX[(j + 1) % 5]
-        out = _scramble(out)
-    return np.unique(out)
+        out += h[j : j + len(out)] * _MIX[j]
+    out = _scramble(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def set_hash(own: np.ndarray) -> int:
@@ -96,6 +102,17 @@ def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return own[: n - (4 * n + 4) // 5 + 1]
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Numbers of shingles by their first bits, in a power of two of bins, a byte each."""
+    bits = (min(MOST, max(FEWEST, len(own) // PER_BIN)) - 1).bit_length()
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def fold(sketch_: bytes, bins: int) -> np.ndarray:
+    """The sketch in fewer bins."""
+    return np.frombuffer(sketch_, np.uint8).astype(np.int32).reshape(bins, -1).sum(1)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -116,7 +133,7 @@ def identities(docs: DataFrame) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that many documents of a bounded sample have, at most FREQUENT."""
+    """Shingles that many documents of a sample of about SAMPLE_ROWS rows have, at most FREQUENT."""
     total = docs.count()
     rate = min(1.0, SAMPLE_ROWS / total) if total else 1.0
     draw = F.pmod(F.xxhash64("doc_id", F.lit("shingles")), F.lit(1_000_003)) / 1_000_003
@@ -125,26 +142,26 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         hashes = per_worker(("shingle words",), _Hashes)
         return lambda text: (shingles(text, hashes).view(np.int64).tolist(),)
 
-    some = map_rows(_sets(docs).where(draw < rate).limit(2 * SAMPLE_ROWS).select("text"), make, "s array<long>")
+    some = map_rows(_sets(docs).where(draw < rate).select("text"), make, "s array<long>")
     top = some.select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "s").limit(FREQUENT)
     return np.sort(top.select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _regions(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """cls, rep, n, regions (array<long>): one row for each class."""
+def _classes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """cls, rep (its smallest id), n, keys (its regions, packed), sketch: one row for each class."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         hashes = per_worker(("shingle words",), _Hashes)
 
-        def one(text):
+        def one(doc_id, text):
             own = shingles(text, hashes)
-            return (set_hash(own), len(own), prefix(own, shared.value).tobytes()) if len(own) else (None, 0, None)
+            return (set_hash(own), doc_id, len(own), prefix(own, shared.value).tobytes(), sketch(own)) if len(own) else (None, None, 0, None, None)
 
         return one
 
-    rows = map_rows(docs.select("text"), make, "cls long, n long, keys binary").where("cls is not null")
-    return rows.groupBy("cls").agg(F.min("n").alias("n"), F.min("keys").alias("keys"))
+    rows = map_rows(_sets(docs), make, "cls long, rep long, n long, keys binary, sketch binary").where("cls is not null")
+    return rows.groupBy("cls").agg(F.min("rep").alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"))
 
 
 def _exploded(classes: DataFrame) -> DataFrame:
@@ -164,8 +181,8 @@ def _exploded(classes: DataFrame) -> DataFrame:
 
 
 def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bit map of FILTER_BITS bits in which each cls of ids is set; its words, not the ids, come here."""
-    bit = F.pmod(F.xxhash64("cls"), F.lit(FILTER_BITS))
+    """A bit map of FILTER_BITS bits in which each rep of ids is set; its words, not the ids, come here."""
+    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
     words = ids.select(F.shiftright(bit, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     out[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
@@ -173,31 +190,28 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """cls, own (the set's hashes as bytes) of the classes in ids."""
-    # xxhash64 of a long on both sides: rows that the filter lets through are told by the join below
+    """cls, own (the set's hashes as bytes) of the classes in ids (cls, rep).
+
+    The bit map spares most other documents; what it lets through by chance the join takes out.
+    Rows without an id always go on to the join.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import struct
-
-        import xxhash
-
         hashes = per_worker(("shingle words",), _Hashes)
         table = bits.value
         for batch in batches:
+            bit = batch.column(0).to_numpy()
+            some = (table[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool) | np.array([not v for v in batch.column(1).is_valid().to_pylist()], bool)
             cls, sets = [], []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(2).filter(pa.array(some)).to_pylist():
                 own = shingles(text, hashes)
                 if len(own):
-                    c = set_hash(own)
-                    bit = xxhash.xxh64_intdigest(struct.pack("<q", c), 42)
-                    bit = (bit - (1 << 64) if bit >> 63 else bit) % FILTER_BITS
-                    if table[bit >> 5] >> (bit & 31) & 1:
-                        cls.append(c)
-                        sets.append(own.tobytes())
+                    cls.append(set_hash(own))
+                    sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "own"])
 
-    rows = docs.select("text").mapInArrow(run, "cls long, own binary")
+    rows = _sets(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"), "doc_id", "text").mapInArrow(run, "cls long, own binary")
     return rows.join(ids.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("own").alias("own"))
 
 
@@ -226,123 +240,174 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-class _Groups:
-    """Union by label within one block."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def of(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.of(i), self.of(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def join_block(sets: list[np.ndarray], same: list[int], leaf: int = 24, pivots: int = 8) -> list[tuple[int, int]]:
-    """Links between sets that complete the components; same[i] is what i is already known to belong to."""
-    groups, links = _Groups(len(sets)), []
-    first: dict[int, int] = {}
-    for i, s in enumerate(same):
-        groups.join(i, first.setdefault(s, i))
-    sizes = np.array([len(s) for s in sets])
-
-    def try_link(i: int, j: int) -> None:
-        if 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]) and groups.of(i) != groups.of(j):
-            both, union = distance(sets[i], sets[j])
-            if 100 * both >= 80 * union:
-                groups.join(i, j)
-                links.append((i, j))
-
-    def recur(core: list[int], window: list[int]) -> None:
-        """All pairs within core, and between core and window."""
-        if len(core) <= leaf or len(core) + len(window) <= 2 * leaf:
-            for k, i in enumerate(core):
-                for j in core[k + 1 :] + window:
-                    try_link(i, j)
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b of the pairs that sizes and sketches allow to link."""
+    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y, na, nb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                bins = min(len(x), len(y))
+                ok.append(5 * min(na, nb) >= 4 * max(na, nb) and 9 * int(np.abs(fold(x, bins) - fold(y, bins)).sum()) <= na + nb)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
+
+
+def join_block(sketches: list[bytes], sizes: np.ndarray, label: np.ndarray, inside: np.ndarray, leaf: int = 32, pivots: int = 8) -> list[tuple[int, int, int]]:
+    """(i, j, slack) of pairs of different labels that sizes and sketches allow to link, one of the two inside.
+
+    slack is the sum of sizes less 9 times the sketches' L1, a metric; the larger the likelier. The
+    inside is dealt to its nearest pivots; whatever may link with a cell's members lies within the cell's
+    radius and the largest bound of its pivot, and exceeds its own nearest pivot's distance by twice
+    that bound at most.
+    """
+    found: list[tuple[int, int, int]] = []
+    bins = min(map(len, sketches))
+    values = np.stack([fold(x, bins) for x in sketches])
+
+    def pairs(core: np.ndarray, window: np.ndarray) -> None:
+        everyone = np.concatenate((core, window))
+        for k, i in enumerate(core.tolist()):
+            others = everyone[k + 1 :]
+            others = others[(label[others] != label[i]) & (5 * np.minimum(sizes[others], sizes[i]) >= 4 * np.maximum(sizes[others], sizes[i]))]
+            if len(others):
+                slack = sizes[others] + sizes[i] - 9 * np.abs(values[others] - values[i]).sum(1)
+                found.extend((i, j, int(d)) for j, d in zip(others.tolist(), slack.tolist()) if d >= 0)
+
+    def recur(core: np.ndarray, window: np.ndarray) -> None:
+        if not len(core) or len(core) + len(window) < 2:
+            return
+        if len(core) <= leaf:
+            pairs(core, window)
             return
-        chosen = [core[k * len(core) // pivots] for k in range(pivots)]
-        everyone = core + window
-        d = np.empty((len(everyone), pivots))
-        for k, p in enumerate(chosen):
-            for r, i in enumerate(everyone):
-                both, union = distance(sets[i], sets[p])
-                d[r, k] = 1 - both / union
-                if i != p and 100 * both >= 80 * union and groups.join(i, p):
-                    links.append((i, p))
-        nearest = d.argmin(1)
-        near = d.min(1)
+        chosen = core[np.arange(pivots) * len(core) // pivots]
+        everyone = np.concatenate((core, window))
+        d = np.stack([np.abs(values[everyone] - values[p]).sum(1) for p in chosen], 1)
+        nearest, least = d.argmin(1), d.min(1)
+        bound = (sizes[everyone].max() + sizes[core].max()) / 9
+        inner = np.arange(len(everyone)) < len(core)
         for k in range(pivots):
-            cell = [i for r, i in enumerate(everyone[: len(core)]) if nearest[r] == k]
-            if not cell:
+            mine = inner & (nearest == k)
+            if not mine.any():
                 continue
-            reach = max(d[r, k] for r in range(len(core)) if nearest[r] == k) + RADIUS + 1e-9
-            # beyond this cell: later cells' classes and the window, as far as the triangle inequality lets them in
-            beside = [i for r, i in enumerate(everyone) if (r >= len(core) or nearest[r] > k) and d[r, k] <= min(reach, near[r] + 2 * RADIUS + 1e-9)]
-            if len(cell) == len(core):
-                for x, i in enumerate(cell):
-                    for j in cell[x + 1 :] + beside:
-                        try_link(i, j)
+            reach = np.minimum(d[mine, k].max() + bound, least + 2 * bound)
+            beside = ~mine & (~inner | (nearest > k)) & (d[:, k] <= reach)
+            if mine.sum() == len(core):
+                pairs(everyone[mine], everyone[beside])
             else:
-                recur(cell, beside)
+                recur(everyone[mine], everyone[beside])
+
+    recur(np.flatnonzero(inside), np.flatnonzero(~inside))
+    return found
 
-    recur(list(range(len(sets))), [])
-    return links
 
+def _block_pairs(rest: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
+    """Pairs a, b within regions (region, band, inside, cls, label) that may link, by pairs of blocks.
 
-def _block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links a, b within regions (region, cls, label), joined by pairs of blocks."""
-    sizes = rest.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = rest.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("cls", "region"), F.col("blocks")))
+    best leaves one pair, the likeliest, for each two labels of a block: if it links, all others of the two are moot.
+    """
+    sizes = rest.groupBy("region", "band").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("inside").alias("core")).where("l0 <> l1 and core")
+    placed = rest.join(sizes.select("region", "band", F.ceil(F.col("m") / BLOCK).alias("blocks")), ["region", "band"]).withColumn("block", F.pmod(F.xxhash64("cls", "region"), F.col("blocks")))
     # a block meets itself and each other block once
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    rows = placed.select("region", "cls", "label", F.inline(meets)).join(sets, "cls")
+    rows = placed.select("region", "band", "cls", "label", "inside", F.inline(meets)).join(classes.select("cls", "n", "sketch"), "cls")
+    dealt = rows.select(F.xxhash64("region", "band", "i", "j").alias("key"), "cls", "label", "n", "inside", "sketch").repartition("key").sortWithinPartitions("key")
 
-    def run(table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["own"]]
-        cls = table["cls"].to_pylist()
-        links = join_block(own, table["label"].to_pylist())
-        return pa.table([pa.array([cls[i] for i, _ in links], pa.int64()), pa.array([cls[j] for _, j in links], pa.int64())], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, cls, label, n = (part[c].to_numpy() for c in ("key", "cls", "label", "n"))
+            sketches = part["sketch"].to_pylist()
+            inside = np.array(part["inside"].to_pylist(), bool)
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+            found: set[tuple[int, int]] = set()
+            for a, b in zip(edges[:-1], edges[1:]):
+                own = cls[a:b]
+                got = join_block(sketches[a:b], n[a:b], label[a:b], inside[a:b])
+                if best:
+                    own_label = label[a:b]
+                    top: dict[tuple, tuple] = {}
+                    for i, j, slack in got:
+                        pair = (min(own_label[i], own_label[j]), max(own_label[i], own_label[j]))
+                        if pair not in top or slack > top[pair][2]:
+                            top[pair] = (i, j, slack)
+                    got = list(top.values())
+                found |= {(int(min(own[i], own[j])), int(max(own[i], own[j]))) for i, j, _ in got}
+            x = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+        rest_: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest_.append(batch)
+            held = pa.Table.from_batches(rest_)
+            key = held["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # keys are sorted; the last may go on
+            if cut:
+                yield from joined(held.slice(0, cut))
+                rest_ = held.slice(cut).combine_chunks().to_batches()
+        if rest_:
+            yield from joined(pa.Table.from_batches(rest_))
 
-    return rows.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """cls, label: the classes that link with another, and the smallest class of their component."""
-    spark = docs.sparkSession
-    classes = _regions(docs, frequent_shingles(docs))
+    """node, label: the classes that link with another, and the smallest class of their component."""
+    classes = keep(_classes(docs, frequent_shingles(docs)))
     places = _exploded(classes)
     # (1) regions with several classes; of regions with the same classes one is enough
     sign = F.bit_xor(F.xxhash64("cls"))
     shared = places.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot"), sign.alias("sign")).where("m > 1")
     shared = shared.groupBy("m", "pivot", "sign").agg(F.min("region").alias("region"))
     members = keep(places.join(shared.select("region", "m", "pivot"), "region").select("region", "m", "pivot", "cls", "n"))
-    sets = keep(_members(docs, members.select("cls").distinct()))
-    fits = "5 * least(n, pn) >= 4 * greatest(n, pn)"
-    sizes = members.where("cls = pivot").select(F.col("cls").alias("pivot"), F.col("n").alias("pn")).distinct()
-    pairs = keep(members.where("cls <> pivot").select("cls", "pivot", "n").distinct().join(sizes, "pivot").where(fits).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+    some = keep(classes.select("cls", "rep", "n", "sketch").join(members.select("cls").distinct(), "cls", "left_semi"))
+    stars = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = keep(_possible(stars, some))
+    reps = some.select("cls", "rep")
+
+    def fetched(pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        return keep(_members(docs, reps.join(ids if but is None else ids.join(but.select("cls"), "cls", "left_anti"), "cls", "left_semi")))
+
+    sets = fetched(pairs)
     # (2) each class against its smallest pivot, then the others where components still differ
     first = pairs.groupBy("a").agg(F.min("b").alias("b"))
     found = keep(_measured(first, sets))
     label = components(found)
-    label_a, label_b = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    second = pairs.join(first, ["a", "b"], "left_anti").join(label_a, "a", "left").join(label_b, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-    found = keep(found.union(_measured(second, sets)))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        one, two = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        return pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+
+    found = keep(found.union(_measured(apart(pairs.join(first, ["a", "b"], "left_anti")), sets)))
     label = components(found)
     # (3) regions of three classes or more that are still several components
-    named = members.where("m > 2").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("region", "cls", F.coalesce("label", "cls").alias("label"))
-    several = named.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("region")
-    more = _block_links(keep(named.join(several, "region", "left_semi")), sets)
-    return components(keep(found.union(more)))
+    # the empty set is a pivot too, from which a set lies as far as its size: linked sets are in one band
+    # of sizes or in neighbours, so a band with the next as its window is joined apart
+    band = F.floor(F.log("n") / float(np.log(1.25)) + 1e-9)
+    bands = F.inline(F.array(F.struct(band.alias("band"), F.lit(True).alias("inside")), F.struct((band - 1).alias("band"), F.lit(False).alias("inside"))))
+    open_ = members.where("m > 2").select("region", "cls", bands)
+    for best in (True, False):
+        named = open_.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("region", "band", "inside", "cls", F.coalesce("label", "cls").alias("label"))
+        rest = _block_pairs(named, some, best)
+        for tried in (pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))):
+            rest = rest.join(tried, ["a", "b"], "left_anti")
+        rest = keep(rest)
+        if rest.isEmpty():
+            continue
+        sets = sets.union(fetched(rest, sets))
+        found, pairs = keep(found.union(_measured(rest, sets))), pairs.union(rest)
+        label = components(found)
+    return label
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    rows = identities(docs)
+    rows = keep(identities(docs))
     label = links(docs)
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "rep")

@@ -144,7 +144,7 @@ def test_block_join_is_exact():
     rows = near_copies(rng, 3, 60, 60, 6)
     sets = [jaccard.shingles(t, jaccard._Hashes()) for _, t in rows]
     sizes, label = np.array([len(s) for s in sets]), np.arange(len(sets))
-    found = {(i, j) for i, j, _ in jaccard.join_block([jaccard.sketch(s) for s in sets], sizes, label)}
+    found = {(i, j) for i, j, _ in jaccard.join_block([jaccard.sketch(s) for s in sets], sizes, label, np.ones(len(sets), bool))}
     for i in range(len(sets)):
         for j in range(i):
             both, union = jaccard.distance(sets[i], sets[j])
