@@ -60,9 +60,6 @@ def measure(text: str | None) -> tuple[int, ...]:
             lines += 1
             dup += line in seen
             seen.add(line)
-    lower, upper = text.lower(), text.upper()
-    cased = sum(map(str.__ne__, lower, upper)) if len(lower) == len(upper) == len(text) else sum(c.lower() != c.upper() for c in text)
-    high = sum(map(str.__ne__, text, lower)) if len(lower) == len(text) else sum(c != c.lower() for c in text)
     return (
         len(words),
         len(text) - sum(map(text.count, _SPACES)),
@@ -70,8 +67,8 @@ def measure(text: str | None) -> tuple[int, ...]:
         dup,
         _repeat_words(words),
         lines,
-        cased,
-        high,
+        sum(map(str.isalpha, text)),
+        sum(map(str.isupper, text)),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.llm import bpe, decontaminate, jaccard, langid, lattice, licence, linededup, quality, suffix, toxicity
 from tarn.llm.common import documents
@@ -23,7 +24,7 @@ def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(documents(spark, sf_dir))
+    return linededup.report(documents(spark, sf_dir)).withColumn("gone", F.array_join("gone", ","))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +62,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL = {
+    "op1_quality_ledger": f"""
+        with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+        t as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as c
+              from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+        r as (select doc_id, count(distinct i + j) as n_repeat_words from t, (select unnest([0, 1, 2]) as j) where c > 1 group by doc_id),
+        l as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+              from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '{_WORD}') group by doc_id),
+        m as (select doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+                     coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines,
+                     length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) as n_letters, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) as n_upper
+              from d left join r using (doc_id) left join l using (doc_id)),
+        b as (select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (100 * n_symbols > 25 * n_words)::bigint
+                     + 8 * (100 * n_dup_lines > 50 * n_lines)::bigint + 16 * (n_letters > 0 and 100 * n_upper > 50 * n_letters)::bigint
+                     + 32 * (word_chars > 40 * n_words)::bigint as fail_bits from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 > 0 as base_failed, fail_bits = 0 as kept,
+               fail_bits, n_lines, n_letters, n_upper from b""",
+    "op3_line_dedup": """
+        with l as (select doc_id, generate_subscripts(x, 1) - 1 as p, unnest(x) as line from (select doc_id, string_split(text, chr(10)) as x from documents)),
+        k as (select doc_id, p, lower(trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g'))) as line from l),
+        f as (select line, min((doc_id, p)) as first, count(*) as times, string_split(line, ' ') as w from k where line <> '' group by line),
+        v as (select line, first, i, true as cut, array_to_string(w[1:i - 1], ' ') as a, array_to_string(w[i + 1:], ' ') as b
+              from (select *, unnest(range(1, len(w) + 1)) as i from f where len(w) >= 8)
+              union all
+              select line, first, i, false, array_to_string(w[1:i - 1], ' '), array_to_string(w[i:], ' ')
+              from (select *, unnest(range(1, len(w) + 2)) as i from f where len(w) >= 8)),
+        near as (select distinct x.line from v x join v y using (i, a, b) where (x.cut or y.cut) and y.first < x.first),
+        g as (select k.doc_id, k.p, (k.doc_id, k.p) = f.first as near from k join f using (line) where (k.doc_id, k.p) > f.first or line in (select line from near)),
+        s as (select doc_id, count_if(not near) as n_exact, count_if(near) as n_near, string_agg(p::varchar, ',' order by p) as gone from g group by doc_id)
+        select d.doc_id, coalesce(len(string_split(text, chr(10))), 0) as n_lines, coalesce(n_exact, 0) as n_exact, coalesce(n_near, 0) as n_near,
+               coalesce(gone, '') as gone from documents d left join s using (doc_id)""",
+    "op10_jaccard_join": f"""
+        with recursive w as (select doc_id, regexp_extract_all({_LOW}, '{_WORD}') as w from documents),
+        s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        c as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (s) where x.doc_id <> y.doc_id group by all),
+        e as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)),
+        r as (select doc_id as d, doc_id as r from documents union select r.d, e.b from r join e on e.a = r.r)
+        select d as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id from r left join n on n.doc_id = d group by d""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are tested against plain versions."""
+    return dict(ORACLE_SQL)
