@@ -12,7 +12,26 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tarn.session import keep
 
-__all__ = ["bounded_sample", "documents", "held_out", "keep", "map_rows", "per_worker"]
+__all__ = ["bounded_sample", "documents", "held_out", "keep", "map_rows", "per_worker", "small_batches"]
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; sets Arrow batches of 2,000 rows in its session where Spark's default of 10,000 stands.
+
+    Rows here are whole texts or sets, of some KB each and at times far more; an executor holds
+    several batches at once, twice over while a buffer grows.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "10000") == "10000":
+        conf.set(_BATCH, "2000")
+    return df
+
+
+#: Rows that map_rows turns into Python objects at once.
+ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +56,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = make()
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, max(1, b.num_rows), ROWS)):
             out = [row(*x) for x in zip(*(c.to_pylist() for c in batch.columns))]
             cols = list(zip(*out)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([_array(c, t.type) for c, t in zip(cols, arrow)], schema=arrow)
 
-    return df.mapInArrow(run, struct)
+    return small_batches(df).mapInArrow(run, struct)
 
 
 def held_out(modulus: int, remainder: int, doc_id: str = "doc_id"):

@@ -16,10 +16,11 @@ that is within RADIUS of the Jaccard distance, which is a metric.
    region still falls into several components, against the others. A region whose classes are
    one component is done: this settles copies of one text, however many, by as many distances
    as there are copies.
-4. The rest of a region is joined in blocks of at most about BLOCK classes, pairs of blocks
+4. The rest is joined in bands of sizes and blocks of at most about BLOCK classes, pairs of blocks
    apart, each recursively in the sketches' metric: pivots make Voronoi cells, and a class is
-   replicated to another cell as far as the triangle inequality asks for. Pairs of classes that
-   this cannot tell apart are measured exactly.
+   replicated to another cell as far as the triangle inequality asks for. Classes that are alike
+   without linking meet in many regions; each such family is joined once, and regions only for
+   pairs of different families. Pairs that the sketches cannot tell apart are measured exactly.
 
 Null or empty texts have no shingle and no links; their component is their own id. Rows with a
 null id link like others; a component's id is the smallest one that is not null. Repeated rows
@@ -47,7 +48,7 @@ SAMPLE_ROWS, FREQUENT_FROM, FREQUENT = 6_000, 4, 50_000
 PER_BIN, FEWEST, MOST = 1, 64, 1 << 20
 #: Bits of the filter that spares most documents' sets the shuffle; its size is fixed.
 FILTER_BITS = 1 << 26
-HELD = 300_000
+HELD = 150_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -240,20 +241,26 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b of the pairs that sizes and sketches allow to link."""
+def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, links of the pairs that are alike by their sketches; links tells whether sizes and sketches allow a link.
+
+    Alike is a symmetric difference of a third of both sizes at most, a Jaccard similarity of a half.
+    """
     one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     two = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            alike, links_ = [], []
             for x, y, na, nb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 bins = min(len(x), len(y))
-                ok.append(5 * min(na, nb) >= 4 * max(na, nb) and 9 * int(np.abs(fold(x, bins) - fold(y, bins)).sum()) <= na + nb)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                apart = int(np.abs(fold(x, bins) - fold(y, bins)).sum())
+                alike.append(3 * apart <= na + nb)
+                links_.append(5 * min(na, nb) >= 4 * max(na, nb) and 9 * apart <= na + nb)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links_, pa.bool_())], names=["a", "b", "links"])
+            yield out.filter(pa.array(alike, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long, links boolean")
 
 
 def join_block(sketches: list[bytes], sizes: np.ndarray, label: np.ndarray, inside: np.ndarray, leaf: int = 32, pivots: int = 8) -> list[tuple[int, int, int]]:
@@ -366,7 +373,8 @@ def links(docs: DataFrame) -> DataFrame:
     members = keep(places.join(shared.select("region", "m", "pivot"), "region").select("region", "m", "pivot", "cls", "n"))
     some = keep(classes.select("cls", "rep", "n", "sketch").join(members.select("cls").distinct(), "cls", "left_semi"))
     stars = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = keep(_possible(stars, some))
+    compared = keep(_compared(stars, some))
+    pairs = compared.where("links").select("a", "b")
     reps = some.select("cls", "rep")
 
     def fetched(pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
@@ -385,14 +393,21 @@ def links(docs: DataFrame) -> DataFrame:
 
     found = keep(found.union(_measured(apart(pairs.join(first, ["a", "b"], "left_anti")), sets)))
     label = components(found)
-    # (3) regions of three classes or more that are still several components
+    # (3) what the pivots have not decided
     # the empty set is a pivot too, from which a set lies as far as its size: linked sets are in one band
     # of sizes or in neighbours, so a band with the next as its window is joined apart
     band = F.floor(F.log("n") / float(np.log(1.25)) + 1e-9)
     bands = F.inline(F.array(F.struct(band.alias("band"), F.lit(True).alias("inside")), F.struct((band - 1).alias("band"), F.lit(False).alias("inside"))))
-    open_ = members.where("m > 2").select("region", "cls", bands)
-    for best in (True, False):
-        named = open_.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("region", "band", "inside", "cls", F.coalesce("label", "cls").alias("label"))
+    # classes that are alike meet in many regions: they form a family, which is joined once; regions are
+    # joined for pairs of different families
+    family = keep(components(compared.select("a", "b")).select(F.col("node").alias("cls"), F.col("label").alias("family")))
+    in_family = some.join(family, "cls").select(F.col("family").alias("region"), "cls", bands)
+    in_region = members.where("m > 2").join(family, "cls", "left").select("region", "cls", F.coalesce("family", "cls").alias("label"), bands)
+    for of_family, best in ((True, True), (True, False), (False, False)):
+        if of_family:
+            named = in_family.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("region", "band", "inside", "cls", F.coalesce("label", "cls").alias("label"))
+        else:
+            named = in_region
         rest = _block_pairs(named, some, best)
         for tried in (pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))):
             rest = rest.join(tried, ["a", "b"], "left_anti")

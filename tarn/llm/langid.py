@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_sample, held_out, map_rows
+from tarn.llm.common import bounded_sample, held_out, map_rows, small_batches
 
 DIMS = 1 << 12
 PIECE = 1 << 20
@@ -146,4 +146,4 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([not classify(model, t)[2] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import held_out, keep, map_rows, per_worker
+from tarn.llm.common import held_out, keep, map_rows, per_worker, small_batches
 
 UNKNOWN = math.log(1e-4)
 FREQUENT, MAX_FREQUENT_BYTES = 120_000, 64
@@ -182,7 +182,7 @@ def fit(words: DataFrame, pieces: list[tuple[str, float]], ends: int) -> tuple[l
 def score(docs: DataFrame, pieces: list[tuple[str, float]], modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(modulus, remainder).alias("held_out"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "text", held_out(modulus, remainder).alias("held_out"))
     ends = rows.where(~F.col("held_out")).count()
     words = keep(count_words(rows, "held_out"))
     total = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()

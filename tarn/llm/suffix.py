@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import keep, per_worker
+from tarn.llm.common import keep, per_worker, small_batches
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
@@ -471,7 +471,7 @@ def _buckets(docs: DataFrame) -> int:
 
 def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept (binary) for each row of docs."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
     buckets = _buckets(rows)
     judged = keep(_judge(_send(rows, buckets), buckets))
     keyed = rows.withColumn("bucket", F.pmod("doc", F.lit(buckets).cast("long")))
