@@ -403,15 +403,20 @@ def links(docs: DataFrame) -> DataFrame:
     family = keep(components(compared.select("a", "b")).select(F.col("node").alias("cls"), F.col("label").alias("family")))
     in_family = some.join(family, "cls").select(F.col("family").alias("region"), "cls", bands)
     in_region = members.where("m > 2").join(family, "cls", "left").select("region", "cls", F.coalesce("family", "cls").alias("label"), bands)
+    # classes of different families seldom pass even a coarse sketch, so regions take an eighth of the bins
+    def make():
+        return lambda cls, n, x: (cls, n, np.minimum(fold(x, max(FEWEST, len(x) // 8)), 255).astype(np.uint8).tobytes())
+
+    coarse = keep(map_rows(some.select("cls", "n", "sketch"), make, "cls long, n long, sketch binary"))
     for of_family, best in ((True, True), (True, False), (False, False)):
         if of_family:
             named = in_family.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("region", "band", "inside", "cls", F.coalesce("label", "cls").alias("label"))
         else:
             named = in_region
-        rest = _block_pairs(named, some, best)
+        rest = _block_pairs(named, some if of_family else coarse, best)
         for tried in (pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))):
             rest = rest.join(tried, ["a", "b"], "left_anti")
-        rest = keep(rest)
+        rest = keep(rest if of_family else _compared(rest, some).where("links").select("a", "b"))
         if rest.isEmpty():
             continue
         sets = sets.union(fetched(rest, sets))
