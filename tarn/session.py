@@ -7,17 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own = ""
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path below the one that the session names for checkpoints.
 
     Executors and the driver must all reach that folder. Where the setting is absent, as in
-    tests on one machine, a temporary folder is set for the session.
+    tests on one machine, a temporary folder of this process takes its place.
     """
+    global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tarn-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own = _own or tempfile.mkdtemp(prefix="tarn-")
     return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
 
 
