@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units of documents and benchmark items become typed placeholders: a word
-with a digit is a number, a unit is one of UNITS, a name is a capitalised word that does not
-open a sentence; all other words stand in lower case. Windows of WINDOW template words (of the
+with a digit is a number, with any . and , between its digits; a unit is one of UNITS; a name is a
+run of capitalised words that do not open a sentence; all other words stand in lower case. Windows of WINDOW template words (of the
 whole item if it is shorter) are hashed and joined. Hits on one diagonal (document place minus
 item place) align item and document; there the slots must be consistent: one value of the item
 stands for one value in the document and the other way round. So a question with other numbers
@@ -35,7 +35,7 @@ BLOCK_BYTES = 8 << 20
 HELD = 200_000
 # Units of measurement.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years kb mb gb tb hz khz mhz ghz w kw v a k usd eur gbp dollar dollars euro euros cent cents percent metre metres meter meters kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms litre litres liter liters".split())
-_TOKEN = r"[^\W_]+|[.!?\n]"
+_TOKEN = r"[^\W_]+(?:[.,](?<=\d.)(?=\d)[^\W_]+)*|[.!?\n]"
 _NUMBER, _UNIT, _NAME, _FIRST_WORD = 1, 2, 3, 4
 _CAPITAL, _MARK = 1, 2
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
@@ -69,14 +69,28 @@ class Forms(dict):
         return found
 
 
-def template(words: list[str], forms: Forms) -> tuple[np.ndarray, np.ndarray]:
-    """(template ids, their places in words) of a token list; sentence marks drop out."""
+def template(words: list[str], forms: Forms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template ids, the places in words where each begins and ends) of a token list.
+
+    Sentence marks drop out. Neighbouring names are one slot; a mark never stands between them,
+    as the word after a mark is none.
+    """
     codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
     mark = (codes & _MARK) > 0
     opens = np.concatenate(([True], mark[:-1]))
     ids = np.where((codes & _CAPITAL > 0) & ~opens, _NAME, codes >> 2)
     at = np.flatnonzero(~mark)
-    return ids[at], at
+    ids = ids[at]
+    first = np.ones(len(ids), bool)
+    first[1:] = (ids[1:] != _NAME) | (ids[:-1] != _NAME)
+    last = np.ones(len(ids), bool)
+    last[:-1] = first[1:]
+    return ids[first], at[first], at[last] + 1
+
+
+def value(words: list[str], begin: int, end: int) -> str:
+    """What stands in a slot."""
+    return " ".join(words[begin:end]).lower()
 
 
 def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -96,13 +110,13 @@ class Index:
         rows: dict[int, list] = defaultdict(list)
         for item_id, text in items:
             words = self.find(text or "")
-            ids, at = template(words, forms)
+            ids, at, end = template(words, forms)
             if len(ids) < MIN_WORDS or (ids >= _FIRST_WORD).sum() < MIN_LITERAL:
                 continue
             size = min(WINDOW, len(ids))
             for p, h in enumerate(_hashes(ids, size).tolist()):
                 rows[size].append((h, len(self.items), p))
-            self.items.append((item_id, ids, [words[a].lower() for a in at], len(ids) - size + 1, size))
+            self.items.append((item_id, ids, [value(words, *x) for x in zip(at, end)], len(ids) - size + 1, size))
         self.tables = {}
         for size, r in rows.items():
             r.sort()
@@ -114,7 +128,7 @@ class Index:
         words = self.find(text or "")
         if not self.tables or len(words) < self.shortest:
             return
-        ids, at = template(words, forms)
+        ids, at, end = template(words, forms)
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
         for size, (hashes, places) in self.tables.items():
@@ -145,7 +159,7 @@ class Index:
             for p in sorted({q + j for q in starts for j in range(size)}):
                 kind = int(item_ids[p])
                 if kind < _FIRST_WORD:
-                    a, b = values[p], words[at[p + shift]].lower()
+                    a, b = values[p], value(words, at[p + shift], end[p + shift])
                     same &= a == b
                     consistent &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
             if consistent:
