@@ -5,9 +5,11 @@ with a digit is a number, with any . and , between its digits; a unit is one of
 run of capitalised words that do not open a sentence; all other words stand in lower case. Windows of WINDOW template words (of the
 whole item if it is shorter) are hashed and joined. Hits on one diagonal (document place minus
 item place) align item and document; there the slots must be consistent: one value of the item
-stands for one value in the document and the other way round. So a question with other numbers
-is caught, a text of the same shape with unrelated slots is not. An item is found in a document
-where the consistent diagonals cover MIN_COVER of its windows.
+stands for one value in the document and the other way round. Of pairs of values that contradict
+each other the most frequent stands, none if several are; windows that hold a slot of another pair
+do not count. So a question with other numbers is caught, a text of the same shape with unrelated
+slots is not. An item is found in a document where the windows that count cover MIN_COVER of its
+windows.
 
 The benchmark goes to the workers in blocks of at most BLOCK_BYTES bytes of text, which the
 driver checks; a larger benchmark takes several passes over the documents, so no size fails.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,6 +95,16 @@ def value(words: list[str], begin: int, end: int) -> str:
     return " ".join(words[begin:end]).lower()
 
 
+def standing(pairs: dict[tuple[int, str, str], int]) -> set[tuple[int, str, str]]:
+    """Of pairs (kind, item's value, document's value) with their counts those that no other with a value of theirs reaches."""
+    most: dict[tuple, list[int]] = defaultdict(list)
+    for (kind, a, b), n in pairs.items():
+        most[kind, 0, a].append(n)
+        most[kind, 1, b].append(n)
+    alone = {key: max(ns) if ns.count(max(ns)) == 1 else math.inf for key, ns in most.items()}
+    return {(kind, a, b) for (kind, a, b), n in pairs.items() if n >= alone[kind, 0, a] and n >= alone[kind, 1, b]}
+
+
 def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
     for j in range(n):
@@ -153,18 +165,18 @@ class Index:
         found: dict[int, tuple[set[int], bool]] = {}
         for (item, shift), starts in diagonals.items():
             _, item_ids, values, _, size = self.items[item]
-            there: dict[tuple[int, str], str] = {}
-            back: dict[tuple[int, str], str] = {}
-            consistent = same = True
+            slots = {}
             for p in sorted({q + j for q in starts for j in range(size)}):
                 kind = int(item_ids[p])
                 if kind < _FIRST_WORD:
-                    a, b = values[p], value(words, at[p + shift], end[p + shift])
-                    same &= a == b
-                    consistent &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
-            if consistent:
+                    slots[p] = kind, values[p], value(words, at[p + shift], end[p + shift])
+            stands = standing(Counter(slots.values()))
+            wrong = {p for p, pair in slots.items() if pair not in stands}
+            good = {q for q in starts if not any(q + j in wrong for j in range(size))} if wrong else set(starts)
+            if good:
+                same = all(a == b for _, a, b in slots.values())
                 covered, verbatim = found.get(item, (set(), True))
-                found[item] = (covered | set(starts), verbatim and same)
+                found[item] = (covered | good, verbatim and same)
         for item, (covered, verbatim) in sorted(found.items()):
             item_id, _, _, windows, _ = self.items[item]
             if len(covered) >= MIN_COVER * windows:

@@ -20,3 +20,19 @@ def test_slots_of_several_tokens():
     # a number ends with its digits
     item = "The box weighs 5. Then 6 more stones are put in, so what does it weigh now in all?"
     assert found(item, item.replace("5", "7.25").replace("6", "1,5")) == [(1.0, False)]
+
+
+def test_a_conflict_leaves_the_other_windows():
+    # 23 words and 16 windows, of which 7 hold one of the slots that contradict each other; 12 more words: 28 windows, 11
+    item = "Tom has 5 apples and buys 7 more apples for 3 dollars today. How many apples has Tom after 5 weeks in all?"
+    longer = item + " please write down each step of the work that you have done."
+    assert found(item, item.replace("5 apples", "6 apples")) == []
+    assert found(longer, longer.replace("5 apples", "6 apples")) == [((28 - 11) / 28, False)]
+    # two values become one
+    assert found(longer, longer.replace("7", "3")) == [((28 - 11) / 28, False)]
+    # the more frequent of the pairs stands
+    item = "Put 5 red stones into one box and then put 5 blue stones into one more box and then take 5 stones out of each box."
+    assert found(item, item.replace("5 red", "6 red")) == [(17 / 19, False)]
+    # no slot stands
+    other = "Ann took {} of {} and {} of {} and {} of {} and {} of {} and {} of {} and all was well"
+    assert found(other.format(*"1111111111"), other.format(*"2345678923")) == []
