@@ -8,14 +8,16 @@ item place) align item and document; there the slots must be consistent: one val
 stands for one value in the document and the other way round. Of pairs of values that contradict
 each other the most frequent stands, none if several are; windows that hold a slot of another pair
 do not count. So a question with other numbers is caught, a text of the same shape with unrelated
-slots is not. An item is found in a document where the windows that count cover MIN_COVER of its
-windows.
+slots is not. The first word of an item, which may stand inside a sentence of a document, is taken
+in both forms, word and name. An item is found in a document where the windows that count cover
+MIN_COVER of its windows.
 
 The benchmark goes to the workers in blocks of at most BLOCK_BYTES bytes of text, which the
 driver checks; a larger benchmark takes several passes over the documents, so no size fails.
-Items below MIN_WORDS words, or without MIN_LITERAL words outside slots, cannot be told from
-chance and are left out. Null or empty texts have no windows. Repeated documents are reported
-each; repeated items each under their id; rows with a null document id are reported with null.
+Templates below MIN_WORDS words, or without MIN_LITERAL words outside slots, cannot be told from
+chance; such items are found as exact sequences of lower-cased words, however short. Null or empty
+texts have no windows. Repeated documents are reported each; repeated items each under their id;
+rows with a null document id are reported with null.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,16 +41,17 @@ HELD = 200_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years kb mb gb tb hz khz mhz ghz w kw v a k usd eur gbp dollar dollars euro euros cent cents percent metre metres meter meters kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms litre litres liter liters".split())
 _TOKEN = r"[^\W_]+(?:[.,](?<=\d.)(?=\d)[^\W_]+)*|[.!?\n]"
 _NUMBER, _UNIT, _NAME, _FIRST_WORD = 1, 2, 3, 4
-_CAPITAL, _MARK = 1, 2
+#: Flags of a form; _BEGINS: the word begins an exact sequence.
+_CAPITAL, _MARK, _BEGINS, _BITS = 1, 2, 4, 3
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
 
 
 class Forms(dict):
-    """word -> 4 * template id + flags. Words outside the benchmark's vocabulary have id 0."""
+    """word -> template id << _BITS, and flags. Words outside the benchmark's vocabulary have id 0."""
 
-    def __init__(self, vocabulary: dict[str, int], grow: bool):
+    def __init__(self, vocabulary: dict[str, int], grow: bool, begins: Container[str] = ()):
         super().__init__()
-        self.vocabulary, self.grow = vocabulary, grow
+        self.vocabulary, self.grow, self.begins = vocabulary, grow, begins
 
     def __missing__(self, word: str) -> int:
         if word in ".!?\n":
@@ -56,14 +59,16 @@ class Forms(dict):
         else:
             low = word.lower()
             if any(map(str.isdigit, word)):
-                found = 4 * _NUMBER
+                found = _NUMBER << _BITS
             elif low in UNITS and not word[:1].isupper():
-                found = 4 * _UNIT
+                found = _UNIT << _BITS
             else:
                 i = self.vocabulary.get(low, 0)
                 if not i and self.grow:
                     i = self.vocabulary[low] = len(self.vocabulary) + _FIRST_WORD
-                found = 4 * i + (_CAPITAL if word[:1].isupper() and word[1:].islower() else 0)
+                found = (i << _BITS) + (_CAPITAL if word[:1].isupper() and word[1:].islower() else 0)
+            if low in self.begins:
+                found |= _BEGINS
         if len(self) >= HELD:
             self.clear()
         if len(word) <= 40:
@@ -71,23 +76,22 @@ class Forms(dict):
         return found
 
 
-def template(words: list[str], forms: Forms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template ids, the places in words where each begins and ends) of a token list.
+def template(codes: np.ndarray, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template ids, the places in the token list where each begins and ends, whether a capitalised word opens a sentence there).
 
-    Sentence marks drop out. Neighbouring names are one slot; a mark never stands between them,
+    within: the first token does not open a sentence. Sentence marks drop out. Neighbouring names are one slot; a mark never stands between them,
     as the word after a mark is none.
     """
-    codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
-    mark = (codes & _MARK) > 0
-    opens = np.concatenate(([True], mark[:-1]))
-    ids = np.where((codes & _CAPITAL > 0) & ~opens, _NAME, codes >> 2)
+    mark, capital = (codes & _MARK) > 0, (codes & _CAPITAL) > 0
+    opens = np.concatenate(([not within], mark[:-1]))
+    ids = np.where(capital & ~opens, _NAME, codes >> _BITS)
     at = np.flatnonzero(~mark)
     ids = ids[at]
     first = np.ones(len(ids), bool)
     first[1:] = (ids[1:] != _NAME) | (ids[:-1] != _NAME)
     last = np.ones(len(ids), bool)
     last[:-1] = first[1:]
-    return ids[first], at[first], at[last] + 1
+    return ids[first], at[first], at[last] + 1, (capital & opens)[at[first]]
 
 
 def value(words: list[str], begin: int, end: int) -> str:
@@ -112,6 +116,14 @@ def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31)) ^ np.uint64(n)
 
 
+def _at(ids: np.ndarray, starts: np.ndarray, n: int, first: int | None = None) -> np.ndarray:
+    """_hashes(ids, n)[starts], with another first token if one is given."""
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(n):
+        out += (ids[starts + j].astype(np.uint64) if j or first is None else np.full(len(starts), first, np.uint64)) * _WEIGHTS[j]
+    return out ^ (out >> np.uint64(31)) ^ np.uint64(n)
+
+
 class Index:
     """Template windows of benchmark items, by hash."""
 
@@ -119,51 +131,62 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         forms, self.find = Forms(self.vocabulary, True), re.compile(_TOKEN).findall
         self.items = []
+        self.item_ids = [item_id for item_id, _ in items]
+        #: The first word of exact sequences -> (place in item_ids, sequence).
+        self.exact: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
         rows: dict[int, list] = defaultdict(list)
-        for item_id, text in items:
+        for n, (_, text) in enumerate(items):
             words = self.find(text or "")
-            ids, at, end = template(words, forms)
-            if len(ids) < MIN_WORDS or (ids >= _FIRST_WORD).sum() < MIN_LITERAL:
-                continue
-            size = min(WINDOW, len(ids))
-            for p, h in enumerate(_hashes(ids, size).tolist()):
-                rows[size].append((h, len(self.items), p))
-            self.items.append((item_id, ids, [value(words, *x) for x in zip(at, end)], len(ids) - size + 1, size))
+            codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
+            plain = False
+            for within in (False, True):
+                ids, at, end, opens = template(codes, within)
+                if within and (not len(at) or at[0] or not codes[0] & _CAPITAL):
+                    break
+                if len(ids) < MIN_WORDS or (ids >= _FIRST_WORD).sum() < MIN_LITERAL:
+                    plain = True
+                    continue
+                size = min(WINDOW, len(ids))
+                for p, h in enumerate(_hashes(ids, size).tolist()):
+                    rows[size].append((h, len(self.items), p))
+                self.items.append((n, ids, [value(words, *x) for x in zip(at, end)], len(ids) - size + 1, size))
+            low = [w.lower() for w in words if w not in ".!?\n"]
+            if low and plain:
+                self.exact[low[0]].append((n, low))
         self.tables = {}
         for size, r in rows.items():
             r.sort()
             self.tables[size] = (np.array([x[0] for x in r], np.uint64), [x[1:] for x in r])
-        self.shortest = min(self.tables, default=0)
+        self.shortest = min([*self.tables, *(len(low) for rows in self.exact.values() for _, low in rows)], default=0)
+
+    def forms(self) -> Forms:
+        """The forms of documents' words."""
+        return Forms(self.vocabulary, False, self.exact)
 
     def hits(self, text: str | None, forms: Forms) -> Iterator[tuple[int, float, bool]]:
         """(item id, cover, verbatim) of each item found in the text."""
         words = self.find(text or "")
-        if not self.tables or len(words) < self.shortest:
+        if not self.shortest or len(words) < self.shortest:
             return
-        ids, at, end = template(words, forms)
+        codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
+        best = dict.fromkeys(self._exact(words, codes), (1.0, True)) if self.exact else {}
+        ids, at, end, opens = template(codes)
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for size, (hashes, places) in self.tables.items():
+        for size in self.tables:
             if len(ids) < size:
                 continue
             open_ = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if not len(open_):
-                continue
             if len(open_) * 4 < len(ids):
-                own = np.zeros(len(open_), np.uint64)
-                for j in range(size):
-                    own += ids[open_ + j].astype(np.uint64) * _WEIGHTS[j]
-                own = own ^ (own >> np.uint64(31)) ^ np.uint64(size)
+                self._align(size, open_, _at(ids, open_, size), ids, diagonals)
             else:
-                own = _hashes(ids, size)[open_]
-            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-            for k in np.flatnonzero(high > low).tolist():
-                d = int(open_[k])
-                for item, p in places[low[k] : high[k]]:
-                    if np.array_equal(ids[d : d + size], self.items[item][1][p : p + size]):
-                        diagonals[item, d - p].append(p)
+                self._align(size, open_, _hashes(ids, size)[open_], ids, diagonals)
+            # a document's sentence may open with the name that an item begins with
+            heads = np.flatnonzero(opens[: len(ids) - size + 1] & (unknown[size:] == unknown[1 : len(ids) - size + 2]))
+            self._align(size, heads, _at(ids, heads, size, _NAME), ids, diagonals, 1)
         found: dict[int, tuple[set[int], bool]] = {}
         for (item, shift), starts in diagonals.items():
+            starts = sorted(set(starts))
             _, item_ids, values, _, size = self.items[item]
             slots = {}
             for p in sorted({q + j for q in starts for j in range(size)}):
@@ -177,10 +200,35 @@ class Index:
                 same = all(a == b for _, a, b in slots.values())
                 covered, verbatim = found.get(item, (set(), True))
                 found[item] = (covered | good, verbatim and same)
-        for item, (covered, verbatim) in sorted(found.items()):
-            item_id, _, _, windows, _ = self.items[item]
+        for item, (covered, verbatim) in found.items():
+            n, _, _, windows, _ = self.items[item]
             if len(covered) >= MIN_COVER * windows:
-                yield item_id, len(covered) / windows, verbatim
+                best[n] = max(best.get(n, (0.0, False)), (len(covered) / windows, verbatim))
+        for n in sorted(best):
+            yield self.item_ids[n], *best[n]
+
+    def _align(self, size: int, starts: np.ndarray, own: np.ndarray, ids: np.ndarray, diagonals: dict, head: int = 0) -> None:
+        """Adds the items' windows that equal the document's windows at starts, of hashes own.
+
+        head = 1: the windows are read with a name as first token, and only items' first windows count.
+        """
+        hashes, places = self.tables[size]
+        low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+        for k in np.flatnonzero(high > low).tolist():
+            d = int(starts[k])
+            for item, p in places[low[k] : high[k]]:
+                theirs = self.items[item][1][p : p + size]
+                if (not head or (p == 0 and theirs[0] == _NAME)) and np.array_equal(ids[d + head : d + size], theirs[head:]):
+                    diagonals[item, d - p].append(p)
+
+    def _exact(self, words: list[str], codes: np.ndarray) -> set[int]:
+        """The items that stand in the text as exact sequences."""
+        at = np.flatnonzero((codes & _MARK) == 0)
+        starts = np.flatnonzero(codes[at] & _BEGINS).tolist()
+        if not starts:
+            return set()
+        low = [words[i].lower() for i in at]
+        return {n for d in starts for n, sequence in self.exact[low[d]] if low[d : d + len(sequence)] == sequence}
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -202,7 +250,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def make(shared=shared):
             def build():
                 index = Index(shared.value)
-                return index, Forms(index.vocabulary, False)
+                return index, index.forms()
 
             index, forms = per_worker(("benchmark", hash(tuple(shared.value))), build)
             return lambda doc_id, text: (doc_id, list(index.hits(text, forms)))

@@ -1,11 +1,11 @@
 """What an index of benchmark items finds in single texts."""
 
-from tarn.llm.decontaminate import Forms, Index
+from tarn.llm.decontaminate import Index
 
 
 def found(item, text):
     index = Index([(1, item)])
-    return [(cover, verbatim) for _, cover, verbatim in index.hits(text, Forms(index.vocabulary, False))]
+    return [(cover, verbatim) for _, cover, verbatim in index.hits(text, index.forms())]
 
 
 def test_slots_of_several_tokens():
@@ -36,3 +36,27 @@ def test_a_conflict_leaves_the_other_windows():
     # no slot stands
     other = "Ann took {} of {} and {} of {} and {} of {} and {} of {} and {} of {} and all was well"
     assert found(other.format(*"1111111111"), other.format(*"2345678923")) == []
+
+
+def test_short_items():
+    item = "What is the boiling point of pure water?"
+    for text in ("Question: {}", "Quiz - {}", "Answer this {}", "Say what! {}", "({})", "1) {}", "He asked \u201c{}\u201d", "{}"):
+        assert found(item, text.format(item)) == [(1.0, True)], text
+    assert found(item, "Question: " + item.replace("pure", "sea")) == []
+    # the first word is a name: another one, of one word or two, opens the sentence or stands in it
+    item = "Tom has 5 red apples and 7 pears now."
+    for name in ("Ann", "Tom"):
+        for text in ("So. {}", "Note: {}", "Now {}"):
+            assert found(item, text.format(item.replace("Tom", name))) == [(1.0, name == "Tom")], (name, text)
+    assert found(item, "Note: " + item.replace("Tom", "New York")) == [(1.0, False)]
+    assert found(item.replace("Tom", "New York"), "Note: " + item) == [(1.0, False)]
+
+
+def test_items_without_a_template():
+    assert found("What is 12 times 7?", "Question: what is 12 times 7? 84") == [(1.0, True)]
+    assert found("What is 12 times seven?", "Question: What is 12 times seven? 84") == [(1.0, True)]
+    assert found("What is 12 times 7?", "What is 12 times 8?") == []
+    assert found("3.5 + 4", "How much is 3.5 + 4?") == [(1.0, True)]
+    assert found("", "What?") == [] and found("What is 12?", "") == []
+    index = Index([(1, "too short"), (2, "too short"), (2, "too short"), (3, None)])
+    assert [i for i, _, _ in index.hits("It is too short.", index.forms())] == [1, 2, 2]
