@@ -1,5 +1,7 @@
 """What an index of benchmark items finds in single texts."""
 
+import random
+
 from tarn.llm.decontaminate import Index
 
 
@@ -60,3 +62,17 @@ def test_items_without_a_template():
     assert found("", "What?") == [] and found("What is 12?", "") == []
     index = Index([(1, "too short"), (2, "too short"), (2, "too short"), (3, None)])
     assert [i for i, _, _ in index.hits("It is too short.", index.forms())] == [1, 2, 2]
+
+
+def test_long_excerpts():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    item = " ".join(words)
+    assert found(item, "Intro. " + " ".join(words[100:350]) + " end") == [(243 / 493, True)]
+    assert found(item, "Intro. " + " ".join(words[100:121]) + " end") == [(14 / 493, True)]
+    assert found(item, "Intro. " + " ".join(words[100:120]) + " end") == []
+    assert found(item, " x ".join(" ".join(words[i : i + 20]) for i in range(0, 200, 25))) == []
+    # slots with other values do not add to the length
+    words[110:130] = map(str, range(10, 30))
+    assert found(" ".join(words), " ".join([*words[100:110], *map(str, range(40, 60)), *words[130:140]])) == []
+    assert found(" ".join(words), " ".join([*words[90:110], *map(str, range(40, 60)), *words[130:140]])) == [(43 / 493, False)]
