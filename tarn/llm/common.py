@@ -74,12 +74,14 @@ def bounded_sample(df: DataFrame, label: str, per_label: int, total: int, key: s
 
     Which rows are taken follows from a hash of their key, so a rerun takes the same. Labels are
     counted first (one short row each; beyond 10,000 values the rarest are left out), and rows of
-    a value are taken at the rate that its count asks for.
+    a value are taken at the rate that its count asks for. Many values share nine tenths of total
+    equally, so chance does not reach total; only very many rows of one key could.
     """
     counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(10_000).collect()
     if not counts:
         return df.limit(0)
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, per_label / r["count"]))])
+    each = min(per_label, 0.9 * total / len(counts))
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, each / r["count"]))])
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_003)) / 1_000_003
     return df.where(F.col(label).isNotNull() & (draw < F.try_element_at(rates, F.col(label)))).limit(total)
 
