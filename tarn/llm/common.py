@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tarn.session import keep
 
-__all__ = ["bounded_sample", "documents", "held_out", "keep", "map_rows", "per_worker", "small_batches"]
+__all__ = ["bounded_sample", "documents", "fresh", "held_out", "keep", "map_rows", "per_worker", "small_batches"]
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -34,6 +34,14 @@ def small_batches(df: DataFrame) -> DataFrame:
 ROWS = 1000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it no column of df, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,27 +4,28 @@ A document is the set of its distinct SIZE-word shingles (64-bit hashes; A-Z in
 fewer words the whole sequence is one shingle). Documents link at 100 * intersection >= 80 * union,
 that is within RADIUS of the Jaccard distance, which is a metric.
 
-1. Documents with equal sets are one class, reduced before the shuffle.
-2. The first pivots are single shingles: a set is 1 - 1/n from each of its own and 1 from any
-   other. A class lies in the regions of its shingles, and the triangle inequality and the sizes
-   bound which it must be replicated to: the first n - ceil(0.8 n) + 1 in a fixed order, of which
-   any two linked sets share one. The order puts shingles that are frequent in a sample last;
-   it affects the size of regions, never the result. Regions with one class end here.
-3. Each class has a sketch, the numbers of its shingles in BINS bins; the sketches' L1 distance never
-   exceeds the symmetric difference, so it rules pairs out for good. Within a region the smallest
-   class is the pivot; each class is measured against the smallest of its pivots, then, if its
-   region still falls into several components, against the others. A region whose classes are
-   one component is done: this settles copies of one text, however many, by as many distances
-   as there are copies.
-4. The rest is joined in bands of sizes and blocks of at most about BLOCK classes, pairs of blocks
-   apart, each recursively in the sketches' metric: pivots make Voronoi cells, and a class is
-   replicated to another cell as far as the triangle inequality asks for. Classes that are alike
-   without linking meet in many regions; each such family is joined once, and regions only for
-   pairs of different families. Pairs that the sketches cannot tell apart are measured exactly.
+1. One pass over the texts writes for each its size, its identity (equal sets are one class),
+   its keys and a sketch. The keys are the first n - ceil(0.8 n) + 1 shingles in a fixed order, of
+   which any two linked sets share one. The order puts shingles that are frequent in a sample
+   last; it affects the size of regions, never the result.
+2. Pivots: of the classes that share a key the smallest is a pivot, and the others lie in its
+   region. Classes that share no key with any other are at a distance over RADIUS from all and
+   end here; linked classes share a key, so they share the region of its pivot. A class is
+   measured against the pivots of its regions, the nearest first (its Voronoi cell); others only
+   while they are of another component. A region of one component is done: this settles copies
+   of one text, however many, by as many distances as there are copies.
+3. What is left of a region is joined in the metric of sketches, the numbers of shingles in
+   bins, whose L1 distance never exceeds the symmetric difference. The empty set is the
+   first pivot: a set lies as far from it as its size, so regions fall into bands of sizes, with
+   the next band as window. Regions over LEAF classes are dealt to their nearest of PIVOTS more
+   pivots, and a class is replicated to another cell where the triangle inequality lets a linked
+   class stand there; cells are dealt again, until each fits a task, which goes on in the same
+   way (join_cell). Cells that no pivot divides are joined by pairs of blocks.
+4. Pairs that the sketches cannot tell apart are measured exactly on the sets.
 
 Null or empty texts have no shingle and no links; their component is their own id. Rows with a
 null id link like others; a component's id is the smallest one that is not null. Repeated rows
-get a row each. Set identity rests on 64-bit hashes.
+get a row each. An empty table gives an empty result. Set identity rests on 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,19 +37,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import keep, map_rows, per_worker
+from tarn.llm.common import fresh, keep, map_rows, per_worker, small_batches
 from tarn.llm.components import components
 
 SIZE = 5
 RADIUS = 0.2
-BLOCK = 192
+#: Classes and bytes of sketches of a cell that one task joins; pivots that divide a larger cell; classes of a block.
+LEAF, LEAF_BYTES, PIVOTS, BLOCK = 1024, 16 << 20, 16, 512
+#: A cell that keeps more than this part of its region's classes is not divided further.
+STUBBORN = 0.75
 #: The sample by which frequent shingles are found, and how many of them are remembered.
 SAMPLE_ROWS, FREQUENT_FROM, FREQUENT = 6_000, 4, 50_000
 #: Shingles for each bin of a sketch, and the fewest and most bins; numbers over 255 count as 255, which keeps the bound.
-PER_BIN, FEWEST, MOST = 1, 64, 1 << 20
+PER_BIN, FEWEST, MOST = 4, 64, 1 << 18
 #: Bits of the filter that spares most documents' sets the shuffle; its size is fixed.
 FILTER_BITS = 1 << 26
 HELD = 150_000
+ROWS = 500
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -93,7 +98,7 @@ def set_hash(own: np.ndarray) -> int:
 
 
 def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The regions of a set: so many first shingles, frequent ones last, that linked sets share one."""
+    """The keys of a set: so many first shingles, frequent ones last, that linked sets share one."""
     n = len(own)
     if not n:
         return own
@@ -114,23 +119,14 @@ def fold(sketch_: bytes, bins: int) -> np.ndarray:
     return np.frombuffer(sketch_, np.uint8).astype(np.int32).reshape(bins, -1).sum(1)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-
-def identities(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls for each row; cls, the set's identity, is null without shingles."""
-
-    def make():
-        hashes = per_worker(("shingle words",), _Hashes)
-
-        def one(doc_id, text):
-            own = shingles(text, hashes)
-            return doc_id, len(own), set_hash(own) if len(own) else None
+def apart(x: bytes, y: bytes) -> int:
+    """L1 distance of two sketches in the bins of the smaller one."""
+    bins = min(len(x), len(y))
+    return int(np.abs(fold(x, bins) - fold(y, bins)).sum())
 
-        return one
 
-    return map_rows(_sets(docs), make, "doc_id long, n_shingles long, cls long")
+def _sets(docs: DataFrame) -> DataFrame:
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -148,37 +144,31 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(top.select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _classes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """cls, rep (its smallest id), n, keys (its regions, packed), sketch: one row for each class."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def profiles(docs: DataFrame) -> DataFrame:
+    """doc_id, n, cls, keys, sketch for each row of docs; cls is null without shingles.
 
-    def make():
-        hashes = per_worker(("shingle words",), _Hashes)
-
-        def one(doc_id, text):
-            own = shingles(text, hashes)
-            return (set_hash(own), doc_id, len(own), prefix(own, shared.value).tobytes(), sketch(own)) if len(own) else (None, None, 0, None, None)
-
-        return one
-
-    rows = map_rows(_sets(docs), make, "cls long, rep long, n long, keys binary, sketch binary").where("cls is not null")
-    return rows.groupBy("cls").agg(F.min("rep").alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"))
-
-
-def _exploded(classes: DataFrame) -> DataFrame:
-    """region, cls, n: a class in each of its regions."""
-    names, kinds = ["region", "cls", "n"], [pa.int64(), pa.int64(), pa.int64()]
+    keys and sketch stand in the first row of a class in each task only, so copies of one text,
+    however many, send their keys once for each task. A task remembers the 64-bit identities of its rows.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [np.frombuffer(k, np.int64) for k in batch.column(2).to_pylist()]
-            sizes = np.array([len(k) for k in keys], np.int64)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            cols = (flat, np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes))
-            for i in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000], t) for c, t in zip(cols, kinds)], names=names)
+        hashes = per_worker(("shingle words",), _Hashes)
+        late, sent = frequent.value, set()
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            out: list[list] = [[], [], [], []]
+            for text in batch.column(1).to_pylist():
+                own = shingles(text, hashes)
+                cls = set_hash(own) if len(own) else None
+                first = cls is not None and cls not in sent
+                if first:
+                    sent.add(cls)
+                for c, x in zip(out, (len(own), cls, prefix(own, late).view(np.int64) if first else None, sketch(own) if first else None)):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds[1:]))], names=["doc_id", "n", "cls", "keys", "sketch"])
 
-    return classes.select("cls", "n", "keys").mapInArrow(run, "region long, cls long, n long")
+    return _sets(docs).mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, sketch binary")
 
 
 def _filter_bits(ids: DataFrame) -> np.ndarray:
@@ -200,15 +190,16 @@ def _members(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = per_worker(("shingle words",), _Hashes)
-        table = bits.value
+        table, sent = bits.value, set()
         for batch in batches:
             bit = batch.column(0).to_numpy()
-            some = (table[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool) | np.array([not v for v in batch.column(1).is_valid().to_pylist()], bool)
+            some = (table[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool) | batch.column(1).is_null().to_numpy(zero_copy_only=False)
             cls, sets = [], []
             for text in batch.column(2).filter(pa.array(some)).to_pylist():
                 own = shingles(text, hashes)
-                if len(own):
-                    cls.append(set_hash(own))
+                if len(own) and (one := set_hash(own)) not in sent:
+                    sent.add(one)
+                    cls.append(one)
                     sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "own"])
 
@@ -241,29 +232,21 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, links of the pairs that are alike by their sketches; links tells whether sizes and sketches allow a link.
-
-    Alike is a symmetric difference of a third of both sizes at most, a Jaccard similarity of a half.
-    """
-    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+def _near_pivots(regions: DataFrame, some: DataFrame) -> DataFrame:
+    """a (a class), b (a pivot of its) and far, the sketches' distance by the sizes, where sizes and sketches allow a link."""
+    one = some.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    two = some.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike, links_ = [], []
-            for x, y, na, nb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                bins = min(len(x), len(y))
-                apart = int(np.abs(fold(x, bins) - fold(y, bins)).sum())
-                alike.append(3 * apart <= na + nb)
-                links_.append(5 * min(na, nb) >= 4 * max(na, nb) and 9 * apart <= na + nb)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links_, pa.bool_())], names=["a", "b", "links"])
-            yield out.filter(pa.array(alike, pa.bool_()))
+            far = np.array([9 * apart(x, y) / (na + nb) for x, y, na, nb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))], np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["a", "b", "far"]).filter(pa.array(far <= 1))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long, links boolean")
+    pairs = regions.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).join(one, "a").join(two, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    return pairs.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long, far double")
 
 
-def join_block(sketches: list[bytes], sizes: np.ndarray, label: np.ndarray, inside: np.ndarray, leaf: int = 32, pivots: int = 8) -> list[tuple[int, int, int]]:
+def join_cell(sketches: list[bytes], sizes: np.ndarray, label: np.ndarray, inside: np.ndarray, leaf: int = 32, pivots: int = 8) -> list[tuple[int, int, int]]:
     """(i, j, slack) of pairs of different labels that sizes and sketches allow to link, one of the two inside.
 
     slack is the sum of sizes less 9 times the sketches' L1, a metric; the larger the likelier. The
@@ -281,8 +264,12 @@ def join_block(sketches: list[bytes], sizes: np.ndarray, label: np.ndarray, insi
             others = everyone[k + 1 :]
             others = others[(label[others] != label[i]) & (5 * np.minimum(sizes[others], sizes[i]) >= 4 * np.maximum(sizes[others], sizes[i]))]
             if len(others):
-                slack = sizes[others] + sizes[i] - 9 * np.abs(values[others] - values[i]).sum(1)
-                found.extend((i, j, int(d)) for j, d in zip(others.tolist(), slack.tolist()) if d >= 0)
+                room = sizes[others] + sizes[i]
+                others = others[9 * np.abs(values[others] - values[i]).sum(1) <= room]
+                for j in others.tolist():
+                    slack = int(sizes[i] + sizes[j]) - 9 * apart(sketches[i], sketches[j])
+                    if slack >= 0:
+                        found.append((i, j, slack))
 
     def recur(core: np.ndarray, window: np.ndarray) -> None:
         if not len(core) or len(core) + len(window) < 2:
@@ -311,132 +298,176 @@ def join_block(sketches: list[bytes], sizes: np.ndarray, label: np.ndarray, insi
     return found
 
 
-def _block_pairs(rest: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
-    """Pairs a, b within regions (region, band, inside, cls, label) that may link, by pairs of blocks.
+def _divided(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """rows (cell, cls, inside, label, n, w) of large cells with their numbers m, dealt to Voronoi cells around pivots.
 
-    best leaves one pair, the likeliest, for each two labels of a block: if it links, all others of the two are moot.
+    A class goes to the cell of its nearest pivot. Any class within reach of it, a quarter of its size
+    (two linked sets of 1.25 times the size at most differ in no more), stands in a cell whose pivot is
+    farther by twice that at most: to those of higher number it goes as a window, outside; classes that
+    are outside already go to all such cells.
     """
-    sizes = rest.groupBy("region", "band").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("inside").alias("core")).where("l0 <> l1 and core")
-    placed = rest.join(sizes.select("region", "band", F.ceil(F.col("m") / BLOCK).alias("blocks")), ["region", "band"]).withColumn("block", F.pmod(F.xxhash64("cls", "region"), F.col("blocks")))
-    # a block meets itself and each other block once
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    rows = placed.select("region", "band", "cls", "label", "inside", F.inline(meets)).join(classes.select("cls", "n", "sketch"), "cls")
-    dealt = rows.select(F.xxhash64("region", "band", "i", "j").alias("key"), "cls", "label", "n", "inside", "sketch").repartition("key").sortWithinPartitions("key")
+    picked = rows.where("inside").groupBy("cell", F.pmod(F.xxhash64("cls", "cell"), F.lit(PIVOTS)).alias("k")).agg(F.min("cls").alias("cls"))
+    sketches = some.select("cls", "sketch")
+    bins = rows.groupBy("cell").agg(F.min("w").alias("bins"))
+    # at most PIVOTS sketches of a cell
+    pivots = picked.join(sketches, "cls").groupBy("cell").agg(F.collect_list("sketch").alias("pivots")).join(bins, "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            sizes, inside = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            folded: dict[int, np.ndarray] = {}
+            of, to, core = [], [], []
+            for i, (cell, n, within, own, pivots_, bins_) in enumerate(zip(batch.column(0).to_pylist(), sizes.tolist(), inside, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                if cell not in folded:
+                    folded[cell] = np.stack([fold(x, bins_) for x in sorted(pivots_)])
+                d = np.abs(folded[cell] - fold(own, bins_)).sum(1)
+                home = int(d.argmin())
+                for k in np.flatnonzero(2 * d <= 2 * d[home] + n).tolist():
+                    if within and k < home:
+                        continue
+                    of.append(i)
+                    to.append(k)
+                    core.append(within and k == home)
+            rest = [batch.column(j).take(pa.array(of, pa.int64())) for j in (0, 6, 7, 1, 8, 9)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(to, pa.int32()), pa.array(core, pa.bool_())], names=["parent", "cls", "label", "n", "w", "m", "k", "inside"])
+
+    dealt = rows.join(sketches, "cls").join(pivots, "cell").select("cell", "n", "inside", "sketch", "pivots", "bins", "cls", "label", "w", "m")
+    dealt = dealt.mapInArrow(run, "parent long, cls long, label long, n long, w long, m long, k int, inside boolean")
+    return dealt.select(F.xxhash64("parent", "k").alias("cell"), "cls", "inside", "label", "n", "w", "m")
+
+
+def _cells(members: DataFrame, some: DataFrame) -> DataFrame:
+    """cell, cls, inside, label: the regions' classes (pivot, cls, label, n, w), in cells that each fit a task."""
+    band = F.floor(F.log("n") / float(np.log(1.25)) + 1e-9)
+    bands = F.inline(F.array(F.struct(band.alias("band"), F.lit(True).alias("inside")), F.struct((band - 1).alias("band"), F.lit(False).alias("inside"))))
+    rows = members.select("pivot", "cls", "label", "n", "w", bands).select(F.xxhash64("pivot", "band").alias("cell"), "cls", "inside", "label", "n", "w", F.lit(None).cast("long").alias("m"))
+    out = None
+    while True:
+        rows = keep(rows)
+        sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("bytes"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("inside").alias("core"), F.max("m").alias("of"))
+        sizes = keep(sizes.where("core and l0 <> l1").select("cell", "size", "bytes", "of"))
+        fits = (F.col("size") <= LEAF) & (F.col("bytes") <= LEAF_BYTES)
+        stuck = ~fits & (F.coalesce(F.col("size") > STUBBORN * F.col("of"), F.lit(False)))
+        done = rows.join(sizes.where(fits).select("cell"), "cell", "left_semi").select("cell", "cls", "inside", "label")
+        out = done if out is None else out.union(done)
+        large = sizes.where(~fits)
+        if large.isEmpty():
+            return out
+        # a cell that was not divided: a block meets itself and each other block once
+        many = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / LEAF_BYTES))
+        placed = rows.join(sizes.where(stuck).select("cell", many.alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("cls", "cell"), F.col("blocks")))
+        meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+        out = out.union(placed.select("cell", "cls", "inside", "label", F.inline(meets)).select(F.xxhash64("cell", "i", "j").alias("cell"), "cls", "inside", "label"))
+        rows = _divided(rows.drop("m").join(sizes.where(~fits & ~stuck).select("cell", F.col("size").alias("m")), "cell"), some)
+
+
+def _candidates(cells: DataFrame, some: DataFrame, best: bool) -> DataFrame:
+    """cell, a, b: pairs of different labels within cells (cell, cls, inside, label) that may link.
+
+    best leaves one pair, the likeliest, for each two labels of a cell: if it links, all others of the two are moot.
+    """
+    dealt = cells.join(some.select("cls", "n", "sketch"), "cls").select("cell", "cls", "label", "n", "inside", "sketch").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, cls, label, n = (part[c].to_numpy() for c in ("key", "cls", "label", "n"))
+            cell, cls, label, n = (part[c].to_numpy() for c in ("cell", "cls", "label", "n"))
             sketches = part["sketch"].to_pylist()
             inside = np.array(part["inside"].to_pylist(), bool)
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-            found: set[tuple[int, int]] = set()
-            for a, b in zip(edges[:-1], edges[1:]):
-                own = cls[a:b]
-                got = join_block(sketches[a:b], n[a:b], label[a:b], inside[a:b])
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
+            found: list[tuple[int, int, int]] = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = cls[a:b].tolist()
+                got = join_cell(sketches[a:b], n[a:b], label[a:b], inside[a:b])
                 if best:
-                    own_label = label[a:b]
+                    own_label = label[a:b].tolist()
                     top: dict[tuple, tuple] = {}
                     for i, j, slack in got:
                         pair = (min(own_label[i], own_label[j]), max(own_label[i], own_label[j]))
                         if pair not in top or slack > top[pair][2]:
                             top[pair] = (i, j, slack)
                     got = list(top.values())
-                found |= {(int(min(own[i], own[j])), int(max(own[i], own[j]))) for i, j, _ in got}
-            x = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+                found += [(int(cell[a]), min(own[i], own[j]), max(own[i], own[j])) for i, j, _ in got]
+            x = np.array(found, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["cell", "a", "b"])
 
-        rest_: list[pa.RecordBatch] = []
+        rest: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rest_.append(batch)
-            held = pa.Table.from_batches(rest_)
-            key = held["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # keys are sorted; the last may go on
+            rest.append(batch)
+            held = pa.Table.from_batches(rest)
+            cell = held["cell"].to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))  # cells are sorted; the last may go on
             if cut:
                 yield from joined(held.slice(0, cut))
-                rest_ = held.slice(cut).combine_chunks().to_batches()
-        if rest_:
-            yield from joined(pa.Table.from_batches(rest_))
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def links(docs: DataFrame) -> DataFrame:
-    """node, label: the classes that link with another, and the smallest class of their component."""
-    classes = keep(_classes(docs, frequent_shingles(docs)))
-    places = _exploded(classes)
-    # (1) regions with several classes; of regions with the same classes one is enough
-    sign = F.bit_xor(F.xxhash64("cls"))
-    shared = places.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot"), sign.alias("sign")).where("m > 1")
-    shared = shared.groupBy("m", "pivot", "sign").agg(F.min("region").alias("region"))
-    members = keep(places.join(shared.select("region", "m", "pivot"), "region").select("region", "m", "pivot", "cls", "n"))
-    some = keep(classes.select("cls", "rep", "n", "sketch").join(members.select("cls").distinct(), "cls", "left_semi"))
-    stars = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    compared = keep(_compared(stars, some))
-    pairs = compared.where("links").select("a", "b")
-    reps = some.select("cls", "rep")
+                rest = held.slice(cut).combine_chunks().to_batches()
+        if rest:
+            yield from joined(pa.Table.from_batches(rest))
+
+    return dealt.mapInArrow(run, "cell long, a long, b long")
+
+
+def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, label: the classes of docs that link with another, and the smallest class of their component; rows are their profiles."""
+    firsts = rows.where("keys is not null")
+    places = firsts.select(F.explode("keys").alias("key"), "cls")
+    pivots = places.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot <> last").select("key", "pivot")
+    regions = keep(places.join(pivots.hint("shuffle_hash"), "key").where("cls <> pivot").select("pivot", "cls").distinct())
+    ids = regions.select("cls").union(regions.select("pivot")).distinct()
+    some = keep(firsts.join(ids, "cls", "left_semi").groupBy("cls").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    reps = keep(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")).join(ids, "cls", "left_semi"))
 
     def fetched(pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        return keep(_members(docs, reps.join(ids if but is None else ids.join(but.select("cls"), "cls", "left_anti"), "cls", "left_semi")))
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        return keep(_members(docs, reps.join(wanted if but is None else wanted.join(but.select("cls"), "cls", "left_anti"), "cls", "left_semi")))
 
-    sets = fetched(pairs)
-    # (2) each class against its smallest pivot, then the others where components still differ
-    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    found = keep(_measured(first, sets))
-    label = components(found)
+    def named(table: DataFrame, label: DataFrame, cls: str, name: str) -> DataFrame:
+        return table.join(label.select(F.col("node").alias(cls), F.col("label").alias(name)), cls, "left").withColumn(name, F.coalesce(name, cls))
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        one, two = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        return pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+    def open_(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        return named(named(pairs, label, "a", "la"), label, "b", "lb").where("la <> lb").select("a", "b")
 
-    found = keep(found.union(_measured(apart(pairs.join(first, ["a", "b"], "left_anti")), sets)))
+    # each class against its nearest pivot, then the others where components still differ
+    near = keep(_near_pivots(regions, some))
+    sets = fetched(near)
+    first = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    found = keep(_measured(first, sets))
     label = components(found)
-    # (3) what the pivots have not decided
-    # the empty set is a pivot too, from which a set lies as far as its size: linked sets are in one band
-    # of sizes or in neighbours, so a band with the next as its window is joined apart
-    band = F.floor(F.log("n") / float(np.log(1.25)) + 1e-9)
-    bands = F.inline(F.array(F.struct(band.alias("band"), F.lit(True).alias("inside")), F.struct((band - 1).alias("band"), F.lit(False).alias("inside"))))
-    # classes that are alike meet in many regions: they form a family, which is joined once; regions are
-    # joined for pairs of different families
-    family = keep(components(compared.select("a", "b")).select(F.col("node").alias("cls"), F.col("label").alias("family")))
-    in_family = some.join(family, "cls").select(F.col("family").alias("region"), "cls", bands)
-    in_region = members.where("m > 2").join(family, "cls", "left").select("region", "cls", F.coalesce("family", "cls").alias("label"), bands)
-    # classes of different families seldom pass even a coarse sketch, so regions take an eighth of the bins
-    def make():
-        return lambda cls, n, x: (cls, n, np.minimum(fold(x, max(FEWEST, len(x) // 8)), 255).astype(np.uint8).tobytes())
-
-    coarse = keep(map_rows(some.select("cls", "n", "sketch"), make, "cls long, n long, sketch binary"))
-    for of_family, best in ((True, True), (True, False), (False, False)):
-        if of_family:
-            named = in_family.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("region", "band", "inside", "cls", F.coalesce("label", "cls").alias("label"))
+    found = keep(found.union(_measured(open_(near.select("a", "b").join(first, ["a", "b"], "left_anti"), label), sets)))
+    label = components(found)
+    # what the pivots have not decided: the likeliest pair of two components first, then, of the cells that gave any, all
+    members = named(regions.join(some.select("cls", "n", F.length("sketch").cast("long").alias("w")), "cls"), label, "cls", "label")
+    cells = keep(_cells(members, some))
+    tried = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    for best in (True, False):
+        pairs = keep(_candidates(cells, some, best))
+        fresh_ = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        fresh_ = keep(fresh_ if best else open_(fresh_, label))
+        if fresh_.isEmpty():
+            if best and pairs.isEmpty():
+                break
         else:
-            named = in_region
-        rest = _block_pairs(named, some if of_family else coarse, best)
-        for tried in (pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))):
-            rest = rest.join(tried, ["a", "b"], "left_anti")
-        rest = keep(rest if of_family else _compared(rest, some).where("links").select("a", "b"))
-        if rest.isEmpty():
-            continue
-        sets = sets.union(fetched(rest, sets))
-        found, pairs = keep(found.union(_measured(rest, sets))), pairs.union(rest)
-        label = components(found)
+            sets = sets.union(fetched(fresh_, sets))
+            found, tried = keep(found.union(_measured(fresh_, sets))), tried.union(fresh_)
+            label = components(found)
+        cells = named(cells.drop("label").join(pairs.select("cell").distinct(), "cell", "left_semi"), label, "cls", "label")
     return label
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    rows = keep(identities(docs))
-    label = links(docs)
+    rows = keep(profiles(docs))
+    label = links(docs, rows)
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "rep")
-    ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = named.join(ids, "label").select("cls", "component_id")
-    return rows.join(of, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls").select("cls", "label", "rep")
+    ids = of.groupBy("label").agg(F.min("rep").alias("component_id"))
+    linked = of.join(ids, "label").select("cls", "component_id")
+    every = classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
+    return rows.select("doc_id", "n", "cls").join(every, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that with the smallest id; rows without id or shingles stay."""
-    keep_ids = report(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep_ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").union(docs.where("doc_id is null"))
+    own = fresh(docs, "component_own_id")
+    ids = report(docs).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(ids, docs["doc_id"].cast("long") == F.col(own), "left_semi").union(docs.where("doc_id is null"))

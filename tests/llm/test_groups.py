@@ -113,9 +113,11 @@ def near_copies(rng, groups, copies, size, edits):
     return rows
 
 
-@pytest.mark.parametrize("block", [192, 8])
-def test_jaccard(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard(spark, monkeypatch, small):
+    if small:  # so that regions are divided by pivots, over several rounds, and blocks meet
+        for name, value in {"LEAF": 6, "BLOCK": 4, "PIVOTS": 3}.items():
+            monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(2)
     rows = near_copies(rng, 6, 40, 90, 5)
     rows += [(1000 + i, " ".join(f"x{rng.randint(0, 5)}" for _ in range(rng.randint(0, 9)))) for i in range(60)]
@@ -124,6 +126,44 @@ def test_jaccard(spark, monkeypatch, block):
     assert got == plain_components(rows)
 
 
+def chained(rng, chains, size, steps):
+    """Texts of which each differs from the next by so little that they link, and from all others by more."""
+    rows = []
+    for _ in range(chains):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(size)]
+        for _ in range(steps):
+            rows.append((len(rows), " ".join(w)))
+            for _ in range(2):
+                w[rng.randrange(size)] = f"v{rng.randint(0, 10**6)}"
+    return rows
+
+
+def test_jaccard_regions_decide(spark, monkeypatch):
+    """Chains link through classes that are no pivots, so without the join of regions components fall apart."""
+    rows = chained(random.Random(12), 12, 100, 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(docs).collect()} == want
+    monkeypatch.setattr(jaccard, "_candidates", lambda cells, some, best: spark.createDataFrame([], "cell long, a long, b long"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(docs).collect()} != want
+
+
+def test_jaccard_family_without_links(spark, monkeypatch):
+    """Many texts near one base that hardly link with each other."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for at in rng.sample(range(24), 5):
+            w[5 * at] = f"v{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "LEAF", 400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(docs).collect()}
+    assert got == plain_components(rows)
+
+
 def test_jaccard_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(docs).collect()}
@@ -139,12 +179,12 @@ def test_jaccard_edges(spark, edge, empty):
     assert kept.columns == edge.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 6, 7, 8]
 
 
-def test_block_join_is_exact():
+def test_cell_join_is_exact():
     rng = random.Random(3)
     rows = near_copies(rng, 3, 60, 60, 6)
     sets = [jaccard.shingles(t, jaccard._Hashes()) for _, t in rows]
     sizes, label = np.array([len(s) for s in sets]), np.arange(len(sets))
-    found = {(i, j) for i, j, _ in jaccard.join_block([jaccard.sketch(s) for s in sets], sizes, label, np.ones(len(sets), bool))}
+    found = {(i, j) for i, j, _ in jaccard.join_cell([jaccard.sketch(s) for s in sets], sizes, label, np.ones(len(sets), bool))}
     for i in range(len(sets)):
         for j in range(i):
             both, union = jaccard.distance(sets[i], sets[j])
