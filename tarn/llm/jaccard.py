@@ -50,6 +50,8 @@ STUBBORN = 0.75
 SAMPLE_ROWS, FREQUENT_FROM, FREQUENT = 6_000, 4, 50_000
 #: Shingles for each bin of a sketch, and the fewest and most bins; numbers over 255 count as 255, which keeps the bound.
 PER_BIN, FEWEST, MOST = 1, 64, 1 << 20
+#: Fewer bins by so much tell which cells have a pair that may link at all.
+COARSE = 8
 #: Bits of the filter that spares most documents' sets the shuffle; its size is fixed.
 FILTER_BITS = 1 << 26
 HELD = 150_000
@@ -361,10 +363,20 @@ def _cells(members: DataFrame, some: DataFrame) -> DataFrame:
         rows = _divided(rows.drop("m").join(sizes.where(~fits & ~stuck).select("cell", F.col("size").alias("m")), "cell"), some)
 
 
-def _candidates(cells: DataFrame, some: DataFrame, best: bool) -> DataFrame:
+def _coarse(some: DataFrame) -> DataFrame:
+    """some with sketches of COARSE times fewer bins."""
+
+    def make():
+        return lambda cls, n, x: (cls, n, np.minimum(fold(x, max(FEWEST, len(x) // COARSE)), 255).astype(np.uint8).tobytes())
+
+    return map_rows(some.select("cls", "n", "sketch"), make, "cls long, n long, sketch binary")
+
+
+def _candidates(cells: DataFrame, some: DataFrame, wanted: str) -> DataFrame:
     """cell, a, b: pairs of different labels within cells (cell, cls, inside, label) that may link.
 
-    best leaves one pair, the likeliest, for each two labels of a cell: if it links, all others of the two are moot.
+    wanted: "all"; "best", one pair, the likeliest, for each two labels of a cell: if it links, all others
+    of the two are moot; or "any", one pair of each cell that has some.
     """
     dealt = cells.join(some.select("cls", "n", "sketch"), "cls").select("cell", "cls", "label", "n", "inside", "sketch").repartition("cell").sortWithinPartitions("cell")
 
@@ -378,7 +390,9 @@ def _candidates(cells: DataFrame, some: DataFrame, best: bool) -> DataFrame:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 own = cls[a:b].tolist()
                 got = join_cell(sketches[a:b], n[a:b], label[a:b], inside[a:b])
-                if best:
+                if wanted == "any":
+                    got = got[:1]
+                elif wanted == "best":
                     own_label = label[a:b].tolist()
                     top: dict[tuple, tuple] = {}
                     for i, j, slack in got:
@@ -438,13 +452,15 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     # what the pivots have not decided: the likeliest pair of two components first, then, of the cells that gave any, all
     members = named(regions.join(some.select("cls", "n", F.length("sketch").cast("long").alias("w")), "cls"), label, "cls", "label")
     cells = keep(_cells(members, some))
+    # few classes that only share a passage pass even coarse sketches: most cells end here
+    cells = keep(cells.join(_candidates(cells, keep(_coarse(some)), "any").select("cell"), "cell", "left_semi"))
     tried = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    for best in (True, False):
-        pairs = keep(_candidates(cells, some, best))
+    for wanted in ("best", "all"):
+        pairs = keep(_candidates(cells, some, wanted))
         fresh_ = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        fresh_ = keep(fresh_ if best else open_(fresh_, label))
+        fresh_ = keep(fresh_ if wanted == "best" else open_(fresh_, label))
         if fresh_.isEmpty():
-            if best and pairs.isEmpty():
+            if pairs.isEmpty():
                 break
         else:
             sets = sets.union(fetched(fresh_, sets))

@@ -144,7 +144,7 @@ def test_jaccard_regions_decide(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_components(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(docs).collect()} == want
-    monkeypatch.setattr(jaccard, "_candidates", lambda cells, some, best: spark.createDataFrame([], "cell long, a long, b long"))
+    monkeypatch.setattr(jaccard, "_candidates", lambda cells, some, wanted: spark.createDataFrame([], "cell long, a long, b long"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(docs).collect()} != want
 
 
