@@ -77,21 +77,29 @@ def held_out(modulus: int, remainder: int, doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+#: Different labels that a sample may hold.
+LABELS = 10_000
+
+
 def bounded_sample(df: DataFrame, label: str, per_label: int, total: int, key: str = "doc_id") -> DataFrame:
     """Rows with a label, about per_label of each value and never more than total rows.
 
-    Which rows are taken follows from a hash of their key, so a rerun takes the same. Labels are
-    counted first (one short row each; beyond 10,000 values the rarest are left out), and rows of
-    a value are taken at the rate that its count asks for. Many values share nine tenths of total
-    equally, so chance does not reach total; only very many rows of one key could.
+    Which rows are taken follows from a hash of their key alone, so a rerun takes the same. Labels
+    are counted first (beyond LABELS values, the documented bound, the rarest are left out), and rows of
+    a value are taken at the rate that its count asks for, all where there are few. Many values share
+    nine tenths of total equally, so chance does not reach total; only very many rows of one key could,
+    and then those of the least hash stand.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(10_000).collect()
-    if not counts:
+    rate, draw = fresh(df, "sample_rate"), fresh(df, "sample_draw")
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(LABELS)
+    kinds = counts.count()
+    if not kinds:
         return df.limit(0)
-    each = min(per_label, 0.9 * total / len(counts))
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, each / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_003)) / 1_000_003
-    return df.where(F.col(label).isNotNull() & (draw < F.try_element_at(rates, F.col(label)))).limit(total)
+    each = min(per_label, 0.9 * total / kinds)
+    # at most LABELS short rows, so they may go to every task
+    rates = counts.select(F.col(label).alias(f"{rate}_of"), F.least(F.lit(1.0), each / F.col("count")).alias(rate))
+    own = df.join(F.broadcast(rates), F.col(label) == F.col(f"{rate}_of")).withColumn(draw, F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_003)) / 1_000_003)
+    return own.where(F.col(draw) < F.col(rate)).orderBy(draw, key).limit(total).select(*df.columns)
 
 
 def per_worker(key: tuple, build: Callable[[], object]) -> object:

@@ -2,19 +2,22 @@
 
 A word is a run of letters in lower case, with a start and an end sign; its likelihood is that
 of its characters, each given the ORDER - 1 before it. At the highest order the toxic and the
-ordinary class have counts of their own; what they discount goes to lower orders whose
-continuation counts (distinct left neighbours) are pooled over both classes. So a rare
-expression gets the same backoff from either model and speaks for neither. For each distinct
-word of a text the two log-likelihoods are compared, and the differences beyond MARGIN are
-summed; the sum, divided by the number of distinct words and by its root, is turned into a
-probability by a logistic function that is fitted on texts outside the counts. (Plain sums over
-all words were tried first: chance differences of ordinary words then hide a few toxic ones.)
-
-The model is fitted on a bounded sample of labelled rows: about PER_CLASS rows of each class, or
-as many as the smaller one has, half for the counts and half for the logistic, and of the first
-half the MAX_WORDS most frequent (class, word) pairs, counted once for each text. Null texts and texts without letters have no evidence and get the sample's
-prior below the threshold; without labels of both classes every score is 0. Rows are
-independent, so repeated rows and null ids get a row each.
+ordinary class have counts of their own; what Kneser-Ney discounts of them goes to lower orders
+whose continuation counts (distinct left neighbours) are pooled over both classes. So a rare
+expression gets the same backoff from either model and speaks for neither.
+
+Most words of a toxic text are ordinary ones. So the toxic class draws a word from its own
+model with probability SHARE and from the ordinary one otherwise, and a text's likelihood under
+either class is the product over all its words. The two log-likelihoods, each divided by the number
+of words, are compared: a logistic function of their difference is the score. It is fitted, with
+equal weights of both classes, on texts that were outside the counts: the sample falls into FOLDS
+parts, each scored by a model of the others; the final model has the counts of all.
+
+The model is fitted on a bounded sample of labelled rows: at most about PER_CLASS rows of each
+class, chosen by a hash of their id, and of these, in the order of that hash, as many as make up
+SAMPLE_BYTES bytes of text. Null texts and texts without letters count as ordinary throughout;
+without labels of both classes every score is 0. Rows are independent, so repeated rows and null ids
+get a row each. Rows of labels with a null id or mark do not count; of several marks the largest does.
 """
 
 from __future__ import annotations
@@ -23,22 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_sample, held_out, map_rows
+from tarn.llm.common import bounded_sample, held_out, keep, map_rows
 
-ORDER = 5
-#: What the classes' own counts lose to the shared backoff; over the usual 1, so that chance differences of rare grams do not count.
-TOP_DISCOUNT = 3.0
-#: Nats by which the toxic model must exceed the ordinary one before a word is evidence.
-MARGIN = 2.0
-PER_CLASS, MAX_WORDS = 2500, 250_000
+ORDER = 6
+#: The toxic class's share of words from its own model.
+SHARE = 0.01
+PER_CLASS, SAMPLE_BYTES, FOLDS = 2500, 12 << 20, 4
 THRESHOLD = 0.7
 WORD = r"[^\W\d_]+"
 #: Words scored together, which bounds a worker's memory.
 BLOCK = 200_000
-_START, _END = 2, 3
 
 
 def _grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,19 +47,18 @@ def _grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     Keys are 64-bit hashes, so grams of any script share one form.
     """
     text = "".join("\x02" * (n - 1) + w + "\x03" for w in words)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(w) + n for w in words], np.int64)
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes - n + 1)
-    counts = sizes - n + 1
-    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts + within
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    # the k-th gram of all ends at place k of its word, after n - 1 signs for each word so far
+    of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    at = np.arange(len(of), dtype=np.int64) + of.astype(np.int64) * (n - 1)
     key = np.zeros(len(at), np.uint64)
     for j in range(n - 1):
         key = (key + codes[at + j] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     full = (key + codes[at + n - 1] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
     full ^= full >> np.uint64(32)
-    return full, key, np.repeat(np.arange(len(words)), counts)
+    return full, key, of
 
 
 def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,39 +89,41 @@ def _level(full: np.ndarray, context: np.ndarray, counts: np.ndarray, d: float)
     return {"grams": full[order], "share": ((counts - cut) / totals[at])[order], "contexts": contexts, "rest": np.bincount(at, cut, len(contexts)) / totals}
 
 
-def train(words: list[str], toxic: np.ndarray, counts: np.ndarray) -> dict:
+def train(words: list[str], counts: np.ndarray) -> dict:
     """Log-likelihood ratios of the highest order's grams and contexts.
 
-    Only what differs between the classes is kept: for a gram that either class has seen, its
-    ratio; for other grams, the ratio of the weights that both contexts leave to the pooled
-    lower orders, whose probability cancels.
+    words are distinct; counts has a line for each, of its numbers in toxic and in ordinary texts. Only
+    what differs between the classes is kept: for a gram that either class has seen, its ratio; for
+    other grams, the ratio of the weights that both contexts leave to the pooled lower orders,
+    whose probability cancels.
     """
-    grams = {n: _grams(words, n) for n in range(1, ORDER + 1)}
-    full, context, of = grams[ORDER]
+    full, context, of = _grams(words, ORDER)
     # pooled lower orders: the count of an n-gram is the number of its distinct left neighbours
     kinds, first = np.unique(full, return_index=True)
     lower = np.full(len(kinds), 1.0 / (1 + len(set("".join(words)))))
+    suffix, ctx, _ = _grams(words, 1)
     for n in range(1, ORDER):
-        suffix, ctx, _ = grams[n]
-        _, one = np.unique(grams[n + 1][0], return_index=True)
+        longer = _grams(words, n + 1) if n + 1 < ORDER else (full, context, of)
+        _, one = np.unique(longer[0], return_index=True)
         types, at, left = np.unique(suffix[one], return_index=True, return_counts=True)
         model = _level(types, ctx[one][at], left.astype(float), _discount(left))
         lower = _find(model["grams"], model["share"], suffix[first], 0.0) + _find(model["contexts"], model["rest"], ctx[first], 1.0) * lower
+        suffix, ctx, _ = longer
     logs, weights = [], []
     contexts = np.unique(context)
-    for c in (1, 0):
-        own = toxic[of] == c
-        types, sums = _table(full[own], counts[of][own].astype(float))
+    for c in (0, 1):
+        own = counts[of, c] > 0
+        types, sums = _table(full[own], counts[of[own], c].astype(float))
         _, at = np.unique(full[own], return_index=True)
-        model = _level(types, context[own][at], sums, TOP_DISCOUNT)
+        model = _level(types, context[own][at], sums, _discount(sums))
         rest = _find(model["contexts"], model["rest"], context[first], 1.0)
         logs.append(np.log(_find(model["grams"], model["share"], kinds, 0.0) + rest * lower))
         weights.append(np.log(_find(model["contexts"], model["rest"], contexts, 1.0)))
-    return {"grams": kinds, "gram_ratio": logs[0] - logs[1], "contexts": contexts, "rest_ratio": weights[0] - weights[1], "slope": (0.0, 0.0, 0.0)}
+    return {"grams": kinds, "gram_ratio": logs[0] - logs[1], "contexts": contexts, "rest_ratio": weights[0] - weights[1], "slope": (0.0, 0.0)}
 
 
 def word_ratios(model: dict, words: list[str]) -> np.ndarray:
-    """Evidence of each word: log P(word | toxic) - log P(word | ordinary), beyond MARGIN."""
+    """log P(word | toxic model) - log P(word | ordinary model) of each word."""
     out = [np.zeros(0)]
     for i in range(0, len(words), BLOCK):
         part = words[i : i + BLOCK]
@@ -130,78 +131,95 @@ def word_ratios(model: dict, words: list[str]) -> np.ndarray:
         rest = _find(model["contexts"], model["rest_ratio"], context, 0.0)
         known = _find(model["grams"], model["gram_ratio"], full, np.nan)
         out.append(np.bincount(of, np.where(np.isnan(known), rest, known), len(part)))
-    return np.maximum(0.0, np.concatenate(out) - MARGIN)
-
-
-def _scores(model: dict, batches: Iterator[pa.RecordBatch], find) -> Iterator[tuple[list, list]]:
-    """For each batch its first column, and (evidence, distinct words) of each text."""
-    for batch in batches:
-        ids: dict[str, int] = {}
-        at: list[np.ndarray] = []
-        for text in batch.column(1).to_pylist():
-            words = set(find(text.lower())) if text else ()
-            at.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
-        ratios = word_ratios(model, list(ids))
-        yield batch.column(0), [(float(ratios[x].sum()), len(x)) for x in at]
-
-
-def _fit_slope(sums: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression on length-normalised ratios by Newton steps with a small ridge."""
-    n = np.maximum(sizes, 1)
-    x = np.stack([sums / n, sums / np.sqrt(n), np.ones(len(n))], 1)
-    scale = np.maximum(x.std(0), 1e-9)
-    scale[2] = 1
-    x = x / scale
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (toxic - p) - 1e-2 * w
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), grad)
-    return tuple(w / scale)
+    return np.concatenate(out)
 
 
-def _batch_scores(rows: DataFrame, model: dict, key: str, kind: str) -> DataFrame:
-    schema = pa.schema([(key, {"int": pa.int32(), "long": pa.int64()}[kind]), ("total", pa.float64()), ("n", pa.int64())])
+def differences(model: dict, texts: list[list[str]]) -> np.ndarray:
+    """For each text, as its words, the difference of the classes' log-likelihoods for each word; texts without words count as one ordinary word."""
+    ids: dict[str, int] = {}
+    at = [np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)) for words in texts]
+    gain = np.logaddexp(np.log1p(-SHARE), np.log(SHARE) + word_ratios(model, list(ids)))
+    return np.array([gain[x].mean() if len(x) else np.log1p(-SHARE) for x in at])
 
-    def run(batches):
-        import re
 
-        for ids, got in _scores(model, batches, re.compile(WORD).findall):
-            yield pa.RecordBatch.from_arrays([ids.cast(schema[0].type), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], schema=schema)
+def _fit_slope(x: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Logistic regression on one variable, with equal weights of both classes, by Newton steps with a small ridge."""
+    weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum())) * len(toxic)
+    scale = max(float(x.std()), 1e-9)
+    z = np.stack([x / scale, np.ones(len(x))], 1)
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        grad = z.T @ ((toxic - p) * weight) - 1e-2 * w
+        w = w + np.linalg.solve((z * (p * (1 - p) * weight)[:, None]).T @ z + 1e-2 * np.eye(2), grad)
+    return float(w[0] / scale), float(w[1])
 
-    return rows.mapInArrow(run, f"{key} {kind}, total double, n long")
+
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """toxic, fold, text: the labelled rows to learn from, written to the shared folder."""
+    marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = bounded_sample(marks, "toxic", PER_CLASS, 2 * PER_CLASS + PER_CLASS // 2)
+    # at most 6,250 short rows, so they may go to every task
+    own = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(marks), "doc_id")
+    draw = F.xxhash64("doc_id", "text", F.lit("order"))
+    before = Window.partitionBy("toxic").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = keep(own.select("toxic", "text", F.octet_length("text").alias("size"), draw.alias("draw")))
+    fits = own.select("toxic", "draw", F.sum("size").over(before).alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES // 2).select("toxic", "draw").distinct()
+    return own.join(F.broadcast(fits), ["toxic", "draw"]).select("toxic", F.pmod("draw", F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from documents (doc_id, text) and labels (doc_id, toxic 0 or 1); None without both classes."""
-    marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return None
-    marks = bounded_sample(marks, "toxic", min(PER_CLASS, *sizes.values()), 2 * PER_CLASS + PER_CLASS // 2)
-    # at most 6,250 short rows, so they may go to every task
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marks), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
+    rows = keep(_sample(docs, labels))
 
     def make():
         import re
 
         find = re.compile(WORD).findall
+        return lambda toxic, fold, text: (toxic, fold, sorted(set(find(text.lower()))))
+
+    words = map_rows(rows, make, "toxic int, fold int, w array<string>").select("toxic", "fold", F.explode("w").alias("word"))
+    # as many pairs as the sample's bytes allow
+    got = words.groupBy("word", "toxic", "fold").agg(F.count(F.lit(1)).alias("n")).orderBy("word", "toxic", "fold").toArrow()
+    names = got["word"].combine_chunks().dictionary_encode()
+    counts = np.zeros((len(names.dictionary), 2, FOLDS), np.int32)
+    counts[names.indices.to_numpy(), 1 - got["toxic"].to_numpy(), got["fold"].to_numpy()] = got["n"].to_numpy()
+    names = names.dictionary.to_pylist()
+    if not counts[:, 0].any() or not counts[:, 1].any():
+        return None
 
-        def one(toxic, text):
-            return toxic, sorted(set(find(text.lower()))) if text else []
+    def trained(of: np.ndarray) -> dict:
+        some = of.any(1)
+        return train([w for w, x in zip(names, some) if x], of[some])
+
+    total = counts.sum(2)
+    seen: list[tuple[float, int]] = []
+    for fold in range(FOLDS):
+        rest = total - counts[:, :, fold]
+        if rest[:, 0].any() and rest[:, 1].any():
+            part = _differences(rows.where(F.col("fold") == fold).select("toxic", "text"), trained(rest), "toxic", "int").toArrow()
+            seen += zip(part["x"].to_pylist(), part["toxic"].to_pylist())
+    model = trained(total)
+    if seen:
+        x, toxic = np.array(sorted(seen)).T
+        model["slope"] = _fit_slope(x, toxic)
+    return model
 
-        return one
 
-    words = map_rows(rows.where("half = 0").select("toxic", "text"), make, "toxic int, w array<string>").select("toxic", F.explode("w").alias("word")).groupBy("toxic", "word").agg(F.count(F.lit(1)).alias("n"))
-    got = words.where("length(word) <= 60").orderBy(F.desc("n"), "toxic", "word").limit(MAX_WORDS).toArrow()
-    toxic = got["toxic"].to_numpy()
-    if not (toxic == 1).any() or not (toxic == 0).any():
-        return None
-    model = train(got["word"].to_pylist(), toxic, got["n"].to_numpy())
-    rest = _batch_scores(rows.where("half = 1").select("toxic", "text"), model, "toxic", "int").toArrow()
-    if rest.num_rows:
-        model["slope"] = _fit_slope(rest["total"].to_numpy(), rest["n"].to_numpy(), rest["toxic"].to_numpy())
-    return model
+def _differences(rows: DataFrame, model: dict, key: str, kind: str) -> DataFrame:
+    """key and x, the difference of each text, for rows (key, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([(key, {"int": pa.int32(), "long": pa.int64()}[kind]), ("x", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        find = re.compile(WORD).findall
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            texts = [find(t.lower()) if t else [] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema[0].type), pa.array(differences(shared.value, texts), pa.float64())], schema=schema)
+
+    return rows.mapInArrow(run, f"{key} {kind}, x double")
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -210,10 +228,9 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     if model is None:
         out = rows.select("doc_id", F.lit(0.0).alias("score"))
     else:
-        a, b, c = map(float, model["slope"])
-        n = F.greatest(F.col("n"), F.lit(1))
-        z = F.lit(c) + F.lit(a) * F.col("total") / n + F.lit(b) * F.col("total") / F.sqrt(n)
-        out = _batch_scores(rows, model, "doc_id", "long").select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))).alias("score"))
+        a, b = model["slope"]
+        z = F.lit(b) + F.lit(a) * F.col("x")
+        out = _differences(rows, model, "doc_id", "long").select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
@@ -222,4 +239,3 @@ def report(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int
     out = held_out(modulus, remainder)
     model = fit(docs.where(~out), labels.where(~out))
     return predict(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
-

@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +200,64 @@ def test_language(spark, edge, empty):
     assert langid.accepted(docs, model).count() == len(truth) + 1
 
 
+def plain_likelihoods(counts, n, new):
+    """{word: (log P(word | toxic), log P(word | ordinary))} of words in new, from {word: (toxic, ordinary)} by dictionaries."""
+    grams = lambda w, k: [("\x02" * (k - 1) + w + "\x03")[i : i + k] for i in range(len(w) + 1)]
+
+    def level(types):
+        once, twice = sum(c == 1 for c in types.values()), sum(c == 2 for c in types.values())
+        d = once / (once + 2 * twice) if once else 0.5
+        total, cut = Counter(), Counter()
+        for g, c in types.items():
+            total[g[:-1]] += c
+            cut[g[:-1]] += min(c, d)
+        return lambda g: ((types[g] - min(types[g], d)) / total[g[:-1]] if g in types else 0.0, cut[g[:-1]] / total[g[:-1]] if g[:-1] in total else 1.0)
+
+    lower = []
+    for k in range(1, n):
+        longer = {g for w in counts for g in grams(w, k + 1)}
+        lower.append(level(Counter(g[1:] for g in longer)))
+    top = []
+    for c in (0, 1):
+        types = Counter()
+        for w, x in counts.items():
+            for g in grams(w, n):
+                if x[c]:
+                    types[g] += x[c]
+        top.append(level(types))
+    alphabet = 1 + len(set("".join(counts)))
+
+    def probability(g, c):
+        p = 1 / alphabet
+        for k, one in enumerate(lower, 1):
+            share, rest = one(g[-k:])
+            p = share + rest * p
+        share, rest = top[c](g)
+        return share + rest * p
+
+    return {w: tuple(sum(math.log(probability(g, c)) for g in grams(w, n)) for c in (0, 1)) for w in new}
+
+
+def test_toxicity_models_are_kneser_ney():
+    rng = random.Random(8)
+    counts = {}
+    for _ in range(200):
+        w = "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6)))
+        counts[w] = (rng.choice((0, 0, 1, 3)), rng.choice((0, 1, 2, 5)))
+    counts = {w: x for w, x in counts.items() if any(x)}
+    model = toxicity.train(list(counts), np.array(list(counts.values())))
+    new = [*list(counts)[:50], "abcabc", "zzz", "a", "édz"]
+    want = plain_likelihoods(counts, toxicity.ORDER, new)
+    assert toxicity.word_ratios(model, new) == pytest.approx([want[w][0] - want[w][1] for w in new])
+    texts = [["abc", "zzz", "abc"], [], ["a"]]
+    want |= plain_likelihoods(counts, toxicity.ORDER, ["abc"])
+    share = toxicity.SHARE
+    for words_, got in zip(texts, toxicity.differences(model, texts)):
+        toxic = [math.log((1 - share) * math.exp(want[w][1]) + share * math.exp(want[w][0])) for w in words_]
+        ordinary = [want[w][1] for w in words_]
+        assert got == pytest.approx((sum(toxic) - sum(ordinary)) / len(words_) if words_ else math.log(1 - share))
+
+
 def test_toxicity(spark, edge, empty):
     rng = random.Random(4)
     common = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
