@@ -2,6 +2,8 @@
 
 Each text is its UTF-8 bytes. A byte goes if a LENGTH-byte string over it also starts earlier:
 in a document with a smaller id, or before it in the same one. Strings are judged on the input.
+A row's position is its id, null last, and the hash of its text; a repeat costs bytes only of the
+row in which it stands.
 
 1. Of the GRAM-byte grams inside a string the one with the least hash is its anchor; equal
    strings have equal anchors at equal places. So a document is cut into runs of string starts
@@ -9,7 +11,9 @@ in a document with a smaller id, or before it in the same one. Strings are judge
 2. Runs go to a bucket by their anchor's hash, packed, with the hash of their context. Of runs
    with equal contexts in one Arrow batch only the first is sent; the others are repeats, and so
    are all but the first in the bucket. A passage in any number of copies thus sends one run for
-   each batch.
+   each batch. Anchors with many contexts in a sample of the documents (a gram that stands in many
+   texts) would make one large group: their runs are cut into single strings, whose own hash
+   is their bucket, so they spread evenly. The sample changes the size of groups, never the result.
 3. Anchors that stand in different contexts are compared byte by byte: the contexts, read from
    the texts, are sorted on both sides of the anchor by multikey quicksort to a shallow depth and
    blind tries for the groups with longer common prefixes. From the two orders and their common
@@ -17,10 +21,11 @@ in a document with a smaller id, or before it in the same one. Strings are judge
    over SPLIT contexts is spread by the hashes of the strings themselves.
 4. The repeats meet their texts, which are cut.
 
-Null and empty texts are empty. Rows with a null id count as one document after all others.
-Rows that share an id are versions of one document: strings at the same start in them are not
-earlier than one another, and each version loses what any of them loses. Two hashes of 64 bits, of
-anchor and context, together stand for equality in step 2.
+Null and empty texts are empty. Rows with a null id come after all others, in the order of their
+texts' hashes; so do rows that share an id among themselves, and of two such rows the later one loses
+what they share. Rows equal in id and text count as one document and are cut alike. An empty table
+gives an empty result; other columns do not matter. Two hashes of 64 bits, of anchor and context,
+together stand for equality in step 2.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text for one bucket, and contexts of one anchor that one sort takes.
 BUCKET_BYTES, SPLIT = 32 << 20, 2000
+#: The sample by which anchors with many contexts are found: its rows, the contexts from which an anchor counts, and how many are remembered.
+SAMPLE_ROWS, HOT_FROM, HOT = 6_000, 40, 50_000
 #: Texts are hashed in pieces of so many bytes.
 PIECE = 1 << 20
 SHALLOW = 16
@@ -67,8 +74,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def runs(data: bytes, powers: _Powers) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, first start, last start, anchor - last start) of the runs of a text, in order."""
+def runs(data: bytes, powers: _Powers, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor hash, context hash, first start, last start, anchor - last start) of the runs of a text, in order.
+
+    Runs of the anchors in hot (sorted) are cut into single strings; a string's hash stands for the
+    anchor's, and the anchor's with its place for the context's.
+    """
     out: list[list] = [[], [], [], [], []]
     for begin in range(0, max(0, len(data) - LENGTH + 1), PIECE):
         a = np.frombuffer(data, np.uint8, min(PIECE + LENGTH - 1, len(data) - begin), begin)
@@ -91,7 +102,19 @@ def runs(data: bytes, powers: _Powers) -> tuple[np.ndarray, ...]:
         anchor = at[first]
         context = (sums[last + LENGTH] - sums[first]) * powers.down[first]
         context = _mix(context + (anchor - first).astype(_U) * _U(0xA0761D6478BD642F) + (last - first).astype(_U) * _U(0xE7037ED1A0B428DB))
-        for x, y in zip(out, (grams[anchor], context, first + begin, last + begin, anchor - last)):
+        key = grams[anchor]
+        if len(hot):
+            cut = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+            sizes = np.where(cut, last - first + 1, 1)
+            if cut.any():
+                of = np.repeat(np.arange(len(key)), sizes)
+                start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                single = cut[of]
+                place = (anchor[of] - start).astype(_U)
+                string = _mix((sums[start + LENGTH] - sums[start]) * powers.down[start])
+                context = np.where(single, _mix(key[of] + place * _U(0xA0761D6478BD642F)), context[of])
+                key, anchor, first, last = np.where(single, string, key[of]), anchor[of], start, np.where(single, start, last[of])
+        for x, y in zip(out, (key, context, first + begin, last + begin, anchor - last)):
             x.append(y)
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (_U, _U, np.int64, np.int64, np.int64)))
 
@@ -101,7 +124,7 @@ def _pack(columns: list[np.ndarray]) -> bytes:
     return b"".join(np.ascontiguousarray(c.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T).tobytes() for c, w in zip(columns, _WIDTHS))
 
 
-_WIDTHS = (8, 8, 8, 4, 1, 1)
+_WIDTHS = (8, 8, 8, 8, 4, 1, 1)
 
 
 def _unpack(rows: list[bytes]) -> list[np.ndarray]:
@@ -122,49 +145,68 @@ def _by(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np
         yield k, [c[order[a:b]] for c in columns]
 
 
-def _doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
+def _doc_bucket(docs: np.ndarray, versions: np.ndarray, buckets: int) -> np.ndarray:
     """Remainder by the number of buckets, which is prime; pmod in Spark gives the same."""
-    return np.mod(docs, buckets)
+    return np.mod(docs ^ versions, buckets)
 
 
-def _repeats(out: list, docs: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> None:
-    """Adds packed rows of (document, first byte, end) by the documents' buckets."""
+def _repeats(out: list, docs: np.ndarray, versions: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> None:
+    """Adds packed rows of (document, version, first byte, end) by the documents' buckets."""
     if len(docs):
-        for k, cols in _by(_doc_bucket(docs, buckets), docs, low, high):
+        for k, cols in _by(_doc_bucket(docs, versions, buckets), docs, versions, low, high):
             out.append((k, b"".join(c.astype(np.int64).tobytes() for c in cols)))
 
 
-def _three(rows: list[bytes]) -> np.ndarray:
-    """Rows of _repeats as an array of three lines."""
-    return np.concatenate([np.frombuffer(r, np.int64).reshape(3, -1) for r in rows] or [np.zeros((3, 0), np.int64)], 1)
+def _four(rows: list[bytes]) -> np.ndarray:
+    """Rows of _repeats as an array of four lines."""
+    return np.concatenate([np.frombuffer(r, np.int64).reshape(4, -1) for r in rows] or [np.zeros((4, 0), np.int64)], 1)
+
+
+def hot_anchors(rows: DataFrame) -> np.ndarray:
+    """Hashes of the anchors with HOT_FROM contexts or more in a sample of about SAMPLE_ROWS rows, at most HOT, sorted."""
+    total = rows.count()
+    rate = min(1.0, SAMPLE_ROWS / total) if total else 1.0
+    draw = F.pmod(F.xxhash64("doc", "ver", F.lit("anchors")), F.lit(1_000_003)) / 1_000_003
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, none = per_worker(("powers",), _Powers), np.zeros(0, _U)
+        for batch in batches:
+            got = [runs(t.as_buffer().to_pybytes(), powers, none)[:2] for t in batch.column(0) if t.is_valid]
+            pairs = np.unique(np.concatenate([np.stack(x) for x in got] or [np.zeros((2, 0), _U)], 1), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["anchor", "context"])
+
+    some = rows.where(draw < rate).select("text").mapInArrow(run, "anchor long, context long").distinct()
+    top = some.groupBy("anchor").count().where(F.col("count") >= HOT_FROM).orderBy(F.desc("count"), "anchor").limit(HOT)
+    return np.sort(top.select("anchor").toArrow()["anchor"].to_numpy().astype(np.int64).view(_U))
 
 
 def _send(docs: DataFrame, buckets: int) -> DataFrame:
     """kind (0: runs by anchor bucket, 1: repeats by document bucket), bucket, packed."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = per_worker(("powers",), _Powers)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            cols: list[list] = [[], [], [], [], [], [], []]
+            for doc_id, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if len(data) >= LENGTH:
-                    got = runs(data, powers)
-                    for x, y in zip(cols, (*got, np.full(len(got[0]), doc_id, np.int64))):
+                    got = runs(data, powers, shared.value)
+                    for x, y in zip(cols, (*got, np.full(len(got[0]), doc_id, np.int64), np.full(len(got[0]), version, np.int64))):
                         x.append(y)
             if not cols[0]:
                 continue
-            anchor, context, first, last, beyond, doc = (np.concatenate(x) for x in cols)
-            again = _again(anchor, context, doc, first)
+            anchor, context, first, last, beyond, doc, ver = (np.concatenate(x) for x in cols)
+            again = _again(anchor, context, doc, ver, first)
             rows: list = []
             r = np.flatnonzero(again)
             if len(r):  # neighbouring repeats of a document become one
-                joins = (np.diff(r) == 1) & (doc[r][1:] == doc[r][:-1]) & (first[r][1:] == last[r][:-1] + 1)
+                joins = (np.diff(r) == 1) & (doc[r][1:] == doc[r][:-1]) & (ver[r][1:] == ver[r][:-1]) & (first[r][1:] == last[r][:-1] + 1)
                 head, tail = np.concatenate(([True], ~joins)), np.concatenate((~joins, [True]))
-                _repeats(rows, doc[r[head]], first[r[head]], last[r[tail]] + LENGTH, buckets)
+                _repeats(rows, doc[r[head]], ver[r[head]], first[r[head]], last[r[tail]] + LENGTH, buckets)
             found = [(1, *x) for x in rows]
             s = np.flatnonzero(~again)
-            for k, packed in _by((anchor[s] % _U(buckets)).astype(np.int64), anchor[s], context[s], doc[s], first[s], (last - first)[s], beyond[s]):
+            for k, packed in _by((anchor[s] % _U(buckets)).astype(np.int64), anchor[s], context[s], doc[s], ver[s], first[s], (last - first)[s], beyond[s]):
                 found.append((0, k, _pack(packed)))
             yield _record(found)
 
@@ -174,19 +216,19 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
 def _judge(sent: DataFrame, buckets: int) -> DataFrame:
     """kind (1: repeats; 2: contexts to compare) by document bucket, packed.
 
-    kind 2 has six lines: document, first start, last start, anchor's place, its hash, and the number of its contexts.
+    kind 2 has seven lines: document, version, first start, last start, anchor's place, its hash, and the number of its contexts.
     """
 
     def run(table: pa.Table) -> pa.Table:
         kinds, packed = table["kind"].to_pylist(), table["packed"].to_pylist()
         found = [(1, b, p) for k, b, p in zip(kinds, table["bucket"].to_pylist(), packed) if k == 1]
-        anchor, context, doc, first, extra, beyond = _unpack([p for k, p in zip(kinds, packed) if k == 0])
-        doc, first = doc.view(np.int64), first.astype(np.int64)
+        anchor, context, doc, ver, first, extra, beyond = _unpack([p for k, p in zip(kinds, packed) if k == 0])
+        doc, ver, first = doc.view(np.int64), ver.view(np.int64), first.astype(np.int64)
         last = first + extra
         if len(anchor):
-            again = _again(anchor, context, doc, first)
+            again = _again(anchor, context, doc, ver, first)
             out: list = []
-            _repeats(out, doc[again], first[again], last[again] + LENGTH, buckets)
+            _repeats(out, doc[again], ver[again], first[again], last[again] + LENGTH, buckets)
             found += [(1, *x) for x in out]
             rest = np.flatnonzero(~again)
             order = rest[np.lexsort((context[rest], anchor[rest]))]
@@ -195,8 +237,8 @@ def _judge(sent: DataFrame, buckets: int) -> DataFrame:
             own = np.cumsum(new) - 1
             number = np.bincount(own, np.concatenate(([True], new[1:] | (c[1:] != c[:-1]))))[own]
             order, number = order[number > 1], number[number > 1]
-            lines = (doc, first, last, last + beyond, anchor.view(np.int64))
-            for k, cols in _by(_doc_bucket(doc[order], buckets), *(x[order] for x in lines), number):
+            lines = (doc, ver, first, last, last + beyond, anchor.view(np.int64))
+            for k, cols in _by(_doc_bucket(doc[order], ver[order], buckets), *(x[order] for x in lines), number):
                 found.append((2, k, b"".join(x.astype(np.int64).tobytes() for x in cols)))
         return pa.Table.from_batches([_record(found)])
 
@@ -209,14 +251,14 @@ def _record(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "bucket", "packed"])
 
 
-def _again(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _again(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, ver: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Marks runs of which an equal one, by both hashes, stands earlier."""
-    order = np.lexsort((first, doc, context, anchor))
-    a, c, d, f = anchor[order], context[order], doc[order], first[order]
+    order = np.lexsort((first, ver, doc, context, anchor))
+    a, c, d, v, f = anchor[order], context[order], doc[order], ver[order], first[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
     lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     out = np.empty(len(order), bool)
-    out[order] = (d != d[lead]) | (f != f[lead])
+    out[order] = (d != d[lead]) | (v != v[lead]) | (f != f[lead])
     return out
 
 
@@ -325,26 +367,21 @@ def _to_all(k: int, rank: np.ndarray, before: np.ndarray) -> np.ndarray:
     return line[rank]
 
 
-def compare(contexts: list[tuple[int, int, int, int, bytes]], wanted: list[np.ndarray | None]) -> Iterator[tuple[int, int, int]]:
-    """(document, first start, last start) of strings that an earlier context has too.
+def compare(contexts: list[tuple[int, int, int, int, int, bytes]], wanted: list[np.ndarray | None]) -> Iterator[tuple[int, int, int, int]]:
+    """(document, version, first start, last start) of strings that an earlier context has too.
 
-    A context is (document, first start, last start, anchor's place, bytes from the first start);
-    the anchors are equal, and contexts come in order of document and start. wanted may mask the
+    A context is (document, version, first start, last start, anchor's place, bytes from the first start);
+    the anchors are equal, and contexts come in order of document, version and start. wanted may mask the
     starts that count.
     """
-    places = np.array([at - first for _, first, _, at, _ in contexts])
-    ends = np.array([last - first for _, first, last, _, _ in contexts])
-    ahead_of = [c[4][x:] for c, x in zip(contexts, places)]
-    behind_of = [c[4][:x][::-1] for c, x in zip(contexts, places)]
-    right, left = (_common(ahead_of), _common(behind_of)) if len(contexts) > 3 else (None, None)
+    places = np.array([at - first for _, _, first, _, at, _ in contexts])
+    ends = np.array([last - first for _, _, first, last, _, _ in contexts])
+    right = _common([c[5][x:] for c, x in zip(contexts, places)])
+    left = _common([c[5][:x][::-1] for c, x in zip(contexts, places)])
     for k in range(1, len(contexts)):
-        doc, first, _, at, _ = contexts[k]
+        doc, ver, first, _, at, _ = contexts[k]
         x, n = int(places[k]), int(ends[k])
-        if right is None:
-            ahead = np.array([_prefix(ahead_of[k], ahead_of[e]) for e in range(k)])
-            behind = np.array([_prefix(behind_of[k], behind_of[e]) for e in range(k)])
-        else:
-            ahead, behind = _to_all(k, *right)[:k], _to_all(k, *left)[:k]
+        ahead, behind = _to_all(k, *right)[:k], _to_all(k, *left)[:k]
         # a string from o on is shared if x - o bytes agree before the anchor and the others from it on,
         # and the other context counts it among its own strings
         shift = places[:k] - x
@@ -353,7 +390,7 @@ def compare(contexts: list[tuple[int, int, int, int, bytes]], wanted: list[np.nd
         ok = low <= high
         if not ok.any():
             continue
-        ok &= np.array([c[0] != doc or c[3] != at for c in contexts[:k]])
+        ok &= np.array([c[0] != doc or c[1] != ver or c[4] != at for c in contexts[:k]])
         marks = np.zeros(n + 2, np.int64)
         np.add.at(marks, low[ok], 1)
         np.add.at(marks, high[ok] + 1, -1)
@@ -362,42 +399,39 @@ def compare(contexts: list[tuple[int, int, int, int, bytes]], wanted: list[np.nd
             hit &= wanted[k]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
         for a, b in edges.reshape(-1, 2):
-            yield doc, first + int(a), first + int(b) - 1
+            yield doc, ver, first + int(a), first + int(b) - 1
 
 
 def _fetch(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
-    """anchor, part, doc, first, last, at, data, wanted of the contexts to compare, and their bucket.
+    """anchor, part, doc, ver, first, last, at, data, wanted of the contexts to compare, and their bucket.
 
     An anchor with over SPLIT contexts is dealt by string hashes into parts; a context goes to the
     parts of its strings, and wanted marks those that belong there.
     """
-    schema = pa.schema([("bucket", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("at", pa.int64()), ("data", pa.binary()), ("wanted", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("ver", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("at", pa.int64()), ("data", pa.binary()), ("wanted", pa.binary())])
 
     def run(own: pa.Table, there: pa.Table) -> pa.Table:
         powers = per_worker(("powers",), _Powers)
-        lines = np.concatenate([np.frombuffer(p, np.int64).reshape(6, -1) for p in there["packed"].to_pylist()] or [np.zeros((6, 0), np.int64)], 1)
-        texts: dict[int, list[bytes]] = {}
+        lines = np.concatenate([np.frombuffer(p, np.int64).reshape(7, -1) for p in there["packed"].to_pylist()] or [np.zeros((7, 0), np.int64)], 1)
+        texts: dict[tuple[int, int], pa.Scalar] = {}
         if lines.shape[1]:
-            for doc, text in zip(own["doc"].to_pylist(), own["text"]):
-                if text.is_valid:
-                    texts.setdefault(doc, []).append(text.as_buffer().to_pybytes())
+            texts = {(d, v): t for d, v, t in zip(own["doc"].to_pylist(), own["ver"].to_pylist(), own["text"]) if t.is_valid}
         out: list[tuple] = []
-        for doc, first, last, at, anchor, number in zip(*lines.tolist()):
-            # versions of one id: each that is long enough and has the anchor there counts
-            for data in {t[first : last + LENGTH] for t in texts.get(doc, ()) if len(t) >= last + LENGTH}:
-                if number <= SPLIT:
-                    out.append((_slot(anchor, 0, buckets), anchor, 0, doc, first, last, at, data, None))
-                    continue
-                a = np.frombuffer(data, np.uint8)
-                sums = np.zeros(len(a) + 1, _U)
-                np.cumsum(powers.value[a] * powers.up[: len(a)], out=sums[1:])
-                parts = (_mix((sums[LENGTH:] - sums[:-LENGTH]) * powers.down[: len(a) - LENGTH + 1]) % _U(20 * number // SPLIT + 1)).astype(np.int64)
-                for part in np.unique(parts).tolist():
-                    out.append((_slot(anchor, part, buckets), anchor, part, doc, first, last, at, data, (parts == part).tobytes()))
+        for doc, ver, first, last, at, anchor, number in zip(*lines.tolist()):
+            data = texts[doc, ver].as_buffer()[first : last + LENGTH].to_pybytes()
+            if number <= SPLIT:
+                out.append((_slot(anchor, 0, buckets), anchor, 0, doc, ver, first, last, at, data, None))
+                continue
+            a = np.frombuffer(data, np.uint8)
+            sums = np.zeros(len(a) + 1, _U)
+            np.cumsum(powers.value[a] * powers.up[: len(a)], out=sums[1:])
+            parts = (_mix((sums[LENGTH:] - sums[:-LENGTH]) * powers.down[: len(a) - LENGTH + 1]) % _U(20 * number // SPLIT + 1)).astype(np.int64)
+            for part in np.unique(parts).tolist():
+                out.append((_slot(anchor, part, buckets), anchor, part, doc, ver, first, last, at, data, (parts == part).tobytes()))
         cols = list(zip(*out)) if out else [()] * len(schema)
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    return docs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, "bucket long, anchor long, part int, doc long, first long, last long, at long, data binary, wanted binary")
+    return docs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, "bucket long, anchor long, part int, doc long, ver long, first long, last long, at long, data binary, wanted binary")
 
 
 def _slot(anchor: int, part: int, buckets: int) -> int:
@@ -408,19 +442,19 @@ def _compare_all(contexts: DataFrame, buckets: int) -> DataFrame:
     """kind 1 rows of the repeats among contexts."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("anchor", "part", "doc", "first", "last", "at", "data", "wanted"))), key=lambda r: r[:4])
-        found: list[tuple[int, int, int]] = []
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("anchor", "part", "doc", "ver", "first", "last", "at", "data", "wanted"))), key=lambda r: r[:5])
+        found: list[tuple[int, int, int, int]] = []
         start = 0
         for i in range(1, len(rows) + 1):
             if i == len(rows) or rows[i][:2] != rows[start][:2]:
                 if i - start > 1:
                     group = rows[start:i]
-                    found += compare([r[2:7] for r in group], [None if r[7] is None else np.frombuffer(r[7], bool) for r in group])
+                    found += compare([r[2:8] for r in group], [None if r[8] is None else np.frombuffer(r[8], bool) for r in group])
                 start = i
         out: list = []
         if found:
-            doc, low, high = np.array(found, np.int64).T
-            _repeats(out, doc, low, high + LENGTH, buckets)
+            doc, ver, low, high = np.array(found, np.int64).T
+            _repeats(out, doc, ver, low, high + LENGTH, buckets)
         return pa.Table.from_batches([_record([(1, *x) for x in out])])
 
     return contexts.groupBy("bucket").applyInArrow(run, "kind int, bucket long, packed binary")
@@ -431,19 +465,16 @@ def _cut(docs: DataFrame, gone: DataFrame, texts: bool) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * texts)
 
     def run(own: pa.Table, there: pa.Table) -> pa.Table:
-        lines = _three(there["packed"].to_pylist())
-        lines = lines[:, np.lexsort((lines[1], lines[0]))]
-        ids, start = np.unique(lines[0], return_index=True)
-        where = dict(zip(ids.tolist(), zip(start.tolist(), [*start[1:].tolist(), lines.shape[1]])))
+        lines = _four(there["packed"].to_pylist())
+        lines = lines[:, np.lexsort((lines[2], lines[1], lines[0]))]
+        new = np.flatnonzero(np.concatenate(([True], (lines[:2, 1:] != lines[:2, :-1]).any(0)))) if lines.shape[1] else np.zeros(0, np.int64)
+        where = dict(zip(zip(*lines[:2, new].tolist()), zip(new.tolist(), [*new[1:].tolist(), lines.shape[1]])))
         out = []
-        for doc, text in zip(own["doc"].to_pylist(), own["text"]):
+        for doc_id, doc, ver, text in zip(own["doc_id"].to_pylist(), own["doc"].to_pylist(), own["ver"].to_pylist(), own["text"]):
             data = text.as_buffer() if text.is_valid else pa.py_buffer(b"")
-            a, b = where.get(doc, (0, 0))
+            a, b = where.get((doc, ver), (0, 0))
             spans: list[list[int]] = []
-            for low, high in zip(lines[1, a:b].tolist(), lines[2, a:b].tolist()):
-                high = min(high, data.size)
-                if low >= high:
-                    continue
+            for low, high in zip(lines[2, a:b].tolist(), lines[3, a:b].tolist()):
                 if spans and low <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], high)
                 else:
@@ -451,7 +482,7 @@ def _cut(docs: DataFrame, gone: DataFrame, texts: bool) -> DataFrame:
             raw = data.to_pybytes()
             edges = [0, *(e for s in spans for e in s), len(raw)]
             kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
-            row = (None if doc == _LAST else doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+            row = (doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
             out.append((*row, kept) if texts else row)
         cols = list(zip(*out)) if out else [()] * len(schema)
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -471,11 +502,13 @@ def _buckets(docs: DataFrame) -> int:
 
 def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept (binary) for each row of docs."""
-    rows = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    own = F.col("doc_id").cast("long")
+    keyed = small_batches(docs).select(own.alias("doc_id"), F.coalesce(own, F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("ver"), "text")
+    rows = keyed.select("doc", "ver", "text")
     buckets = _buckets(rows)
     judged = keep(_judge(_send(rows, buckets), buckets))
-    keyed = rows.withColumn("bucket", F.pmod("doc", F.lit(buckets).cast("long")))
-    contexts = _fetch(keyed, judged.where("kind = 2").select("bucket", "packed"), buckets)
+    keyed = keyed.withColumn("bucket", F.pmod(F.col("doc").bitwiseXOR(F.col("ver")), F.lit(buckets).cast("long")))
+    contexts = _fetch(keyed.select("bucket", "doc", "ver", "text"), judged.where("kind = 2").select("bucket", "packed"), buckets)
     more = _compare_all(contexts, buckets)
     gone = judged.where("kind = 1").select("bucket", "packed").unionByName(more.select("bucket", "packed"))
     return _cut(keyed, gone, texts)

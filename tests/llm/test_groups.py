@@ -223,9 +223,10 @@ def plain_removal(docs):
     return out
 
 
-@pytest.mark.parametrize("split", [2000, 3])
-def test_suffix(spark, monkeypatch, split):
+@pytest.mark.parametrize("split, hot", [(2000, 1000), (3, 1000), (2000, 3)])
+def test_suffix(spark, monkeypatch, split, hot):
     monkeypatch.setattr(suffix, "SPLIT", split)
+    monkeypatch.setattr(suffix, "HOT_FROM", hot)
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(6)]
     rows = []
@@ -238,6 +239,44 @@ def test_suffix(spark, monkeypatch, split):
     assert got == plain_removal(rows)
 
 
+def test_suffix_rows_without_an_id_of_their_own(spark):
+    """Each row stands for itself: a repeat costs bytes only of the row it stands in."""
+    rng = random.Random(9)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (300, 300, 250))
+    docs = spark.createDataFrame([(1, a), (None, a), (None, b), (7, a), (7, c)], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix.report(docs).collect())
+    assert got == [(0, 300, 0), (0, 300, 300), (1, 300, 0), (7, 250, 0), (7, 300, 300)]
+
+
+def test_suffix_repeated_ids(spark):
+    """Rows that share an id, or have none, come in the order of their texts' hashes; equal rows are one document."""
+    rng = random.Random(10)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(4)]
+    rows = []
+    for _ in range(80):
+        text = "".join(x[(s := rng.randint(0, 200)) : s + rng.randint(50, 250)] for x in rng.sample(base, rng.randint(1, 3)))
+        rows.append((rng.choice((None, 1, 2, 3, (1 << 63) - 1)), text))
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    place = {x: ((1 << 63) - 1 if x[0] is None else x[0], order[x[1]]) for x in rows}
+    want = plain_removal([(place[x], x[1]) for x in set(rows)])
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.report(docs).collect())
+    assert got == sorted((x[0] or 0, *want[place[x]]) for x in rows)
+
+
+def test_suffix_needs_the_sort(spark, monkeypatch):
+    """Strings in different contexts are found by the sorted order alone."""
+    rng = random.Random(11)
+    shared = "".join(rng.choice("abcd") for _ in range(160))
+    rows = [(i, "".join(rng.choice("efgh") for _ in range(150)) + shared + "".join(rng.choice("efgh") for _ in range(150))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.report(docs).collect()}
+    assert found() == plain_removal(rows)
+    monkeypatch.setattr(suffix, "_common", lambda strings: (np.arange(len(strings)), np.zeros(len(strings), np.int64)))
+    assert found() != plain_removal(rows)
+
+
 def test_suffix_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 512)
     rng = random.Random(6)
