@@ -2,10 +2,12 @@
 
 The templates' tokens form one automaton. A document streams through it, giving for each token
 the length of the longest run ending there that occurs in some template (its matching
-statistics). Runs of at least MIN_RUN tokens that cannot be extended are matches; for each
-template, matches whose places in the template rise and whose gaps are at most MAX_GAP tokens
-are chained, and a chain covers template tokens. A template's label is set where its best chain
-covers MIN_COVER of it, or LONG tokens.
+statistics). Runs of at least MIN_RUN tokens that cannot be extended are matches, at every place of
+the template where they stand; for each template, matches whose places in it rise and whose gaps in
+the text are at most MAX_GAP tokens are chained so that a chain covers as many template tokens as
+possible, so a stray match in between does not break it. Chains of a template do not overlap in the
+text; the one of most cover stands. A template's label is set where a chain covers MIN_COVER of it,
+or LONG tokens.
 
 Tokens are words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case. Besides,
 each place where a base phrase stands counts and sets its label, whatever the chains say. Null
@@ -22,31 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import map_rows, per_worker
+from tarn.llm.licence_texts import TEMPLATES
 
 MIN_RUN, MAX_GAP, MIN_COVER, LONG = 4, 12, 0.6, 24
 
 # The base phrases with their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Openings of public licence texts, and the usual short notices, with their labels.
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache-2.0", "licensed under the apache license version 2.0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by-nc", "licensed under cc by nc 4.0"),
-    ("cc-by-sa", "licensed under cc by sa 4.0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
-]
 _TABLE = bytes((c | 32) if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
@@ -55,26 +39,26 @@ def words(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All token runs of several sequences; at[state] has, by sequence, the last index of an occurrence."""
+    """All token runs of several sequences; at[state] has (sequence, last index) of every occurrence of runs of MIN_RUN tokens or more."""
 
     def __init__(self, sequences: list[list[int]]):
         self.go: list[dict[int, int]] = [{}]
         self.link, self.long = [-1], [0]
-        self.at: list[dict[int, int]] = [{}]
+        self.at: list[set[tuple[int, int]]] = [set()]
         for k, sequence in enumerate(sequences):
             last = 0
             for i, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.at[last].setdefault(k, i)
+                self.at[last].add((k, i))
         for state in sorted(range(1, len(self.go)), key=lambda s: -self.long[s]):
-            for k, i in self.at[state].items():
-                self.at[self.link[state]].setdefault(k, i)
+            if self.long[self.link[state]] >= MIN_RUN:
+                self.at[self.link[state]] |= self.at[state]
 
     def _new(self, long: int, go: dict[int, int], link: int) -> int:
         self.go.append(go)
         self.link.append(link)
         self.long.append(long)
-        self.at.append({})
+        self.at.append(set())
         return len(self.go) - 1
 
     def _split(self, p: int, token: int, q: int) -> int:
@@ -140,24 +124,36 @@ class Scanner:
         return found
 
     def chains(self, tokens: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(template, covered tokens, first word, last word) of every chain, by template and place."""
+        """(template, covered tokens, first word, last word) of the chains of most cover, by template and place."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, length, state in self.matches(tokens):
-            for k, last in self.automaton.at[state].items():
-                by.setdefault(k, []).append((end - length + 1, end, last))
+            for k, last in self.automaton.at[state]:
+                by.setdefault(k, []).append((end, end - length + 1, last))
         out = []
-        for k, runs in sorted(by.items()):
-            chain: list[int] = []
-            for start, end, last in runs:
-                first = last - (end - start)
-                if chain and start - chain[1] - 1 <= MAX_GAP and first > chain[2] - (end - start + 1) and last > chain[2]:
-                    chain = [chain[0], end, last, chain[3] + min(end - start + 1, last - chain[2])]
-                else:
-                    if chain:
-                        out.append((k, chain[3], chain[0], chain[1]))
-                    chain = [start, end, last, end - start + 1]
-            out.append((k, chain[3], chain[0], chain[1]))
-        return out
+        for k, places in sorted(by.items()):
+            places.sort()
+            cover, before, root = [], [], []
+            for m, (end, start, last) in enumerate(places):
+                first, best, via = last - (end - start), end - start + 1, -1
+                for p in range(m - 1, -1, -1):
+                    end_, start_, last_ = places[p]
+                    if start - end_ - 1 > MAX_GAP:
+                        break
+                    # both the text and the template go on; what both matches cover counts once
+                    if end_ < end and start_ < start and last_ < last and last_ - (end_ - start_) < first:
+                        got = cover[p] + min(end - max(start - 1, end_), last - max(first - 1, last_))
+                        if got > best:
+                            best, via = got, p
+                cover.append(best)
+                before.append(via)
+                root.append(start if via < 0 else root[via])
+            taken: list[tuple[int, int]] = []
+            for m in sorted(range(len(places)), key=lambda m: (-cover[m], places[m])):
+                span = root[m], places[m][0]
+                if all(span[1] < a or span[0] > b for a, b in taken):
+                    taken.append(span)
+                    out.append((k, cover[m], *span))
+        return sorted(out, key=lambda c: (c[0], c[2]))
 
     def scan(self, text: str | None) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score and spans (label, first word, last word, cover)."""
