@@ -5,26 +5,27 @@ existing vocabulary; its probability is the sum over the paths of the product of
 probabilities, by a forward recursion in log space. A text is its words and one end; its score
 is the log10 of the product, which is the marginal over all segmentations of the whole text.
 Pieces' probabilities start from the vocabulary's own scores and are re-estimated once by the
-expected counts of all training words (one EM step). A character without a piece costs
-UNKNOWN for each byte.
+expected counts of all training words (one EM step). A character that is no piece can be spelled
+in bytes, each of which has a probability of its own: pieces, bytes and the end sum to 1, so a
+score is the log probability of one distribution over texts.
 
 Beside the score, base_score is the add-one unigram score of the words themselves.
 
 The corpus is read twice. First every word is counted, in each worker before the shuffle;
-the counts, one row for each distinct word, are written to the shared folder. Then each text
-is scored: the FREQUENT most frequent words of at most MAX_FREQUENT_BYTES bytes, whose size
-is bounded by both, are known to every worker; all other words join the counts by a shuffle,
-so any vocabulary is scored in full.
+the counts, and then each distinct word's marginal, are written to the shared folder. Then each
+text is scored: the most frequent words, so many of each length as FREQUENT says, which bounds their
+bytes, are known to every worker; all other words join the marginals by a shuffle, so any vocabulary
+is scored in full.
 
 Null and empty texts are one end. Rows are independent: repeated rows and null ids get a row
 each; a null id belongs to the training rows. Without training rows N and V are 0, and the base
-is log10(1 / 1) = 0 for each token. In training, words of over PART characters are cut into
-parts; scoring has no such limit.
+is log10(1 / 1) = 0 for each token. An empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,11 +36,12 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import held_out, keep, map_rows, per_worker, small_batches
 
-UNKNOWN = math.log(1e-4)
-FREQUENT, MAX_FREQUENT_BYTES = 120_000, 64
+#: (fewest bytes, most bytes, words): what every worker knows is at most 16 MB.
+FREQUENT = ((0, 64, 120_000), (65, 8192, 1000))
 #: Distinct words that a worker counts before it passes them on.
 HELD = 400_000
-PART = 400
+#: Characters of a word whose matches are held at once.
+PART = 4096
 SMOOTH = 0.1
 _BOUNDARY = "▁"
 
@@ -58,28 +60,40 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
     return list(zip((sp.id_to_piece(i) for i in ids), np.log(weights / weights.sum()).tolist()))
 
 
+def with_bytes(pieces: list[tuple[str, float]]) -> tuple[list[tuple[str, float]], list[float]]:
+    """(pieces, the 256 bytes' scores), together of probability 1; a byte starts as the least likely piece."""
+    least = min((score for _, score in pieces), default=0.0)
+    total = math.log(sum(math.exp(score - least) for _, score in pieces) + 256) + least
+    return [(p, score - total) for p, score in pieces], [least - total] * 256
+
+
 class Lattice:
     """Forward and backward sums over segmentations."""
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], byte_scores: list[float]):
         import ahocorasick
 
+        self.bytes = byte_scores
         self.find = ahocorasick.Automaton()
         self.single = {p for p, _ in pieces if len(p) == 1}
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         for i, (p, score) in enumerate(pieces):
             self.find.add_word(p, (len(p), score, i))
         self.find.make_automaton()
 
-    def _forward(self, word: str, matches) -> list[float]:
+    def _spelled(self, character: str) -> float:
+        return sum(self.bytes[b] for b in character.encode("utf-8", "surrogatepass"))
+
+    def _forward(self, word: str) -> array:
         """Log sum over the segmentations of each prefix."""
         log1p, exp = math.log1p, math.exp
-        out = [0.0] * (len(word) + 1)
+        out = array("d", bytes(8 * (len(word) + 1)))
         at, acc, single = 1, -math.inf, self.single
 
         def unknown(i: int) -> float:
-            return out[i] + UNKNOWN * len(word[i].encode("utf-8", "surrogatepass"))
+            return out[i] + self._spelled(word[i])
 
-        for end, (size, score, _) in matches:
+        for end, (size, score, _) in self.find.iter(word):
             while at < end + 1:
                 if word[at - 1] not in single:
                     u = unknown(at - 1)
@@ -104,19 +118,26 @@ class Lattice:
     def log10(self, word: str) -> float:
         """log10 of the word's marginal probability; a boundary sign stands before it."""
         word = _BOUNDARY + word
-        return self._forward(word, self.find.iter(word))[-1] / math.log(10)
+        return self._forward(word)[-1] / math.log(10)
 
-    def expect(self, word: str, times: float, counts: np.ndarray) -> None:
-        """Adds the expected uses of each piece in `times` such words."""
-        matches = list(self.find.iter(word))
-        ahead = self._forward(word, matches)
-        back = [-math.inf] * len(word) + [0.0]
+    def expect(self, word: str, times: float, counts: np.ndarray, byte_counts: np.ndarray) -> None:
+        """Adds the expected uses of each piece and byte in `times` such words."""
+        ahead = self._forward(word)
+        back = array("d", [-math.inf]) * len(word)
+        back.append(0.0)
         total = ahead[-1]
-        k = len(matches) - 1
+        matches, start = [], len(word)
+        k = -1
         for at in range(len(word), 0, -1):
+            if at - 1 < start:  # the matches that end in the part before
+                end, start = start, max(0, start - PART)
+                matches = [m for m in self.find.iter(word, max(0, start - self.longest + 1), end) if m[0] >= start]
+                k = len(matches) - 1
             b = back[at]
             if word[at - 1] not in self.single:
-                u = b + UNKNOWN * len(word[at - 1].encode("utf-8", "surrogatepass"))
+                u = b + self._spelled(word[at - 1])
+                for x in word[at - 1].encode("utf-8", "surrogatepass"):
+                    byte_counts[x] += times * math.exp(min(0.0, ahead[at - 1] + u - total))
                 back[at - 1] = u if back[at - 1] == -math.inf else float(np.logaddexp(back[at - 1], u))
             while k >= 0 and matches[k][0] == at - 1:
                 size, score, i = matches[k][1]
@@ -157,26 +178,31 @@ def count_words(docs: DataFrame, held: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
 
-def fit(words: DataFrame, pieces: list[tuple[str, float]], ends: int) -> tuple[list[tuple[str, float]], float]:
-    """(pieces with new log probabilities, log10 probability of the end) after one EM step over words (word, c)."""
-    shared = words.sparkSession.sparkContext.broadcast(pieces)
+def fit(words: DataFrame, pieces: list[tuple[str, float]], byte_scores: list[float], ends: int) -> tuple[list[tuple[str, float]], list[float], float]:
+    """(pieces, bytes' scores, log10 probability of the end), with new log probabilities, after one EM step over words (word, c)."""
+    shared = words.sparkSession.sparkContext.broadcast((pieces, byte_scores))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = per_worker(("lattice", hash(tuple(shared.value))), lambda: Lattice(shared.value))
-        counts = np.zeros(len(shared.value))
+        lattice = _lattice(shared.value)
+        n = len(shared.value[0])
+        counts = np.zeros(n + 256)
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = _BOUNDARY + word.decode("utf-8", "surrogatepass")
-                for i in range(0, len(text), PART):
-                    lattice.expect(text[i : i + PART], c, counts)
+                lattice.expect(_BOUNDARY + word.decode("utf-8", "surrogatepass"), c, counts[:n], counts[n:])
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.float64())], names=["piece", "n"])
 
     sums = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full(len(pieces), SMOOTH)
+    counts = np.full(len(pieces) + 256, SMOOTH)
     counts[sums["piece"].to_numpy()] += sums["n"].to_numpy()
     total = counts.sum() + ends + SMOOTH
-    return [(p, math.log(n / total)) for (p, _), n in zip(pieces, counts)], math.log10((ends + SMOOTH) / total)
+    scores = np.log(counts / total).tolist()
+    return list(zip((p for p, _ in pieces), scores)), scores[len(pieces) :], math.log10((ends + SMOOTH) / total)
+
+
+def _lattice(model: tuple[list[tuple[str, float]], list[float]]) -> Lattice:
+    """The worker's lattice of a model."""
+    return per_worker(("lattice", hash((tuple(model[0]), tuple(model[1])))), lambda: Lattice(*model))
 
 
 def score(docs: DataFrame, pieces: list[tuple[str, float]], modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -188,18 +214,17 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]], modulus: int = 7, re
     total = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     train, kinds = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     less = math.log10(train + kinds + 1)
-    pieces, end = fit(words, pieces, ends)
-    shared = context.broadcast(pieces)
-
-    def with_lattice(table: DataFrame) -> DataFrame:
-        def make():
-            lattice = per_worker(("lattice", hash(tuple(shared.value))), lambda: Lattice(shared.value))
-            return lambda word, c: (word, c, lattice.log10(word.decode("utf-8", "surrogatepass")))
+    pieces, byte_scores, end = fit(words, *with_bytes(pieces), ends)
+    shared = context.broadcast((pieces, byte_scores))
 
-        return map_rows(table.select("word", "c"), make, "word binary, c long, piece_score double")
+    def make():
+        lattice = _lattice(shared.value)
+        return lambda word, c, seen: (word, c, seen, lattice.log10(word.decode("utf-8", "surrogatepass")))
 
-    top = words.where(F.octet_length("word") <= MAX_FREQUENT_BYTES).orderBy(F.desc("seen"), "word").limit(FREQUENT)
-    known = with_lattice(top).toArrow()
+    words = keep(map_rows(words, make, "word binary, c long, seen long, piece_score double"))
+    size = F.octet_length("word")
+    top = [words.where(size.between(low, high)).orderBy(F.desc("seen"), "word").limit(n) for low, high, n in FREQUENT]
+    known = pa.concat_tables([t.select("word", "c", "piece_score").toArrow() for t in top])
     frequent = context.broadcast((known["word"].to_pylist(), known["c"].to_numpy(), known["piece_score"].to_numpy()))
     schema = "key long, doc_id long, held_out boolean, word binary, times long, n long, known long, base double, piece_sum double"
 
@@ -243,8 +268,7 @@ def score(docs: DataFrame, pieces: list[tuple[str, float]], modulus: int = 7, re
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
     parts = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "held_out").mapInArrow(run, schema)
-    rest = with_lattice(words)
-    both = parts.join(rest, "word", "left").select(
+    both = parts.join(words.select("word", "c", "piece_score"), "word", "left").select(
         "key",
         "doc_id",
         "held_out",

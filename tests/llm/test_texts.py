@@ -62,28 +62,80 @@ def test_ablation(spark, edge, empty):
     assert quality.profile(book, "doc_id").count() == 9
 
 
-def test_lattice_sums_over_segmentations():
-    pieces = [(p, math.log(x)) for p, x in (("▁", 0.1), ("a", 0.2), ("b", 0.1), ("ab", 0.25), ("▁a", 0.15), ("bab", 0.2))]
+SMALL_PIECES = [(p, math.log(x)) for p, x in (("▁", 0.1), ("a", 0.2), ("b", 0.1), ("ab", 0.25), ("▁a", 0.15), ("bab", 0.2))]
+
+
+def plain_marginal(s, score, byte_scores, uses=None, weight=1.0):
+    """Probability of s by every segmentation; uses, if given, takes each path's pieces and bytes with its probability."""
+    total = 0.0
+
+    def go(at, p, path):
+        nonlocal total
+        if at == len(s):
+            total += p
+            if uses is not None:
+                uses.append((p, path))
+            return
+        for n in range(1, len(s) - at + 1):
+            if s[at : at + n] in score:
+                go(at + n, p * math.exp(score[s[at : at + n]]), [*path, s[at : at + n]])
+        if s[at] not in score:
+            b = list(s[at].encode())
+            go(at + 1, p * math.exp(sum(byte_scores[x] for x in b)), [*path, *b])
+
+    go(0, 1.0, [])
+    return total
+
+
+@pytest.mark.parametrize("part", [4096, 3])
+def test_lattice_sums_over_segmentations(monkeypatch, part):
+    monkeypatch.setattr(lattice, "PART", part)
+    pieces, byte_scores = lattice.with_bytes(SMALL_PIECES)
+    assert sum(math.exp(x) for _, x in pieces) + sum(map(math.exp, byte_scores)) == pytest.approx(1)
+    score, names = dict(pieces), [p for p, _ in pieces]
+    model = lattice.Lattice(pieces, byte_scores)
+    for w in ("ab", "abab", "babab", "a", "xay", "", "é", "abababababab"):
+        paths = []
+        total = plain_marginal("▁" + w, score, byte_scores, paths)
+        assert model.log10(w) == pytest.approx(math.log10(total))
+        counts, byte_counts = np.zeros(len(pieces)), np.zeros(256)
+        model.expect("▁" + w, 2.0, counts, byte_counts)
+        want, want_bytes = np.zeros(len(pieces)), np.zeros(256)
+        for p, path in paths:
+            for x in path:
+                if isinstance(x, int):
+                    want_bytes[x] += 2 * p / total
+                else:
+                    want[names.index(x)] += 2 * p / total
+        assert counts == pytest.approx(want) and byte_counts == pytest.approx(want_bytes)
+
+
+@pytest.mark.parametrize("frequent", [((0, 64, 100), (65, 8192, 10)), ((0, 64, 2),)])
+def test_lattice_scores_are_marginals_after_one_step(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lattice, "FREQUENT", frequent)
+    rng = random.Random(6)
+    bank = ["ab", "bab", "abab", "é", "a", "bb", "xab"]
+    rows = [(i, " ".join(rng.choice(bank) for _ in range(rng.randint(0, 8)))) for i in range(40)]
+    got = {r.doc_id: r.score for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), SMALL_PIECES).collect()}
+    pieces, byte_scores = lattice.with_bytes(SMALL_PIECES)
     score = dict(pieces)
-
-    def total(s):
-        if not s:
-            return 1.0
-        out = sum(math.exp(score[s[:n]]) * total(s[n:]) for n in range(1, len(s) + 1) if s[:n] in score)
-        return out + (math.exp(lattice.UNKNOWN * len(s[0].encode())) * total(s[1:]) if s[0] not in score else 0.0)
-
-    model = lattice.Lattice(pieces)
-    import numpy as np
-
-    for w in ("ab", "abab", "babab", "a", "xay", "", "é"):
-        assert model.log10(w) == pytest.approx(math.log10(total("▁" + w)))
-        counts = np.zeros(len(pieces))
-        model.expect("▁" + w, 2.0, counts)
-        # expected uses are the derivative of the log sum by each log score
-        for i, (p, s) in enumerate(pieces):
-            h = 1e-5
-            up = lattice.Lattice([(q, t + h * (q == p)) for q, t in pieces])
-            assert counts[i] == pytest.approx(2 * (up.log10(w) - model.log10(w)) * math.log(10) / h, abs=1e-3)
+    uses, ends = Counter(), 0
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            ends += 1
+            for w in text.split():
+                paths = []
+                total = plain_marginal("▁" + w, score, byte_scores, paths)
+                for p, path in paths:
+                    for x in path:
+                        uses[x] += p / total
+    kinds = [*score, *range(256)]
+    total = sum(uses.values()) + lattice.SMOOTH * len(kinds) + ends + lattice.SMOOTH
+    new = {k: math.log((uses[k] + lattice.SMOOTH) / total) for k in kinds}
+    end = math.log10((ends + lattice.SMOOTH) / total)
+    for i, text in rows:
+        want = end + sum(math.log10(plain_marginal("▁" + w, {k: v for k, v in new.items() if isinstance(k, str)}, new)) for w in text.split())
+        assert got[i] == pytest.approx(want)
 
 
 def test_base_scores(spark, sf_dir):
@@ -105,7 +157,7 @@ def test_base_scores(spark, sf_dir):
 
 def test_lattice_edges(spark, edge, empty, monkeypatch):
     pieces = lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    monkeypatch.setattr(lattice, "FREQUENT", 3)  # so that most words go through the join
+    monkeypatch.setattr(lattice, "FREQUENT", ((0, 64, 3),))  # so that most words go through the join
     rows = lattice.score(edge, pieces).collect()
     assert len(rows) == edge.count() and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
