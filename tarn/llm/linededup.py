@@ -17,7 +17,8 @@ any such pair stays unless a still earlier one drops it. Lines without a word ne
 4. Each key group is reduced to its earliest members, with which every other member is
    paired. So a large group makes as many pairs as it has lines. Each pair is verified.
 
-Rows with equal id and text count as one document. Null texts have no lines.
+Rows with equal id and text count as one document. Null texts have no lines. An empty table gives an
+empty result; names of other columns may be any.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import keep
+from tarn.llm.common import fresh, keep
 
 MIN_WORDS = 8
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -140,7 +141,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, pos, near: every line to drop; near is false where the same line stands earlier."""
     distinct = keep(_distinct(docs))
     near = _near(keep(_candidates(docs, distinct))).withColumn("near", F.lit(True))
-    status = distinct.select(*_LINE, "first", "times").join(near, list(_LINE), "left").where("times > 1 or near").select(*_LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # written, so that the join reads both sides by an exchange of its own: then Spark splits the lines that stand in very many texts
+    status = keep(distinct.select(*_LINE, "first", "times").join(near, list(_LINE), "left").where("times > 1 or near").select(*_LINE, "first", F.coalesce("near", F.lit(False)).alias("near")))
     hit = _lines(docs).join(status, list(_LINE))
     return hit.where(F.col("near") | (_order() > F.col("first"))).select(*_ID, "pos", (F.col("near") & (_order() == F.col("first"))).alias("near"))
 
@@ -150,27 +152,31 @@ def _by_document(docs: DataFrame) -> DataFrame:
     return gone.select(*_ID, F.size("x").cast("long").alias("n_dropped"), F.size(F.filter("x", lambda y: y["near"])).cast("long").alias("n_near"), F.transform("x", lambda y: y["pos"]).alias("gone"))
 
 
-def _keyed(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
-    g = gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("n_dropped").alias("_n"), F.col("n_near").alias("_near"), F.col("gone").alias("_gone"))
-    return docs.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_h")), "left")
+def _keyed(docs: DataFrame, gone: DataFrame, key: Column) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns of gone beside them, and the names of those, which are no names of docs."""
+    names = {c: fresh(docs, f"line_{c}") for c in gone.columns}
+    g = gone.select(*[F.col(c).alias(n) for c, n in names.items()])
+    return docs.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col(names["doc_id"])) & (key == F.col(names["text_hash"])), "left"), names
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near and gone (places of the dropped lines) for each row of docs."""
     # what is needed of a text is taken before the join, so that no text is shuffled for it
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.size(F.split("text", "\n")).cast("long"), F.lit(0)).alias("n_lines"))
-    rows = _keyed(own, _by_document(docs), F.col("text_key"))
+    rows, of = _keyed(own, _by_document(docs), F.col("text_key"))
+    dropped_, near, gone = F.col(of["n_dropped"]), F.col(of["n_near"]), F.col(of["gone"])
     zero = F.lit(0).cast("long")
-    return rows.select("doc_id", "n_lines", F.coalesce(F.col("_n") - F.col("_near"), zero).alias("n_exact"), F.coalesce("_near", zero).alias("n_near"), F.coalesce("_gone", F.array().cast("array<int>")).alias("gone"))
+    return rows.select("doc_id", "n_lines", F.coalesce(dropped_ - near, zero).alias("n_exact"), F.coalesce(near, zero).alias("n_near"), F.coalesce(gone, F.array().cast("array<int>")).alias("gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the dropped lines taken out of text; rows left without a word by that are gone."""
-    rows = _keyed(docs, _by_document(docs), F.xxhash64("text"))
+    rows, of = _keyed(docs, _by_document(docs), F.xxhash64("text"))
+    gone, all_, left_text = of["gone"], fresh(rows, "line_all"), fresh(rows, "line_text")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("kind"), x.alias("line")))
-    marks = F.transform("_gone", lambda p: F.struct(p.alias("i"), F.lit(0).alias("kind"), F.lit("").alias("line")))
-    rows = rows.withColumn("_all", F.when(F.col("_gone").isNotNull(), F.array_sort(F.concat(marks, lines))))
-    left = F.filter("_all", lambda x, i: (x["kind"] == 1) & ((i == 0) | (F.get(F.col("_all"), i - 1)["kind"] == 1)))
-    rows = rows.withColumn("_text", F.when(F.col("_all").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n")))
-    rows = rows.where(F.col("_all").isNull() | F.col("_text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    return rows.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    marks = F.transform(gone, lambda p: F.struct(p.alias("i"), F.lit(0).alias("kind"), F.lit("").alias("line")))
+    rows = rows.withColumn(all_, F.when(F.col(gone).isNotNull(), F.array_sort(F.concat(marks, lines))))
+    left = F.filter(all_, lambda x, i: (x["kind"] == 1) & ((i == 0) | (F.get(F.col(all_), i - 1)["kind"] == 1)))
+    rows = rows.withColumn(left_text, F.when(F.col(all_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n")))
+    rows = rows.where(F.col(all_).isNull() | F.col(left_text).rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    return rows.select(*[F.col(left_text).alias("text") if c == "text" else F.col(c) for c in docs.columns])

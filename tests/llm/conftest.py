@@ -12,8 +12,8 @@ EDGE = [(1, None), (2, ""), (3, " \t\n "), (4, "x" * 300_000), (5, "same line of
 @pytest.fixture(scope="session")
 def edge(spark):
     """EDGE with extra columns whose names the operators use inside."""
-    cols = "doc_id long, text string, lang string, source string, n_chars long, cls string, line string, bucket string, word string, key string, held_out string, label string, score string"
-    return spark.createDataFrame([(i, t, None, "s", 1, *["z"] * 8) for i, t in EDGE], cols)
+    cols = "doc_id long, text string, lang string, source string, n_chars long, cls string, line string, bucket string, word string, key string, held_out string, label string, score string, _d string, _gone string, _all string, _text string, _id string, line_gone string, line_all string, component_own_id string, sample_rate string"
+    return spark.createDataFrame([(i, t, None, "s", 1, *["z"] * 17) for i, t in EDGE], cols)
 
 
 @pytest.fixture(scope="session")
