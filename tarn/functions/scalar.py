@@ -210,8 +210,8 @@ def has_amount(text: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    """Distinct cited numbers, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit("\\[(\\d{1,9})\\]"), 1), lambda x: x.cast("int"))))
+    """Distinct cited numbers, sorted; one that no int holds is the largest int."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit("\\[(\\d+)\\]"), 1), lambda x: F.coalesce(x.try_cast("int"), F.lit(2147483647)))))
 
 
 def citation_check(answer: Column, sources: Column) -> Column:

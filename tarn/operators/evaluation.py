@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.session import keep
+
+#: Terms whose occurrences one pass over the texts counts.
+TERM_BLOCK = 256
 
 
 def first_places(ranking: DataFrame, item: str = "item") -> DataFrame:
@@ -50,10 +54,20 @@ def metrics(ranking: DataFrame, grades: DataFrame, k: int = 8) -> DataFrame:
 
 
 def silver(texts: DataFrame, questions: DataFrame, key: str = "item", limit: int = 10) -> DataFrame:
-    """query_id, item, score, place: the texts with most occurrences of a question's terms (query_id, term)."""
-    rows = texts.select(key, F.lower("text").alias("t")).join(F.broadcast(questions.select("query_id", F.lower("term").alias("term"))))
-    n = (F.length("t") - F.length(F.replace("t", F.col("term"), F.lit("")))) / F.length("term")
-    scored = rows.withColumn("n", n.cast("long")).where("n > 0").groupBy("query_id", key).agg(F.sum("n").alias("score"))
+    """query_id, item, score, place: the texts with most occurrences of a question's terms (query_id, term).
+
+    Occurrences are counted in the text's row, for blocks of TERM_BLOCK terms, and only those found leave it.
+    """
+    low = texts.select(key, F.lower("text").alias("t"))
+    terms = questions.select("query_id", F.lower("term").alias("term")).where("term <> ''")
+    names = sorted(r["term"] for r in terms.select("term").distinct().collect())
+    found = None
+    for i in range(0, max(1, len(names)), TERM_BLOCK):
+        some = F.array(*map(F.lit, names[i : i + TERM_BLOCK])).cast("array<string>")
+        n = lambda x: ((F.length("t") - F.length(F.replace(F.col("t"), x, F.lit("")))) / F.length(x)).cast("long")
+        part = low.select(key, F.inline(F.filter(F.transform(some, lambda x: F.struct(x.alias("term"), n(x).alias("n"))), lambda h: h["n"] > 0)))
+        found = part if found is None else found.unionByName(part)
+    scored = found.join(terms, "term").groupBy("query_id", key).agg(F.sum("n").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
@@ -107,14 +121,21 @@ def calibrate(samples: DataFrame, points: int = 13) -> DataFrame:
     """low, high, macro_f1: the pair of thresholds on (score, actual) with the best macro-F1.
 
     Candidates are `points` order statistics of the distinct scores; every pair is one group of a single plan.
+    The scores are sorted by ranges; the sizes of the ranges, one number for each, tell in which of them and at
+    which place a rank stands.
     """
-    scores = samples.select("score").distinct()
-    n = scores.count()
+    place = F.monotonically_increasing_id()
+    scores = keep(samples.where("score is not null").select("score").distinct().orderBy("score").select("score", place.alias("id")))
+    part = F.shiftright("id", 33)
+    sizes = scores.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    n = sum(r["n"] for r in sizes)
     if n < 2:
         return samples.sparkSession.createDataFrame([], "low double, high double, macro_f1 double")
-    at = sorted({min(n - 1, int(i * (n - 1) / (points - 1))) for i in range(points)})
-    ranked = scores.withColumn("r", F.row_number().over(Window.orderBy("score")) - 1)
-    picked = [r[0] for r in ranked.where(F.col("r").isin(at)).orderBy("score").select("score").collect()]
+    at, before, ids = sorted({min(n - 1, int(i * (n - 1) / (points - 1))) for i in range(points)}), 0, []
+    for r in sizes:
+        ids += [(r["part"] << 33) + a - before for a in at if before <= a < before + r["n"]]
+        before += r["n"]
+    picked = sorted(r[0] for r in scores.where(F.col("id").isin(ids)).select("score").collect())
     pairs = F.broadcast(samples.sparkSession.createDataFrame([(float(a), float(b)) for a in picked for b in picked if a < b], "low double, high double"))
     grade = F.when(F.col("score") < F.col("low"), 0).when(F.col("score") < F.col("high"), 1).otherwise(2)
     rows = samples.join(pairs).select(F.struct("low", "high").alias("t"), "actual", grade.alias("predicted"))

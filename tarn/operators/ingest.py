@@ -17,7 +17,10 @@ def _col(df: DataFrame, name: str) -> Column:
 
 
 def canonical(raw: DataFrame) -> DataFrame:
-    """Raw records as job rows: defaults, nulls for blanks, canonical URL, fingerprint and content hash."""
+    """Raw records as job rows: defaults, nulls for blanks, canonical URL, fingerprint, content hash and arrival.
+
+    arrival orders the rows of a batch: the column of that name, else the order in which they are read.
+    """
     c = lambda n: _col(raw, n)
     blank = lambda n: S.empty_to_null(c(n).cast("string"))
     return raw.select(
@@ -34,34 +37,46 @@ def canonical(raw: DataFrame) -> DataFrame:
         S.canonical_url(c("job_url")).alias("job_url"),
         S.iso_date(c("date_posted").cast("string")).alias("date_posted"),
         S.content_hash(*[c(n).cast("string") for n in CONTENT]).alias("content_hash"),
+        (F.col("arrival").cast("long") if "arrival" in raw.columns else F.monotonically_increasing_id()).alias("arrival"),
     )
 
 
 def upsert(jobs: DataFrame, snapshots: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(jobs, snapshots, changes) after a batch of canonical rows.
+    """(jobs, snapshots, changes) after a batch of canonical rows, taken in the order of their arrival.
 
-    A row matches the job with its fingerprint, else the one with its source and URL (the job keeps
-    its old fingerprint then). Of several rows for one job the last by content hash counts.
-    changes has job_id, change (inserted, updated, unchanged) and reactivated. A version that the
-    history has already is not added again, so a text may come back.
+    A row matches the job with its fingerprint, else the one with its source and URL (the job keeps its old
+    fingerprint then); so do rows of the batch among each other, of which the first founds the job. The
+    last row of a job is its new version; every version that the history has not yet is added to it.
+    changes has a row for each row of the batch: job_id, change (inserted, updated, unchanged, each against
+    the job's state before that row) and reactivated (the first row of a job that was inactive).
     """
-    rows = batch.dropDuplicates(["fingerprint"])
     by_print = jobs.select("fingerprint", F.col("job_id").alias("id1"))
     by_url = jobs.where("job_url <> ''").groupBy("source", "job_url").agg(F.min("job_id").alias("id2"))
-    rows = rows.join(by_print, "fingerprint", "left").join(by_url, ["source", "job_url"], "left").withColumn("matched", F.coalesce("id1", "id2")).drop("id1", "id2")
-    one = Window.partitionBy(F.coalesce("matched", "fingerprint")).orderBy(F.desc("content_hash"))
-    rows = rows.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k").withColumn("job_id", F.coalesce("matched", F.substring("fingerprint", 1, 32)))
+    rows = batch.join(by_print, "fingerprint", "left").join(by_url, ["source", "job_url"], "left").withColumn("matched", F.coalesce("id1", "id2")).drop("id1", "id2")
+    # the founder of a new job: the first row with the URL, then the first founder of the rows with the fingerprint
+    of_url = Window.partitionBy("source", F.when(F.col("job_url") != "", F.col("job_url")).otherwise(F.col("fingerprint"))).orderBy("arrival")
+    of_print = Window.partitionBy("fingerprint").orderBy("arrival")
+    rows = rows.withColumns({"matched": F.first("matched", True).over(of_print), "founder": F.first("fingerprint").over(of_url)}).withColumn("founder", F.first("founder").over(of_print))
+    rows = rows.withColumn("job_id", F.coalesce("matched", F.substring("founder", 1, 32)))
     old = jobs.select("job_id", F.col("fingerprint").alias("old_print"), F.col("content_hash").alias("old_hash"), F.col("is_active").alias("was_active"), F.col("first_seen_at").alias("old_seen"))
-    both = rows.join(old, "job_id", "left")
-    change = F.when(F.col("matched").isNull(), "inserted").when(F.col("content_hash") != F.col("old_hash"), "updated").otherwise("unchanged")
-    both = both.withColumns({"change": change, "reactivated": F.coalesce(~F.col("was_active"), F.lit(False))})
+    of_job = Window.partitionBy("job_id").orderBy("arrival")
+    both = rows.join(old, "job_id", "left").withColumns({"before": F.coalesce(F.lag("content_hash").over(of_job), "old_hash"), "nth": F.row_number().over(of_job)})
+    change = F.when(F.col("before").isNull(), "inserted").when(F.col("content_hash") != F.col("before"), "updated").otherwise("unchanged")
+    both = both.withColumns({"change": change, "reactivated": F.coalesce(~F.col("was_active"), F.lit(False)) & (F.col("nth") == 1)})
     values = [c for c in jobs.columns if c not in ("job_id", "fingerprint", "first_seen_at", "last_seen_at", "is_active")]
-    fresh = both.select("job_id", F.coalesce("old_print", "fingerprint").alias("fingerprint"), *values, F.coalesce("old_seen", now).alias("first_seen_at"), now.alias("last_seen_at"), F.lit(True).alias("is_active"))
-    kept = jobs.join(both.select("job_id"), "job_id", "left_anti")
-    history = both.where("change <> 'unchanged'").select("job_id", "content_hash", "description", now.alias("created_at")).join(snapshots.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
+    last = both.withColumn("from_last", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("arrival")))).where("from_last = 1")
+    fresh = last.select("job_id", F.coalesce("old_print", "founder").alias("fingerprint"), *values, F.coalesce("old_seen", now).alias("first_seen_at"), now.alias("last_seen_at"), F.lit(True).alias("is_active"))
+    kept = jobs.join(last.select("job_id"), "job_id", "left_anti")
+    versions = both.where("change <> 'unchanged'").select("job_id", "content_hash", "description", now.alias("created_at")).dropDuplicates(["job_id", "content_hash"])
+    history = versions.join(snapshots.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
     return kept.unionByName(fresh.select(kept.columns)), snapshots.unionByName(history.select(snapshots.columns)), both.select("job_id", "change", "reactivated")
 
 
+def to_sync(changes: DataFrame) -> DataFrame:
+    """job_id of the jobs whose chunks must be made anew: inserted, updated or reactivated, each once."""
+    return changes.where("change <> 'unchanged' or reactivated").select("job_id").distinct()
+
+
 def counters(changes: DataFrame) -> DataFrame:
     n = lambda v: F.count_if(F.col("change") == v).alias(v)
     return changes.agg(F.count(F.lit(1)).alias("received"), n("inserted"), n("updated"), n("unchanged"), F.count_if("reactivated").alias("reactivated"))

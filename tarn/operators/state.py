@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.operators.filters import pending
+from tarn.operators.filters import attempts_left, pending
 
 
 def cache_key(*parts: Column) -> Column:
@@ -58,30 +60,45 @@ def next_slot(now: Column, zone: str = "Asia/Singapore", hour: int = 9) -> Colum
     return F.to_utc_timestamp(F.when(today > local, today).otherwise(F.timestamp_add("DAY", F.lit(1), today)), zone)
 
 
-def embed_pending(chunks: DataFrame, embed, model: str, provider: str, now: Column, most: int = 3) -> DataFrame:
-    """Chunks with vectors for pending ones of fewer than `most` attempts.
+def embed_pending(chunks: DataFrame, embed, model: str, provider: str, now: Column, most: int = 3, manual: bool = False, order: tuple = ("job_id", "chunk_index"), limit: int | None = None, dims: int | None = None) -> DataFrame:
+    """Chunks with vectors for pending ones of fewer than `most` attempts, at most `limit` of them in order.
 
-    embed(texts) returns a vector for each text; it runs in Arrow batches on the executors. A batch that
-    raises leaves its rows without vector, with one more attempt and the error; success clears both.
+    manual takes failed chunks instead, whatever their attempts. embed(texts) returns a vector for each text,
+    of `dims` numbers if given; it runs in Arrow batches on the executors. A batch that raises, or whose
+    vectors have other sizes, leaves its rows without vector, with one more attempt and the error, and
+    ends the task's calls of the model: the rows after it stay as they were. Success clears both.
     """
     @F.pandas_udf("struct<vector:array<float>,error:string>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        try:
-            return pd.DataFrame({"vector": [[float(x) for x in v] for v in embed(list(texts))], "error": None})
-        except Exception as e:  # what the caller's model raises becomes the row's error
-            return pd.DataFrame({"vector": [None] * len(texts), "error": [str(e)[:500]] * len(texts)})
-
-    due = pending(model, provider) & (F.col("embedding_attempts") < most)
-    got = chunks.where(due).withColumn("_r", run("content"))
-    ok = F.col("_r.error").isNull()
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        failed = False
+        for texts in batches:
+            vectors, error = [None] * len(texts), None
+            if not failed and len(texts):
+                try:
+                    vectors = [[float(x) for x in v] for v in embed(list(texts))]
+                    if len(vectors) != len(texts) or len({len(v) for v in vectors} | ({dims} if dims else set())) > 1:
+                        raise ValueError("vectors of another number or size than expected")
+                except Exception as e:  # what the caller's model raises becomes the row's error
+                    failed, vectors, error = True, [None] * len(texts), str(e)[:500] or type(e).__name__
+            yield pd.DataFrame({"vector": vectors, "error": [error] * len(texts)})
+
+    due = pending(model, provider) & attempts_left(manual, most)
+    todo = chunks.where(due)
+    rest = chunks.where(~due)
+    if limit is not None:
+        first = todo.select(*order).distinct().orderBy(*order).limit(limit)
+        rest = rest.unionByName(todo.join(first, list(order), "left_anti").select(rest.columns))
+        todo = todo.join(first, list(order), "left_semi").select(chunks.columns)
+    got = todo.withColumn("_r", run("content"))
+    ok, bad = F.col("_r.vector").isNotNull(), F.col("_r.error").isNotNull()
     done = got.withColumns(
         {
             "embedding": F.when(ok, F.col("_r.vector")).otherwise(F.col("embedding")),
             "embedding_model": F.when(ok, F.lit(model)).otherwise(F.col("embedding_model")),
             "embedding_provider": F.when(ok, F.lit(provider)).otherwise(F.col("embedding_provider")),
-            "embedding_attempts": F.when(ok, F.lit(0)).otherwise(F.col("embedding_attempts") + 1),
-            "embedding_failed_at": F.when(ok, F.lit(None).cast("timestamp")).otherwise(now),
-            "embedding_error": F.when(ok, F.lit(None).cast("string")).otherwise(F.col("_r.error")),
+            "embedding_attempts": F.when(ok, F.lit(0)).when(bad, F.col("embedding_attempts") + 1).otherwise(F.col("embedding_attempts")),
+            "embedding_failed_at": F.when(ok, F.lit(None).cast("timestamp")).when(bad, now).otherwise(F.col("embedding_failed_at")),
+            "embedding_error": F.when(ok, F.lit(None).cast("string")).when(bad, F.col("_r.error")).otherwise(F.col("embedding_error")),
         }
     ).drop("_r")
-    return chunks.where(~due).unionByName(done.select(chunks.columns))
+    return rest.unionByName(done.select(chunks.columns))

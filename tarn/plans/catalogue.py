@@ -38,10 +38,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as jobs."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("job_id"), "source", F.col("lang").alias("location"), F.substring("text", 1, 40).alias("title"), F.lit("").alias("job_type"), F.col("text").alias("description"), "n_chars", (F.col("doc_id") % 7 != 0).alias("is_active"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")).alias("date_posted"))
+    return d.select(F.col("doc_id").alias("job_id"), "source", F.col("lang").alias("location"), F.substring_index("text", "\n", 1).alias("title"), F.lit("").alias("job_type"), F.col("text").alias("description"), "n_chars", (F.col("doc_id") % 7 != 0).alias("is_active"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")).alias("date_posted"))
 
 
-JOBS = "select doc_id as job_id, source, lang as location, substring(text, 1, 40) as title, text as description, n_chars, doc_id % 7 <> 0 as is_active, cast(date '2026-01-01' + cast(doc_id % 200 as int) as date) as date_posted from documents"
+JOBS = "select doc_id as job_id, source, lang as location, split_part(text, chr(10), 1) as title, text as description, n_chars, doc_id % 7 <> 0 as is_active, cast(date '2026-01-01' + cast(doc_id % 200 as int) as date) as date_posted from documents"
 LEXICON = (("licence", "licen[sc]e"), ("the", "the "), ("with", "with"), ("und", " und "), ("digits", "[0-9]{4}"), ("never", "qqqzzz"))
 TERMS = [(1, "the"), (1, "with"), (2, "und"), (2, "der"), (3, "que"), (3, "licensed"), (4, "les"), (5, "moron")]
 _TERMS_SQL = "(values " + ", ".join(f"({q}, '{t}')" for q, t in TERMS) + ") t(query_id, term)"
@@ -73,9 +73,11 @@ def stale_jobs(spark, sf_dir):
     return rows.where("is_active").join(kept.where("not is_active"), "job_id", "left_semi").select("job_id")
 
 
-@query("select page_id, length(html) as n from pages where length(trim(html)) = 0 or html is null or page_id % 50 = 0")
+@query("select doc_id, source from documents where text is null or not contains(text, chr(10)) or length(trim(substring(text, strpos(text, chr(10)) + 1))) = 0")
 def missing_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(filters.no_text("html") | (F.col("page_id") % 50 == 0)).select("page_id", F.length("html").cast("long").alias("n"))
+    """Texts of a title line alone."""
+    d = table(spark, sf_dir, "documents").withColumn("body", F.when(F.contains("text", F.lit("\n")), F.substr("text", F.instr("text", "\n") + 1)))
+    return d.where(filters.no_text("body")).select("doc_id", "source")
 
 
 # --- statistics
@@ -106,10 +108,10 @@ def skill_frequency_filtered(spark, sf_dir):
     return stats.skill_counts(rows, "description", lexicon=LEXICON)
 
 
-@query("with x as (select conv_id, string_agg(text, chr(10) order by turn) as text from conversations where conv_id % 3 = 0 group by conv_id) select conv_id as job_id, length(text) as n, sha256(text) as digest from x")
+@query("with x as (select conv_id, string_agg(text, chr(10) order by turn) as text from conversations group by conv_id) select conv_id as job_id, length(text) as n, sha256(text) as digest from x")
 def job_texts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"))
-    return stats.job_texts(turns, turns.where("job_id % 3 = 0")).select("job_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+    return stats.job_texts(turns, turns).select("job_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
 _LOG = "select event_type as status, value as total_ms, user_id % 3 = 0 as cache_hit, event_type = 'view' as refused, user_id as prompt_tokens, event_id % 10 as completion_tokens, event_type as pipeline_version from events"
@@ -151,10 +153,10 @@ def canonical_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query("select doc_id, sha256(lower(source) || '|' || lower(trim(regexp_replace(substring(text, 1, 40), '\\s+', ' ', 'g'))) || '|' || lower(lang) || '|' || lower(source)) as fingerprint from documents")
+@query("select doc_id, sha256(lower(source) || '|' || lower(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'))) || '|' || lower(lang) || '|' || lower(source)) as fingerprint from documents")
 def content_fingerprint(spark, sf_dir):
     none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "documents").select("doc_id", S.fingerprint(F.col("source"), none, none, F.substring("text", 1, 40), F.col("lang"), F.col("source")).alias("fingerprint"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.fingerprint(F.col("source"), none, none, F.substring_index("text", "\n", 1), F.col("lang"), F.col("source")).alias("fingerprint"))
 
 
 @query("select sha256(text) as digest, count(*) as copies, min(doc_id) as first_id from documents group by text having count(*) > 1")
@@ -199,9 +201,9 @@ def annual_pay(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.annual(F.col("o_totalprice"), F.get(kinds, (F.col("o_orderkey") % 5).cast("int"))).alias("yearly"))
 
 
-@query("select doc_id, lower(source) || '|' || trim(regexp_replace(regexp_replace(lower(substring(text, 1, 40)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' +', ' ', 'g')) as family from documents")
+@query("select doc_id, lower(source) || '|' || trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' +', ' ', 'g')) as family from documents")
 def title_families(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.title_family(F.substring("text", 1, 40), F.col("source")).alias("family"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.title_family(F.substring_index("text", "\n", 1), F.col("source")).alias("family"))
 
 
 @query("select conv_id, turn, case when regexp_matches(q, '(?i)\\bweather\\b|\\bstock price\\b|\\brecipe\\b') then 'refusal' when regexp_matches(q, '(?i)\\ball jobs\\b|\\bwhole database\\b') then 'global_aggregate' when regexp_matches(q, '(?i)\\bhow many\\b|\\bmost common\\b|\\btop\\b|\\baverage\\b|\\bdistribution\\b') then 'aggregate' else 'evidence' end as intent from (select conv_id, turn, case turn % 4 when 0 then 'How many ' when 1 then 'weather of all jobs ' when 2 then 'ALL JOBS: average ' else '' end || role as q from conversations)")
@@ -281,6 +283,16 @@ def upsert_history(spark, sf_dir):
     return new.agg(F.count(F.lit(1)).alias("jobs")).join(history.agg(F.count(F.lit(1)).alias("snapshots")))
 
 
+@query("with b as (select o_custkey, o_orderkey, lag(o_orderpriority || o_orderstatus) over (partition by o_custkey order by o_orderkey) as was, o_orderpriority || o_orderstatus as now from orders) select count(*) as received, count_if(was is null) as inserted, count_if(was <> now) as updated, count_if(was = now) as unchanged, cast(0 as bigint) as reactivated from b")
+def upsert_batch_urls(spark, sf_dir):
+    """A first batch in which rows of different ids share their URL: each URL is one job, in the order of arrival."""
+    o = table(spark, sf_dir, "orders")
+    batch = ingest.canonical(o.select(F.lit("shop").alias("site"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("https://shop.example/c/"), "o_custkey").alias("job_url"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("description"), F.col("o_orderkey").alias("arrival")))
+    none = batch.limit(0).select(F.lit("").alias("job_id"), "*", F.lit(None).cast("timestamp").alias("first_seen_at"), F.lit(None).cast("timestamp").alias("last_seen_at"), F.lit(True).alias("is_active"))
+    history = none.select("job_id", "content_hash", "description", F.col("first_seen_at").alias("created_at"))
+    return ingest.counters(ingest.upsert(none, history, batch, F.lit("2026-09-02").cast("timestamp"))[2])
+
+
 @query("select doc_id from documents where doc_id not in (select vec_id from embeddings) and doc_id % 4 < 3")
 def pending_embeddings(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.lit("m").alias("embedding_model"), F.lit("p").alias("embedding_provider"))
@@ -290,12 +302,18 @@ def pending_embeddings(spark, sf_dir):
 
 # --- retrieval
 
-_VECTOR = "select q.vec_id as query_id, v.vec_id as chunk_id, round(coalesce(list_dot_product(v.embedding::double[], q.embedding::double[]) / nullif(sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])), 0), 0), 6) as score from embeddings v, embeddings q where q.vec_id between 1 and 5"
+_VECTOR = "select q.vec_id as query_id, v.vec_id as chunk_id, round(coalesce(list_dot_product(v.embedding::double[], q.embedding::double[]) / nullif(sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])), 0), 0), 6) as score from embeddings v, embeddings q where q.vec_id % 50 = 0"
+
+
+def _asked(spark, sf_dir):
+    """The stated queries: every vector whose id is divisible by 50, each with one of the text queries of TERMS."""
+    ids = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return ids.select(F.col("vec_id").alias("query_id"), (F.floor(F.col("vec_id") / 50) % 5 + 1).alias("text_query"))
 
 
 def _nearest(spark, sf_dir, k):
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id between 1 and 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = _asked(spark, sf_dir).join(e.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", F.col("embedding").alias("vector"))
     return retrieval.nearest(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), queries, k=k)
 
 
@@ -310,8 +328,13 @@ _BM25 = f"(with p as ({_POSTINGS}), dl as (select chunk_id, sum(tf) as dl from p
 
 def _bm25(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    scored = retrieval.bm25(retrieval.postings(docs, {"text": 1.0}), _terms(spark))
-    return scored.withColumn("score", F.round("score", 6))
+    return retrieval.bm25(docs, {"text": 1.0}, _terms(spark)).withColumn("score", F.round("score", 6))
+
+
+def _keyword(spark, sf_dir, k):
+    """The k best of the text query that goes with each of the stated queries."""
+    best = retrieval.rank(_bm25(spark, sf_dir), k=k).withColumnRenamed("query_id", "text_query")
+    return _asked(spark, sf_dir).join(best, "text_query").select("query_id", "chunk_id", "score", "rank")
 
 
 @query(f"select query_id, chunk_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from {_BM25}) where rank <= 50")
@@ -324,19 +347,20 @@ def keyword_overlap(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(S.overlap(F.col("text"), ["the", "und", "moron"]), 6).alias("score")).where("score > 0")
 
 
-_RANKED = f"v as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from ({_VECTOR})), k as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from {_BM25}), fused as (select coalesce(v.query_id, k.query_id) as query_id, coalesce(v.chunk_id, k.chunk_id) as chunk_id, v.rank as vr, k.rank as kr, coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0) as rrf from (select * from v where rank <= 50) v full join (select * from k where rank <= 50) k on v.query_id = k.query_id and v.chunk_id = k.chunk_id)"
+_KEYWORD = f"(select q.vec_id as query_id, chunk_id, score from embeddings q join {_BM25} b on b.query_id = (q.vec_id // 50) % 5 + 1 where q.vec_id % 50 = 0)"
+_RANKED = f"v as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from ({_VECTOR})), k as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from {_KEYWORD}), fused as (select coalesce(v.query_id, k.query_id) as query_id, coalesce(v.chunk_id, k.chunk_id) as chunk_id, v.rank as vr, k.rank as kr, coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0) as rrf from (select * from v where rank <= 50) v full join (select * from k where rank <= 50) k on v.query_id = k.query_id and v.chunk_id = k.chunk_id)"
 
 
 def _fused(spark, sf_dir):
-    return retrieval.fuse(_nearest(spark, sf_dir, 50).withColumn("query_id", F.col("query_id").cast("int")), retrieval.rank(_bm25(spark, sf_dir)))
+    return retrieval.fuse(_nearest(spark, sf_dir, 50), _keyword(spark, sf_dir, 50))
 
 
-@query(f"with {_RANKED} select cast(query_id as int) as query_id, chunk_id, cast(vr as int) as vector_rank, cast(kr as int) as keyword_rank, round(rrf, 8) as rrf from fused")
+@query(f"with {_RANKED} select query_id, chunk_id, cast(vr as int) as vector_rank, cast(kr as int) as keyword_rank, round(rrf, 8) as rrf from fused")
 def rrf_hybrid(spark, sf_dir):
     return _fused(spark, sf_dir).select("query_id", "chunk_id", "vector_rank", "keyword_rank", F.round("rrf", 8).alias("rrf"))
 
 
-@query(f"with {_RANKED}, c as (select f.*, d.source, row_number() over (partition by query_id, source order by rrf desc, vr asc nulls last, kr asc nulls last, chunk_id) as o from fused f join documents d on d.doc_id = chunk_id), p as (select *, row_number() over (partition by query_id order by rrf desc, vr asc nulls last, kr asc nulls last, chunk_id) as place from c where o <= 2) select cast(query_id as int) as query_id, chunk_id, source, cast(place as int) as place from p where place <= 8")
+@query(f"with {_RANKED}, c as (select f.*, d.source, row_number() over (partition by query_id, source order by rrf desc, vr asc nulls last, kr asc nulls last, chunk_id) as o from fused f join documents d on d.doc_id = chunk_id), p as (select *, row_number() over (partition by query_id order by rrf desc, vr asc nulls last, kr asc nulls last, chunk_id) as place from c where o <= 2) select query_id, chunk_id, source, cast(place as int) as place from p where place <= 8")
 def rrf_capped_topk(spark, sf_dir):
     rows = _fused(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
     return retrieval.capped(rows, job="source").select("query_id", "chunk_id", "source", "place")
@@ -348,17 +372,30 @@ def ranked_jobs(spark, sf_dir):
     return retrieval.ranked_jobs(rows, sections=("en", "de", "fr")).select("query_id", "job_id", "rank_score", "place")
 
 
-@query(f"with v as (select query_id, chunk_id from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from ({_VECTOR})) where r <= 20), k as (select query_id, chunk_id from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from {_BM25}) where r <= 20) select cast(query_id as int) as query_id, chunk_id, string_agg(m, ',' order by m) as retrieved_by from (select query_id, chunk_id, 'vector' as m from v union all select query_id, chunk_id, 'keyword' from k) group by all")
+@query(f"with v as (select query_id, chunk_id from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from ({_VECTOR})) where r <= 20), k as (select query_id, chunk_id from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from {_KEYWORD}) where r <= 20) select query_id, chunk_id, string_agg(m, ',' order by m) as retrieved_by from (select query_id, chunk_id, 'vector' as m from v union all select query_id, chunk_id, 'keyword' from k) group by all")
 def candidate_pool(spark, sf_dir):
-    v, k = _nearest(spark, sf_dir, 20).withColumn("query_id", F.col("query_id").cast("int")), retrieval.rank(_bm25(spark, sf_dir), k=20)
-    return retrieval.pool(("vector", v), ("keyword", k)).withColumn("retrieved_by", F.array_join("retrieved_by", ","))
+    return retrieval.pool(("vector", _nearest(spark, sf_dir, 20)), ("keyword", _keyword(spark, sf_dir, 20))).withColumn("retrieved_by", F.array_join("retrieved_by", ","))
 
 
-@query(f"with k as (select query_id, chunk_id, 0 as tier, score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from {_BM25}) where r <= 5 and query_id = 1), o as (select 1 as query_id, doc_id as chunk_id, 1 as tier, contains(lower(text), 'th')::int / 1.0 as score from documents), u as (select * from k union all select * from o where score > 0 and chunk_id not in (select chunk_id from k)) select query_id, chunk_id, tier, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by tier, score desc, chunk_id) as rank from u) where rank <= 50")
+@query(f"with k as (select query_id, chunk_id, 0 as tier, score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from {_BM25}) where r <= 5), o as (select query_id, doc_id as chunk_id, 1 as tier, sum(contains(lower(text), term)::int) / count(*) as score from documents, {_TERMS_SQL} group by query_id, doc_id), u as (select * from k union all select o.* from o left join k using (query_id, chunk_id) where o.score > 0 and k.tier is null) select query_id, chunk_id, tier, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by tier, score desc, chunk_id) as rank from u) where rank <= 50")
 def lexical_supplement(spark, sf_dir):
-    best = retrieval.rank(_bm25(spark, sf_dir), k=5).where("query_id = 1")
-    rest = table(spark, sf_dir, "documents").select(F.lit(1).alias("query_id"), F.col("doc_id").alias("chunk_id"), S.overlap(F.col("text"), ["th"]).alias("score"))
-    return retrieval.supplement(best, rest).select("query_id", "chunk_id", "tier", "rank")
+    ids = sorted({q for q, _ in TERMS})
+    shares = F.array(*[F.struct(F.lit(q).alias("query_id"), S.overlap(F.col("text"), [t for i, t in TERMS if i == q]).alias("score")) for q in ids])
+    rest = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.inline(shares))
+    return retrieval.supplement(retrieval.rank(_bm25(spark, sf_dir), k=5), rest).select("query_id", "chunk_id", "tier", "rank")
+
+
+_FIELD_SQL = (("title", "split_part(text, chr(10), 1)", 5), ("section", "source || ' ' || lang", 4), ("company", "source", 3), ("location", "lang", 2), ("content", "text", 1))
+_FIELD_TERMS = [(1, "the"), (1, "src1"), (2, "de"), (2, "und"), (3, "src7"), (3, "fr"), (3, "les")]
+_FIELD_TERMS_SQL = "(values " + ", ".join(f"({q}, '{t}')" for q, t in _FIELD_TERMS) + ") t(query_id, term)"
+_FIELD_POSTINGS = "select chunk_id, term, sum(w) as tf from (" + " union all ".join(f"select doc_id as chunk_id, unnest(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9][a-z0-9+#.-]*')) as term, {w} as w from documents" for _, x, w in _FIELD_SQL) + ") group by all"
+
+
+@query(f"with p as ({_FIELD_POSTINGS}), dl as (select chunk_id, sum(tf) as dl from p group by chunk_id), a as (select count(*) as n, avg(dl) as avgdl from dl), h as (select * from p where term in (select term from {_FIELD_TERMS_SQL})), f as (select term, count(*) as df from h group by term) select t.query_id, h.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from h join f using (term) join dl using (chunk_id) cross join a join {_FIELD_TERMS_SQL} on t.term = h.term group by all")
+def bm25_fields(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), *[F.expr(f"substring_index(text, '\\n', 1)" if n == "title" else x).alias(n) for n, x, _ in _FIELD_SQL])
+    scored = retrieval.bm25(docs, {n: w for n, _, w in _FIELD_SQL}, spark.createDataFrame(_FIELD_TERMS, "query_id int, term string"))
+    return scored.withColumn("score", F.round("score", 6))
 
 
 # --- evaluation

@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import lexicon as L
+from tarn.functions import scalar as S
 from tarn.operators import chunking, ingest, retrieval, state, stats
-from tarn.operators.filters import Filters, any_has, matches
+from tarn.operators.filters import Filters, any_has, matches, no_text
 from tarn.plans import answer
 from tarn.session import keep
 
 JOBS = "job_id string, fingerprint string, source string, source_job_id string, title string, normalized_title string, company string, location string, job_type string, currency string, interval string, job_url_direct string, min_amount double, max_amount double, is_remote boolean, description string, job_url string, date_posted date, content_hash string, first_seen_at timestamp, last_seen_at timestamp, is_active boolean"
 SNAPSHOTS = "job_id string, content_hash string, description string, created_at timestamp"
+POSTINGS = "chunk_id string, term string, tf double, job_id string, bucket int"
+LENGTHS = "chunk_id string, dl double, job_id string"
+CACHE = "cache_key string, kind string, corpus_version string, payload string, created_at timestamp, expires_at timestamp"
+LOG = "created_at timestamp, query string, status string, intent string, error_type string, total_ms double, cache_hit boolean, refused boolean, no_result boolean, source_count int, prompt_tokens long, completion_tokens long, pipeline_version string"
+#: Minutes that a cached retrieval holds, and the version of the answering pipeline.
+CACHE_MINUTES, PIPELINE = 15, "v1"
 CHUNKS = "job_id string, chunk_index int, section_type string, content string, content_hash string, token_count int, embedding array<float>, embedding_model string, embedding_provider string, embedding_attempts int, embedding_failed_at timestamp, embedding_error string, created_at timestamp"
 
 
+TABLES = ("jobs", "snapshots", "chunks", "postings", "lengths", "cache", "log")
+
+
 class Engine:
-    """Tables of jobs, snapshots and chunks; each step writes their next version to the shared folder.
+    """Tables of jobs, snapshots, chunks and the keyword index; each step writes their next version to the shared folder.
+
+    The index (postings by term, lengths) is repaired for the jobs that a step changes and read with
+    the terms of a question as filters. Ranked jobs are cached by question, filters and corpus version, and
+    each question leaves a row in the request log, with its hash instead of its text.
 
     save() and load() keep a version under a path of one's own.
     """
@@ -29,14 +46,16 @@ class Engine:
         hash_embedding = retrieval.hash_embedding
         self.embed = embed or (lambda texts: [hash_embedding(t) for t in texts])
         self.jobs, self.snapshots, self.chunks = (spark.createDataFrame([], s) for s in (JOBS, SNAPSHOTS, CHUNKS))
+        self.postings, self.lengths, self.cache = (spark.createDataFrame([], s) for s in (POSTINGS, LENGTHS, CACHE))
+        self.log = state.private(spark.createDataFrame([], LOG))
 
     def save(self, path: str) -> None:
         """Writes the tables to a new folder; readers switch to it when it is complete."""
-        for name in ("jobs", "snapshots", "chunks"):
+        for name in TABLES:
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
     def load(self, path: str) -> Engine:
-        for name in ("jobs", "snapshots", "chunks"):
+        for name in TABLES:
             setattr(self, name, self.spark.read.parquet(f"{path}/{name}"))
         return self
 
@@ -47,24 +66,64 @@ class Engine:
         jobs, snapshots, changes = ingest.upsert(self.jobs, self.snapshots, batch, at)
         changes = keep(changes)
         self.jobs, self.snapshots = keep(jobs), keep(snapshots)
-        touched = changes.where("change <> 'unchanged' or reactivated").select("job_id")
-        self.rechunk(touched, at)
+        self.rechunk(keep(ingest.to_sync(changes)), at)
         return ingest.counters(changes)
 
     def rechunk(self, touched: DataFrame, at) -> None:
         new = chunking.chunks(self.jobs.join(touched, "job_id", "left_semi")).withColumns({"embedding_attempts": F.lit(0), "created_at": at})
         full = new.select(*[F.col(c.name).cast(c.dataType) if c.name in new.columns else F.lit(None).cast(c.dataType).alias(c.name) for c in self.chunks.schema])
         self.chunks = keep(chunking.resync(self.chunks, keep(full), touched))
+        self.reindex(touched)
+
+    def _fields(self, jobs: DataFrame) -> DataFrame:
+        """Chunks of jobs with the fields of the keyword index."""
+        return self.chunks.join(jobs.select("job_id", "title", "company", "location"), "job_id").withColumn("chunk_id", F.concat_ws(":", "job_id", "content_hash"))
+
+    def reindex(self, touched: DataFrame | None = None) -> None:
+        """The keyword index with the parts of the touched jobs made anew; of all jobs without a list."""
+        jobs = self.jobs if touched is None else self.jobs.join(touched, "job_id", "left_semi")
+        postings, lengths = retrieval.build_index(self._fields(jobs))
+        if touched is not None:
+            postings = self.postings.join(touched, "job_id", "left_anti").unionByName(postings)
+            lengths = self.lengths.join(touched, "job_id", "left_anti").unionByName(lengths)
+        # sorted by term within a bucket, so that a scan skips most row groups
+        self.postings = keep(postings.repartition("bucket").sortWithinPartitions("bucket", "term"))
+        self.lengths = keep(lengths)
 
     def expire(self, as_of: str, days: int = 60) -> None:
         jobs, chunks = ingest.expire(self.jobs, self.chunks, F.lit(as_of).cast("date"), days)
         self.jobs, self.chunks = keep(jobs), keep(chunks)
+        self.reindex(self.jobs.where("not is_active").select("job_id"))
 
-    def index(self, now: str) -> DataFrame:
-        """Embeds pending chunks; returns the index state."""
+    def index(self, now: str, limit: int | None = None, manual: bool = False) -> DataFrame:
+        """Embeds pending chunks in order, at most limit; manual takes failed ones again. Returns the index state with its alert."""
         at = F.lit(now).cast("timestamp")
-        self.chunks = keep(state.embed_pending(self.chunks, self.embed, self.model, self.provider, at))
-        return stats.index_state(self.chunks, self.model, self.provider, at)
+        self.chunks = keep(state.embed_pending(self.chunks, self.embed, self.model, self.provider, at, manual=manual, limit=limit))
+        return stats.backlog_alert(stats.index_state(self.chunks, self.model, self.provider, at))
+
+    def backfill(self, fetch: Callable[[str], str | None], now: str, source: str = "linkedin", limit: int = 100, tries: int = 3) -> DataFrame:
+        """Descriptions of at most limit jobs of a board that lack one, by its number of the job, then an upsert; the counters.
+
+        fetch(number) runs on the driver, which is the only one with a connection to the board; it is tried
+        tries times, and a job whose text it does not give stays as it is.
+        """
+        from tarn.sources.boards import linkedin_id
+
+        rows = self.jobs.where((F.col("source") == source) & F.col("is_active") & no_text("description"))
+        rows = rows.withColumn("number", linkedin_id(F.col("source_job_id"), F.col("job_url"))).where("number is not null").orderBy("job_id").limit(limit)
+        got = []
+        for r in rows.select("job_id", "number").collect():
+            for _ in range(tries):
+                try:
+                    text = fetch(r["number"])
+                    if text and text.strip():
+                        got.append((r["job_id"], text))
+                    break
+                except Exception:  # a failing board is asked again
+                    continue
+        texts = self.spark.createDataFrame(got, "job_id string, fetched string")
+        full = self.jobs.join(texts, "job_id").withColumn("description", F.col("fetched"))
+        return self.ingest(full.select(F.col("source").alias("site"), F.col("source_job_id").alias("id"), *[c for c in full.columns if c in ingest.CONTENT or c in ("job_url", "job_url_direct")]), now)
 
     def stats(self) -> DataFrame:
         return stats.knowledge(self.jobs, self.chunks, self.model, self.provider)
@@ -82,6 +141,7 @@ class Engine:
             raise ValueError("top, candidates, per_job and rrf_k must be positive")
         info = self.jobs.where(matches(filters)).select("job_id", "title", "company", "location", "source", "date_posted", "job_url")
         rows = self.chunks.join(info, "job_id").withColumn("chunk_id", F.concat_ws(":", "job_id", "content_hash"))
+        named = rows.select("chunk_id")
         none = self.spark.createDataFrame([], "query_id int, chunk_id string, score double, rank int")
         vector = keyword = none
         if mode != "keyword":
@@ -90,10 +150,9 @@ class Engine:
             vector = retrieval.nearest(vectors, queries, k=candidates)
         if mode != "vector":
             terms = retrieval.query_terms(query)
-            wanted = self.spark.createDataFrame([(1, t) for t in terms], "query_id int, term string")
-            index = retrieval.postings(rows, {"title": 5.0, "company": 3.0, "location": 2.0, "section_type": 4.0, "content": 1.0})
             overlap = rows.select(F.lit(1).alias("query_id"), "chunk_id", retrieval.S.overlap(F.concat_ws("\n", "title", "company", "content"), terms).alias("score"))
-            keyword = retrieval.supplement(retrieval.bm25(index, wanted), overlap, k=candidates)
+            best = retrieval.search_index(self.postings, self.lengths, terms).join(named, "chunk_id", "left_semi")
+            keyword = retrieval.supplement(best, overlap, k=candidates)
         fused = retrieval.fuse(vector, keyword, rrf_k=rrf_k).join(rows.drop("embedding"), "chunk_id")
         return retrieval.capped(fused, per_job=per_job, top=top)
 
@@ -112,12 +171,47 @@ class Engine:
         finally:
             hits.unpersist()
 
-    def ask(self, question: str, filters: Filters = Filters(), generate=None) -> answer.Answer:
-        """Routes a question, ranks jobs, counts skills where it asks for numbers, and answers with citations."""
+    def cached(self, kind: str, parts: list, now: str, make: Callable[[], list]) -> tuple[list, bool]:
+        """(what make() returned for these parts and this version of the corpus, whether the cache had it)."""
+        at = F.lit(now).cast("timestamp")
+        version = self.version().first()["digest"]
+        key = hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
+        found = state.cache_get(self.cache, key, kind, version, at).first()
+        if found:
+            return json.loads(found["payload"]), True
+        value = json.loads(json.dumps(make(), default=str))
+        new = self.spark.createDataFrame([(key, kind, version, json.dumps(value))], "cache_key string, kind string, corpus_version string, payload string")
+        new = new.withColumns({"created_at": at, "expires_at": F.timestamp_add("MINUTE", F.lit(CACHE_MINUTES), at)})
+        self.cache = keep(state.last_write(state.evict(self.cache, at), new, "cache_key", "kind"))
+        return value, False
+
+    def ask(self, question: str, filters: Filters = Filters(), generate=None, now: str | None = None) -> answer.Answer:
+        """Routes a question, ranks jobs, counts skills where it asks for numbers, and answers with citations.
+
+        With now, the time of the question, the ranked jobs are cached and the question is logged.
+        """
+        began, hit, error = time.perf_counter(), False, None
+        try:
+            out, hit, n = self._answer(question, filters, generate, now)
+            return out
+        except Exception as e:
+            out, n, error = answer.Answer("", answer.intent(question)), 0, type(e).__name__
+            raise
+        finally:
+            if now is not None:
+                ms = 1000 * (time.perf_counter() - began)
+                refused = out.intent == "refusal"
+                row = (question, "error" if error else "ok", out.intent, error, ms, hit, refused, not refused and n == 0, n, len(question) // 4, len(out.text) // 4, PIPELINE)
+                new = self.spark.createDataFrame([row], LOG.split(", ", 1)[1]).withColumn("created_at", F.lit(now).cast("timestamp"))
+                self.log = keep(self.log.unionByName(state.private(new)))
+
+    def _answer(self, question: str, filters: Filters, generate, now: str | None) -> tuple[answer.Answer, bool, int]:
+        """(answer, whether its jobs were cached, their number)."""
         kind = answer.intent(question)
         if kind == "refusal":
-            return answer.Answer(answer.OUT_OF_SCOPE, kind)
-        jobs = self.ranked(question, filters)
+            return answer.Answer(answer.OUT_OF_SCOPE, kind), False, 0
+        rank = lambda: self.ranked(question, filters)
+        jobs, hit = (rank(), False) if now is None else self.cached("ranked", [question, vars(filters), self.model], now, rank)
         statistics = None
         if kind == "global_aggregate":
             texts = self.jobs.where(matches(filters)).select("job_id", F.concat_ws("\n", "title", "description").alias("text"))
@@ -125,7 +219,11 @@ class Engine:
         elif kind == "aggregate" and jobs:
             ids = self.spark.createDataFrame([(j["job_id"],) for j in jobs], "job_id string")
             statistics = [r.asDict() for r in stats.skill_counts(stats.job_texts(self.chunks, ids), with_ids=True).collect()]
-        return answer.compose(question, jobs, statistics, generate)
+        return answer.compose(question, jobs, statistics, generate), hit, len(jobs)
+
+    def operations(self, now: str, days: int = 30) -> DataFrame:
+        """One row over the request log of the last days."""
+        return stats.requests(state.prune(self.log, F.lit(now).cast("timestamp"), days))
 
     def skills(self, filters: Filters = Filters(), lexicon: tuple = L.SKILLS) -> DataFrame:
         texts = self.jobs.where(matches(filters)).select("job_id", F.concat_ws("\n", "title", "description").alias("text"))
@@ -135,5 +233,6 @@ class Engine:
         return stats.corpus_version(self.chunks, "job_id", "content_hash", "embedding_model")
 
     def export(self, path: str) -> None:
-        """The jobs as CSV with a header."""
-        self.jobs.write.csv(path, header=True)
+        """The jobs as CSV with a header and their pay as text; UTF-8."""
+        rows = self.jobs.withColumn("salary", S.salary_display(F.col("min_amount"), F.col("max_amount"), F.col("currency"), F.col("interval")))
+        rows.write.csv(path, header=True, encoding="UTF-8", escape='"')

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,14 @@ _own = ""
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path below the one that the session names for checkpoints.
 
-    Executors and the driver must all reach that folder. Where the setting is absent, as in
-    tests on one machine, a temporary folder of this process takes its place.
+    Executors and the driver must all reach that folder. Where the setting is absent, a temporary
+    folder of this process takes its place on a local master; on a cluster that is an error.
     """
     global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own = _own or tempfile.mkdtemp(prefix="tarn-")
     return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
 

@@ -90,31 +90,69 @@ def glassdoor(df: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def cards(df: DataFrame, site: str, card: str, fields: dict[str, str], link: str) -> DataFrame:
-    """Pages of HTML cards: `card` splits a page, each field is the first group of its pattern."""
-    rows = df.select(F.explode(F.regexp_extract_all("payload", F.lit(card), 0)).alias("c"))
-    url = F.regexp_extract("c", link, 1)
-    rows = rows.select(F.lit(site).alias("site"), url.alias("job_url"), *[html.plain(F.regexp_extract("c", p, 1)).alias(n) for n, p in fields.items()])
-    return rows.withColumn("id", F.concat(F.lit(f"{site[:2]}-"), F.substring(F.sha2("job_url", 256), 1, 16)))
+def cards(df: DataFrame, site: str, starts: tuple[str, ...], fields: dict[str, str], link: str, base: str, own_id: str) -> DataFrame:
+    """Pages of HTML cards.
+
+    The first of the patterns in starts that a page has tells where its cards begin; a card goes to where the
+    next begins, so a field that one lacks is never taken from another. Each field is the first group of its
+    pattern in the card. A link without a host gets base; own_id finds the board's id in it, else the id is a
+    digest of the link. A card without link is none; of cards of one id the first on the page stays.
+    """
+    def cut(start: str) -> Column:
+        return F.when(F.col("payload").rlike(start), F.filter(F.split("payload", f"(?={start})"), lambda c: c.rlike(f"^{start}")))
+
+    begun = F.coalesce(*map(cut, starts))
+    rows = df.where("payload is not null").select(F.posexplode(F.filter(begun, lambda c: c.rlike(link))).alias("n", "c"))
+    href = html.plain(F.regexp_extract("c", link, 1))
+    url = F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(href, F.lit("/"))))
+    rows = rows.select("n", F.lit(site).alias("site"), url.alias("job_url"), *[F.nullif(html.plain(F.regexp_extract("c", p, 1)), F.lit("")).alias(n) for n, p in fields.items()])
+    found = F.nullif(F.regexp_extract("job_url", own_id, 1), F.lit(""))
+    rows = rows.withColumn("id", F.concat(F.lit(f"{site[:2]}-"), F.coalesce(found, F.substring(F.sha2("job_url", 256), 1, 16))))
+    return rows.groupBy("id").agg(F.min_by(F.struct("site", "job_url", *fields), "n").alias("r")).select("id", "r.*")
+
+
+# Marks of cards, fields and links on the boards' pages.
+LINKEDIN = {"title": "(?s)<span[^>]*sr-only[^>]*>(.*?)</span>", "company": "(?s)<h4[^>]*base-search-card__subtitle[^>]*>(.*?)</h4>", "company_url": '(?s)<h4[^>]*base-search-card__subtitle[^>]*>.*?href="([^"?]*)', "location": "(?s)<span[^>]*job-search-card__location[^>]*>(.*?)</span>", "date_posted": '(?s)<time[^>]*job-search-card__listdate[^>]*datetime="([^"]*)"', "pay": "(?s)<span[^>]*job-search-card__salary-info[^>]*>(.*?)</span>"}
+BAYT = {"title": "(?s)<h2[^>]*>(.*?)</h2>", "company": "(?s)t-nowrap[^>]*>(.*?)</div>", "location": "(?s)t-mute[^>]*>(.*?)</div>"}
+BDJOBS = {"title": '(?si)<a[^>]*href="[^"]*jobdetail[^"]*"[^>]*>(.*?)</a>', "title_text": "(?s)job-title-text[^>]*>(.*?)</", "company": "(?s)comp-name-text[^>]*>(.*?)</", "location": "(?s)locon-text[^>]*>(.*?)</", "experience_range": "(?s)exp-text[^>]*>(.*?)</"}
+BDJOBS_CARDS = tuple(f'<div[^>]*class="[^"]*\\b{c}(?![\\w-])' for c in ("job-item", "sout-jobs-wrapper", "norm-jobs-wrapper", "featured-wrap")) + ('(?i)<a[^>]*href="[^"]*jobdetail',)
+GOOGLE_JOBS = '(?s)520084652":(\\[.*?\\]\\s*])\\s*}\\s*]\\s*]\\s*]\\s*]\\s*]'
+GOOGLE = {"title": "$[0]", "company": "$[1]", "location": "$[2]", "job_url": "$[3][0][0]", "age": "$[12]", "description": "$[19]", "own": "$[28]"}
 
 
 def linkedin(df: DataFrame) -> DataFrame:
-    return cards(df, "linkedin", "(?s)<div[^>]*base-search-card.*?</time>", {"title": "(?s)<span[^>]*sr-only[^>]*>(.*?)</span>", "company": "(?s)<h4[^>]*>(.*?)</h4>", "location": "(?s)job-search-card__location[^>]*>(.*?)</span>", "date_posted": 'datetime="([^"]*)"'}, 'href="([^"?]*)')
+    rows = cards(df, "linkedin", ('<div[^>]*class="[^"]*\\bbase-search-card(?![\\w-])',), LINKEDIN, 'href="([^"?]*)', "https://www.linkedin.com", "(\\d+)/?$")
+    place, pay = S.location_parts(F.col("location")), S.salary_range(F.col("pay"))
+    rows = rows.withColumns({"place": place, "money": pay})
+    return rows.select("id", "site", "job_url", "title", "company", "company_url", F.coalesce(S.location_display(F.col("place.city"), F.col("place.state"), F.col("place.country")), "location").alias("location"), "date_posted", F.col("money.min_amount").alias("min_amount"), F.col("money.max_amount").alias("max_amount"), F.col("money.interval").alias("interval"), F.col("money.currency").alias("currency"))
+
+
+def linkedin_id(source_id: Column, url: Column) -> Column:
+    """The board's number of a posting, from its id or the end of its URL."""
+    last = lambda c: F.nullif(F.regexp_extract(c, "(\\d+)/?(?:[?#].*)?$", 1), F.lit(""))
+    return F.coalesce(last(source_id), last(url))
 
 
 def bayt(df: DataFrame) -> DataFrame:
-    return cards(df, "bayt", "(?s)<li[^>]*data-js-job.*?</li>", {"title": "(?s)<h2[^>]*>(.*?)</h2>", "company": "(?s)t-nowrap[^>]*>(.*?)</div>", "location": "(?s)t-mute[^>]*>(.*?)</div>"}, 'href="([^"]*)"')
+    return cards(df, "bayt", ("<li[^>]*data-js-job",), BAYT, 'href="([^"]*)"', "https://www.bayt.com", "-(\\d+)/?$")
 
 
 def bdjobs(df: DataFrame) -> DataFrame:
-    return cards(df, "bdjobs", "(?s)<div[^>]*job-item.*?</article>", {"title": "(?s)<h[234][^>]*>(.*?)</h[234]>", "company": "(?s)comp-name[^>]*>(.*?)</", "location": "(?s)locon[^>]*>(.*?)</"}, 'href="([^"]*)"')
+    """Cards by the first selector that a page has, else every link to a job's page."""
+    rows = cards(df, "bdjobs", BDJOBS_CARDS, BDJOBS, '(?i)href="([^"]*jobdetail[^"]*)"', "https://jobs.bdjobs.com", "(?i)jobid=([^&]+)")
+    return rows.withColumn("title", F.coalesce("title", "title_text", F.lit("N/A"))).drop("title_text")
 
 
 def google(df: DataFrame, as_of: Column) -> DataFrame:
-    """Pages with a job list as JSON in a script: arrays whose first items are title, company and place."""
-    rows = df.select(F.explode(F.from_json(F.regexp_extract("payload", "(?s)AF_jobs\\s*=\\s*(\\[.*?\\]\\]);", 1), "array<array<string>>")).alias("r"))
-    item = lambda i: F.get("r", F.lit(i))
-    return rows.select(F.lit("google").alias("site"), F.concat(F.lit("go-"), F.substring(F.sha2(item(3), 256), 1, 16)).alias("id"), item(0).alias("title"), item(1).alias("company"), item(2).alias("location"), item(3).alias("job_url"), S.days_ago(item(4), as_of).alias("date_posted"), item(5).alias("description"), S.is_remote(item(5)).alias("is_remote"))
+    """Pages that carry their jobs as keyed JSON arrays; of one URL the first stays."""
+    found = df.select(F.posexplode(F.regexp_extract_all("payload", F.lit(GOOGLE_JOBS), 1)).alias("n", "j")).select("n", F.try_parse_json("j").alias("v")).where("v is not null")
+    rows = found.select("n", *[F.try_variant_get("v", path, "string").alias(n) for n, path in GOOGLE.items()]).where("job_url is not null")
+    rows = rows.groupBy("job_url").agg(F.min_by(F.struct("title", "company", "location", "age", "description", "own"), "n").alias("r")).select("job_url", "r.*")
+    place = S.location_parts(F.col("location"))
+    return rows.select(
+        F.lit("google").alias("site"), F.concat(F.lit("go-"), "own").alias("id"), "title", "company", F.coalesce(S.location_display(place["city"], place["state"], place["country"]), "location").alias("location"), "job_url",
+        S.days_ago(F.col("age"), as_of).alias("date_posted"), "description", S.is_remote(F.col("description")).alias("is_remote"),
+    )
 
 
 #: Boards and their readers; more can be added. Readers with a date argument get the day of collection.

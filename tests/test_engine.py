@@ -227,6 +227,163 @@ def test_boards(spark, tmp_path):
     assert (rows["bayt"].title, rows["bayt"].location) == ("Engineer", "Dubai")
 
 
+def board(spark, tmp_path, site, payload):
+    (tmp_path / f"{site}.json").write_text(json.dumps({"payload": payload}) + "\n")
+    return boards.collect(spark, {site: str(tmp_path / f"{site}.json")}, F.lit("2026-09-20").cast("date")).orderBy("title").collect()
+
+
+def test_linkedin_cards(spark, tmp_path):
+    card = lambda n, title, time="", pay="": f'<li><div class="base-card base-search-card x"><a class="base-card__full-link" href="https://www.linkedin.com/jobs/view/dev-at-a-{n}?ref=1"></a><div class="base-search-card__info"><span class="sr-only">{title}</span><h4 class="base-search-card__subtitle"><a href="https://x.com/c?z=1">Acme</a></h4><div class="base-search-card__metadata"><span class="job-search-card__location">Austin, TX, United States</span>{pay}{time}</div></div></div></li>'
+    page = card(11, "A") + card(12, "B", '<time class="job-search-card__listdate" datetime="2026-09-01">x</time>', '<span class="job-search-card__salary-info">$100,000 - $120,000</span>') + card(11, "C")
+    a, b = board(spark, tmp_path, "linkedin", page)
+    assert (a.id, a.title, a.date_posted, a.company, a.company_url) == ("li-11", "A", None, "Acme", "https://x.com/c")
+    assert (b.id, b.title, str(b.date_posted), b.min_amount, b.max_amount, b.job_url) == ("li-12", "B", "2026-09-01", 100000.0, 120000.0, "https://www.linkedin.com/jobs/view/dev-at-a-12")
+    ids = spark.createDataFrame([("li-7", None), (None, "https://x/jobs/view/a-99/?q=1"), ("x", "y")], "i string, u string").select(boards.linkedin_id(F.col("i"), F.col("u")).alias("n")).collect()
+    assert [r.n for r in ids] == ["7", "99", None]
+
+
+def test_google_pages(spark, tmp_path):
+    job = ["Dev", "Acme", "Pune, MH, India", [["https://j.example/1"]], *[None] * 8, "3 days ago", *[None] * 6, "Work from home, remote", *[None] * 8, "k9"]
+    page = 'x {"520084652":' + json.dumps([*job[:28], "k9", [[1]], [2]]) + "}]]]]] y"
+    r = board(spark, tmp_path, "google", page)[0]
+    assert (r.id, r.title, r.company, r.location, r.job_url, str(r.date_posted), r.is_remote) == ("go-k9", "Dev", "Acme", "Pune, MH, India", "https://j.example/1", "2026-09-17", True)
+
+
+def test_bdjobs_and_bayt_cards(spark, tmp_path):
+    page = '<div class="norm-jobs-wrapper"><a href="jobdetails.asp?id=3&jobid=77&x=1">Clerk</a><div class="comp-name-text">B Ltd</div><div class="locon-text-d">Dhaka</div></div><div class="norm-jobs-wrapper">no link</div>'
+    (r,) = board(spark, tmp_path, "bdjobs", page)
+    assert (r.id, r.title, r.company, r.location, r.job_url) == ("bd-77", "Clerk", "B Ltd", "Dhaka", "https://jobs.bdjobs.com/jobdetails.asp?id=3&jobid=77&x=1")
+    (r,) = board(spark, tmp_path, "bdjobs", '<p><a href="https://b/jobdetail?jobid=5">Only link</a></p>')
+    assert (r.id, r.title) == ("bd-5", "Only link")
+    (r,) = board(spark, tmp_path, "bayt", '<li data-js-job><h2>E</h2><a href="/en/j-12/">x</a></li>')
+    assert (r.id, r.job_url) == ("ba-12", "https://www.bayt.com/en/j-12/")
+
+
+def test_ziprecruiter(spark, tmp_path):
+    job = {"listing_key": "z1", "name": "Dev", "hiring_company": {"name": "Acme"}, "job_city": "Austin", "job_state": "TX", "job_country": "US", "posted_time": "2026-09-01T10:00:00Z", "job_description": "<p>x</p>", "employment_type": "FULL_TIME", "compensation_interval": "annual", "compensation_min": 10.9, "compensation_max": 20, "compensation_currency": "USD"}
+    (r,) = board(spark, tmp_path, "zip_recruiter", json.dumps({"jobs": [job]}))
+    assert (r.id, r.title, r.company, r.location, str(r.date_posted), r.job_type, r.interval, r.min_amount, r.max_amount, r.currency) == ("zr-z1", "Dev", "Acme", "Austin, TX, USA", "2026-09-01", "fulltime", "yearly", 10.0, 20.0, "USD")
+
+
+def test_batch_order_and_urls(spark):
+    """Two new rows of one URL are one job: the first founds it, the second is its new version."""
+    e = Engine(spark)
+    url = "https://x.com/j/9"
+    n = e.ingest(raw(spark, job(1, title="First", url=url), job(2, title="Second", url=url), job(3), job(3)), "2026-09-01").first()
+    assert (n.received, n.inserted, n.updated, n.unchanged) == (4, 2, 1, 1)
+    assert sorted(r.title for r in e.jobs.collect()) == ["RAG Engineer", "Second"] and e.snapshots.count() == 3
+    n = e.ingest(raw(spark, job(1, title="Third", url="https://x.com/other")), "2026-09-02").first()
+    assert (n.inserted, n.updated) == (0, 1) and e.jobs.count() == 2
+
+
+def test_embedding_run(spark):
+    """A failing batch ends the run of its task; a limit takes the first chunks in order; a manual run takes failed ones again."""
+    from tarn.operators.filters import pending
+
+    rows = [("j", i, "bad" if i == 2 else "good") for i in range(6)]
+    extra = "embedding array<float>, embedding_model string, embedding_provider string, embedding_attempts int, embedding_failed_at timestamp, embedding_error string"
+    chunks = spark.createDataFrame([(*r, None, None, None, 0, None, None) for r in rows], f"job_id string, chunk_index int, content string, {extra}").coalesce(1)
+
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError("down")
+        return [[1.0, 2.0]] * len(texts)
+
+    now = F.lit("2026-09-01").cast("timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = {r.chunk_index: r for r in state.embed_pending(chunks, embed, "m", "p", now).collect()}
+        assert [out[i].embedding is not None for i in range(6)] == [True, True, False, False, False, False]
+        assert [out[i].embedding_attempts for i in range(6)] == [0, 0, 1, 1, 0, 0] and out[2].embedding_error == "down"
+        some = state.embed_pending(chunks, embed, "m", "p", now, limit=2)
+        assert some.count() == 6 and some.where(~pending("m", "p")).count() == 2
+        dims = state.embed_pending(chunks.where("content = 'good'"), embed, "m", "p", now, dims=3)
+        assert dims.where("embedding is not null").count() == 0 and dims.where("embedding_error is not null").count() >= 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    failed = chunks.withColumn("embedding_attempts", F.when(F.col("chunk_index") == 1, 3).otherwise(0))
+    again = state.embed_pending(failed, lambda texts: [[1.0]] * len(texts), "m", "p", now, manual=True)
+    assert [r.chunk_index for r in again.where("embedding is not null").collect()] == [1]
+
+
+def test_stored_index_is_repaired(engine, spark):
+    """After any step the index is what a new one over all chunks would be, and searches read it."""
+    e = Engine(spark)
+    e.ingest(raw(spark, job(1), job(2, "Java Developer", "Requirements\nJava, Docker")), "2026-09-01")
+    e.ingest(raw(spark, job(2, "Java Developer", "Requirements\nKotlin, Docker")), "2026-09-02")
+    e.ingest(raw(spark, job(3, "Old", "Requirements\nCobol", day="2026-01-01")), "2026-09-02")
+    e.expire("2026-09-20")
+    have = sorted(map(tuple, e.postings.select("chunk_id", "term", "tf").collect())), sorted(map(tuple, e.lengths.select("chunk_id", "dl").collect()))
+    e.reindex()
+    assert have == (sorted(map(tuple, e.postings.select("chunk_id", "term", "tf").collect())), sorted(map(tuple, e.lengths.select("chunk_id", "dl").collect())))
+    terms = {r.term for r in e.postings.collect()}
+    assert "kotlin" in terms and "cobol" not in terms
+    found = retrieval.search_index(e.postings, e.lengths, ["kotlin", "docker"]).orderBy(F.desc("score")).first()
+    fields = e._fields(e.jobs)
+    plain = retrieval.bm25(fields, retrieval.FIELDS, spark.createDataFrame([(1, "kotlin"), (1, "docker")], "query_id int, term string")).orderBy(F.desc("score")).first()
+    assert found.chunk_id == plain.chunk_id and found.score == pytest.approx(plain.score)
+
+
+def test_many_terms_are_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(30))) for i in range(40)] + [(99, None), (98, "")], "chunk_id int, text string")
+    terms = spark.createDataFrame([(1, f"w{j}") for j in range(6)] + [(2, "w3"), (2, "none")], "query_id int, term string")
+    one = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in retrieval.bm25(rows, {"text": 1.0}, terms).collect())
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 2)
+    assert one and one == sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in retrieval.bm25(rows, {"text": 1.0}, terms).collect())
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, [float(rng.randint(-1, 1)) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    queries = vectors.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+    def cosine(a, b):
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / n, 6) + 0.0 if n else 0.0
+
+    want = set()
+    for q, v in rows[::10]:
+        best = sorted(((-cosine(v, x), i) for i, x in rows if x is not None))[:7]
+        want |= {(q, i, -s + 0.0, p) for p, (s, i) in enumerate(best, 1)}
+    for block in (2048, 3):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        assert {(r.query_id, r.chunk_id, r.score, r.rank) for r in retrieval.nearest(vectors, queries, k=7).collect()} == want
+
+
+def test_cache_and_log(spark):
+    e = Engine(spark)
+    e.ingest(raw(spark, job(1)), "2026-09-02")
+    first = e.ask("Which jobs need Python?", now="2026-09-02 10:00:00")
+    assert e.ask("Which jobs need Python?", now="2026-09-02 10:10:00").text == first.text
+    assert e.ask("weather today", now="2026-09-02 10:11:00").intent == "refusal"
+    assert e.ask("Which jobs need Python?", now="2026-09-02 10:30:00").text == first.text
+    log = e.log.orderBy("created_at").collect()
+    assert [(r.cache_hit, r.refused, r.status) for r in log] == [(False, False, "ok"), (True, False, "ok"), (False, True, "ok"), (False, False, "ok")]
+    assert "query" not in e.log.columns and log[0].query_length == 23
+    assert e.cache.count() == 1 and e.operations("2026-09-03").first().total == 4
+    e.ingest(raw(spark, job(2, text="Requirements\nGo")), "2026-09-02")
+    e.ask("Which jobs need Python?", now="2026-09-02 10:31:00")
+    assert not e.log.orderBy(F.desc("created_at")).first().cache_hit  # another corpus, so another entry
+
+
+def test_backfill(spark):
+    e = Engine(spark)
+    e.ingest(raw(spark, job(1), job(2, text=None), job(3, text=" "), job(4, text=None)), "2026-09-02")
+    calls = []
+
+    def fetch(number):
+        calls.append(number)
+        if number == "3" and calls.count("3") < 3:
+            raise OSError("busy")
+        return None if number == "4" else f"Requirements\nRust {number}"
+
+    n = e.backfill(fetch, "2026-09-03").first()
+    assert (n.received, n.updated, n.inserted) == (2, 2, 0) and calls.count("3") == 3
+    assert sorted(r.source_job_id for r in e.jobs.where("description like '%Rust%'").collect()) == ["li-2", "li-3"]
+    assert e.chunks.where("content like '%Rust%'").count() == 2
+
+
 def test_files(spark, tmp_path):
     path = tmp_path / "q.jsonl"
     line = lambda i: json.dumps({"id": i, "category": "skills", "query": "q"})
