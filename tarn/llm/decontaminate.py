@@ -13,12 +13,17 @@ in both forms, word and name. An item is found in a document where the windows t
 MIN_COVER of its windows, or where windows that follow each other hold LONG_RUN words that are
 equal, whatever their part of the item.
 
-The benchmark goes to the workers in blocks of at most BLOCK_BYTES bytes of text, which the
-driver checks; a larger benchmark takes several passes over the documents, so no size fails.
+The items' windows are a table, keyed by two independent 64-bit hashes. The documents are read once;
+of their windows those leave the worker that pass a bit map of the items' hashes, which has at
+most BLOCK_BYTES bytes whatever the benchmark's size (a larger benchmark lets more windows pass, none is lost).
+They are written, joined to the items' windows on both hashes, and judged by document and item.
+
 Templates below MIN_WORDS words, or without MIN_LITERAL words outside slots, cannot be told from
-chance; such items are found as exact sequences of lower-cased words, however short. Null or empty
+chance; such items are found as exact sequences of lower-cased words, however short: by windows too, all
+of which must stand on one diagonal. Null or empty
 texts have no windows. Repeated documents are reported each; repeated items each under their id;
-rows with a null document id are reported with null.
+rows with a null document id are reported with null, items with a null id likewise. Without items, or without
+documents, the result is empty.
 """
 
 from __future__ import annotations
@@ -26,52 +31,56 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import map_rows, per_worker
+from tarn.llm.common import fresh, keep, map_rows, per_worker
 
 WINDOW, MIN_COVER, MIN_WORDS, MIN_LITERAL = 8, 0.6, 5, 4
 #: The least above the 20 words on end that an item with one number changed may share with a clean document (test_decontamination).
 LONG_RUN = 21
-BLOCK_BYTES = 8 << 20
+#: Bytes of the bit map at most; bits of it for each window of an item while it is smaller; bits that a window must find set.
+BLOCK_BYTES, ROOM, PROBES = 8 << 20, 32, 4
 #: Words whose form a worker remembers.
 HELD = 200_000
 # Units of measurement.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years kb mb gb tb hz khz mhz ghz w kw v a k usd eur gbp dollar dollars euro euros cent cents percent metre metres meter meters kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms litre litres liter liters".split())
 _TOKEN = r"[^\W_]+(?:[.,](?<=\d.)(?=\d)[^\W_]+)*|[.!?\n]"
 _NUMBER, _UNIT, _NAME, _FIRST_WORD = 1, 2, 3, 4
-#: Flags of a form; _BEGINS: the word begins an exact sequence.
-_CAPITAL, _MARK, _BEGINS, _BITS = 1, 2, 4, 3
-_WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
+#: Flags of a form.
+_CAPITAL, _MARK, _BITS = 1, 2, 2
+#: Variants of an item: its first word opens a sentence, stands within one; its words as they are.
+_OPEN, _WITHIN, _PLAIN = 0, 1, 2
+_WEIGHTS, _CHECKS = (np.array([pow(x, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+_PROBES = np.array([pow(0xC2B2AE3D27D4EB4F, j + 1, 1 << 64) for j in range(PROBES)], np.uint64)
+_find = re.compile(_TOKEN).findall
 
 
-class Forms(dict):
-    """word -> template id << _BITS, and flags. Words outside the benchmark's vocabulary have id 0."""
+def literal(low: str) -> int:
+    """The template id of a word in lower case: 58 bits of its hash, above the placeholders' ids."""
+    return _FIRST_WORD + (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 6)
 
-    def __init__(self, vocabulary: dict[str, int], grow: bool, begins: Container[str] = ()):
-        super().__init__()
-        self.vocabulary, self.grow, self.begins = vocabulary, grow, begins
+
+class Forms(dict):
+    """word -> template id << _BITS, and flags."""
 
     def __missing__(self, word: str) -> int:
-        if word in ".!?\n":
+        letters = word.isalpha()
+        if not letters and word in ".!?\n":
             found = _MARK
+        elif not letters and any(map(str.isdigit, word)):
+            found = _NUMBER << _BITS
         else:
-            low = word.lower()
-            if any(map(str.isdigit, word)):
-                found = _NUMBER << _BITS
-            elif low in UNITS and not word[:1].isupper():
+            low, upper = word.lower(), word[:1].isupper()
+            if low in UNITS and not upper:
                 found = _UNIT << _BITS
             else:
-                i = self.vocabulary.get(low, 0)
-                if not i and self.grow:
-                    i = self.vocabulary[low] = len(self.vocabulary) + _FIRST_WORD
-                found = (i << _BITS) + (_CAPITAL if word[:1].isupper() and word[1:].islower() else 0)
-            if low in self.begins:
-                found |= _BEGINS
+                found = (literal(low) << _BITS) + (_CAPITAL if upper and word[1:].islower() else 0)
         if len(self) >= HELD:
             self.clear()
         if len(word) <= 40:
@@ -123,161 +132,227 @@ def spans(starts: set[int], size: int) -> list[list[int]]:
     return out
 
 
-def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+def _at(ids: np.ndarray, starts: np.ndarray, n: int, weights: np.ndarray, first: int | None = None) -> np.ndarray:
+    """Hashes of the windows of n ids at starts, with another first id if one is given."""
+    out = np.full(len(starts), n, np.uint64)
     for j in range(n):
-        out += ids[j : j + len(out)].astype(np.uint64) * _WEIGHTS[j]
-    return out ^ (out >> np.uint64(31)) ^ np.uint64(n)
+        out += (ids[starts + j].astype(np.uint64) if j or first is None else np.full(len(starts), first, np.uint64)) * weights[j]
+    return out ^ (out >> np.uint64(31))
 
 
-def _at(ids: np.ndarray, starts: np.ndarray, n: int, first: int | None = None) -> np.ndarray:
-    """_hashes(ids, n)[starts], with another first token if one is given."""
-    out = np.zeros(len(starts), np.uint64)
+def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """_at of all windows of n ids."""
+    count, own = max(0, len(ids) - n + 1), ids.astype(np.uint64)
+    out = np.full(count, n, np.uint64)
     for j in range(n):
-        out += (ids[starts + j].astype(np.uint64) if j or first is None else np.full(len(starts), first, np.uint64)) * _WEIGHTS[j]
-    return out ^ (out >> np.uint64(31)) ^ np.uint64(n)
+        out += own[j : j + count] * _WEIGHTS[j]
+    return out ^ (out >> np.uint64(31))
+
+
+def _plain(low: Sequence[str]) -> np.ndarray:
+    """Ids of words as they are; none is that of a template."""
+    return np.array([-literal(w) for w in low], np.int64)
+
+
+def item_windows(text: str | None) -> list[tuple]:
+    """The windows of an item: (hash, check, variant, place, whether a name opens the item there, number of windows, size,
+    places of the slots in the window, their kinds, their values)."""
+    words = _find(text or "")
+    forms, out = Forms(), []
+    codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
+    plain = False
+    for variant in (_OPEN, _WITHIN):
+        ids, at, end, _ = template(codes, variant == _WITHIN)
+        if variant == _WITHIN and (not len(at) or at[0] or not codes[0] & _CAPITAL):
+            break
+        if len(ids) < MIN_WORDS or (ids >= _FIRST_WORD).sum() < MIN_LITERAL:
+            plain = True
+            continue
+        size = min(WINDOW, len(ids))
+        count = len(ids) - size + 1
+        hashes, checks = (_at(ids, np.arange(count), size, w).view(np.int64).tolist() for w in (_WEIGHTS, _CHECKS))
+        for p in range(count):
+            slots = [j for j in range(size) if ids[p + j] < _FIRST_WORD]
+            values = [value(words, at[p + j], end[p + j]) for j in slots]
+            out.append((hashes[p], checks[p], variant, p, not p and bool(ids[0] == _NAME), count, size, slots, [int(ids[p + j]) for j in slots], values))
+    low = [w.lower() for w in words if w not in ".!?\n"]
+    if low and plain:
+        ids, size = _plain(low), min(WINDOW, len(low))
+        count = len(low) - size + 1
+        hashes, checks = (_at(ids, np.arange(count), size, w).view(np.int64).tolist() for w in (_WEIGHTS, _CHECKS))
+        out += [(h, c, _PLAIN, p, False, count, size, [], [], []) for p, (h, c) in enumerate(zip(hashes, checks))]
+    return out
+
+
+def text_windows(text: str | None, forms: Forms, sizes: Sequence[int], plain: Sequence[int], passes: Callable[[np.ndarray], np.ndarray]) -> list[tuple]:
+    """Of a document's windows of these sizes (plain: as they are) those whose hash passes: (hash, check, place, whether its first
+    word is read as a name, values of its slots)."""
+    words = _find(text or "")
+    if len(words) < min([*sizes, *plain], default=math.inf):
+        return []
+    codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
+    ids, at, end, opens = template(codes)
+    out = []
+
+    def add(own: np.ndarray, starts: np.ndarray, hashes: np.ndarray, size: int, head: bool = False) -> None:
+        open_ = np.flatnonzero(passes(hashes))
+        if not len(open_):
+            return
+        starts = starts[open_]
+        checks = _at(own, starts, size, _CHECKS, _NAME if head else None).view(np.int64).tolist()
+        for d, h, c in zip(starts.tolist(), hashes[open_].view(np.int64).tolist(), checks):
+            values = [value(words, at[d + j], end[d + j]) for j in range(size) if own[d + j] < _FIRST_WORD or (head and not j)] if own is ids else []
+            out.append((h, c, d, head, values))
+
+    for size in sizes:
+        count = len(ids) - size + 1
+        if count > 0:
+            add(ids, np.arange(count), _hashes(ids, size), size)
+            # a document's sentence may open with the name that an item begins with
+            heads = np.flatnonzero(opens[:count])
+            add(ids, heads, _at(ids, heads, size, _WEIGHTS, _NAME), size, True)
+    if plain:
+        own = _plain([w.lower() for w in words if w not in ".!?\n"])
+        for size in plain:
+            if len(own) >= size:
+                add(own, np.arange(len(own) - size + 1), _hashes(own, size), size)
+    return out
+
+
+def judge(matches: list[tuple]) -> tuple[float, bool] | None:
+    """(cover, verbatim) of one item in one document, from the windows that meet: (variant, item's place, document's place minus item's,
+    number of windows, size, places of slots, their kinds, the item's values, the document's values). None: not found."""
+    diagonals: dict[tuple[int, int], dict[int, tuple]] = defaultdict(dict)
+    for variant, p, shift, *rest in matches:
+        diagonals[variant, shift][p] = rest
+    found: dict[int, tuple[set[int], bool, int]] = {}
+    long: set[int] = set()
+    for (variant, _), at in sorted(diagonals.items()):
+        windows, size = next(iter(at.values()))[:2]
+        if variant == _PLAIN:
+            if len(at) == windows:
+                return 1.0, True
+            continue
+        slots = {p + j: (kind, a, b) for p, (_, _, places, kinds, theirs, own) in at.items() for j, kind, a, b in zip(places, kinds, theirs, own)}
+        stands = standing(Counter(slots.values()))
+        wrong = {p for p, pair in slots.items() if pair not in stands}
+        good = {q for q in at if not any(q + j in wrong for j in range(size))}
+        if good:
+            same = all(a == b for _, a, b in slots.values())
+            covered, verbatim, _ = found.get(variant, (set(), True, windows))
+            found[variant] = (covered | good, verbatim and same, windows)
+            differ = {p for p, (_, a, b) in slots.items() if a != b}
+            if variant not in long and any(hi - lo - len(differ.intersection(range(lo, hi))) >= LONG_RUN for lo, hi in spans(good, size)):
+                long.add(variant)
+    best = [(len(covered) / windows, verbatim) for v, (covered, verbatim, windows) in found.items() if len(covered) >= MIN_COVER * windows or v in long]
+    return max(best, default=None)
 
 
 class Index:
-    """Template windows of benchmark items, by hash."""
+    """Items in memory, to look single texts up: the join of find with a dictionary."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
-        forms, self.find = Forms(self.vocabulary, True), re.compile(_TOKEN).findall
-        self.items = []
-        self.item_ids = [item_id for item_id, _ in items]
-        #: The first word of exact sequences -> (place in item_ids, sequence).
-        self.exact: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
-        rows: dict[int, list] = defaultdict(list)
+        self.items = items
+        self.windows: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+        sizes: dict[bool, set[int]] = {False: set(), True: set()}
         for n, (_, text) in enumerate(items):
-            words = self.find(text or "")
-            codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
-            plain = False
-            for within in (False, True):
-                ids, at, end, opens = template(codes, within)
-                if within and (not len(at) or at[0] or not codes[0] & _CAPITAL):
-                    break
-                if len(ids) < MIN_WORDS or (ids >= _FIRST_WORD).sum() < MIN_LITERAL:
-                    plain = True
-                    continue
-                size = min(WINDOW, len(ids))
-                for p, h in enumerate(_hashes(ids, size).tolist()):
-                    rows[size].append((h, len(self.items), p))
-                self.items.append((n, ids, [value(words, *x) for x in zip(at, end)], len(ids) - size + 1, size))
-            low = [w.lower() for w in words if w not in ".!?\n"]
-            if low and plain:
-                self.exact[low[0]].append((n, low))
-        self.tables = {}
-        for size, r in rows.items():
-            r.sort()
-            self.tables[size] = (np.array([x[0] for x in r], np.uint64), [x[1:] for x in r])
-        self.shortest = min([*self.tables, *(len(low) for rows in self.exact.values() for _, low in rows)], default=0)
+            for h, c, *rest in item_windows(text):
+                self.windows[h, c].append((n, *rest))
+                sizes[rest[0] == _PLAIN].add(rest[4])
+        self.sizes, self.plain = sorted(sizes[False]), sorted(sizes[True])
+        self.known = np.unique(np.array([h for h, _ in self.windows], np.int64))
 
     def forms(self) -> Forms:
         """The forms of documents' words."""
-        return Forms(self.vocabulary, False, self.exact)
+        return Forms()
 
     def hits(self, text: str | None, forms: Forms) -> Iterator[tuple[int, float, bool]]:
         """(item id, cover, verbatim) of each item found in the text."""
-        words = self.find(text or "")
-        if not self.shortest or len(words) < self.shortest:
-            return
-        codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
-        best = dict.fromkeys(self._exact(words, codes), (1.0, True)) if self.exact else {}
-        ids, at, end, opens = template(codes)
-        unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for size in self.tables:
-            if len(ids) < size:
-                continue
-            open_ = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if len(open_) * 4 < len(ids):
-                self._align(size, open_, _at(ids, open_, size), ids, diagonals)
-            else:
-                self._align(size, open_, _hashes(ids, size)[open_], ids, diagonals)
-            # a document's sentence may open with the name that an item begins with
-            heads = np.flatnonzero(opens[: len(ids) - size + 1] & (unknown[size:] == unknown[1 : len(ids) - size + 2]))
-            self._align(size, heads, _at(ids, heads, size, _NAME), ids, diagonals, 1)
-        found: dict[int, tuple[set[int], bool]] = {}
-        long: set[int] = set()
-        for (item, shift), starts in diagonals.items():
-            starts = sorted(set(starts))
-            _, item_ids, values, _, size = self.items[item]
-            slots = {}
-            for p in sorted({q + j for q in starts for j in range(size)}):
-                kind = int(item_ids[p])
-                if kind < _FIRST_WORD:
-                    slots[p] = kind, values[p], value(words, at[p + shift], end[p + shift])
-            stands = standing(Counter(slots.values()))
-            wrong = {p for p, pair in slots.items() if pair not in stands}
-            good = {q for q in starts if not any(q + j in wrong for j in range(size))} if wrong else set(starts)
-            if good:
-                same = all(a == b for _, a, b in slots.values())
-                covered, verbatim = found.get(item, (set(), True))
-                found[item] = (covered | good, verbatim and same)
-                differ = {p for p, (_, a, b) in slots.items() if a != b}
-                if item not in long and any(hi - lo - len(differ.intersection(range(lo, hi))) >= LONG_RUN for lo, hi in spans(good, size)):
-                    long.add(item)
-        for item, (covered, verbatim) in found.items():
-            n, _, _, windows, _ = self.items[item]
-            if len(covered) >= MIN_COVER * windows or item in long:
-                best[n] = max(best.get(n, (0.0, False)), (len(covered) / windows, verbatim))
-        for n in sorted(best):
-            yield self.item_ids[n], *best[n]
-
-    def _align(self, size: int, starts: np.ndarray, own: np.ndarray, ids: np.ndarray, diagonals: dict, head: int = 0) -> None:
-        """Adds the items' windows that equal the document's windows at starts, of hashes own.
-
-        head = 1: the windows are read with a name as first token, and only items' first windows count.
-        """
-        hashes, places = self.tables[size]
-        low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-        for k in np.flatnonzero(high > low).tolist():
-            d = int(starts[k])
-            for item, p in places[low[k] : high[k]]:
-                theirs = self.items[item][1][p : p + size]
-                if (not head or (p == 0 and theirs[0] == _NAME)) and np.array_equal(ids[d + head : d + size], theirs[head:]):
-                    diagonals[item, d - p].append(p)
-
-    def _exact(self, words: list[str], codes: np.ndarray) -> set[int]:
-        """The items that stand in the text as exact sequences."""
-        at = np.flatnonzero((codes & _MARK) == 0)
-        starts = np.flatnonzero(codes[at] & _BEGINS).tolist()
-        if not starts:
-            return set()
-        low = [words[i].lower() for i in at]
-        return {n for d in starts for n, sequence in self.exact[low[d]] if low[d : d + len(sequence)] == sequence}
-
-
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items (item_id, text) in parts of about BLOCK_BYTES at most."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = math.ceil(1.25 * total / BLOCK_BYTES)
-    for k in range(n):
-        yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow().to_pylist()]
+        matches: dict[int, list[tuple]] = defaultdict(list)
+        for h, c, d, head, own in text_windows(text, forms, self.sizes, self.plain, lambda x: np.isin(x.view(np.int64), self.known)):
+            for n, variant, p, named, windows, size, places, kinds, theirs in self.windows.get((h, c), ()):
+                if named or not head:
+                    matches[n].append((variant, p, d - p, windows, size, places, kinds, theirs, own))
+        for n in sorted(matches):
+            if got := judge(matches[n]):
+                yield self.items[n][0], *got
+
+
+def _probe(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The place of hashes in a map of 1 << bits bits, for the k-th probe."""
+    return ((hashes * _PROBES[k]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bit_map(items: DataFrame, bits: int) -> np.ndarray:
+    """A map of 1 << bits bits in which each probe of the items' hashes is set; its words, not the hashes, come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.unique(np.concatenate([_probe(hashes, k, bits) for k in range(PROBES)]))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["w", "b"])
+
+    words = items.select("h").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
+    return out
+
+
+def passing(words: np.ndarray, bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Which hashes find all their bits set in a bit_map."""
+
+    def passes(hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), bool)
+        left = np.arange(len(hashes))
+        for k in range(PROBES):
+            at = _probe(hashes[left], k, bits)
+            left = left[(words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0]
+        out[left] = True
+        return out
+
+    return passes
+
+
+_FOUND = "doc_id long, item_id long, cover double, verbatim boolean"
+_ITEM = "h:long,c:long,variant:int,p:int,named:boolean,windows:int,size:int,places:array<int>,kinds:array<int>,theirs:array<string>"
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cover (part of the item's windows) and verbatim (equal slots): a row for each item found."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    texts = benchmark.where("text is not null").select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    cut = map_rows(texts, lambda: lambda item, item_id, text: (item, item_id, item_windows(text)), f"item long, item_id long, w array<struct<{_ITEM}>>")
+    # written, so that each item and, below, each document has one number whatever is computed again
+    items = keep(cut.select("item", "item_id", F.inline("w")))
+    counts = items.groupBy((F.col("variant") == _PLAIN).alias("plain"), "size").count().collect()
+    if not counts:
+        return docs.sparkSession.createDataFrame([], _FOUND)
+    sizes, plain = (sorted(r["size"] for r in counts if r["plain"] == x) for x in (False, True))
+    bits = max(5, min((ROOM * sum(r["count"] for r in counts)).bit_length(), (8 * BLOCK_BYTES).bit_length() - 1))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(items, bits))
+
+    def make():
+        forms, passes = per_worker(("template forms",), Forms), passing(shared.value, bits)
+        return lambda row, doc_id, text: (row, doc_id, text_windows(text, forms, sizes, plain, passes))
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    open_ = map_rows(rows, make, "row long, doc_id long, w array<struct<h:long,c:long,d:int,head:boolean,own:array<string>>>")
+    open_ = keep(open_.where(F.size("w") > 0).select("row", "doc_id", F.inline("w")))
+    match = F.struct("variant", "p", (F.col("d") - F.col("p")).alias("shift"), "windows", "size", "places", "kinds", "theirs", "own")
+    met = open_.join(items, ["h", "c"]).where("named or not head").groupBy("row", "doc_id", "item", "item_id").agg(F.collect_list(match).alias("matches"))
 
-        def make(shared=shared):
-            def build():
-                index = Index(shared.value)
-                return index, index.forms()
+    def verdict():
+        def one(doc_id, item_id, matches):
+            got = judge([tuple(m.values()) for m in matches])
+            return doc_id, item_id, *(got or (None, None))
 
-            index, forms = per_worker(("benchmark", hash(tuple(shared.value))), build)
-            return lambda doc_id, text: (doc_id, list(index.hits(text, forms)))
+        return one
 
-        part = map_rows(rows, make, "doc_id long, hits array<struct<item_id:long,cover:double,verbatim:boolean>>").select("doc_id", F.inline("hits"))
-        out = part if out is None else out.unionByName(part)
-    return rows.sparkSession.createDataFrame([], "doc_id long, item_id long, cover double, verbatim boolean") if out is None else out
+    return map_rows(met.select("doc_id", "item_id", "matches"), verdict, _FOUND).where("cover is not null")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose id has an item found in it; rows with a null id stay."""
-    return docs.join(find(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    own = fresh(docs, "found_id")
+    # written, so that its size is known: few ids go to every task, many are joined by shuffle
+    ids = keep(find(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(ids, F.col("doc_id") == F.col(own), "left_anti")
