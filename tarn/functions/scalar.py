@@ -229,3 +229,27 @@ def fenced_json(c: Column) -> Column:
 
 def bounded(c: Column, low: int = 1, high: int = 5) -> Column:
     return F.least(F.greatest(c.try_cast("int"), F.lit(low)), F.lit(high))
+
+
+def citation_coverage(answer: Column, claims: Column) -> Column:
+    """Distinct cited numbers for each claim, 1 at most; 1 without claims."""
+    return F.when(claims <= 0, 1.0).otherwise(F.least(F.try_divide(F.size(citations(answer)).cast("double"), claims), F.lit(1.0)))
+
+
+def quote_found(quote: Column, evidence: Column) -> Column:
+    """Whether the evidence contains the quote, whatever the case and the blanks; an empty quote is not found."""
+    words = F.lower(collapse(quote))
+    return (words != "") & F.lower(collapse(evidence)).contains(words)
+
+
+def numeric_id(source_id: Column, url: Column) -> Column:
+    """The number that ends a board's own id, else the one of its page's address; null if there is none."""
+    own = F.regexp_extract(F.coalesce(source_id, F.lit("")), "(\\d+)$", 1)
+    page = F.regexp_extract(F.coalesce(url, F.lit("")), "/jobs/view/(?:[^/?#]*-)?(\\d+)", 1)
+    return F.coalesce(F.nullif(own, F.lit("")), F.nullif(page, F.lit("")))
+
+
+def iso_text(c: Column) -> Column:
+    """A time as ISO text, with a fraction where it has one."""
+    fraction = F.date_format(c, "SSSSSS")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import scalar as S
-from tarn.operators import chunking, evaluation, filters, ingest, retrieval, state, stats
-from tarn.sources import html
+from tarn.operators import assess, chunking, evaluation, filters, ingest, retrieval, state, stats
+from tarn.sources import files, html
 from tarn.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -508,3 +508,103 @@ def distinct_in_order(spark, sf_dir):
 @query("select cast(conv_id as varchar) as query_id, role as item, cast(row_number() over (partition by conv_id order by min(turn), role) as int) as place from conversations group by conv_id, role")
 def first_places(spark, sf_dir):
     return evaluation.first_places(table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("query_id"), F.col("role").alias("item"), F.col("turn").alias("place")))
+
+
+# --- evaluation runs
+
+_ORDERS = {"keyword": "n_chars desc, doc_id", "vector": "doc_id", "hybrid": "doc_id % 10, doc_id"}
+_HITS = "select source as query_id, avg(contains(lower(coalesce(lang, '')), 'e')::int) as filter_accuracy from documents group by source"
+
+
+@query(" union all ".join(f"select '{m}' as mode, count(*) as questions, round_even(avg(recall), 4) as recall, round_even(avg(rr), 4) as mrr, round_even(avg(ndcg), 4) as ndcg from ({_METRICS.replace(_RANKING, f'select source as query_id, doc_id as item, row_number() over (partition by source order by {o}) as place from documents')})" for m, o in _ORDERS.items()))
+def mode_benchmark(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    ranked = {m: d.select(F.col("source").alias("query_id"), F.col("doc_id").alias("item"), F.expr(f"row_number() over (partition by source order by {o})").alias("place")) for m, o in _ORDERS.items()}
+    return assess.benchmark(ranked, _judged(spark, sf_dir)[1])
+
+
+def _accuracy(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    hits = d.select(F.col("source").alias("query_id"), "source", F.col("lang").alias("location"), none.alias("title"), none.alias("job_type"))
+    wanted = d.select(F.col("source").alias("query_id"), F.upper("source").alias("source"), F.lit("E").alias("location"), F.lit("").alias("title"), none.alias("job_type")).distinct()
+    return assess.filter_accuracy(hits, wanted)
+
+
+@query(f"select query_id, round(filter_accuracy, 6) as filter_accuracy from ({_HITS})")
+def hit_conditions(spark, sf_dir):
+    return _accuracy(spark, sf_dir).withColumn("filter_accuracy", F.round("filter_accuracy", 6))
+
+
+def _annotations(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), (F.right("source", F.lit(1)) == "5").alias("should_refuse")).distinct()
+
+
+@query(f"select distinct query_id from ({_GRADES}) where grade > 0 and item % 7 <> 0 and right(query_id, 1) <> '5'")
+def answerable_questions(spark, sf_dir):
+    rows = assess.answerable(_annotations(spark, sf_dir), _judged(spark, sf_dir)[1], jobs(spark, sf_dir))
+    return rows.select("query_id")
+
+
+@query(f"with q as (select distinct source as query_id, case when right(source, 1) in ('1', '5', '7', '9') then 'test' else 'development' end as split from documents), p as (select distinct query_id from ({_GRADES}) where grade > 0), x as (select split, case when right(q.query_id, 1) = '3' then 'missing' when right(q.query_id, 1) = '5' then 'refusal' when p.query_id is null then 'invalid' else 'answerable' end as state, coalesce(recall, 0) as recall, coalesce(graded_ndcg, 0) as graded_ndcg, coalesce(filter_accuracy, 1) as filter_accuracy from q left join p using (query_id) left join ({_METRICS}) m using (query_id) left join ({_HITS}) f using (query_id)), g as (select split, count_if(state = 'missing') as missing, count_if(state = 'invalid') as invalid, count_if(state = 'refusal') as refusal, count_if(state = 'answerable') as answerable, round_even(avg(case when state = 'answerable' then recall end), 4) as recall, round_even(avg(case when state = 'answerable' then graded_ndcg end), 4) as graded_ndcg, round_even(avg(case when state = 'answerable' then filter_accuracy end), 4) as filter_accuracy from x group by split) select *, case when missing + invalid = 0 then 'complete' else 'invalid' end as status, coalesce(missing + invalid = 0 and recall >= 0.75 and graded_ndcg >= 0.75 and filter_accuracy >= 1, false) as passed from g")
+def holdout_gates(spark, sf_dir):
+    ranking, grades = _judged(spark, sf_dir)
+    known = _annotations(spark, sf_dir)
+    last = F.right("query_id", F.lit(1))
+    split = known.select("query_id", F.when(last.isin("1", "5", "7", "9"), "test").otherwise("development").alias("split"))
+    run = lambda name: assess.holdout(ranking, known.where(last != "3"), grades, split, _accuracy(spark, sf_dir), name)
+    return run("test").unionByName(run("development"))
+
+
+def _the(query, passages):
+    """A stand-in for a cross-encoder: how often a passage has the query's word, ten times counting 1."""
+    return [min(1.0, p.lower().count(query) / 10) for p in passages]
+
+
+@query("with s as (select lang as query_id, source as job_id, max(least(1.0, ((length(t) - length(replace(t, 'the', ''))) // 3) / 10)) as score from (select lang, source, lower(coalesce(text, '')) as t from documents) group by all) select query_id, job_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by score desc, job_id) as int) as place from s")
+def rerank_jobs(spark, sf_dir):
+    pairs = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("job_id"), F.lit("the").alias("query"), F.col("text").alias("passage"))
+    return assess.job_scores(assess.rerank(pairs, _the)).withColumn("score", F.round("score", 6))
+
+
+@query("select conv_id, turn, round(case when conv_id % 4 = 0 then 1.0 else least(len(list_distinct([cast(turn as int), cast(conv_id % 5 as int)])) / (conv_id % 4), 1.0) end::double, 6) as coverage from conversations")
+def citation_share(spark, sf_dir):
+    answer = F.concat(F.lit("see ["), F.col("turn").cast("string"), F.lit("] and ["), (F.col("conv_id") % 5).cast("string"), F.lit("]"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(S.citation_coverage(answer, F.col("conv_id") % 4), 6).alias("coverage"))
+
+
+@query("with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as r, first_value(text) over (partition by conv_id order by turn) as evidence from conversations) select conv_id as query_id, cast(count(*) as int) as claim_count, round_even(avg(case turn % 5 when 0 then 1.0 when 1 then 0.5 else 0.0 end)::double, 4) as groundedness, cast(count_if(length(text) > 2 and contains(lower(evidence), lower(text[3:8]))) as int) as quotes, cast(count_if(turn not between 1 and 3) as int) as invalid_numbers from t where r <= 2 group by conv_id")
+def judged_claims(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    verdict = F.element_at(F.array(*map(F.lit, ("supported", "partially_supported", "unsupported", "contradicted", "unheard of"))), (F.col("turn") % 5 + 1).cast("int"))
+    claim = F.struct("turn", F.lit("c").alias("claim"), verdict.alias("verdict"), F.array(F.col("turn").cast("int")).alias("source_numbers"), F.upper(F.substring("text", 3, 6)).alias("evidence_quote"))
+    rows = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("evidence"), F.transform(F.array_sort(F.collect_list(claim)), lambda x: F.struct(x["claim"].alias("claim"), x["verdict"].alias("verdict"), x["source_numbers"].alias("source_numbers"), x["evidence_quote"].alias("evidence_quote"))).alias("claims"), F.lit(3).alias("source_count"))
+    out = assess.judged(rows)
+    return out.select("query_id", "claim_count", "groundedness", F.size(F.filter("judged", lambda j: j["evidence_quote_found"])).alias("quotes"), F.aggregate("judged", F.lit(0), lambda s, j: s + F.size(j["invalid_source_numbers"])).alias("invalid_numbers"))
+
+
+@query("select cast(sum(user_id) as bigint) as prompt_tokens, cast(sum(event_id % 10) as bigint) as completion_tokens, cast(0 as bigint) as total_tokens, cast(0 as bigint) as prompt_cache_hit_tokens, cast(0 as bigint) as prompt_cache_miss_tokens from events")
+def token_usage(spark, sf_dir):
+    return assess.usage_totals(table(spark, sf_dir, "events").select(F.col("user_id").alias("prompt_tokens"), (F.col("event_id") % 10).alias("completion_tokens"), F.lit(None).cast("long").alias("total_tokens")))
+
+
+@query("select count(*) as n, min(doc_id) as first, max(doc_id) as last from documents")
+def chunk_signature(spark, sf_dir):
+    return assess.chunk_signature(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when strftime(ts, '%f') = '000000' then '' else '.' || strftime(ts, '%f') end as ts, case when event_id % 5 > 0 then value end as value from events")
+def json_records(spark, sf_dir):
+    value = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return files.records(table(spark, sf_dir, "events").select("event_id", "ts", value.alias("value")))
+
+
+_BOARD = "select page_id, case page_id % 3 when 0 then 'li-' || page_id when 1 then 'x' || page_id || '-y' end as own, case when page_id % 6 = 1 then 'https://b/other' else 'https://b/jobs/view/dev-at-' || page_id || '?t=1' end as link from pages"
+
+
+@query(f"select page_id, coalesce(nullif(regexp_extract(coalesce(own, ''), '([0-9]+)$', 1), ''), nullif(regexp_extract(link, '/jobs/view/(?:[^/?#]*-)?([0-9]+)', 1), '')) as board_id from ({_BOARD})")
+def board_ids(spark, sf_dir):
+    n = F.col("page_id")
+    own = F.when(n % 3 == 0, F.concat(F.lit("li-"), n.cast("string"))).when(n % 3 == 1, F.concat(F.lit("x"), n.cast("string"), F.lit("-y")))
+    link = F.when(n % 6 == 1, F.lit("https://b/other")).otherwise(F.concat(F.lit("https://b/jobs/view/dev-at-"), n.cast("string"), F.lit("?t=1")))
+    return table(spark, sf_dir, "pages").select("page_id", S.numeric_id(own, link).alias("board_id"))

@@ -8,7 +8,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Categories of questions.
+from tarn.functions import scalar as S
+
+# Parts of a question set, categories of questions.
+SPLITS = ("development", "test", "refusal")
 CATEGORIES = ("skills", "experience", "comparison", "filters", "insufficient_evidence")
 QUESTION = "id string, category string, query string, filters map<string,string>, expected_terms array<string>, relevant_job_ids array<string>, should_refuse boolean, notes string"
 
@@ -39,6 +42,41 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("grade in (0, 1, 2) and item <> ''").dropDuplicates(["query_id", "item"])
 
 
+def annotation_faults(rows: DataFrame) -> DataFrame:
+    """query_id, fault of annotations (query_id, job_judgments array<struct<job_id, relevance>>, evidence_chunk_ids) that may not be stored."""
+    ids = F.transform("job_judgments", lambda j: F.trim(j["job_id"]))
+    faults = F.array(
+        F.when(F.exists(ids, lambda i: F.coalesce(i, F.lit("")) == ""), "job without id"),
+        F.when(F.size(F.array_distinct(ids)) < F.size(ids), "job judged twice"),
+        F.when(F.exists("job_judgments", lambda j: ~F.coalesce(j["relevance"].isin(0, 1, 2), F.lit(False))), "grade outside 0 to 2"),
+        F.when(F.exists("evidence_chunk_ids", lambda i: i < 1), "chunk id below 1"),
+    )
+    return rows.select("query_id", F.explode(F.array_compact(faults)).alias("fault"))
+
+
+def splits(spark: SparkSession, path: str) -> DataFrame:
+    """split, query_id from a JSON object with a list of ids for each of SPLITS. Raises ValueError for other keys or a repeated id."""
+    with open(path, encoding="utf-8") as f:
+        lists = json.load(f)
+    if set(lists) != set(SPLITS) or not all(isinstance(ids, list) for ids in lists.values()):
+        raise ValueError(f"{path} must have a list for each of {', '.join(SPLITS)}")
+    rows = [(name, str(i)) for name in SPLITS for i in lists[name]]
+    if len({i for _, i in rows}) < len(rows):
+        raise ValueError(f"{path} names a question twice")
+    return spark.createDataFrame(rows, "split string, query_id string")
+
+
+def digests(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, sha256 of whole files, for the snapshot that goes with a report."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def records(df: DataFrame) -> DataFrame:
+    """df for JSON: NaN becomes null, dates and times become ISO text."""
+    as_json = {"float": lambda c: F.when(~F.isnan(c), c), "double": lambda c: F.when(~F.isnan(c), c), "date": lambda c: c.cast("string"), "timestamp": S.iso_text, "timestamp_ntz": S.iso_text}
+    return df.select(*[as_json.get(kind, lambda c: c)(F.col(name)).alias(name) for name, kind in df.dtypes])
+
+
 def write_report(path: str, report: dict) -> None:
     """A report as JSON; it replaces the former one in one step."""
     part = f"{path}.part"
