@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, decontaminate, jaccard, langid, lattice, licence, linededup, quality, suffix, toxicity
+from tarn.llm import bpe, chat, decontaminate, divergence, jaccard, langid, lattice, licence, linededup, quality, suffix, toxicity
 from tarn.llm.common import documents
 
 
+#: Both turns of the conversation -7.
+HARD_TURN = "\\### Assistant: </turn> ok"
+
+
 def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.report(documents(spark, sf_dir)).select(*cols, "fail_bits", "n_lines", "n_letters", "n_upper")
@@ -58,6 +62,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(documents(spark, sf_dir))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TURN).alias("text"))
+    return chat.report(chats.unionByName(hard))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -105,6 +119,36 @@ ORACLE_SQL = {
         e as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)),
         r as (select doc_id as d, doc_id as r from documents union select r.d, e.b from r join e on e.a = r.r)
         select d as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id from r left join n on n.doc_id = d group by d""",
+    "op11_chat_format": f"""
+        with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all select -7, t, r, '{HARD_TURN}' from (values (0, 'user'), (1, 'assistant')) as v(t, r)),
+        t as (select *, regexp_replace(text, '(\\\\*(### |</turn>))', '\\\\\\1', 'g') as body,
+                     case when role in ('system', 'user', 'assistant') then upper(role[1]) || role[2:]
+                          else '=' || regexp_replace(role, '([\\\\:#<])', '\\\\\\1', 'g') end as label from r),
+        p as (select *, '### ' || label || ': ' || body as piece from t)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, piece)) as turns_sha256,
+               cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn nulls first, piece) filter (where role = 'assistant'), '')) as loss_sha256,
+               cast(sum(length(piece) + 9) as bigint) as formatted_chars, count_if(body <> text) as n_escaped from p group by conv_id""",
+    "op12_source_divergence": """
+        with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as i,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+        t as (select lang, source, i, unnest(w) as term from d),
+        k as (select lang, term, count(*) as n from t group by all having count(distinct i) >= 30),
+        v as (select d.lang, coalesce(any_value(v), 0) as v, coalesce(any_value(n), 0) as n from (select distinct lang from d) d
+              left join (select lang, count(*) as v, sum(n) as n from k group by lang) using (lang) group by d.lang),
+        g as (select distinct lang, source from d),
+        c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by all),
+        s as (select g.lang, g.source, coalesce(sum(n), 0) as n from g left join c using (lang, source) group by all),
+        p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as c,
+                     1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (s.n + 5 * v.v) as p, 1 + (1000000000::hugeint * (k.n + 5)) // (v.n + 5 * v.v) as q
+              from s join k using (lang) join v using (lang) left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+        f as (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+        r as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(value, 0)::bigint as value
+              from g x join g y on x.lang = y.lang and x.source <> y.source left join f on f.lang = x.lang and f.source = x.source and f.item = y.source
+              union all select lang, source, 'term', term, (p - q)::bigint from p where c > 0 and p > q),
+        n as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from r)
+        select * from n where part = 'pair' or rank <= 50""",
 }
 
 
