@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import scalar as S
 from tarn.operators.filters import stale
+from tarn.operators.groups import components
+from tarn.session import keep
 
 # The fields whose change makes a new version.
 CONTENT = ("title", "company", "location", "description", "job_type", "min_amount", "max_amount", "currency", "interval", "is_remote", "date_posted", "skills", "experience_range")
@@ -37,39 +43,105 @@ def canonical(raw: DataFrame) -> DataFrame:
         S.canonical_url(c("job_url")).alias("job_url"),
         S.iso_date(c("date_posted").cast("string")).alias("date_posted"),
         S.content_hash(*[c(n).cast("string") for n in CONTENT]).alias("content_hash"),
-        (F.col("arrival").cast("long") if "arrival" in raw.columns else F.monotonically_increasing_id()).alias("arrival"),
+        (F.coalesce(F.col("arrival").cast("long"), F.monotonically_increasing_id()) if "arrival" in raw.columns else F.monotonically_increasing_id()).alias("arrival"),
     )
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each row does, for rows (component, arrival, fingerprint, url, content_hash, job_id, is_active) sorted by component
+    with its stored jobs, which have a job_id, first.
+
+    The rows are streamed: only the jobs of the component that is being folded are held, by fingerprint and by
+    current URL. A URL's jobs are a heap from which those that have moved away are taken when they come up.
+    """
+    names = ["fingerprint", "url", "arrival", "content_hash", "job_id", "change", "reactivated", "step"]
+    at, jobs, prints, urls, step = None, {}, {}, {}, 0
+    for batch in batches:
+        out = []
+        for component, arrival, fingerprint, url, content, job_id, active in zip(*(c.to_pylist() for c in batch.columns)):
+            if component != at:
+                at, jobs, prints, urls, step = component, {}, {}, {}, 0
+            row = None if job_id else (fingerprint, url, arrival, content)
+            if row:
+                job_id = prints.get(fingerprint)
+                held = urls.get(url, [])
+                while held and jobs[held[0]][0] != url:
+                    heapq.heappop(held)
+                job_id = job_id or (held[0] if held else None)
+                was = jobs.get(job_id)
+                job_id = job_id or fingerprint[:32]
+                change = "inserted" if not was else "unchanged" if was[1] == content else "updated"
+                out.append((*row, job_id, change, bool(was) and not was[2], step))
+                step += 1
+                if change == "unchanged":
+                    url, content = was[:2]
+                active = True
+                if not was:
+                    prints[fingerprint] = job_id
+            else:
+                was = None
+                prints[fingerprint] = job_id
+            if url and (not was or was[0] != url):
+                heapq.heappush(urls.setdefault(url, []), job_id)
+            jobs[job_id] = (url, content, active)
+        cols = list(zip(*out)) or [()] * len(names)
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+
+def decide(jobs: DataFrame, batch: DataFrame) -> DataFrame:
+    """fingerprint, url, arrival, content_hash, job_id, change, reactivated, step: one row for each row of batch, written to the shared folder.
+
+    Rows are taken one after the other, by arrival: a row is the job with its fingerprint, else the job that has its
+    source and URL at that time (of several the least job_id), else a new one. An updated job moves to the row's URL, an unchanged
+    one stays where it is. Rows and stored jobs that are connected by fingerprints and URLs are folded together, in the
+    order of their steps; the batch's narrow columns are all that is moved.
+    """
+    url = F.when(F.col("job_url") != "", F.concat_ws("\n", "source", "job_url")).alias("url")
+    rows = batch.select("fingerprint", url, F.col("arrival").cast("long").alias("arrival"), "content_hash")
+    known = jobs.select("job_id", "fingerprint", url, "content_hash", "is_active")
+    touched = known.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi").unionByName(known.join(rows.select("url").dropna().distinct(), "url", "left_semi"))
+    stored = touched.dropDuplicates(["job_id"]).withColumn("arrival", F.lit(None).cast("long"))
+    both = keep(rows.withColumns({"job_id": F.lit(None).cast("string"), "is_active": F.lit(None).cast("boolean")}).unionByName(stored.select("fingerprint", "url", "arrival", "content_hash", "job_id", "is_active")))
+    group = components(both, "fingerprint", "url")
+    placed = both.join(group, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    order = placed.select("component", "arrival", "fingerprint", "url", "content_hash", "job_id", "is_active").repartition("component")
+    order = order.sortWithinPartitions("component", F.asc_nulls_last("job_id"), "arrival", "fingerprint", "content_hash", "url")
+    return keep(order.mapInArrow(_fold, "fingerprint string, url string, arrival long, content_hash string, job_id string, change string, reactivated boolean, step long"))
+
+
 def upsert(jobs: DataFrame, snapshots: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(jobs, snapshots, changes) after a batch of canonical rows, taken in the order of their arrival.
+    """(jobs, snapshots, changes) after a batch of canonical rows, taken one after the other in the order of their arrival.
 
-    A row matches the job with its fingerprint, else the one with its source and URL (the job keeps its old
-    fingerprint then); so do rows of the batch among each other, of which the first founds the job. The
-    last row of a job is its new version; every version that the history has not yet is added to it.
-    changes has a row for each row of the batch: job_id, change (inserted, updated, unchanged, each against
-    the job's state before that row) and reactivated (the first row of a job that was inactive).
+    A job keeps the fingerprint of the row that founded it; its values are those of the last row that founded or
+    updated it. Every version that the history has not yet is added to it. changes has a row for each row
+    of the batch: job_id, change (inserted, updated, unchanged, each against the job's state before that row) and
+    reactivated (the first row of a job that was inactive).
     """
-    by_print = jobs.select("fingerprint", F.col("job_id").alias("id1"))
-    by_url = jobs.where("job_url <> ''").groupBy("source", "job_url").agg(F.min("job_id").alias("id2"))
-    rows = batch.join(by_print, "fingerprint", "left").join(by_url, ["source", "job_url"], "left").withColumn("matched", F.coalesce("id1", "id2")).drop("id1", "id2")
-    # the founder of a new job: the first row with the URL, then the first founder of the rows with the fingerprint
-    of_url = Window.partitionBy("source", F.when(F.col("job_url") != "", F.col("job_url")).otherwise(F.col("fingerprint"))).orderBy("arrival")
-    of_print = Window.partitionBy("fingerprint").orderBy("arrival")
-    rows = rows.withColumns({"matched": F.first("matched", True).over(of_print), "founder": F.first("fingerprint").over(of_url)}).withColumn("founder", F.first("founder").over(of_print))
-    rows = rows.withColumn("job_id", F.coalesce("matched", F.substring("founder", 1, 32)))
-    old = jobs.select("job_id", F.col("fingerprint").alias("old_print"), F.col("content_hash").alias("old_hash"), F.col("is_active").alias("was_active"), F.col("first_seen_at").alias("old_seen"))
-    of_job = Window.partitionBy("job_id").orderBy("arrival")
-    both = rows.join(old, "job_id", "left").withColumns({"before": F.coalesce(F.lag("content_hash").over(of_job), "old_hash"), "nth": F.row_number().over(of_job)})
-    change = F.when(F.col("before").isNull(), "inserted").when(F.col("content_hash") != F.col("before"), "updated").otherwise("unchanged")
-    both = both.withColumns({"change": change, "reactivated": F.coalesce(~F.col("was_active"), F.lit(False)) & (F.col("nth") == 1)})
-    values = [c for c in jobs.columns if c not in ("job_id", "fingerprint", "first_seen_at", "last_seen_at", "is_active")]
-    last = both.withColumn("from_last", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("arrival")))).where("from_last = 1")
-    fresh = last.select("job_id", F.coalesce("old_print", "founder").alias("fingerprint"), *values, F.coalesce("old_seen", now).alias("first_seen_at"), now.alias("last_seen_at"), F.lit(True).alias("is_active"))
-    kept = jobs.join(last.select("job_id"), "job_id", "left_anti")
-    versions = both.where("change <> 'unchanged'").select("job_id", "content_hash", "description", now.alias("created_at")).dropDuplicates(["job_id", "content_hash"])
-    history = versions.join(snapshots.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
-    return kept.unionByName(fresh.select(kept.columns)), snapshots.unionByName(history.select(snapshots.columns)), both.select("job_id", "change", "reactivated")
+    changes = decide(jobs, batch)
+    last = changes.groupBy("job_id").agg(F.max_by(F.struct("fingerprint", "url", "arrival", "content_hash"), F.when(F.col("change") != "unchanged", F.col("step"))).alias("row"), F.min_by("fingerprint", "step").alias("founder"))
+    last = last.withColumn("row", F.when(F.col("row.arrival").isNotNull(), F.col("row"))).select("job_id", "founder", *[F.col(f"row.{c}").alias(f"row_{c}") for c in ("fingerprint", "url", "arrival", "content_hash")])
+    own = [c for c in jobs.columns if c not in ("job_id", "fingerprint", "first_seen_at", "last_seen_at", "is_active")]
+    full = batch.withColumn("url", F.when(F.col("job_url") != "", F.concat_ws("\n", "source", "job_url"))).dropDuplicates(["fingerprint", "url", "arrival", "content_hash"])
+    same = (full["fingerprint"] == last["row_fingerprint"]) & full["url"].eqNullSafe(last["row_url"]) & (full["arrival"] == last["row_arrival"]) & (full["content_hash"] == last["row_content_hash"])
+    values = full.join(last, same).select("job_id", F.struct(*[F.col(c) for c in own]).alias("new"))
+    seen = last.select("job_id", "founder").join(values, "job_id", "left")
+    both = jobs.select("job_id", F.struct(*jobs.columns).alias("old")).join(seen, "job_id", "full")
+    stays = F.col("founder").isNull()
+    out = both.select(
+        "job_id",
+        F.coalesce("old.fingerprint", "founder").alias("fingerprint"),
+        *[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in own],
+        F.coalesce("old.first_seen_at", now).alias("first_seen_at"),
+        F.when(stays, F.col("old.last_seen_at")).otherwise(now).alias("last_seen_at"),
+        F.when(stays, F.col("old.is_active")).otherwise(F.lit(True)).alias("is_active"),
+    ).select(jobs.columns)
+    text = full.select("fingerprint", "url", "arrival", "content_hash", "description")
+    fresh = changes.where("change <> 'unchanged'").select("job_id", "fingerprint", "url", "arrival", "content_hash").join(snapshots.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
+    fresh, text = fresh.alias("f"), text.alias("t")
+    match = (F.col("f.fingerprint") == F.col("t.fingerprint")) & F.col("f.url").eqNullSafe(F.col("t.url")) & (F.col("f.arrival") == F.col("t.arrival")) & (F.col("f.content_hash") == F.col("t.content_hash"))
+    versions = fresh.join(text, match).select("f.job_id", "f.content_hash", "t.description", now.alias("created_at")).dropDuplicates(["job_id", "content_hash"])
+    return out, snapshots.unionByName(versions.select(snapshots.columns)), changes.select("job_id", "change", "reactivated")
 
 
 def to_sync(changes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ batches bring, conversations the questions, pages raw HTML.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -293,6 +294,39 @@ def upsert_batch_urls(spark, sf_dir):
     return ingest.counters(ingest.upsert(none, history, batch, F.lit("2026-09-02").cast("timestamp"))[2])
 
 
+_STORED_SQL = """
+    with o as (select o_orderkey as k, o_orderkey % 4 as g, o_orderpriority as p, o_orderstatus as s from orders)
+    select id, url, p as title, s || tag as description, tag = '' as untouched
+    from (select *, unnest(case g when 0 then [('j', 'b', ''), ('x', 'b', '/2')]
+                                  when 1 then [('j', 'a', '/1'), ('c', 'b', '/2')]
+                                  when 2 then [('n', 'b', '/1')]
+                                  else [('j', 'b', '')] end) as r from o)
+    cross join lateral (select r[1] || k as id, 'https://shop.example/' || r[2] || k as url, r[3] as tag)"""
+
+
+@query(_STORED_SQL)
+def upsert_stored_urls(spark, sf_dir):
+    """A stored job j of each order at URL b, and rows in an order that matters.
+
+    g 0: x at a, x at b: x is a job of its own and moves to b, where j stays as it is. g 1: j at a, c at b: j moves away, so c is
+    new. g 2: n at b: it is j under another id. g 3: j at b with j's own values: unchanged.
+    """
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 4).alias("g"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("s"))
+
+    def raw(rows, name, place, tag, nth):
+        return rows.select(F.lit("shop").alias("site"), F.concat(F.lit(name), "k").alias("id"), F.concat(F.lit(f"https://shop.example/{place}"), "k").alias("job_url"), "title", F.concat("s", F.lit(tag)).alias("description"), (F.col("k") * 2 + nth).alias("arrival"))
+
+    now = F.lit("2026-09-01").cast("timestamp")
+    base = ingest.canonical(raw(o, "j", "b", "", 0))
+    old = base.select(F.substring("fingerprint", 1, 32).alias("job_id"), "*", now.alias("first_seen_at"), now.alias("last_seen_at"), F.lit(True).alias("is_active"))
+    history = old.select("job_id", "content_hash", "description", F.col("first_seen_at").alias("created_at"))
+    g = lambda i: o.where(F.col("g") == i)
+    parts = [raw(g(0), "x", "a", "/1", 0), raw(g(0), "x", "b", "/2", 1), raw(g(1), "j", "a", "/1", 0), raw(g(1), "c", "b", "/2", 1), raw(g(2), "n", "b", "/1", 0), raw(g(3), "j", "b", "", 0)]
+    batch = ingest.canonical(reduce(DataFrame.unionByName, parts))
+    new, _, _ = ingest.upsert(old, history, batch, F.lit("2026-09-02").cast("timestamp"))
+    return new.select(F.col("source_job_id").alias("id"), F.col("job_url").alias("url"), "title", "description", (~F.col("description").contains("/")).alias("untouched"))
+
+
 @query("select doc_id from documents where doc_id not in (select vec_id from embeddings) and doc_id % 4 < 3")
 def pending_embeddings(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.lit("m").alias("embedding_model"), F.lit("p").alias("embedding_provider"))
