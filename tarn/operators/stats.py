@@ -57,6 +57,21 @@ def skill_counts(texts: DataFrame, text: str = "text", key: str = "job_id", lexi
     return rows.orderBy(F.desc("jobs"), "skill").limit(limit)
 
 
+def skill_flags(text: Column, lexicon: tuple = L.SKILLS) -> Column:
+    """array<boolean>: which skills of the lexicon a text shows, in its order."""
+    return F.array(*[F.coalesce(text.rlike(f"(?i){p}"), F.lit(False)) for _, p in lexicon])
+
+
+def skill_counts_by(rows: DataFrame, keys: list[str], lexicon: tuple = L.SKILLS, flags: str = "flags") -> DataFrame:
+    """keys, skill, jobs, total, percentage: how many rows of each group show each skill that any of them shows.
+
+    One row for each group and task is shuffled, with a count for each skill.
+    """
+    counts = [F.struct(F.lit(n).alias("skill"), F.count_if(F.get(flags, F.lit(i))).alias("jobs")) for i, (n, _) in enumerate(lexicon)]
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.array(*counts).alias("a")).select(*keys, "total", F.inline("a")).where("jobs > 0")
+    return found.withColumn("percentage", percent(F.col("jobs"), F.col("total")))
+
+
 def job_texts(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
     """job_id, text: the chunks of the chosen jobs in order, joined."""
     rows = chunks.join(jobs.select("job_id").distinct(), "job_id", "left_semi")

@@ -17,8 +17,9 @@ def windows(events: DataFrame, size: str, late: str = "1 day") -> DataFrame:
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-def read_files(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+def read_files(spark: SparkSession, path: str, schema, per_trigger: int = 100, kind: str = "parquet") -> DataFrame:
+    """A stream of the files of a folder, or of a pattern of files, in the order in which they came."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(kind).load(path)
 
 
 def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str):
