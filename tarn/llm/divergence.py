@@ -6,8 +6,8 @@ with `count` of them p = 1 + floor(SCALE * (count + PRIOR) / (N + PRIOR * V)); a
 
 1. Each task counts its documents' terms by group in bounded tables: rows (lang, source, term, n, d).
 2. One shuffle by (lang, term) sums them, and drops the terms of too few documents.
-3. The terms of a language fall into blocks by their hash, so many that a dense matrix of all sources by the terms of
-   a block has about CELLS numbers. Each block, by STRIP sources at a time, is a numpy int64 tile: its rows are
+3. The terms of a language fall into blocks by their hash, of about TERMS terms, or of fewer where a dense matrix of all
+   sources by the terms of a block had more than about CELLS numbers. Each block, by STRIP sources at a time, is a numpy int64 tile: its rows are
    broadcast against all sources, which gives a partial matrix of pairs, and each group keeps a heap of its TOP terms.
 4. Partial matrices are summed by pair; heaps are merged by group.
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from tarn.llm.common import keep, small_batches
 
 MIN_DOCS, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
-#: Numbers of a tile, sources that are broadcast against all others at a time, and (group, term) entries of a task's tables.
-CELLS, STRIP, ENTRIES = 1 << 20, 256, 400_000
+#: Terms and numbers of a tile, sources that are broadcast against all others at a time, and (group, term) entries of a task's tables.
+TERMS, CELLS, STRIP, ENTRIES = 2048, 1 << 20, 256, 400_000
 #: Languages whose figures go to every task; more are joined by a shuffle.
 LANGS = 10_000
 
@@ -154,7 +154,7 @@ def audit(docs: DataFrame) -> DataFrame:
     is_group = F.col("term").isNull()
     groups = known.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if(F.col("first") & ~is_group).alias("firsts"))
     langs = groups.groupBy("lang").agg(F.sum("firsts").alias("kept"), F.count(F.lit(1)).alias("n_sources"))
-    langs = langs.withColumns({"blocks": F.greatest(F.lit(1), F.ceil(F.col("kept") * F.col("n_sources") / CELLS)).cast("int"), "strips": F.ceil(F.col("n_sources") / STRIP).cast("int")})
+    langs = langs.withColumns({"blocks": F.greatest(F.lit(1), F.ceil(F.col("kept") / F.least(F.lit(TERMS), CELLS / F.col("n_sources")))).cast("int"), "strips": F.ceil(F.col("n_sources") / STRIP).cast("int")})
     langs = keep(langs)
     few = langs.count() <= LANGS
     of_lang = F.broadcast(langs) if few else langs
