@@ -81,10 +81,11 @@ def held_out(modulus: int, remainder: int, doc_id: str = "doc_id"):
 LABELS = 10_000
 
 
-def bounded_sample(df: DataFrame, label: str, per_label: int, total: int, key: str = "doc_id") -> DataFrame:
+def bounded_sample(df: DataFrame, label: str, per_label: int, total: int, key: str = "doc_id", also: str | None = None) -> DataFrame:
     """Rows with a label, about per_label of each value and never more than total rows.
 
-    Which rows are taken follows from a hash of their key alone, so a rerun takes the same. Labels
+    Which rows are taken follows from a hash of their key alone, or of the column `also` where they have no key, so a
+    rerun takes the same. Labels
     are counted first (beyond LABELS values, the documented bound, the rarest are left out), and rows of
     a value are taken at the rate that its count asks for, all where there are few. Many values share
     nine tenths of total equally, so chance does not reach total; only very many rows of one key could,
@@ -98,7 +99,9 @@ def bounded_sample(df: DataFrame, label: str, per_label: int, total: int, key: s
     each = min(per_label, 0.9 * total / kinds)
     # at most LABELS short rows, so they may go to every task
     rates = counts.select(F.col(label).alias(f"{rate}_of"), F.least(F.lit(1.0), each / F.col("count")).alias(rate))
-    own = df.join(F.broadcast(rates), F.col(label) == F.col(f"{rate}_of")).withColumn(draw, F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_003)) / 1_000_003)
+    mark = F.xxhash64(F.col(key), F.lit("sample"))
+    mark = F.when(F.col(key).isNull(), F.xxhash64(F.col(also), F.lit("sample"))).otherwise(mark) if also else mark
+    own = df.join(F.broadcast(rates), F.col(label) == F.col(f"{rate}_of")).withColumn(draw, F.pmod(mark, F.lit(1_000_003)) / 1_000_003)
     return own.where(F.col(draw) < F.col(rate)).orderBy(draw, key).limit(total).select(*df.columns)
 
 

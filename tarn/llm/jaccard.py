@@ -483,7 +483,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that with the smallest id; rows without id or shingles stay."""
+    """docs with one document of each component: that with the smallest id; rows without id or shingles stay.
+
+    Rows that share an id are one document, so they stay or go together.
+    """
     own = fresh(docs, "component_own_id")
     ids = report(docs).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
     return docs.join(ids, docs["doc_id"].cast("long") == F.col(own), "left_semi").union(docs.where("doc_id is null"))

@@ -75,7 +75,7 @@ def fit(docs: DataFrame, lang: str = "lang") -> dict:
 
     The sample's n-gram counts, not its texts, come to the driver: SAMPLE rows of at most DIMS bins.
     """
-    rows = bounded_sample(docs.select(F.col("doc_id").cast("long"), "text", F.col(lang).alias("lang")), "lang", PER_LANGUAGE, SAMPLE)
+    rows = bounded_sample(docs.select(F.col("doc_id").cast("long"), "text", F.col(lang).alias("lang")), "lang", PER_LANGUAGE, SAMPLE, also="text")
 
     def make():
         def one(doc_id, text, lang):
@@ -139,7 +139,9 @@ def report(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is not rejected."""
+    """The rows of docs, with all their columns, whose language is not rejected; all rows if no language was learned."""
+    if not model["langs"]:
+        return docs
 
     def run(batches):
         for batch in batches:

@@ -15,7 +15,8 @@ parts, each scored by a model of the others; the final model has the counts of a
 
 The model is fitted on a bounded sample of labelled rows: at most about PER_CLASS rows of each
 class, chosen by a hash of their id, and of these, in the order of that hash, as many as make up
-SAMPLE_BYTES bytes of text. Null texts and texts without letters count as ordinary throughout;
+SAMPLE_BYTES bytes of text. A text of more than LONG_TEXT bytes is not learned from, so that it takes the place of no
+other. Null texts and texts without letters count as ordinary throughout;
 without labels of both classes every score is 0. Rows are independent, so repeated rows and null ids
 get a row each. Rows of labels with a null id or mark do not count; of several marks the largest does.
 """
@@ -35,6 +36,7 @@ ORDER = 6
 #: The toxic class's share of words from its own model.
 SHARE = 0.01
 PER_CLASS, SAMPLE_BYTES, FOLDS = 2500, 12 << 20, 4
+LONG_TEXT = SAMPLE_BYTES // 32
 THRESHOLD = 0.7
 WORD = r"[^\W\d_]+"
 #: Words scored together, which bounds a worker's memory.
@@ -160,7 +162,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = bounded_sample(marks, "toxic", PER_CLASS, 2 * PER_CLASS + PER_CLASS // 2)
     # at most 6,250 short rows, so they may go to every task
-    own = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(marks), "doc_id")
+    own = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= LONG_TEXT).join(F.broadcast(marks), "doc_id")
     draw = F.xxhash64("doc_id", "text", F.lit("order"))
     before = Window.partitionBy("toxic").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = keep(own.select("toxic", "text", F.octet_length("text").alias("size"), draw.alias("draw")))
