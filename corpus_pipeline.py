@@ -7,6 +7,11 @@
 5. Byte-level BPE encodes the texts and decodes the ids again.
 
 All but the last return the columns of documents; n_chars follows the text.
+
+Defined results: null texts and texts without a letter go in the first stage, with or without an id; where no document
+has a language to learn from, nothing can be rejected and all rows go on. Of texts that repeat under several ids the
+least id stays; rows that share an id are one document and stay or go together, as do rows without an id. Very long texts are read whole. Other columns are carried along as they are, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
