@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import lexicon as L
 from tarn.operators.filters import no_text, pending
+from tarn.operators.quantiles import quantiles
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -79,21 +80,42 @@ def job_texts(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-def requests(log: DataFrame, digits: int = 2) -> DataFrame:
-    """One row over a request log (status, total_ms, cache_hit, refused, prompt_tokens, completion_tokens, pipeline_version)."""
+def requests(log: DataFrame, digits: int = 2, ok: str = "ok") -> DataFrame:
+    """One row over a request log (status, total_ms, cache_hit, refused, prompt_tokens, completion_tokens, pipeline_version).
+
+    Columns that a log may have besides: no_result, retrieval_ms, llm_ms, estimated_cost_usd. A request with tokens or time
+    of the model is a call; the model's average is over calls, that of retrieval over all requests; the
+    cost is null where no request has a price. Percentiles are exact and distributed.
+    """
     rate = lambda c: percent(F.count_if(c), F.count(F.lit(1)), 2)
-    at = lambda p: F.bround(F.percentile("total_ms", p), digits)
-    return log.agg(
+    has = lambda c, kind: F.col(c).cast(kind) if c in log.columns else F.lit(None).cast(kind)
+    tokens = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
+    llm = F.coalesce(has("llm_ms", "double"), F.lit(0.0))
+    called = (tokens > 0) | (llm > 0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    mean = lambda c: F.coalesce(F.bround(F.avg(c), digits), F.lit(0.0))
+    price = has("estimated_cost_usd", "double")
+    row = log.agg(
         F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("status") == ok).alias("successful"),
         F.count_if(F.col("status") == "error").alias("failed"),
+        rate(F.col("status") == "error").alias("error_rate"),
+        F.count_if("cache_hit").alias("cache_hits"),
         rate(F.col("cache_hit")).alias("cache_hit_rate"),
+        F.count_if("refused").alias("refusals"),
         rate(F.col("refused")).alias("refusal_rate"),
-        at(0.5).alias("p50"),
-        at(0.95).alias("p95"),
-        F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
-        F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"),
+        F.count_if(has("no_result", "boolean")).alias("no_results"),
+        mean(F.coalesce(has("retrieval_ms", "double"), F.lit(0.0))).alias("retrieval_average"),
+        F.count_if(called).alias("calls"),
+        mean(F.when(called, llm)).alias("llm_average"),
+        total("prompt_tokens").alias("prompt_tokens"),
+        total("completion_tokens").alias("completion_tokens"),
+        total(tokens).alias("total_tokens"),
+        F.round(F.sum(price), 8).alias("cost_usd"),
+        (F.count(price) > 0).alias("cost_configured"),
         F.array_sort(F.collect_set("pipeline_version")).alias("pipelines"),
     )
+    return row.join(quantiles(log, [], "total_ms", {"p50": 0.5, "p95": 0.95})).withColumns({p: F.coalesce(F.bround(p, digits), F.lit(0.0)) for p in ("p50", "p95")})
 
 
 def cost(prompt: Column, completion: Column, prompt_price: float | None, completion_price: float | None) -> Column:

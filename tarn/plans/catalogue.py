@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import scalar as S
-from tarn.operators import assess, chunking, evaluation, filters, ingest, retrieval, state, stats
+from tarn.operators import assess, chunking, evaluation, filters, index, ingest, quantiles, retrieval, state, stats
 from tarn.sources import files, html
 from tarn.streaming import flows
 
@@ -115,23 +115,39 @@ def job_texts(spark, sf_dir):
     return stats.job_texts(turns, turns).select("job_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
-_LOG = "select event_type as status, value as total_ms, user_id % 3 = 0 as cache_hit, event_type = 'view' as refused, user_id as prompt_tokens, event_id % 10 as completion_tokens, event_type as pipeline_version from events"
+_PRICES = (0.5, 1.5)
+_LOG = f"select event_type as status, value as total_ms, user_id % 3 = 0 as cache_hit, event_type = 'view' as refused, event_type = 'click' and user_id % 2 = 0 as no_result, value / 4 as retrieval_ms, case when event_type = 'purchase' then value / 2 else 0 end as llm_ms, case when event_type = 'purchase' then user_id else 0 end as prompt_tokens, case when event_type = 'purchase' then event_id % 10 else 0 end as completion_tokens, case when event_type = 'purchase' then round((user_id * {_PRICES[0]} + event_id % 10 * {_PRICES[1]}) / 1e6, 8) end as estimated_cost_usd, event_type as pipeline_version from events"
 
 
 def _log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", "ts", F.col("event_type").alias("status"), F.col("value").alias("total_ms"), (F.col("user_id") % 3 == 0).alias("cache_hit"), (F.col("event_type") == "view").alias("refused"), F.col("user_id").alias("prompt_tokens"), (F.col("event_id") % 10).alias("completion_tokens"), F.col("event_type").alias("pipeline_version"))
+    bought = F.col("event_type") == "purchase"
+    paid = lambda c: F.when(bought, c).otherwise(0)
+    rows = e.select("event_id", "ts", F.col("event_type").alias("status"), F.col("value").alias("total_ms"), (F.col("user_id") % 3 == 0).alias("cache_hit"), (F.col("event_type") == "view").alias("refused"), ((F.col("event_type") == "click") & (F.col("user_id") % 2 == 0)).alias("no_result"), (F.col("value") / 4).alias("retrieval_ms"), paid(F.col("value") / 2).alias("llm_ms"), paid(F.col("user_id")).alias("prompt_tokens"), paid(F.col("event_id") % 10).alias("completion_tokens"), F.col("event_type").alias("pipeline_version"))
+    return rows.withColumn("estimated_cost_usd", F.when(F.col("status") == "purchase", stats.cost(F.col("prompt_tokens"), F.col("completion_tokens"), *_PRICES)))
 
 
-@query(f"select count(*) as total, count_if(status = 'error') as failed, round_even(count_if(cache_hit) * 100.0 / count(*), 2) as cache_hit_rate, round_even(count_if(refused) * 100.0 / count(*), 2) as refusal_rate, round_even(quantile_cont(total_ms, 0.5), 6) as p50, round_even(quantile_cont(total_ms, 0.95), 6) as p95, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens, array_to_string(list_sort(list(distinct pipeline_version)), ',') as pipelines from ({_LOG})")
+@query(
+    "with l as (select *, prompt_tokens + completion_tokens > 0 or llm_ms > 0 as called from ("
+    + _LOG
+    + ")) select count(*) as total, count_if(status = 'purchase') as successful, count_if(status = 'error') as failed, round_even(count_if(status = 'error') * 100.0 / count(*), 2) as error_rate, count_if(cache_hit) as cache_hits, round_even(count_if(cache_hit) * 100.0 / count(*), 2) as cache_hit_rate, count_if(refused) as refusals, round_even(count_if(refused) * 100.0 / count(*), 2) as refusal_rate, count_if(no_result) as no_results, round_even(avg(retrieval_ms), 6) as retrieval_average, count_if(called) as calls, round_even(avg(llm_ms) filter (where called), 6) as llm_average, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens, cast(sum(prompt_tokens + completion_tokens) as bigint) as total_tokens, round(sum(estimated_cost_usd), 8) as cost_usd, count(estimated_cost_usd) > 0 as cost_configured, round_even(quantile_cont(total_ms, 0.5), 6) as p50, round_even(quantile_cont(total_ms, 0.95), 6) as p95, array_to_string(list_sort(list(distinct pipeline_version)), ',') as pipelines from l"
+)
 def ops_summary(spark, sf_dir):
-    return stats.requests(_log(spark, sf_dir), 6).withColumn("pipelines", F.array_join("pipelines", ","))
+    return stats.requests(_log(spark, sf_dir), 6, "purchase").withColumn("pipelines", F.array_join("pipelines", ","))
 
 
 @query("select event_type, round_even(quantile_cont(value, 0.5), 6) as p50, round_even(quantile_cont(value, 0.95), 6) as p95, count(*) as n from events group by event_type")
 def latency_percentiles(spark, sf_dir):
-    at = lambda p: F.bround(F.percentile("value", p), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf_dir, "events")
+    at = quantiles.quantiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return at.join(n, "event_type").select("event_type", F.bround("p50", 6).alias("p50"), F.bround("p95", 6).alias("p95"), "n")
+
+
+@query("select l_suppkey, round_even(quantile_cont(l_extendedprice, 0.1), 6) as low, round_even(quantile_cont(l_extendedprice, 0.5), 6) as middle, round_even(quantile_cont(l_extendedprice, 0.999), 6) as high from lineitem group by l_suppkey")
+def grouped_quantiles(spark, sf_dir):
+    at = quantiles.quantiles(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", {"low": 0.1, "middle": 0.5, "high": 0.999})
+    return at.select("l_suppkey", *[F.bround(c, 6).alias(c) for c in ("low", "middle", "high")])
 
 
 @query("select event_id, user_id, event_type from events order by ts desc, event_id desc limit 20")
@@ -356,13 +372,30 @@ def vector_topk(spark, sf_dir):
     return _nearest(spark, sf_dir, 10)
 
 
-_POSTINGS = "select doc_id as chunk_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+#.-]*')) as term from documents) group by all"
-_BM25 = f"(with p as ({_POSTINGS}), dl as (select chunk_id, sum(tf) as dl from p group by chunk_id), a as (select count(*) as n, avg(dl) as avgdl from dl), h as (select * from p where term in (select term from {_TERMS_SQL})), f as (select term, count(*) as df from h group by term) select t.query_id, h.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from h join f using (term) join dl using (chunk_id) cross join a join {_TERMS_SQL} on t.term = h.term group by all)"
+def _words(x: str) -> str:
+    return f"regexp_extract_all(translate(lower(coalesce({x}, '')), '{index.ACCENTED}', '{index.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _bm25_sql(fields: list[tuple[str, float]], terms: str) -> str:
+    """BM25 of the phrases of terms (query_id, term) over fields (expression, weight) of documents."""
+    parts = ", ".join(f"{{'w': {w}, 't': {_words(x)}}}" for x, w in fields)
+    return (
+        f"(with d as (select doc_id as chunk_id, [{parts}] as parts from documents), w as (select chunk_id, list_sum(list_transform(parts, lambda x: len(x.t))) as dl from d), "
+        "r as (select chunk_id, unnest(parts) as x, generate_subscripts(parts, 1) as field from d), u as (select chunk_id, field, x.w as weight, unnest(x.t) as term, generate_subscripts(x.t, 1) as pos from r), "
+        f"t as (select distinct query_id, {_words('term')} as q from {terms}), p as (select q, len(q) as k, unnest(q) as term, generate_subscripts(q, 1) as off from (select distinct q from t where len(q) > 0)), "
+        "m as (select chunk_id, q, any_value(weight) as weight from u join p using (term) group by chunk_id, field, q, pos - off having count(*) = any_value(k)), "
+        "a as (select count(*) as n, avg(dl) as avgdl from w), h as (select chunk_id, q, sum(weight)::double as tf from m group by all), f as (select q, count(*) as df from h group by q) "
+        "select t.query_id, h.chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score "
+        "from h join f using (q) join w using (chunk_id) cross join a join t using (q) group by all)"
+    )
+
+
+_BM25 = _bm25_sql([("text", 1)], _TERMS_SQL)
 
 
 def _bm25(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.bm25(docs, {"text": 1.0}, _terms(spark)).withColumn("score", F.round("score", 6))
+    return index.bm25(docs, {"text": 1.0}, _terms(spark)).withColumn("score", F.round("score", 6))
 
 
 def _keyword(spark, sf_dir, k):
@@ -422,16 +455,45 @@ def lexical_supplement(spark, sf_dir):
 _FIELD_SQL = (("title", "split_part(text, chr(10), 1)", 5), ("section", "source || ' ' || lang", 4), ("company", "source", 3), ("location", "lang", 2), ("content", "text", 1))
 _FIELD_TERMS = [(1, "the"), (1, "src1"), (2, "de"), (2, "und"), (3, "src7"), (3, "fr"), (3, "les")]
 _FIELD_TERMS_SQL = "(values " + ", ".join(f"({q}, '{t}')" for q, t in _FIELD_TERMS) + ") t(query_id, term)"
-_FIELD_POSTINGS = "select chunk_id, term, sum(w) as tf from (" + " union all ".join(f"select doc_id as chunk_id, unnest(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9][a-z0-9+#.-]*')) as term, {w} as w from documents" for _, x, w in _FIELD_SQL) + ") group by all"
 
 
-@query(f"with p as ({_FIELD_POSTINGS}), dl as (select chunk_id, sum(tf) as dl from p group by chunk_id), a as (select count(*) as n, avg(dl) as avgdl from dl), h as (select * from p where term in (select term from {_FIELD_TERMS_SQL})), f as (select term, count(*) as df from h group by term) select t.query_id, h.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from h join f using (term) join dl using (chunk_id) cross join a join {_FIELD_TERMS_SQL} on t.term = h.term group by all")
+@query("select * from " + _bm25_sql([(x, w) for _, x, w in _FIELD_SQL], _FIELD_TERMS_SQL))
 def bm25_fields(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), *[F.expr(f"substring_index(text, '\\n', 1)" if n == "title" else x).alias(n) for n, x, _ in _FIELD_SQL])
-    scored = retrieval.bm25(docs, {n: w for n, _, w in _FIELD_SQL}, spark.createDataFrame(_FIELD_TERMS, "query_id int, term string"))
+    scored = index.bm25(docs, {n: w for n, _, w in _FIELD_SQL}, spark.createDataFrame(_FIELD_TERMS, "query_id int, term string"))
+    return scored.withColumn("score", F.round("score", 6))
+
+
+PHRASES = [(1, "licensed under the"), (1, "MIT license"), (2, "Apache License, Version 2.0"), (3, "de la"), (3, "que"), (4, "und die"), (5, "in the"), (5, "the the"), (6, "src1"), (6, "no such phrase"), (7, "?!"), (7, "all rights reserved.")]
+_PHRASES_SQL = "(values " + ", ".join(f"({q}, '{t}')" for q, t in PHRASES) + ") t(query_id, term)"
+_BOTH_FIELDS = [("title", "split_part(text, chr(10), 1)", 5), ("company", "source", 3), ("content", "text", 1)]
+
+
+@query("select * from " + _bm25_sql([(x, w) for _, x, w in _BOTH_FIELDS], _PHRASES_SQL))
+def phrase_bm25(spark, sf_dir):
+    """Terms of several words, with signs and capitals, over three fields."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("company"), F.col("text").alias("content"))
+    scored = index.bm25(docs, {n: w for n, _, w in _BOTH_FIELDS}, spark.createDataFrame(PHRASES, "query_id int, term string"))
     return scored.withColumn("score", F.round("score", 6))
 
 
+_REPAIRED_SQL = "(select doc_id, source, case when doc_id % 10 = 3 then 'rewritten the text of ' || source when doc_id % 10 = 4 then null else text end as text from documents where doc_id % 10 <> 5)"
+
+
+@query("select * from " + _bm25_sql([("split_part(text, chr(10), 1)", 5), ("source", 3), ("''", 2), ("''", 4), ("text", 1)], _PHRASES_SQL).replace("from documents)", f"from {_REPAIRED_SQL} d)"))
+def index_after_repairs(spark, sf_dir):
+    """A search of an index after three repairs: new texts for some documents, none for others, and some taken away."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_id"), "source", "text", "doc_id")
+    no = F.lit("")
+    chunk = lambda d: d.select(F.col("doc_id").alias("chunk_id"), "job_id", F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("company"), no.alias("location"), no.alias("section_type"), F.col("text").alias("content"))
+    part = lambda n: docs.where(F.col("doc_id") % 10 == n)
+    out = index.Index(spark).repair(chunk(docs), docs.select("job_id"))
+    out.repair(chunk(part(3).withColumn("text", F.concat(F.lit("rewritten the text of "), "source"))), part(3).select("job_id"))
+    out.repair(chunk(part(4).withColumn("text", F.lit(None).cast("string"))), part(4).select("job_id"))
+    out.repair(chunk(part(5).limit(0)), part(5).select("job_id"))
+    return out.search(spark.createDataFrame(PHRASES, "query_id int, term string")).withColumn("score", F.round("score", 6))
+
+
 # --- evaluation
 
 _RANKING = "select source as query_id, doc_id as item, row_number() over (partition by source order by n_chars desc, doc_id) as place from documents"

@@ -14,13 +14,12 @@ from tarn.functions import lexicon as L
 from tarn.functions import scalar as S
 from tarn.operators import chunking, ingest, retrieval, state, stats
 from tarn.operators.filters import Filters, any_has, matches, no_text
+from tarn.operators.index import Index
 from tarn.plans import answer
 from tarn.session import keep
 
 JOBS = "job_id string, fingerprint string, source string, source_job_id string, title string, normalized_title string, company string, location string, job_type string, currency string, interval string, job_url_direct string, min_amount double, max_amount double, is_remote boolean, description string, job_url string, date_posted date, content_hash string, first_seen_at timestamp, last_seen_at timestamp, is_active boolean"
 SNAPSHOTS = "job_id string, content_hash string, description string, created_at timestamp"
-POSTINGS = "chunk_id string, term string, tf double, job_id string, bucket int"
-LENGTHS = "chunk_id string, dl double, job_id string"
 CACHE = "cache_key string, kind string, corpus_version string, payload string, created_at timestamp, expires_at timestamp"
 LOG = "created_at timestamp, query string, status string, intent string, error_type string, total_ms double, cache_hit boolean, refused boolean, no_result boolean, source_count int, prompt_tokens long, completion_tokens long, pipeline_version string"
 #: Minutes that a cached retrieval holds, and the version of the answering pipeline.
@@ -28,14 +27,13 @@ CACHE_MINUTES, PIPELINE = 15, "v1"
 CHUNKS = "job_id string, chunk_index int, section_type string, content string, content_hash string, token_count int, embedding array<float>, embedding_model string, embedding_provider string, embedding_attempts int, embedding_failed_at timestamp, embedding_error string, created_at timestamp"
 
 
-TABLES = ("jobs", "snapshots", "chunks", "postings", "lengths", "cache", "log")
+TABLES = ("jobs", "snapshots", "chunks", "cache", "log")
 
 
 class Engine:
-    """Tables of jobs, snapshots, chunks and the keyword index; each step writes their next version to the shared folder.
+    """Tables of jobs, snapshots and chunks, and the keyword index; each step writes their next version to the shared folder.
 
-    The index (postings by term, lengths) is repaired for the jobs that a step changes and read with
-    the terms of a question as filters. Ranked jobs are cached by question, filters and corpus version, and
+    The index gets a segment with the jobs that a step changes and is read with the words of a question as filters. Ranked jobs are cached by question, filters and corpus version, and
     each question leaves a row in the request log, with its hash instead of its text.
 
     save() and load() keep a version under a path of one's own.
@@ -46,17 +44,19 @@ class Engine:
         hash_embedding = retrieval.hash_embedding
         self.embed = embed or (lambda texts: [hash_embedding(t) for t in texts])
         self.jobs, self.snapshots, self.chunks = (spark.createDataFrame([], s) for s in (JOBS, SNAPSHOTS, CHUNKS))
-        self.postings, self.lengths, self.cache = (spark.createDataFrame([], s) for s in (POSTINGS, LENGTHS, CACHE))
+        self.cache, self.keyword = spark.createDataFrame([], CACHE), Index(spark)
         self.log = state.private(spark.createDataFrame([], LOG))
 
     def save(self, path: str) -> None:
         """Writes the tables to a new folder; readers switch to it when it is complete."""
         for name in TABLES:
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+        self.keyword.save(f"{path}/keyword")
 
     def load(self, path: str) -> Engine:
         for name in TABLES:
             setattr(self, name, self.spark.read.parquet(f"{path}/{name}"))
+        self.keyword = Index.load(self.spark, f"{path}/keyword")
         return self
 
     def ingest(self, raw: DataFrame, now: str) -> DataFrame:
@@ -80,15 +80,11 @@ class Engine:
         return self.chunks.join(jobs.select("job_id", "title", "company", "location"), "job_id").withColumn("chunk_id", F.concat_ws(":", "job_id", "content_hash"))
 
     def reindex(self, touched: DataFrame | None = None) -> None:
-        """The keyword index with the parts of the touched jobs made anew; of all jobs without a list."""
+        """The keyword index with a segment of the touched jobs; a new one of all jobs without a list."""
+        if touched is None:
+            self.keyword = Index(self.spark)
         jobs = self.jobs if touched is None else self.jobs.join(touched, "job_id", "left_semi")
-        postings, lengths = retrieval.build_index(self._fields(jobs))
-        if touched is not None:
-            postings = self.postings.join(touched, "job_id", "left_anti").unionByName(postings)
-            lengths = self.lengths.join(touched, "job_id", "left_anti").unionByName(lengths)
-        # sorted by term within a bucket, so that a scan skips most row groups
-        self.postings = keep(postings.repartition("bucket").sortWithinPartitions("bucket", "term"))
-        self.lengths = keep(lengths)
+        self.keyword.repair(self._fields(jobs), jobs.select("job_id") if touched is None else touched)
 
     def expire(self, as_of: str, days: int = 60) -> None:
         jobs, chunks = ingest.expire(self.jobs, self.chunks, F.lit(as_of).cast("date"), days)
@@ -151,7 +147,7 @@ class Engine:
         if mode != "vector":
             terms = retrieval.query_terms(query)
             overlap = rows.select(F.lit(1).alias("query_id"), "chunk_id", retrieval.S.overlap(F.concat_ws("\n", "title", "company", "content"), terms).alias("score"))
-            best = retrieval.search_index(self.postings, self.lengths, terms).join(named, "chunk_id", "left_semi")
+            best = self.keyword.search(terms).join(named, "chunk_id", "left_semi")
             keyword = retrieval.supplement(best, overlap, k=candidates)
         fused = retrieval.fuse(vector, keyword, rrf_k=rrf_k).join(rows.drop("embedding"), "chunk_id")
         return retrieval.capped(fused, per_job=per_job, top=top)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import chunking, evaluation, ingest, retrieval, state, stats
+from tarn.operators import chunking, evaluation, index, ingest, retrieval, state, stats
 from tarn.operators.filters import Filters
 from tarn.plans import answer
 from tarn.plans.engine import Engine
@@ -307,29 +307,33 @@ def test_embedding_run(spark):
 
 
 def test_stored_index_is_repaired(engine, spark):
-    """After any step the index is what a new one over all chunks would be, and searches read it."""
+    """After any step a search gives what an index made anew over all chunks gives."""
     e = Engine(spark)
-    e.ingest(raw(spark, job(1), job(2, "Java Developer", "Requirements\nJava, Docker")), "2026-09-01")
-    e.ingest(raw(spark, job(2, "Java Developer", "Requirements\nKotlin, Docker")), "2026-09-02")
-    e.ingest(raw(spark, job(3, "Old", "Requirements\nCobol", day="2026-01-01")), "2026-09-02")
+    e.ingest(raw(spark, job(1), job(2, "Java Developer", "Requirements\nJava, Docker", place="Berlin"), job(3, day="2026-06-01")), "2026-09-01")
+    e.ingest(raw(spark, job(2, "Kotlin Developer", "Requirements\nKotlin and Docker. Docker", place="Berlin")), "2026-09-02")
     e.expire("2026-09-20")
-    have = sorted(map(tuple, e.postings.select("chunk_id", "term", "tf").collect())), sorted(map(tuple, e.lengths.select("chunk_id", "dl").collect()))
+    asked = ["kotlin", "docker", "java", "retrieval with python", "rag"]
+    have = sorted((r.chunk_id, round(r.score, 9)) for r in e.keyword.search(asked).collect())
+    assert len(e.keyword.segments) == 3
     e.reindex()
-    assert have == (sorted(map(tuple, e.postings.select("chunk_id", "term", "tf").collect())), sorted(map(tuple, e.lengths.select("chunk_id", "dl").collect())))
-    terms = {r.term for r in e.postings.collect()}
-    assert "kotlin" in terms and "cobol" not in terms
-    found = retrieval.search_index(e.postings, e.lengths, ["kotlin", "docker"]).orderBy(F.desc("score")).first()
-    fields = e._fields(e.jobs)
-    plain = retrieval.bm25(fields, retrieval.FIELDS, spark.createDataFrame([(1, "kotlin"), (1, "docker")], "query_id int, term string")).orderBy(F.desc("score")).first()
-    assert found.chunk_id == plain.chunk_id and found.score == pytest.approx(plain.score)
+    assert len(e.keyword.segments) == 1 and have and have == sorted((r.chunk_id, round(r.score, 9)) for r in e.keyword.search(asked).collect())
+
+
+def test_chinese_question_finds_a_phrase_before_a_full_stop(spark):
+    e = Engine(spark)
+    e.ingest(raw(spark, job(1, "ML Engineer", "Requirements\nWe use Python. We run machine learning."), job(2, "Other", "Requirements\nmachine for learning")), "2026-09-01")
+    hits = {r.title: r.keyword_score for r in e.retrieve("这个岗位需要哪些机器学习技能？", mode="keyword").collect()}
+    assert hits["ML Engineer"] is not None and hits["ML Engineer"] > hits.get("Other", 0.0)
+    (best,) = e.keyword.search(["machine learning"]).collect()
+    assert best.score > 0 and [r.chunk_id for r in e.keyword.search(["python"]).collect()] == [best.chunk_id]
 
 
 def test_many_terms_are_joined(spark, monkeypatch):
     rows = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(30))) for i in range(40)] + [(99, None), (98, "")], "chunk_id int, text string")
     terms = spark.createDataFrame([(1, f"w{j}") for j in range(6)] + [(2, "w3"), (2, "none")], "query_id int, term string")
-    one = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in retrieval.bm25(rows, {"text": 1.0}, terms).collect())
-    monkeypatch.setattr(retrieval, "FEW_TERMS", 2)
-    assert one and one == sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in retrieval.bm25(rows, {"text": 1.0}, terms).collect())
+    one = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in index.bm25(rows, {"text": 1.0}, terms).collect())
+    monkeypatch.setattr(index, "FEW_WORDS", 2)
+    assert one and one == sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in index.bm25(rows, {"text": 1.0}, terms).collect())
 
 
 def test_nearest_in_blocks(spark, monkeypatch):
