@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import scalar as S
-from tarn.operators import assess, chunking, evaluation, filters, index, ingest, quantiles, retrieval, state, stats
+from tarn.operators import assess, chunking, evaluation, filters, index, ingest, quantiles, retrieval, state, stats, vectors
 from tarn.sources import files, html
 from tarn.streaming import flows
 
@@ -364,7 +364,16 @@ def _asked(spark, sf_dir):
 def _nearest(spark, sf_dir, k):
     e = table(spark, sf_dir, "embeddings")
     queries = _asked(spark, sf_dir).join(e.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", F.col("embedding").alias("vector"))
-    return retrieval.nearest(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), queries, k=k)
+    return vectors.VectorIndex.build(e.select(F.col("vec_id").alias("chunk_id"), "embedding")).search(queries, k)
+
+
+@query(f"select query_id, chunk_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from ({_VECTOR}) where chunk_id % 3 = 0) where rank <= 10")
+def vector_topk_allowed(spark, sf_dir):
+    """The search among the vectors that a filter of their jobs leaves."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    rows = e.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return vectors.VectorIndex.build(rows).search(queries, 10, rows.where("chunk_id % 3 = 0"))
 
 
 @query(f"select query_id, chunk_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from ({_VECTOR})) where rank <= 10")

@@ -15,6 +15,7 @@ from tarn.functions import scalar as S
 from tarn.operators import chunking, ingest, retrieval, state, stats
 from tarn.operators.filters import Filters, any_has, matches, no_text
 from tarn.operators.index import Index
+from tarn.operators.vectors import VectorIndex
 from tarn.plans import answer
 from tarn.session import keep
 
@@ -45,6 +46,7 @@ class Engine:
         self.embed = embed or (lambda texts: [hash_embedding(t) for t in texts])
         self.jobs, self.snapshots, self.chunks = (spark.createDataFrame([], s) for s in (JOBS, SNAPSHOTS, CHUNKS))
         self.cache, self.keyword = spark.createDataFrame([], CACHE), Index(spark)
+        self.vectors: VectorIndex | None = None
         self.log = state.private(spark.createDataFrame([], LOG))
 
     def save(self, path: str) -> None:
@@ -95,6 +97,9 @@ class Engine:
         """Embeds pending chunks in order, at most limit; manual takes failed ones again. Returns the index state with its alert."""
         at = F.lit(now).cast("timestamp")
         self.chunks = keep(state.embed_pending(self.chunks, self.embed, self.model, self.provider, at, manual=manual, limit=limit))
+        # a chunk is named by its content, so a vector of the index stays right until a model replaces it
+        done = self.chunks.where(~stats.pending(self.model, self.provider))
+        self.vectors = VectorIndex.build(done.select(F.concat_ws(":", "job_id", "content_hash").alias("chunk_id"), "embedding"))
         return stats.backlog_alert(stats.index_state(self.chunks, self.model, self.provider, at))
 
     def backfill(self, fetch: Callable[[str], str | None], now: str, source: str = "linkedin", limit: int = 100, tries: int = 3) -> DataFrame:
@@ -143,7 +148,7 @@ class Engine:
         if mode != "keyword":
             vectors = rows.where(~stats.pending(self.model, self.provider))
             queries = self.spark.createDataFrame([(1, self.embed([query])[0])], "query_id int, vector array<float>")
-            vector = retrieval.nearest(vectors, queries, k=candidates)
+            vector = self.vectors.search(queries, candidates, vectors) if self.vectors else retrieval.nearest(vectors, queries, k=candidates)
         if mode != "vector":
             terms = retrieval.query_terms(query)
             overlap = rows.select(F.lit(1).alias("query_id"), "chunk_id", retrieval.S.overlap(F.concat_ws("\n", "title", "company", "content"), terms).alias("score"))
