@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.operators.filters import attempts_left, pending
+from tarn.session import keep
 
 
 def cache_key(*parts: Column) -> Column:
@@ -60,28 +61,17 @@ def next_slot(now: Column, zone: str = "Asia/Singapore", hour: int = 9) -> Colum
     return F.to_utc_timestamp(F.when(today > local, today).otherwise(F.timestamp_add("DAY", F.lit(1), today)), zone)
 
 
-def embed_pending(chunks: DataFrame, embed, model: str, provider: str, now: Column, most: int = 3, manual: bool = False, order: tuple = ("job_id", "chunk_index"), limit: int | None = None, dims: int | None = None) -> DataFrame:
+def embed_pending(chunks: DataFrame, embed, model: str, provider: str, now: Column, most: int = 3, manual: bool = False, order: tuple = ("job_id", "chunk_index"), limit: int | None = None, dims: int | None = None, size: int = 32) -> DataFrame:
     """Chunks with vectors for pending ones of fewer than `most` attempts, at most `limit` of them in order.
 
-    manual takes failed chunks instead, whatever their attempts. embed(texts) returns a vector for each text,
-    of `dims` numbers if given; it runs in Arrow batches on the executors. A batch that raises, or whose
-    vectors have other sizes, leaves its rows without vector, with one more attempt and the error, and
-    ends the task's calls of the model: the rows after it stay as they were. Success clears both.
-    """
-    @F.pandas_udf("struct<vector:array<float>,error:string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        failed = False
-        for texts in batches:
-            vectors, error = [None] * len(texts), None
-            if not failed and len(texts):
-                try:
-                    vectors = [[float(x) for x in v] for v in embed(list(texts))]
-                    if len(vectors) != len(texts) or len({len(v) for v in vectors} | ({dims} if dims else set())) > 1:
-                        raise ValueError("vectors of another number or size than expected")
-                except Exception as e:  # what the caller's model raises becomes the row's error
-                    failed, vectors, error = True, [None] * len(texts), str(e)[:500] or type(e).__name__
-            yield pd.DataFrame({"vector": vectors, "error": [error] * len(texts)})
+    manual takes failed chunks instead, whatever their attempts. embed(texts) returns a vector for each text, of
+    `dims` numbers if given; it runs on the executors, once for each batch of at most `size` chunks, in order.
 
+    The first batch that raises, or whose vectors have other sizes, ends the run for all tasks: its rows have
+    one more attempt and the error, and all rows after it stay as they were. For that the batches are numbered in order and go to the
+    model in waves of 1, 2, 4, ... batches, each of which waits for the verdict on the one before. So a model
+    that is down is called once, and one that fails later at most as often again as it had answered. Success clears attempts and error.
+    """
     due = pending(model, provider) & attempts_left(manual, most)
     todo = chunks.where(due)
     rest = chunks.where(~due)
@@ -89,16 +79,48 @@ def embed_pending(chunks: DataFrame, embed, model: str, provider: str, now: Colu
         first = todo.select(*order).distinct().orderBy(*order).limit(limit)
         rest = rest.unionByName(todo.join(first, list(order), "left_anti").select(rest.columns))
         todo = todo.join(first, list(order), "left_semi").select(chunks.columns)
-    got = todo.withColumn("_r", run("content"))
-    ok, bad = F.col("_r.vector").isNotNull(), F.col("_r.error").isNotNull()
-    done = got.withColumns(
+    # numbered as sorted: the partition above bit 33, the place in it below
+    ordered = keep(todo.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33).alias("_part"), F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / size)
+    parts = [(r["_part"], r["n"]) for r in ordered.groupBy(part).agg((F.max(place) + 1).alias("n")).orderBy("_part").collect()]
+    starts, total = [], 0
+    for p, n in parts:
+        starts.append((p, total))
+        total += n
+    if not total:
+        return chunks
+    # a row for each partition of the sort
+    offsets = F.broadcast(chunks.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    numbered = ordered.select("_at", "content", part, place.alias("_place")).join(offsets, "_part").select("_at", "content", (F.col("_start") + F.col("_place")).alias("_batch"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, vectors, error = rows.sort_values("_at"), [None] * len(rows), None
+        try:
+            vectors = [[float(x) for x in v] for v in embed(list(rows["content"]))]
+            if len(vectors) != len(rows) or len({len(v) for v in vectors} | ({dims} if dims else set())) > 1:
+                raise ValueError("vectors of another number or size than expected")
+        except Exception as e:  # what the caller's model raises becomes the row's error
+            vectors, error = [None] * len(rows), str(e)[:500] or type(e).__name__
+        return pd.DataFrame({"_at": rows["_at"], "_batch": rows["_batch"], "_vector": vectors, "_error": error})
+
+    waves, start, width, failed = [], 0, 1, None
+    while start < total and failed is None:
+        wave = numbered.where(F.col("_batch").between(start, start + width - 1))
+        waves.append(keep(wave.groupBy("_batch").applyInPandas(run, "_at long, _batch long, _vector array<float>, _error string")))
+        failed = waves[-1].where("_error is not null").agg(F.min("_batch")).first()[0]
+        start, width = start + width, 2 * width
+    got = reduce(DataFrame.unionByName, waves)
+    got = got if failed is None else got.where(F.col("_batch") <= failed)
+    both = ordered.join(got.select("_at", "_vector", "_error"), "_at", "left")
+    ok, bad = F.col("_vector").isNotNull(), F.col("_error").isNotNull()
+    done = both.withColumns(
         {
-            "embedding": F.when(ok, F.col("_r.vector")).otherwise(F.col("embedding")),
+            "embedding": F.when(ok, F.col("_vector")).otherwise(F.col("embedding")),
             "embedding_model": F.when(ok, F.lit(model)).otherwise(F.col("embedding_model")),
             "embedding_provider": F.when(ok, F.lit(provider)).otherwise(F.col("embedding_provider")),
             "embedding_attempts": F.when(ok, F.lit(0)).when(bad, F.col("embedding_attempts") + 1).otherwise(F.col("embedding_attempts")),
             "embedding_failed_at": F.when(ok, F.lit(None).cast("timestamp")).when(bad, now).otherwise(F.col("embedding_failed_at")),
-            "embedding_error": F.when(ok, F.lit(None).cast("string")).when(bad, F.col("_r.error")).otherwise(F.col("embedding_error")),
+            "embedding_error": F.when(ok, F.lit(None).cast("string")).when(bad, F.col("_error")).otherwise(F.col("embedding_error")),
         }
-    ).drop("_r")
+    )
     return rest.unionByName(done.select(chunks.columns))

@@ -43,6 +43,7 @@ class Answer:
     sources: list[dict] = field(default_factory=list)
     statistics: list[dict] | None = None
     validation: dict | None = None
+    telemetry: dict | None = None
 
 
 def evidence_context(jobs: list[dict]) -> str:

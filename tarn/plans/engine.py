@@ -22,9 +22,9 @@ from tarn.session import keep
 JOBS = "job_id string, fingerprint string, source string, source_job_id string, title string, normalized_title string, company string, location string, job_type string, currency string, interval string, job_url_direct string, min_amount double, max_amount double, is_remote boolean, description string, job_url string, date_posted date, content_hash string, first_seen_at timestamp, last_seen_at timestamp, is_active boolean"
 SNAPSHOTS = "job_id string, content_hash string, description string, created_at timestamp"
 CACHE = "cache_key string, kind string, corpus_version string, payload string, created_at timestamp, expires_at timestamp"
-LOG = "created_at timestamp, query string, status string, intent string, error_type string, total_ms double, cache_hit boolean, refused boolean, no_result boolean, source_count int, prompt_tokens long, completion_tokens long, pipeline_version string"
-#: Minutes that a cached retrieval holds, and the version of the answering pipeline.
-CACHE_MINUTES, PIPELINE = 15, "v1"
+LOG = "created_at timestamp, query string, status string, intent string, error_type string, total_ms double, retrieval_ms double, llm_ms double, cache_hit boolean, retrieval_cache_hit boolean, refused boolean, no_result boolean, source_count int, prompt_tokens long, completion_tokens long, pipeline_version string"
+#: Minutes that cached jobs and a cached answer hold, and the version of the answering pipeline.
+CACHE_MINUTES, PIPELINE = {"ranked": 15, "answer": 60}, "v1"
 CHUNKS = "job_id string, chunk_index int, section_type string, content string, content_hash string, token_count int, embedding array<float>, embedding_model string, embedding_provider string, embedding_attempts int, embedding_failed_at timestamp, embedding_error string, created_at timestamp"
 
 
@@ -34,8 +34,8 @@ TABLES = ("jobs", "snapshots", "chunks", "cache", "log")
 class Engine:
     """Tables of jobs, snapshots and chunks, and the keyword index; each step writes their next version to the shared folder.
 
-    The index gets a segment with the jobs that a step changes and is read with the words of a question as filters. Ranked jobs are cached by question, filters and corpus version, and
-    each question leaves a row in the request log, with its hash instead of its text.
+    The index gets a segment with the jobs that a step changes and is read with the words of a question as filters. Ranked jobs and answers are cached by question, filters, models and
+    corpus version, and each question leaves a row in the request log, with its hash instead of its text.
 
     save() and load() keep a version under a path of one's own.
     """
@@ -182,37 +182,48 @@ class Engine:
             return json.loads(found["payload"]), True
         value = json.loads(json.dumps(make(), default=str))
         new = self.spark.createDataFrame([(key, kind, version, json.dumps(value))], "cache_key string, kind string, corpus_version string, payload string")
-        new = new.withColumns({"created_at": at, "expires_at": F.timestamp_add("MINUTE", F.lit(CACHE_MINUTES), at)})
+        new = new.withColumns({"created_at": at, "expires_at": F.timestamp_add("MINUTE", F.lit(CACHE_MINUTES[kind]), at)})
         self.cache = keep(state.last_write(state.evict(self.cache, at), new, "cache_key", "kind"))
         return value, False
 
     def ask(self, question: str, filters: Filters = Filters(), generate=None, now: str | None = None) -> answer.Answer:
         """Routes a question, ranks jobs, counts skills where it asks for numbers, and answers with citations.
 
-        With now, the time of the question, the ranked jobs are cached and the question is logged.
+        With now, the time of the question, answers and ranked jobs are cached and the question is logged; refusals of
+        questions outside the collection are not cached. The answer's telemetry has the times in milliseconds, which caches were
+        hit, the number of sources and the tokens, as its row in the log has.
         """
-        began, hit, error = time.perf_counter(), False, None
+        began, error = time.perf_counter(), None
+        told = {"cache_hit": False, "retrieval_cache_hit": False, "retrieval_ms": 0.0, "llm_ms": 0.0}
+        out = answer.Answer("", answer.intent(question))
         try:
-            out, hit, n = self._answer(question, filters, generate, now)
-            return out
+            if now is None or out.intent == "refusal":
+                out = self._answer(question, filters, generate, now, told)
+            else:
+                parts = [question, vars(filters), self.model, getattr(generate, "__qualname__", None), PIPELINE]
+                kept, told["cache_hit"] = self.cached("answer", parts, now, lambda: vars(self._answer(question, filters, generate, now, told)))
+                out = answer.Answer(**kept)
         except Exception as e:
-            out, n, error = answer.Answer("", answer.intent(question)), 0, type(e).__name__
+            error = type(e).__name__
             raise
         finally:
+            refused, n = out.intent == "refusal", len(out.sources)
+            made = generate is not None and told["llm_ms"] > 0
+            told |= {"total_ms": 1000 * (time.perf_counter() - began), "source_count": n, "prompt_tokens": len(question) // 4 if made else 0, "completion_tokens": len(out.text) // 4 if made else 0}
+            out.telemetry = told
             if now is not None:
-                ms = 1000 * (time.perf_counter() - began)
-                refused = out.intent == "refusal"
-                row = (question, "error" if error else "ok", out.intent, error, ms, hit, refused, not refused and n == 0, n, len(question) // 4, len(out.text) // 4, PIPELINE)
+                row = {"query": question, "status": "error" if error else "ok", "intent": out.intent, "error_type": error, "refused": refused, "no_result": not refused and n == 0, "pipeline_version": PIPELINE} | told
                 new = self.spark.createDataFrame([row], LOG.split(", ", 1)[1]).withColumn("created_at", F.lit(now).cast("timestamp"))
                 self.log = keep(self.log.unionByName(state.private(new)))
+        return out
 
-    def _answer(self, question: str, filters: Filters, generate, now: str | None) -> tuple[answer.Answer, bool, int]:
-        """(answer, whether its jobs were cached, their number)."""
+    def _answer(self, question: str, filters: Filters, generate, now: str | None, told: dict) -> answer.Answer:
         kind = answer.intent(question)
         if kind == "refusal":
-            return answer.Answer(answer.OUT_OF_SCOPE, kind), False, 0
+            return answer.Answer(answer.OUT_OF_SCOPE, kind)
+        began = time.perf_counter()
         rank = lambda: self.ranked(question, filters)
-        jobs, hit = (rank(), False) if now is None else self.cached("ranked", [question, vars(filters), self.model], now, rank)
+        jobs, told["retrieval_cache_hit"] = (rank(), False) if now is None else self.cached("ranked", [question, vars(filters), self.model], now, rank)
         statistics = None
         if kind == "global_aggregate":
             texts = self.jobs.where(matches(filters)).select("job_id", F.concat_ws("\n", "title", "description").alias("text"))
@@ -220,7 +231,11 @@ class Engine:
         elif kind == "aggregate" and jobs:
             ids = self.spark.createDataFrame([(j["job_id"],) for j in jobs], "job_id string")
             statistics = [r.asDict() for r in stats.skill_counts(stats.job_texts(self.chunks, ids), with_ids=True).collect()]
-        return answer.compose(question, jobs, statistics, generate), hit, len(jobs)
+        told["retrieval_ms"] = 1000 * (time.perf_counter() - began)
+        began = time.perf_counter()
+        out = answer.compose(question, jobs, statistics, generate)
+        told["llm_ms"] = 1000 * (time.perf_counter() - began) if generate else 0.0
+        return out
 
     def operations(self, now: str, days: int = 30) -> DataFrame:
         """One row over the request log of the last days."""

@@ -290,17 +290,19 @@ def test_embedding_run(spark):
         return [[1.0, 2.0]] * len(texts)
 
     now = F.lit("2026-09-01").cast("timestamp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    try:
-        out = {r.chunk_index: r for r in state.embed_pending(chunks, embed, "m", "p", now).collect()}
-        assert [out[i].embedding is not None for i in range(6)] == [True, True, False, False, False, False]
-        assert [out[i].embedding_attempts for i in range(6)] == [0, 0, 1, 1, 0, 0] and out[2].embedding_error == "down"
-        some = state.embed_pending(chunks, embed, "m", "p", now, limit=2)
-        assert some.count() == 6 and some.where(~pending("m", "p")).count() == 2
-        dims = state.embed_pending(chunks.where("content = 'good'"), embed, "m", "p", now, dims=3)
-        assert dims.where("embedding is not null").count() == 0 and dims.where("embedding_error is not null").count() >= 2
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in (1, 4):
+        out = {r.chunk_index: r for r in state.embed_pending(chunks.repartition(n, "chunk_index"), embed, "m", "p", now, size=2).collect()}
+        done = [out[i].embedding is not None for i in range(6)]
+        first = next(i for i in range(6) if out[i].embedding_attempts)
+        # all before the first failing batch, nothing of it or after it
+        assert done == [i < first for i in range(6)] and out[first].embedding_error == "down" and out[2].embedding_attempts == 1
+        assert all(out[i].embedding_attempts == 0 and out[i].embedding_error is None for i in range(4, 6))
+    some = state.embed_pending(chunks, embed, "m", "p", now, limit=2)
+    assert some.count() == 6 and some.where(~pending("m", "p")).count() == 2
+    dims = state.embed_pending(chunks.where("content = 'good'"), embed, "m", "p", now, dims=3, size=2)
+    assert dims.where("embedding is not null").count() == 0 and 1 <= dims.where("embedding_error is not null").count() <= 2
+    nothing = state.embed_pending(chunks.limit(0), embed, "m", "p", now)
+    assert nothing.count() == 0 and nothing.columns == chunks.columns
     failed = chunks.withColumn("embedding_attempts", F.when(F.col("chunk_index") == 1, 3).otherwise(0))
     again = state.embed_pending(failed, lambda texts: [[1.0]] * len(texts), "m", "p", now, manual=True)
     assert [r.chunk_index for r in again.where("embedding is not null").collect()] == [1]
@@ -363,11 +365,16 @@ def test_cache_and_log(spark):
     assert e.ask("weather today", now="2026-09-02 10:11:00").intent == "refusal"
     assert e.ask("Which jobs need Python?", now="2026-09-02 10:30:00").text == first.text
     log = e.log.orderBy("created_at").collect()
-    assert [(r.cache_hit, r.refused, r.status) for r in log] == [(False, False, "ok"), (True, False, "ok"), (False, True, "ok"), (False, False, "ok")]
+    assert [(r.cache_hit, r.refused, r.status) for r in log] == [(False, False, "ok"), (True, False, "ok"), (False, True, "ok"), (True, False, "ok")]
+    assert first.telemetry["source_count"] == log[0].source_count == 1 and log[0].retrieval_ms > 0 == log[1].retrieval_ms
     assert "query" not in e.log.columns and log[0].query_length == 23
-    assert e.cache.count() == 1 and e.operations("2026-09-03").first().total == 4
+    assert sorted(r.kind for r in e.cache.collect()) == ["answer", "ranked"] and e.operations("2026-09-03").first().total == 4
+    called = []
+    told = e.ask("Which jobs need Python?", generate=lambda q, c: called.append(1) or "Acme [1]", now="2026-09-02 10:40:00").telemetry
+    assert called and not told["cache_hit"] and not told["retrieval_cache_hit"] and told["completion_tokens"] == 2  # ranked 15 minutes at most
+    assert not e.ask("Which jobs need Python?", now="2026-09-02 11:05:00").telemetry["cache_hit"]  # answers an hour
     e.ingest(raw(spark, job(2, text="Requirements\nGo")), "2026-09-02")
-    e.ask("Which jobs need Python?", now="2026-09-02 10:31:00")
+    e.ask("Which jobs need Python?", now="2026-09-02 11:06:00")
     assert not e.log.orderBy(F.desc("created_at")).first().cache_hit  # another corpus, so another entry
 
 
