@@ -142,6 +142,22 @@ def location_display(city: Column, state: Column, country: Column) -> Column:
     return F.concat_ws(", ", city, state, shown)
 
 
+def _named(c: Column, names: tuple[tuple[str, ...], ...]) -> Column:
+    """The first of the names among which c is, or null."""
+    pairs = [F.lit(x) for own in names for name in own for x in (name, own[0])]
+    return F.try_element_at(F.create_map(*pairs), c)
+
+
+def country(c: Column) -> Column:
+    """The name shown of a country, by any of its names; null for others."""
+    return _named(F.lower(collapse(c)), L.COUNTRIES)
+
+
+def job_type(c: Column) -> Column:
+    """The name shown of a job type as a board writes it, in any of its languages; null for others."""
+    return _named(F.regexp_replace(F.lower(collapse(c)), "[ _-]", ""), L.JOB_TYPES)
+
+
 def job_types(c: Column) -> Column:
     """Names of the job types that a description mentions."""
     return F.filter(F.array(*[F.when(c.rlike(p), name) for name, p in L.JOB_TYPE_WORDS]), lambda x: x.isNotNull())

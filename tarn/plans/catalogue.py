@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import scalar as S
 from tarn.operators import assess, chunking, evaluation, filters, index, ingest, quantiles, retrieval, state, stats, vectors
-from tarn.sources import files, html
+from tarn.sources import boards, files, html
 from tarn.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -713,3 +713,31 @@ def board_ids(spark, sf_dir):
     own = F.when(n % 3 == 0, F.concat(F.lit("li-"), n.cast("string"))).when(n % 3 == 1, F.concat(F.lit("x"), n.cast("string"), F.lit("-y")))
     link = F.when(n % 6 == 1, F.lit("https://b/other")).otherwise(F.concat(F.lit("https://b/jobs/view/dev-at-"), n.cast("string"), F.lit("?t=1")))
     return table(spark, sf_dir, "pages").select("page_id", S.numeric_id(own, link).alias("board_id"))
+
+
+_KINDS = ("Full-time", "Vollzeit, Praktikum", "part time", "Teilzeit", "tempo pieno", "Contractor", "none", "")
+_PLACES = ("Berlin, Germany", "Paris, France", "Praha, Czechia", "Brno, CZECH REPUBLIC", "Remote", "Lyon")
+
+
+def _flat_documents(spark, sf_dir):
+    """documents as the flat frame of a collection."""
+    d = table(spark, sf_dir, "documents")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values)).cast("int"))
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("site"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")).alias("date_posted"), pick(_KINDS).alias("job_type"), pick(_PLACES).alias("location"))
+
+
+_FLAT_SQL = f"select doc_id::varchar as id, source as site, cast(date '2026-01-01' + cast(doc_id % 200 as int) as date) as date_posted, ({list(_KINDS)})[doc_id % {len(_KINDS)} + 1] as job_type, ({list(_PLACES)})[doc_id % {len(_PLACES)} + 1] as location from documents"
+
+
+@query(f"select site, id from (select *, row_number() over (partition by site order by date_posted desc, id) as n from ({_FLAT_SQL}) where date_posted >= date '2026-06-01' - 100 and job_type in ('Full-time', 'Vollzeit, Praktikum', 'tempo pieno') and location <> 'Berlin, Germany' and location <> 'Paris, France') where n between 2 and 5")
+def board_options(spark, sf_dir):
+    """Of each board the second to fifth of the newest full-time postings of 100 days that may be Czech."""
+    options = boards.Options(results_wanted=4, offset=1, hours_old=2400, job_type="Voltijds", country="Czechia")
+    return boards.wanted(_flat_documents(spark, sf_dir), options, F.lit("2026-06-01").cast("date")).select("site", "id")
+
+
+@query(f"select id, case when job_type in ('Full-time', 'Vollzeit, Praktikum', 'tempo pieno') then 'fulltime' when job_type in ('part time', 'Teilzeit') then 'parttime' when job_type = 'Contractor' then 'contract' end as kind, case when location like '%Germany' then 'germany' when location like '%France' then 'france' when lower(location) like '%cz%' then 'czech republic' end as country from ({_FLAT_SQL})")
+def names_shown(spark, sf_dir):
+    """Job types and countries by any of their names."""
+    rows = _flat_documents(spark, sf_dir)
+    return rows.select("id", S.job_type(F.split("job_type", ",")[0]).alias("kind"), S.country(F.element_at(F.split("location", ","), -1)).alias("country"))

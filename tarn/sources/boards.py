@@ -7,11 +7,14 @@ board has a reader of its raw rows; collect() unites them with all columns in on
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.functions import lexicon as L
 from tarn.functions import scalar as S
+from tarn.operators.filters import both
 from tarn.sources import html
 
 # Columns of the flat frame, in order.
@@ -180,11 +183,69 @@ def flat(df: DataFrame, enforce_annual: bool = False) -> DataFrame:
     return df.select(*[(own[c] if c in own else have(c).cast("string")).alias(c) for c in FLAT])
 
 
-def collect(spark: SparkSession, paths: dict[str, str], as_of: Column, enforce_annual: bool = False) -> DataFrame:
-    """All boards' landed files (JSON lines with a payload), newest first within a board."""
+@dataclass(frozen=True)
+class Options:
+    """What a collection wants; an empty value wants all.
+
+    results_wanted and offset count within each board, newest first; hours_old goes back from the day of collection, to
+    whole days; job_type and country may be any of their names, and unknown ones are errors.
+    """
+
+    sites: tuple[str, ...] = ()
+    results_wanted: int | None = None
+    offset: int = 0
+    hours_old: int | None = None
+    job_type: str = ""
+    country: str = ""
+    is_remote: bool = False
+
+    def __post_init__(self):
+        if self.job_type and not any(_bare(self.job_type) in own for own in L.JOB_TYPES):
+            raise ValueError(f"unknown job type {self.job_type!r}")
+        if self.country and not any(self.country.strip().lower() in own for own in L.COUNTRIES):
+            raise ValueError(f"unknown country {self.country!r}")
+        if self.sites and (unknown := set(self.sites) - set(READERS)):
+            raise ValueError(f"unknown boards {sorted(unknown)}")
+
+
+def _bare(name: str) -> str:
+    return name.lower().translate(str.maketrans("", "", " _-"))
+
+
+def wanted(rows: DataFrame, options: Options, as_of: Column) -> DataFrame:
+    """The rows of the flat frame that the options want.
+
+    A row without a date is as old as can be if an age is asked for; one of several job types has each of them; the country is the last part
+    of the location, and a row whose location names none is of any.
+    """
+    types = F.transform(F.split(F.coalesce("job_type", F.lit("")), ","), S.job_type)
+    place = S.country(F.element_at(F.split(F.coalesce("location", F.lit("")), ","), -1))
+    asked = next((own[0] for own in L.COUNTRIES if options.country.strip().lower() in own), None)
+    kind = next((own[0] for own in L.JOB_TYPES if _bare(options.job_type) in own), None) if options.job_type else None
+    rows = rows.where(
+        both(
+            F.col("site").isin(*options.sites) if options.sites else None,
+            F.coalesce(F.col("date_posted") >= F.timestamp_add("HOUR", F.lit(-options.hours_old), as_of.cast("timestamp")).cast("date"), F.lit(False)) if options.hours_old is not None else None,
+            F.array_contains(types, kind) if kind else None,
+            F.coalesce(place == asked, F.lit(True)) if asked and asked != "worldwide" else None,
+            F.coalesce("is_remote", F.lit(False)) if options.is_remote else None,
+        )
+    )
+    if options.results_wanted is None and not options.offset:
+        return rows
+    nth = F.row_number().over(Window.partitionBy("site").orderBy(F.desc_nulls_last("date_posted"), "id"))
+    last = options.offset + options.results_wanted if options.results_wanted is not None else None
+    rows = rows.withColumn("_nth", nth).where(F.col("_nth") > options.offset)
+    return (rows.where(F.col("_nth") <= last) if last is not None else rows).drop("_nth")
+
+
+def collect(spark: SparkSession, paths: dict[str, str], as_of: Column, enforce_annual: bool = False, options: Options = Options()) -> DataFrame:
+    """The wanted rows of all boards' landed files (JSON lines with a payload), newest first within a board."""
     out = None
     for site, path in paths.items():
+        if options.sites and site not in options.sites:
+            continue
         raw, reader = spark.read.schema("payload string").json(path), READERS[site]
         rows = flat(reader(raw, as_of) if reader in (naukri, glassdoor, google) else reader(raw), enforce_annual)
         out = rows if out is None else out.unionByName(rows)
-    return out.orderBy("site", F.desc_nulls_last("date_posted"))
+    return wanted(out, options, as_of).orderBy("site", F.desc_nulls_last("date_posted"))
