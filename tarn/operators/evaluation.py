@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.session import keep
 
-#: Terms whose occurrences one pass over the texts counts.
-TERM_BLOCK = 256
+#: Terms whose occurrences one pass over the texts counts; they go to every task.
+TERM_BLOCK = 50_000
 
 
 def first_places(ranking: DataFrame, item: str = "item") -> DataFrame:
@@ -56,16 +59,43 @@ def metrics(ranking: DataFrame, grades: DataFrame, k: int = 8) -> DataFrame:
 def silver(texts: DataFrame, questions: DataFrame, key: str = "item", limit: int = 10) -> DataFrame:
     """query_id, item, score, place: the texts with most occurrences of a question's terms (query_id, term).
 
-    Occurrences are counted in the text's row, for blocks of TERM_BLOCK terms, and only those found leave it.
+    All terms are found in one pass over a text by an automaton; occurrences of one term do not overlap. Beyond TERM_BLOCK
+    different terms there is one pass for each block of about as many.
     """
-    low = texts.select(key, F.lower("text").alias("t"))
+    low = texts.select(F.col(key), F.lower("text").alias("t")).where("t is not null")
     terms = questions.select("query_id", F.lower("term").alias("term")).where("term <> ''")
-    names = sorted(r["term"] for r in terms.select("term").distinct().collect())
+    names = terms.select("term").distinct()
+    blocks = max(1, -(-names.count() // TERM_BLOCK))
+    kind = low.schema[key].dataType.simpleString()
     found = None
-    for i in range(0, max(1, len(names)), TERM_BLOCK):
-        some = F.array(*map(F.lit, names[i : i + TERM_BLOCK])).cast("array<string>")
-        n = lambda x: ((F.length("t") - F.length(F.replace(F.col("t"), x, F.lit("")))) / F.length(x)).cast("long")
-        part = low.select(key, F.inline(F.filter(F.transform(some, lambda x: F.struct(x.alias("term"), n(x).alias("n"))), lambda h: h["n"] > 0)))
+    for i in range(blocks):
+        some = [r["term"] for r in names.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).collect()]
+        shared = texts.sparkSession.sparkContext.broadcast(some)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            terms, machine = shared.value, ahocorasick.Automaton()
+            for n, t in enumerate(terms):
+                machine.add_word(t, n)
+            if not terms:
+                return
+            machine.make_automaton()
+            for batch in batches:
+                origin, term, counts = [], [], []
+                for row, text in enumerate(batch.column(1).to_pylist()):
+                    free: dict[int, int] = {}
+                    hits: dict[int, int] = {}
+                    for end, n in machine.iter(text):
+                        if end - len(terms[n]) + 1 >= free.get(n, 0):
+                            free[n] = end + 1
+                            hits[n] = hits.get(n, 0) + 1
+                    origin += [row] * len(hits)
+                    term += map(terms.__getitem__, hits)
+                    counts += hits.values()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(origin, pa.int64())), pa.array(term, pa.string()), pa.array(counts, pa.int64())], [key, "term", "n"])
+
+        part = low.mapInArrow(run, f"{key} {kind}, term string, n long")
         found = part if found is None else found.unionByName(part)
     scored = found.join(terms, "term").groupBy("query_id", key).agg(F.sum("n").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.functions import lexicon as L
 from tarn.functions import scalar as S
 from tarn.operators import assess, chunking, evaluation, filters, index, ingest, quantiles, retrieval, state, stats, vectors
 from tarn.sources import boards, files, html
@@ -262,7 +263,31 @@ def chunk_stride(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.stride(F.col("text"))).alias("piece", "body"))
 
 
-@query()
+_NOT_A_WORD, _ITEM = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s'’]", r"^(?:[-*•]|\d+[.)])\s+"
+
+
+def _sections_sql() -> str:
+    """The typed sections of documents: headings number them, blanks and list items end paragraphs."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " ".join(f"when regexp_matches(compact, {quote('(?i)' + p)}) then '{n}'" for n, p in L.SECTION_PATTERNS)
+    ignored = ", ".join(f"'{n}'" for n in L.IGNORED_SECTIONS)
+    relevant = ", ".join(f"'{n}'" for n, _ in L.SECTION_PATTERNS if n not in L.IGNORED_SECTIONS)
+    return f"""
+    with s as (select doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') as x from documents),
+    r as (select doc_id, generate_subscripts(x, 1) as pos, trim(unnest(x)) as raw from s),
+    l as (select doc_id, pos, trim(raw, ' #*-•') as line, regexp_matches(raw, '{_ITEM}') as item from r),
+    c as (select *, trim(regexp_replace(line, {quote(_NOT_A_WORD)}, '', 'g')) as compact from l),
+    h as (select *, case when not regexp_matches(trim(line), '[.!?。！？]$') and compact <> '' and length(compact) <= 90 then case {found} end end as heading from c),
+    w as (select *, count(heading) over o as section_no, last_value(heading ignore nulls) over o as opens,
+                 sum((line = '' or item)::int) over o + sum(coalesce(was, false)::int) over o as paragraph
+          from (select *, lag(item) over (partition by doc_id order by pos) as was from h) window o as (partition by doc_id order by pos rows between unbounded preceding and current row)),
+    p as (select doc_id, section_no, paragraph, any_value(opens) as opens, string_agg(line, chr(10) order by pos) as body from w where line <> '' and heading is null group by all),
+    t as (select doc_id, section_no, coalesce(any_value(opens), 'general') as section_type, string_agg(body, chr(10) || chr(10) order by paragraph) as body from p group by all),
+    f as (select *, bool_or(section_type in ({relevant})) over (partition by doc_id) as headed from t)
+    select doc_id, section_no, section_type, body from f where section_type not in ({ignored}) and not (section_type = 'general' and headed and length(body) > {chunking.LONG_GENERAL})"""
+
+
+@query(_sections_sql())
 def doc_sections(spark, sf_dir):
     return chunking.sections(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -606,8 +631,9 @@ def ops_windows(spark, sf_dir):
 
 @query("select source, string_agg(lang, ',' order by first_id) as langs from (select source, lang, min(doc_id) as first_id from documents group by all) group by source")
 def distinct_in_order(spark, sf_dir):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda x: x["lang"])
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.array_distinct(ordered), ",").alias("langs"))
+    first = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first_id"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("first_id", "lang"))), lambda x: x["lang"])
+    return first.groupBy("source").agg(F.array_join(ordered, ",").alias("langs"))
 
 
 @query("select cast(conv_id as varchar) as query_id, role as item, cast(row_number() over (partition by conv_id order by min(turn), role) as int) as place from conversations group by conv_id, role")

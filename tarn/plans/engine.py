@@ -108,10 +108,8 @@ class Engine:
         fetch(number) runs on the driver, which is the only one with a connection to the board; it is tried
         tries times, and a job whose text it does not give stays as it is.
         """
-        from tarn.sources.boards import linkedin_id
-
         rows = self.jobs.where((F.col("source") == source) & F.col("is_active") & no_text("description"))
-        rows = rows.withColumn("number", linkedin_id(F.col("source_job_id"), F.col("job_url"))).where("number is not null").orderBy("job_id").limit(limit)
+        rows = rows.withColumn("number", S.numeric_id(F.col("source_job_id"), F.col("job_url"))).where("number is not null").orderBy("job_id").limit(limit)
         got = []
         for r in rows.select("job_id", "number").collect():
             for _ in range(tries):

@@ -130,12 +130,6 @@ def linkedin(df: DataFrame) -> DataFrame:
     return rows.select("id", "site", "job_url", "title", "company", "company_url", F.coalesce(S.location_display(F.col("place.city"), F.col("place.state"), F.col("place.country")), "location").alias("location"), "date_posted", F.col("money.min_amount").alias("min_amount"), F.col("money.max_amount").alias("max_amount"), F.col("money.interval").alias("interval"), F.col("money.currency").alias("currency"))
 
 
-def linkedin_id(source_id: Column, url: Column) -> Column:
-    """The board's number of a posting, from its id or the end of its URL."""
-    last = lambda c: F.nullif(F.regexp_extract(c, "(\\d+)/?(?:[?#].*)?$", 1), F.lit(""))
-    return F.coalesce(last(source_id), last(url))
-
-
 def bayt(df: DataFrame) -> DataFrame:
     return cards(df, "bayt", ("<li[^>]*data-js-job",), BAYT, 'href="([^"]*)"', "https://www.bayt.com", "-(\\d+)/?$")
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.functions import scalar
 from tarn.operators import chunking, evaluation, index, ingest, retrieval, state, stats
 from tarn.operators.filters import Filters
 from tarn.plans import answer
@@ -238,7 +239,7 @@ def test_linkedin_cards(spark, tmp_path):
     a, b = board(spark, tmp_path, "linkedin", page)
     assert (a.id, a.title, a.date_posted, a.company, a.company_url) == ("li-11", "A", None, "Acme", "https://x.com/c")
     assert (b.id, b.title, str(b.date_posted), b.min_amount, b.max_amount, b.job_url) == ("li-12", "B", "2026-09-01", 100000.0, 120000.0, "https://www.linkedin.com/jobs/view/dev-at-a-12")
-    ids = spark.createDataFrame([("li-7", None), (None, "https://x/jobs/view/a-99/?q=1"), ("x", "y")], "i string, u string").select(boards.linkedin_id(F.col("i"), F.col("u")).alias("n")).collect()
+    ids = spark.createDataFrame([("li-7", None), (None, "https://x/jobs/view/a-99/?q=1"), ("x", "y")], "i string, u string").select(scalar.numeric_id(F.col("i"), F.col("u")).alias("n")).collect()
     assert [r.n for r in ids] == ["7", "99", None]
 
 
