@@ -109,6 +109,10 @@ def configs() -> list[dict]:
     return single + [dict(mode="hybrid", candidate_k=c, per_job=p, rrf_k=r, vw=v, kw=k) for c in (50, 100) for p in (1, 2) for r in (20, 60) for v, k in weights]
 
 
+def config_name(g: dict) -> str:
+    return f"{g['mode']}-c{g['candidate_k']}-m{g['per_job']}-r{g['rrf_k']}-vw{g['vw']:g}-kw{g['kw']:g}"
+
+
 def tune(vector: DataFrame, keyword: DataFrame, grades: DataFrame, grid: list[dict] | None = None, k: int = 8) -> DataFrame:
     """config, recall, rr, graded_ndcg of every grid point, best first.
 
@@ -117,7 +121,7 @@ def tune(vector: DataFrame, keyword: DataFrame, grades: DataFrame, grid: list[di
     """
     grid = configs() if grid is None else grid
     spark = vector.sparkSession
-    points = F.broadcast(spark.createDataFrame([(f"{g['mode']}-c{g['candidate_k']}-m{g['per_job']}-r{g['rrf_k']}-vw{g['vw']:g}-kw{g['kw']:g}", *g.values()) for g in grid], "config string, mode string, candidate_k int, per_job int, rrf_k int, vw double, kw double"))
+    points = F.broadcast(spark.createDataFrame([(config_name(g), *g.values()) for g in grid], "config string, mode string, candidate_k int, per_job int, rrf_k int, vw double, kw double"))
 
     def side(df: DataFrame, mode: str, weight: str) -> DataFrame:
         rows = df.join(points, (F.col("rank") <= F.col("candidate_k")) & F.col("mode").isin(mode, "hybrid"))
@@ -131,7 +135,8 @@ def tune(vector: DataFrame, keyword: DataFrame, grades: DataFrame, grid: list[di
     ranking = first_places(placed.select(F.concat_ws("|", "config", "query_id").alias("query_id"), F.col("job_id").alias("item"), "place"))
     named = grades.join(points.select("config")).select(F.concat_ws("|", "config", "query_id").alias("query_id"), "item", "grade")
     rows = metrics(ranking, named, k).withColumn("config", F.substring_index("query_id", "|", 1))
-    mean = lambda c: F.bround(F.avg(c), 4).alias(c)
+    # ten digits first, so that the order of a sum decides no half
+    mean = lambda c: F.bround(F.round(F.avg(c), 10), 4).alias(c)
     return rows.groupBy("config").agg(mean("recall"), mean("rr"), mean("graded_ndcg")).orderBy(F.desc("graded_ndcg"), F.desc("recall"), F.desc("rr"), "config")
 
 

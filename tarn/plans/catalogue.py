@@ -584,7 +584,25 @@ def threshold_calibration(spark, sf_dir):
     return evaluation.calibrate(_predicted(spark, sf_dir).select("score", "actual"))
 
 
-@query()
+def _tuning_sql() -> str:
+    """The grid's points over two rankings of each source's documents, against the labels."""
+    points = ", ".join(f"('{evaluation.config_name(g)}', '{g['mode']}', {g['candidate_k']}, {g['rrf_k']}, {g['vw']}::double, {g['kw']}::double)" for g in evaluation.configs())
+    return f"""
+    with p as (select * from (values {points}) t(config, mode, candidates, rrf_k, vw, kw)), g as ({_GRADES}),
+    d as (select source as query_id, doc_id as item, row_number() over (partition by source order by n_chars desc, doc_id) as v, row_number() over (partition by source order by doc_id) as k from documents),
+    x as (select config, query_id, item, vw / (rrf_k + v) as part, v, null as k from d join p on v <= candidates and mode in ('vector', 'hybrid')
+          union all select config, query_id, item, kw / (rrf_k + k), null, k from d join p on k <= candidates and mode in ('keyword', 'hybrid')),
+    f as (select config, query_id, item, sum(part) as rrf, min(v) as v, min(k) as k from x group by all),
+    r as (select *, row_number() over (partition by config, query_id order by rrf desc, v nulls last, k nulls last, item) as place from f),
+    h as (select config, query_id, count(*) as found, min(place) as first, sum((2 ** grade - 1) / log2(place + 1)) as graded from r join g using (query_id, item) where place <= 8 and grade > 0 group by all),
+    t as (select query_id, count_if(grade > 0) as relevant from g group by 1),
+    i as (select query_id, sum((2 ** grade - 1) / log2(n + 1)) as ideal from (select *, row_number() over (partition by query_id order by grade desc, item) as n from g where grade > 0) where n <= 8 group by 1),
+    m as (select config, coalesce(found / relevant, 0) as recall, coalesce(1.0 / first, 0) as rr, coalesce(graded / ideal, 0) as graded_ndcg
+          from p cross join t left join h using (config, query_id) left join i using (query_id))
+    select config, round_even(round(avg(recall), 10), 4) as recall, round_even(round(avg(rr), 10), 4) as rr, round_even(round(avg(graded_ndcg), 10), 4) as graded_ndcg from m group by config"""
+
+
+@query(_tuning_sql())
 def tuning_grid(spark, sf_dir):
     place = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
     other = Window.partitionBy("source").orderBy("doc_id")
