@@ -4,7 +4,8 @@ A word is a run of letters in lower case, with a start and an end sign; its like
 of its characters, each given the ORDER - 1 before it. At the highest order the toxic and the
 ordinary class have counts of their own; what Kneser-Ney discounts of them goes to lower orders
 whose continuation counts (distinct left neighbours) are pooled over both classes. So a rare
-expression gets the same backoff from either model and speaks for neither.
+expression gets the same backoff from either model and speaks for neither; nor does a word that stands
+in fewer than LEAST_TEXTS toxic texts, as labels are not free of error.
 
 Most words of a toxic text are ordinary ones. So the toxic class draws a word from its own
 model with probability SHARE and from the ordinary one otherwise, and a text's likelihood under
@@ -37,6 +38,8 @@ ORDER = 6
 SHARE = 0.01
 PER_CLASS, SAMPLE_BYTES, FOLDS = 2500, 12 << 20, 4
 LONG_TEXT = SAMPLE_BYTES // 32
+#: Toxic texts in which a word must stand to count for the toxic model.
+LEAST_TEXTS = 2
 THRESHOLD = 0.7
 WORD = r"[^\W\d_]+"
 #: Words scored together, which bounds a worker's memory.
@@ -191,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         return None
 
     def trained(of: np.ndarray) -> dict:
+        of = np.stack((np.where(of[:, 0] < LEAST_TEXTS, 0, of[:, 0]), of[:, 1]), 1)
         some = of.any(1)
         return train([w for w, x in zip(names, some) if x], of[some])
 
