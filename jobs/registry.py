@@ -34,7 +34,7 @@ _SKILLS = [(n, p) for n, p in config("skill_report")["skills"].items()]
 
 SQL = {
     "job1_posting_intake": f"""
-        select source, doc_id::varchar as source_job_id, {_TITLE} as title, lang as location, 'inserted' as change, 1 as n_versions,
+        select source, doc_id::varchar as source_job_id, {_TITLE} as title, lang as location, 'inserted' as change, 1::bigint as n_versions,
                coalesce(length(text), 0) as n_chars, cast(s // 1620 as int) as piece, sha256(substring(text, s + 1, 1800)) as digest
         from (select *, unnest(case when length(text) > 0 then range(0, length(text), 1620) else [null] end) as s from documents)""",
     "job2_skill_report": f"""
