@@ -1,7 +1,7 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame operations only.
 
 A line (a part between line feeds) is the sequence of its words in lower case. A line is dropped
-if the same line, or, for lines of MIN_WORDS words or more, a line within one word edit
+if the same line, or, for lines of min_words words or more, a line within one word edit
 (insertion, deletion or substitution) stands earlier; lines are ordered by document id (null
 last), by the hash of the document's text where ids are equal, and by place. The earliest line of
 any such pair stays unless a still earlier one drops it. Lines without a word never drop.
@@ -17,6 +17,10 @@ any such pair stays unless a still earlier one drops it. Lines without a word ne
 4. Each key group is reduced to its earliest members, with which every other member is
    paired. So a large group makes as many pairs as it has lines. Each pair is verified.
 
+min_words is 5 unless stated otherwise: one edit leaves a line of n words 1 - 1 / n of them in common, and
+near-duplicates are those of a similarity of 0.8 or more. With 1 the bound holds for all lines; then any two
+lines of a word each are within it.
+
 Rows with equal id and text count as one document. Null texts have no lines. An empty table gives an
 empty result; names of other columns may be any.
 """
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import fresh, keep
 
-MIN_WORDS = 8
+#: Words of the shortest line of which one edit leaves a similarity of 0.8.
+MIN_WORDS = 5
 _BLANKS = " \t\n\x0b\x0c\r"
 _ID = ("doc_id", "text_hash")
 _LINE = ("h1", "h2")
@@ -56,23 +61,23 @@ def _halves(line: Column, n: Column) -> list[Column]:
     return keys + [F.when(high.isNotNull(), F.xxhash64(F.lit(side), high, part(high * sign))) for side, sign in ((0, 1), (1, -1))]
 
 
-def _lines(docs: DataFrame, halves: bool = False) -> DataFrame:
-    """doc_id, text_hash, pos and the identity (h1, h2) of every line that has a word; n and its halves if asked for."""
+def _lines(docs: DataFrame, halves_from: int | None = None) -> DataFrame:
+    """doc_id, text_hash, pos and the identity (h1, h2) of every line that has a word; with halves_from, also the halves of those of so many words."""
     # hashed in a projection of its own, so that it is done once for a text and not for each line
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _odd(F.col("text")).alias("odd"), "text").select(*_ID, "odd", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.select(*_ID, "pos", _plain(F.col("line"), F.col("odd")).alias("line")).where("line <> ''")
     rows = rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(71), "line")})
-    if not halves:
+    if halves_from is None:
         return rows.select(*_ID, "pos", *_LINE)
     rows = rows.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    keys = [F.when(F.col("n") >= MIN_WORDS, k).alias(f"half{i}") for i, k in enumerate(_halves(F.col("line"), F.col("n")))]
+    keys = [F.when(F.col("n") >= halves_from, k).alias(f"half{i}") for i, k in enumerate(_halves(F.col("line"), F.col("n")))]
     return rows.select(*_ID, "pos", *_LINE, *keys)
 
 
-def _distinct(docs: DataFrame) -> DataFrame:
-    """One row for each different line: identity, first (order), times, and its halves (null below MIN_WORDS)."""
+def _distinct(docs: DataFrame, min_words: int) -> DataFrame:
+    """One row for each different line: identity, first (order), times, and its halves (null below min_words)."""
     halves = [f"half{i}" for i in range(4)]
-    lines = _lines(docs, True).select(*_LINE, _order().alias("at"), *halves)
+    lines = _lines(docs, min_words).select(*_LINE, _order().alias("at"), *halves)
     return lines.groupBy(*_LINE).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"), *(F.min(h).alias(h) for h in halves))
 
 
@@ -137,9 +142,9 @@ def _near(some: DataFrame) -> DataFrame:
     return both.where((F.abs(F.size("a") - F.size("b")) <= 1) & (a == b)).select(*_LINE).distinct()
 
 
-def dropped(docs: DataFrame) -> DataFrame:
+def dropped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, pos, near: every line to drop; near is false where the same line stands earlier."""
-    distinct = keep(_distinct(docs))
+    distinct = keep(_distinct(docs, min_words))
     near = _near(keep(_candidates(docs, distinct))).withColumn("near", F.lit(True))
     # written, so that the join reads both sides by an exchange of its own: then Spark splits the lines that stand in very many texts
     status = keep(distinct.select(*_LINE, "first", "times").join(near, list(_LINE), "left").where("times > 1 or near").select(*_LINE, "first", F.coalesce("near", F.lit(False)).alias("near")))
@@ -147,8 +152,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     return hit.where(F.col("near") | (_order() > F.col("first"))).select(*_ID, "pos", (F.col("near") & (_order() == F.col("first"))).alias("near"))
 
 
-def _by_document(docs: DataFrame) -> DataFrame:
-    gone = dropped(docs).groupBy(*_ID).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("pos", "near")))).alias("x"))
+def _by_document(docs: DataFrame, min_words: int) -> DataFrame:
+    gone = dropped(docs, min_words).groupBy(*_ID).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("pos", "near")))).alias("x"))
     return gone.select(*_ID, F.size("x").cast("long").alias("n_dropped"), F.size(F.filter("x", lambda y: y["near"])).cast("long").alias("n_near"), F.transform("x", lambda y: y["pos"]).alias("gone"))
 
 
@@ -159,19 +164,19 @@ def _keyed(docs: DataFrame, gone: DataFrame, key: Column) -> tuple[DataFrame, di
     return docs.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col(names["doc_id"])) & (key == F.col(names["text_hash"])), "left"), names
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near and gone (places of the dropped lines) for each row of docs."""
     # what is needed of a text is taken before the join, so that no text is shuffled for it
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.size(F.split("text", "\n")).cast("long"), F.lit(0)).alias("n_lines"))
-    rows, of = _keyed(own, _by_document(docs), F.col("text_key"))
+    rows, of = _keyed(own, _by_document(docs, min_words), F.col("text_key"))
     dropped_, near, gone = F.col(of["n_dropped"]), F.col(of["n_near"]), F.col(of["gone"])
     zero = F.lit(0).cast("long")
     return rows.select("doc_id", "n_lines", F.coalesce(dropped_ - near, zero).alias("n_exact"), F.coalesce(near, zero).alias("n_near"), F.coalesce(gone, F.array().cast("array<int>")).alias("gone"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the dropped lines taken out of text; rows left without a word by that are gone."""
-    rows, of = _keyed(docs, _by_document(docs), F.xxhash64("text"))
+    rows, of = _keyed(docs, _by_document(docs, min_words), F.xxhash64("text"))
     gone, all_, left_text = of["gone"], fresh(rows, "line_all"), fresh(rows, "line_text")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("kind"), x.alias("line")))
     marks = F.transform(gone, lambda p: F.struct(p.alias("i"), F.lit(0).alias("kind"), F.lit("").alias("line")))

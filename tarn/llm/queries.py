@@ -102,10 +102,10 @@ ORACLE_SQL = {
         k as (select doc_id, p, lower(trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g'))) as line from l),
         f as (select line, min((doc_id, p)) as first, count(*) as times, string_split(line, ' ') as w from k where line <> '' group by line),
         v as (select line, first, i, true as cut, array_to_string(w[1:i - 1], ' ') as a, array_to_string(w[i + 1:], ' ') as b
-              from (select *, unnest(range(1, len(w) + 1)) as i from f where len(w) >= 8)
+              from (select *, unnest(range(1, len(w) + 1)) as i from f where len(w) >= 5)
               union all
               select line, first, i, false, array_to_string(w[1:i - 1], ' '), array_to_string(w[i:], ' ')
-              from (select *, unnest(range(1, len(w) + 2)) as i from f where len(w) >= 8)),
+              from (select *, unnest(range(1, len(w) + 2)) as i from f where len(w) >= 5)),
         near as (select distinct x.line from v x join v y using (i, a, b) where (x.cut or y.cut) and y.first < x.first),
         g as (select k.doc_id, k.p, (k.doc_id, k.p) = f.first as near from k join f using (line) where (k.doc_id, k.p) > f.first or line in (select line from near)),
         s as (select doc_id, count_if(not near) as n_exact, count_if(near) as n_near, string_agg(p::varchar, ',' order by p) as gone from g group by doc_id)

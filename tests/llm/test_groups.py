@@ -17,7 +17,7 @@ def key(order):
     return (i is None, i if i is not None else 0, *order[1:])
 
 
-def plain_lines(docs):
+def plain_lines(docs, min_words=5):
     """{(doc_id, place)} of lines that an earlier one within one word edit, or an equal one, drops."""
     lines = []
     for i, t in docs:
@@ -30,7 +30,7 @@ def plain_lines(docs):
     def near(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < 8 or abs(len(a) - len(b)) > 1:
+        if min(len(a), len(b)) < min_words or abs(len(a) - len(b)) > 1:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) == 1
@@ -40,8 +40,8 @@ def plain_lines(docs):
     return {(i, p) for k, (_, i, p, w) in enumerate(lines) if any(near(w, v) for _, _, _, v in lines[:k])}
 
 
-def dropped(docs):
-    return {(r.doc_id, p) for r in linededup.report(docs).collect() for p in r.gone}
+def dropped(docs, **options):
+    return {(r.doc_id, p) for r in linededup.report(docs, **options).collect() for p in r.gone}
 
 
 def test_lines(spark, edge, empty):
@@ -51,14 +51,16 @@ def test_lines(spark, edge, empty):
     for i in range(60):
         lines = []
         for _ in range(rng.randint(1, 6)):
-            n = rng.choice((3, 8, 9, 12, 13))
+            n = rng.choice((1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 13))
             w = [bank[j % 6] + str(j) for j in range(n)]
-            for _ in range(rng.randint(0, 2)):
+            for _ in range(rng.randint(0, min(2, n - 1))):
                 kind, at = rng.randint(0, 2), rng.randrange(len(w))
                 w = w[:at] + [[rng.choice(bank)], [], [w[at], rng.choice(bank)]][kind] + w[at + 1 :]
             lines.append(rng.choice((" ", "  ", "\t")).join(w))
         rows.append((i, "\n".join([*lines, ""])))
     docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    for least in (5, 1, 2, 8):
+        assert dropped(docs, min_words=least) == plain_lines([*rows, (None, rows[0][1])], least)
     assert dropped(docs) == plain_lines([*rows, (None, rows[0][1])])
     out = linededup.report(edge)
     assert out.count() == edge.count() and linededup.report(empty).count() == 0
@@ -69,6 +71,13 @@ def test_lines(spark, edge, empty):
     assert [r.text for r in kept.where("doc_id = 5").collect()] == ["same line of eight words stands here twice\n"] * 2
 
 
+def test_short_lines(spark):
+    rows = [(1, "Terms of use apply here\nTotal: 5"), (2, "Terms of service apply here\nTotal: 6"), (3, "Terms of use apply\none two three four five six"), (4, "one two three five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dropped(docs) == {(2, 0), (4, 0)} == plain_lines(rows)
+    assert dropped(docs, min_words=1) == plain_lines(rows, 1) == {(2, 0), (2, 1), (3, 0), (4, 0)}
+
+
 def test_lines_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 3000")
     rows = [(r.doc_id, r.text) for r in docs.collect()][:60]
