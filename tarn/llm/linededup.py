@@ -126,6 +126,8 @@ def _near(some: DataFrame) -> DataFrame:
     places = keep(_variants(some))
     least = lambda removed: F.min(F.when(F.col("removed") == removed, F.col("id")))
     groups = places.groupBy("key").agg(least(True).alias("cut"), least(False).alias("own"), F.max("id").alias("last")).where("cut is not null and least(cut, own) < last")
+    # written, a few numbers for each key, so that the join has an exchange of its own on both sides: then Spark splits the places of a key that very many lines share
+    groups = keep(groups)
     partner = F.when(F.col("removed"), F.least("cut", "own")).otherwise(F.col("cut"))
     pairs = places.join(groups, "key").select("id", partner.alias("to"), "i").where("to < id")
     best = pairs.groupBy("id").agg(F.min(F.struct("to", "i")).alias("to")).select("id", "to.to", "to.i")
