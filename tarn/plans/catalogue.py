@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import lexicon as L
 from tarn.functions import scalar as S
-from tarn.operators import assess, chunking, evaluation, filters, index, ingest, quantiles, retrieval, state, stats, vectors
+from tarn.operators import assess, chunking, evaluation, filters, index, ingest, quality, quantiles, retrieval, state, stats, vectors
 from tarn.sources import boards, files, html
 from tarn.streaming import flows
 
@@ -705,6 +705,98 @@ def holdout_gates(spark, sf_dir):
     return run("test").unionByName(run("development"))
 
 
+# --- the quality run: sources of documents as questions, their longest texts as what was found
+
+_ACTIVE_METRICS = _METRICS.replace(_GRADES, _GRADES + " where l.doc_id % 7 <> 0")
+_RUN = f"""q as (select distinct source as query_id, right(source, 1) = '5' as should_refuse from documents),
+    a as (select * from q where right(query_id, 1) <> '3' union all select 'none', false),
+    g as ({_GRADES} union all select 'src1', -doc_id, 1 from labels where doc_id % 9 = 0),
+    ok as (select query_id from a where not should_refuse and query_id in (select query_id from g where grade > 0 and item > 0 and item % 7 <> 0)),
+    i as (select 'unknown question' as issue, query_id, null::varchar as ref from a where query_id not in (select query_id from q)
+          union all select 'unknown item', query_id, item::varchar from g where item not in (select doc_id from documents)
+          union all select 'inactive positive', query_id, item::varchar from g where grade > 0 and item in (select doc_id from documents where doc_id % 7 = 0)
+          union all select 'unknown chunk', source, doc_id::varchar from documents where doc_id % 10 = 0 and doc_id not in (select vec_id from embeddings)),
+    m as (select q.query_id, case when right(q.query_id, 1) in ('1', '5', '7', '9') then 'test' when right(q.query_id, 1) in ('2', '4') then 'development' else 'evaluation' end as split,
+                 coalesce(recall, 0) as recall, coalesce(rr, 0) as rr, coalesce(condensed_ndcg, 0) as nd, coalesce(filter_accuracy, 1) as fa
+          from q semi join ok using (query_id) left join ({_ACTIVE_METRICS}) using (query_id) left join ({_HITS}) using (query_id)),
+    parts as (select part, count(*) as asked, round_even(round(avg(recall), 10), 4) as recall, round_even(round(avg(rr), 10), 4) as mrr, round_even(round(avg(nd), 10), 4) as graded_ndcg, round_even(round(avg(fa), 10), 4) as filter_accuracy
+              from (select *, unnest(['all', split]) as part from m) group by part)"""
+
+
+def _run(spark, sf_dir):
+    """questions, annotations, grades, evidence, jobs and chunks of a quality run."""
+    questions = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), (F.right("source", F.lit(1)) == "5").alias("should_refuse")).distinct()
+    last = F.right("query_id", F.lit(1))
+    annotations = questions.where(last != "3").unionByName(spark.range(1).select(F.lit("none").alias("query_id"), F.lit(False).alias("should_refuse")))
+    unknown = table(spark, sf_dir, "labels").where("doc_id % 9 = 0").select(F.lit("src1").alias("query_id"), (-F.col("doc_id")).alias("item"), F.lit(1).alias("grade"))
+    grades = _judged(spark, sf_dir)[1].unionByName(unknown)
+    evidence = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("job_id"), F.when(F.col("vec_id") % 13 > 0, F.col("embedding")).alias("embedding"))
+    return questions, annotations, grades, evidence, jobs(spark, sf_dir).withColumn("last_seen_at", F.lit(None).cast("timestamp")), chunks
+
+
+def _parts(spark, sf_dir):
+    questions, annotations, grades, _, all_jobs, _ = _run(spark, sf_dir)
+    last = F.right("query_id", F.lit(1))
+    splits = questions.select("query_id", F.when(last.isin("1", "5", "7", "9"), "test").when(last.isin("2", "4"), "development").alias("split")).where("split is not null")
+    return quality.retrieval(_judged(spark, sf_dir)[0], questions, annotations, grades, all_jobs, _accuracy(spark, sf_dir), splits)
+
+
+@query(f"with {_RUN} select issue, query_id, ref from i")
+def quality_issues(spark, sf_dir):
+    return quality.issues(*_run(spark, sf_dir))
+
+
+@query(f"with {_RUN} select * from parts")
+def quality_parts(spark, sf_dir):
+    return _parts(spark, sf_dir)
+
+
+_ANSWERED = """s as (select source as query_id, doc_id, lang, row_number() over (partition by source order by n_chars desc, doc_id) as place from documents),
+    w as (select query_id, right(query_id, 1) in ('5', '7') as refused, max(doc_id) % 4 > 0 as passed, count(*) filter (where place <= 8) as n, count_if(lang = 'en' and place <= 8) as en, right(query_id, 1) = '9' as odd from s group by query_id),
+    z as (select q.query_id, coalesce(a.should_refuse, q.should_refuse) as expected_refusal, refused, refused = coalesce(a.should_refuse, q.should_refuse) as refusal_correct, refused or passed as citation_valid,
+                 coalesce(filter_accuracy, 1) = 1 and not odd as analysis_valid, n as source_count from q left join a using (query_id) join w using (query_id) left join h using (query_id))"""
+_EASY = "select source as query_id, avg((right(source, 1) <> '2' or contains(lower(coalesce(lang, '')), 'e'))::int) as filter_accuracy from (select *, row_number() over (partition by source order by n_chars desc, doc_id) as place from documents) where place <= 8 group by source"
+
+
+def _answered(spark, sf_dir):
+    """The longest eight texts of each source as the sources of its answer; one source's counts have a wrong percentage."""
+    questions, annotations, *_ = _run(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
+    last, shown = F.right("query_id", F.lit(1)), F.col("place") <= 8
+    told = d.groupBy(F.col("source").alias("query_id")).agg(F.max("doc_id").alias("top"), F.count_if(shown).alias("total"), F.count_if(shown & (F.col("lang") == "en")).alias("en"))
+    share = F.bround(F.col("en") * 100 / F.col("total"), 1) + F.when(last == "9", 0.5).otherwise(0.0)
+    answers = told.select("query_id", last.isin("5", "7").alias("refused"), (F.col("top") % 4 > 0).alias("citation_passed"), "total", F.array(F.struct(F.col("en").alias("jobs"), share.alias("percentage"))).alias("counts"))
+    hits = d.where(shown).select(F.col("source").alias("query_id"), F.col("doc_id").alias("job_id"), "source", F.col("lang").alias("location"), F.lit("").alias("title"), F.lit("").alias("job_type"))
+    wanted = questions.select("query_id", F.upper("query_id").alias("source"), F.when(last == "2", "E").otherwise("").alias("location"), F.lit("").alias("title"), F.lit("").alias("job_type"))
+    return quality.answered(questions, annotations, answers, hits.select("query_id", "job_id"), assess.filter_accuracy(hits, wanted))
+
+
+@query(f"with {_RUN}, h as ({_EASY}), {_ANSWERED} select * from z")
+def quality_answers(spark, sf_dir):
+    return _answered(spark, sf_dir)
+
+
+_GATES_SQL = ", ".join(f"({n}, '{g}', '{'>=' if name.startswith('min') else '<='}{limit:g}', {limit}::double)" for n, (g, name, limit) in enumerate(quality.GATES, 1))
+
+
+@query(
+    f"""with {_RUN}, h as ({_EASY}), {_ANSWERED},
+    r as (select * from parts where part in ('test', 'all') order by part desc limit 1),
+    c as (select vec_id, vec_id % 13 > 0 as indexed, vec_id % 7 <> 0 as is_active from embeddings where vec_id in (select doc_id from documents)),
+    v as (select [(select count(*) from q), (select count(*) from ok), (select recall from r), (select graded_ndcg from r), (select filter_accuracy from r),
+                  (select round_even(avg(analysis_valid::int), 4) from z where not expected_refusal), (select round_even(avg(citation_valid::int), 4) from z where not expected_refusal), (select round_even(avg(refusal_correct::int), 4) from z where expected_refusal),
+                  (select round_even(count_if(indexed) / count(*), 4) from c where is_active), (select count(*) from ({JOBS}) where is_active and date_posted < date '2026-04-01' - 60), (select count(*) from c where not is_active)]::double[] as v)
+    select gate, coalesce(v[n], 0) as actual, expected, coalesce(case when expected[1] = '>' then v[n] >= x else v[n] <= x end, false) as passed from v, (values {_GATES_SQL}) t(n, gate, expected, x)"""
+)
+def quality_run(spark, sf_dir):
+    questions, annotations, grades, evidence, all_jobs, chunks = _run(spark, sf_dir)
+    found = quality.issues(questions, annotations, grades, evidence, all_jobs, chunks)
+    values = quality.dataset(questions, annotations, grades, found, all_jobs).join(quality.gated(_parts(spark, sf_dir)))
+    values = values.join(quality.answer_layers(_answered(spark, sf_dir))).join(quality.operations(all_jobs, chunks, F.lit("2026-04-01").cast("date")))
+    return quality.gates(values)
+
+
 def _the(query, passages):
     """A stand-in for a cross-encoder: how often a passage has the query's word, ten times counting 1."""
     return [min(1.0, p.lower().count(query) / 10) for p in passages]

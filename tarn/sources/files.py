@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import scalar as S
+from tarn.operators.quality import LIMITS
 
-# Parts of a question set, categories of questions.
+# Parts of a question set, categories of questions, state and fields of a locked configuration.
 SPLITS = ("development", "test", "refusal")
 CATEGORIES = ("skills", "experience", "comparison", "filters", "insufficient_evidence")
+LOCKED = "locked_for_holdout"
+CONFIG = {"mode": "mode", "candidate_k": "candidate_k", "max_chunks_per_job": "per_job", "rrf_k": "rrf_k", "vector_weight": "vw", "keyword_weight": "kw"}
 QUESTION = "id string, category string, query string, filters map<string,string>, expected_terms array<string>, relevant_job_ids array<string>, should_refuse boolean, notes string"
 
 
@@ -54,10 +57,20 @@ def annotation_faults(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", F.explode(F.array_compact(faults)).alias("fault"))
 
 
+def _object(spark: SparkSession, path: str) -> dict:
+    """A JSON object, by a path that Spark reads."""
+    try:
+        found = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    except json.JSONDecodeError as e:
+        raise ValueError(f"{path} is no JSON: {e}") from e
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} must hold an object")
+    return found
+
+
 def splits(spark: SparkSession, path: str) -> DataFrame:
     """split, query_id from a JSON object with a list of ids for each of SPLITS. Raises ValueError for other keys or a repeated id."""
-    with open(path, encoding="utf-8") as f:
-        lists = json.load(f)
+    lists = _object(spark, path)
     if set(lists) != set(SPLITS) or not all(isinstance(ids, list) for ids in lists.values()):
         raise ValueError(f"{path} must have a list for each of {', '.join(SPLITS)}")
     rows = [(name, str(i)) for name in SPLITS for i in lists[name]]
@@ -66,6 +79,25 @@ def splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "split string, query_id string")
 
 
+def limits(spark: SparkSession, path: str) -> dict[str, float]:
+    """The limits of the quality gates from a JSON object; those it lacks keep their defaults. Raises ValueError for an unknown one or no number."""
+    given = _object(spark, path)
+    given.pop("version", None)
+    bad = [k for k, v in given.items() if k not in LIMITS or isinstance(v, bool) or not isinstance(v, int | float)]
+    if bad:
+        raise ValueError(f"{path} has unknown limits or no numbers: {', '.join(bad)}")
+    return LIMITS | given
+
+
+def locked(spark: SparkSession, path: str) -> dict:
+    """The retrieval configuration that a file locks for the holdout, as a point of the tuning grid. Raises ValueError if it locks none."""
+    found = _object(spark, path)
+    config = found.get("config")
+    if found.get("status") != LOCKED or not isinstance(config, dict) or set(config) != set(CONFIG):
+        raise ValueError(f"{path} locks no configuration")
+    return {CONFIG[k]: v for k, v in config.items()}
+
+
 def digests(spark: SparkSession, *paths: str) -> DataFrame:
     """path, sha256 of whole files, for the snapshot that goes with a report."""
     return spark.read.format("binaryFile").load(list(paths)).select("path", F.sha2("content", 256).alias("sha256"))
