@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tarn.functions import lexicon as L
 from tarn.functions import scalar as S
-from tarn.operators import assess, chunking, evaluation, filters, index, ingest, quality, quantiles, retrieval, state, stats, vectors
+from tarn.operators import assess, chunking, evaluation, experiment, filters, index, ingest, quality, quantiles, retrieval, state, stats, vectors
+from tarn.session import keep
 from tarn.sources import boards, files, html
 from tarn.streaming import flows
 
@@ -808,6 +809,55 @@ def rerank_jobs(spark, sf_dir):
     return assess.job_scores(assess.rerank(pairs, _the)).withColumn("score", F.round("score", 6))
 
 
+# --- the reranker experiment: the texts of each source as its pool
+
+_POOL = "select source as query_id, doc_id as job_id, least(1.0, ((length(t) - length(replace(t, 'the', ''))) // 3) / 10) as score from (select source, doc_id, lower(coalesce(text, '')) as t from documents)"
+_RERANKED = f"select query_id, job_id as item, row_number() over (partition by query_id order by score desc, job_id) as place from ({_POOL})"
+_SPLIT = "case when right(query_id, 1) in ('1', '5', '7', '9') then 'test' else 'development' end as split"
+_TOLD = f"""g as ({_GRADES}), k as (select distinct query_id from g where grade > 0), p as (select *, {_SPLIT} from ({_POOL}) semi join k using (query_id)),
+    s as (select split, p.query_id, p.job_id, p.score, grade as actual from p join g on g.query_id = p.query_id and g.item = p.job_id),
+    v as (select score, row_number() over (order by score) - 1 as r, count(*) over () as n from (select distinct score from s)),
+    c as (select distinct score from v, (select unnest(range(13)) as i) where r = least(n - 1, cast(floor(i * (n - 1) / 12) as bigint))),
+    e as (select a.score as low, b.score as high from c a, c b where a.score < b.score),
+    f as (select low, high, actual, case when score < low then 0 when score < high then 1 else 2 end as predicted from s, e),
+    t as (select low, high, round_even(({_f1(0)} + {_f1(1)} + {_f1(2)}) / 3, 4) as macro from f group by low, high order by macro desc, low, high limit 1),
+    x as (select split, query_id, job_id, job_id as chunk_id, round(score, 6) as score, case when score < low then 0 when score < high then 1 else 2 end as predicted, actual from s, t)"""
+
+
+def _experiment(spark, sf_dir):
+    pairs = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("job_id"), F.col("doc_id").alias("chunk_id"), F.lit("the").alias("query"), F.col("text").alias("passage"))
+    scored = assess.rerank(pairs, _the).select("query_id", "job_id", "chunk_id", "score")
+    ranking, grades = _judged(spark, sf_dir)
+    last = F.right("query_id", F.lit(1))
+    splits = grades.select("query_id", F.when(last.isin("1", "5", "7", "9"), "test").otherwise("development").alias("split")).distinct()
+    return experiment.run(keep(scored), ranking, grades, splits)
+
+
+def _means_sql(name: str, ranking: str) -> str:
+    ranked = _METRICS.replace(_RANKING, ranking)
+    mean = lambda c, alias: f"round_even(round(avg({c}), 10), 4) as {alias}"
+    return f"""select split, '{name}' as ranking, count(*) as questions, {mean('early', 'recall_at_5')}, {mean('recall', 'recall')}, {mean('rr', 'mrr')}, {mean('graded_ndcg', 'graded_ndcg')}
+        from (select *, {_SPLIT} from ({ranked}) join (select query_id, recall as early from ({ranked.replace('place <= 8', 'place <= 5')})) using (query_id)
+              where query_id in (select query_id from ({_GRADES}) where grade > 0)) group by split"""
+
+
+@query(_means_sql("baseline", _RANKING) + " union all " + _means_sql("reranked", _RERANKED))
+def rerank_summary(spark, sf_dir):
+    return _experiment(spark, sf_dir).summary
+
+
+@query(f"with {_TOLD} select split, count(*) as samples, round_even(count_if(actual = predicted) / count(*), 4) as accuracy, round_even(({_f1(0)} + {_f1(1)} + {_f1(2)}) / 3, 4) as macro_f1, count_if(actual <> predicted) as disagreements, 1.0::double as coverage from x group by split")
+def rerank_agreement(spark, sf_dir):
+    """The pool holds every text, so every positive is covered."""
+    done = _experiment(spark, sf_dir)
+    return done.agreement.join(done.coverage, "split")
+
+
+@query(f"with {_TOLD} select * from x where predicted <> actual")
+def rerank_queue(spark, sf_dir):
+    return _experiment(spark, sf_dir).queue.withColumn("score", F.round("score", 6))
+
+
 @query("select conv_id, turn, round(case when conv_id % 4 = 0 then 1.0 else least(len(list_distinct([cast(turn as int), cast(conv_id % 5 as int)])) / (conv_id % 4), 1.0) end::double, 6) as coverage from conversations")
 def citation_share(spark, sf_dir):
     answer = F.concat(F.lit("see ["), F.col("turn").cast("string"), F.lit("] and ["), (F.col("conv_id") % 5).cast("string"), F.lit("]"))
