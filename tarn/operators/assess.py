@@ -13,7 +13,7 @@ from tarn.functions import lexicon as L
 from tarn.functions import scalar as S
 from tarn.operators.evaluation import first_places, metrics
 
-#: Least means over a holdout's questions.
+# Least means over a holdout's questions.
 HOLDOUT = {"recall": 0.75, "graded_ndcg": 0.75, "filter_accuracy": 1.0}
 USAGE = ("prompt_tokens", "completion_tokens", "total_tokens", "prompt_cache_hit_tokens", "prompt_cache_miss_tokens")
 

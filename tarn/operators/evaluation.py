@@ -12,6 +12,8 @@ from tarn.session import keep
 
 #: Terms whose occurrences one pass over the texts counts; they go to every task.
 TERM_BLOCK = 50_000
+# Fixed value: questions that a tuning run needs at least.
+LEAST_QUESTIONS = 5
 
 
 def first_places(ranking: DataFrame, item: str = "item") -> DataFrame:
@@ -103,7 +105,7 @@ def silver(texts: DataFrame, questions: DataFrame, key: str = "item", limit: int
 
 
 def configs() -> list[dict]:
-    """The tuning grid: 8 points of one mode, 32 hybrid ones."""
+    """The tuning grid (fixed values): 8 points of one mode, 32 hybrid ones."""
     single = [dict(mode=m, candidate_k=c, per_job=p, rrf_k=60, vw=1.0, kw=1.0) for m in ("keyword", "vector") for c in (50, 100) for p in (1, 2)]
     weights = ((1.0, 1.0), (1.5, 1.0), (2.0, 1.0), (1.0, 1.5))
     return single + [dict(mode="hybrid", candidate_k=c, per_job=p, rrf_k=r, vw=v, kw=k) for c in (50, 100) for p in (1, 2) for r in (20, 60) for v, k in weights]
@@ -140,6 +142,16 @@ def tune(vector: DataFrame, keyword: DataFrame, grades: DataFrame, grid: list[di
     return rows.groupBy("config").agg(mean("recall"), mean("rr"), mean("graded_ndcg")).orderBy(F.desc("graded_ndcg"), F.desc("recall"), F.desc("rr"), "config")
 
 
+def tune_split(vector: DataFrame, keyword: DataFrame, grades: DataFrame, splits: DataFrame, split: str = "development", least: int = LEAST_QUESTIONS, k: int = 8) -> DataFrame:
+    """tune() over the questions (split, query_id) of one split that have a positive grade; no row if they are fewer than least.
+
+    Grades of other splits have no part in it, so the holdout stays unseen.
+    """
+    asked = splits.where(F.col("split") == split).select("query_id").distinct().join(grades.where("grade > 0"), "query_id", "left_semi")
+    best = tune(vector, keyword, grades.join(asked, "query_id", "left_semi"), k=k)
+    return best if asked.count() >= least else best.limit(0)
+
+
 def macro_f1(rows: DataFrame, by: str, labels: tuple = (0, 1, 2)) -> DataFrame:
     """by, samples, accuracy, macro_f1, disagreements of (actual, predicted) rows in one pass."""
     def f1(v):

@@ -603,13 +603,26 @@ def _tuning_sql() -> str:
     select config, round_even(round(avg(recall), 10), 4) as recall, round_even(round(avg(rr), 10), 4) as rr, round_even(round(avg(graded_ndcg), 10), 4) as graded_ndcg from m group by config"""
 
 
-@query(_tuning_sql())
-def tuning_grid(spark, sf_dir):
+def _two_rankings(spark, sf_dir):
     place = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
     other = Window.partitionBy("source").orderBy("doc_id")
     d = table(spark, sf_dir, "documents")
     rows = lambda w: d.select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("job_id"), F.lit(1.0).alias("score"), F.row_number().over(w).alias("rank"))
-    return evaluation.tune(rows(place), rows(other), _judged(spark, sf_dir)[1])
+    return rows(place), rows(other)
+
+
+@query(_tuning_sql())
+def tuning_grid(spark, sf_dir):
+    return evaluation.tune(*_two_rankings(spark, sf_dir), _judged(spark, sf_dir)[1])
+
+
+@query(_tuning_sql().replace(_GRADES, _GRADES + f" where right(d.source, 1) not in ('1', '5', '7', '9') and d.source in (select query_id from ({_GRADES}) where grade > 0)"))
+def tuning_development(spark, sf_dir):
+    """The grid over the questions of the development split alone."""
+    grades = _judged(spark, sf_dir)[1]
+    last = F.right("query_id", F.lit(1))
+    splits = grades.select("query_id", F.when(last.isin("1", "5", "7", "9"), "test").otherwise("development").alias("split")).distinct()
+    return evaluation.tune_split(*_two_rankings(spark, sf_dir), grades, splits)
 
 
 @query("select 'unknown item' as issue, cast(doc_id as varchar) as query_id, doc_id as item from labels where doc_id not in (select doc_id from documents where doc_id % 5 > 0) union all select 'inactive positive', cast(doc_id as varchar), doc_id from labels join documents using (doc_id) where quality > 0 and doc_id % 5 > 0 and doc_id % 7 = 0")

@@ -2,7 +2,7 @@
 
 import random
 
-from tarn.operators import experiment
+from tarn.operators import evaluation, experiment
 
 SCORED, PLACES, GRADES, SPLITS = "query_id string, job_id string, chunk_id int, score double", "query_id string, item string, place int", "query_id string, item string, grade int", "split string, query_id string"
 
@@ -74,3 +74,14 @@ def test_without_labels(spark):
     # one grade alone teaches no thresholds
     one = experiment.run(spark.createDataFrame([("q", "a", 1, 0.5), ("q", "b", 2, 0.7)], SCORED), empty[1], spark.createDataFrame([("q", "a", 2), ("q", "b", 2)], GRADES), spark.createDataFrame([("test", "q")], SPLITS))
     assert one.thresholds.count() == 0 and one.queue.count() == 0 and one.coverage.first().coverage == 1.0
+
+
+def test_tuning_sees_one_split(spark):
+    lists = "query_id string, chunk_id string, job_id string, score double, rank int"
+    found = spark.createDataFrame([(f"q{q}", f"c{j}", f"j{j}", 1.0, j + 1) for q in range(8) for j in range(4)], lists)
+    # the development questions want the first job, those of the test split another
+    grades = spark.createDataFrame([(f"q{q}", "j0" if q < 5 else "j3", 2) for q in range(8)], GRADES)
+    splits = lambda n: spark.createDataFrame([("development" if q < n else "test", f"q{q}") for q in range(8)], SPLITS)
+    best = evaluation.tune_split(found, found, grades, splits(5)).first()
+    assert (best.recall, best.rr, best.graded_ndcg) == (1.0, 1.0, 1.0)
+    assert evaluation.tune_split(found, found, grades, splits(4)).count() == 0
