@@ -244,7 +244,8 @@ def fenced_json(c: Column) -> Column:
 
 
 def bounded(c: Column, low: int = 1, high: int = 5) -> Column:
-    return F.least(F.greatest(c.try_cast("int"), F.lit(low)), F.lit(high))
+    n = c.try_cast("int")  # least and greatest pass over nulls
+    return F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(low)), F.lit(high)))
 
 
 def citation_coverage(answer: Column, claims: Column) -> Column:

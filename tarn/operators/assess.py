@@ -110,6 +110,27 @@ def judged(rows: DataFrame, kept: int = 2) -> DataFrame:
     return out.withColumn("groundedness", F.bround(F.try_divide(total, F.col("claim_count")), 4))
 
 
+def replies(texts: DataFrame, text: str = "text") -> DataFrame:
+    """query_id, claims, relevance, completeness (1 to 5, null if no number), refusal_correct of a judge's answers: JSON, fenced or
+    amid other words, with a list of evaluations; an answer that is no such JSON has none. The first evaluation of a question by its text counts."""
+    kind = "struct<evaluations:array<struct<id:string,claims:array<struct<claim:string,verdict:string,source_numbers:array<int>,evidence_quote:string>>,answer_relevance:string,completeness:string,refusal_correct:boolean>>>"
+    rows = texts.select(F.from_json(S.fenced_json(F.col(text)), kind).alias("j")).select(F.explode("j.evaluations").alias("e")).where("e.id is not null")
+    one = rows.groupBy(F.col("e.id").alias("query_id")).agg(F.min("e").alias("e"))
+    return one.select("query_id", "e.claims", S.bounded(F.col("e.answer_relevance")).alias("relevance"), S.bounded(F.col("e.completeness")).alias("completeness"), F.coalesce("e.refusal_correct", F.lit(False)).alias("refusal_correct"))
+
+
+def response_summary(cases: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """One row: answerable, groundedness, relevance, completeness, refusals, refusal_accuracy, unjudged, over cases (query_id,
+    expected_refusal, evidence, source_count) and replies(). Cases that no evaluation names are unjudged and count nowhere else; means over nothing are null."""
+    rows = judged(cases.join(evaluations.withColumn("told", F.lit(True)), "query_id", "left"))
+    due, told = F.col("expected_refusal"), F.col("told").isNotNull()
+    mean = lambda c, of: F.bround(F.round(F.avg(F.when(told & of, c)), 10), 4)
+    return rows.agg(
+        F.count_if(told & ~due).alias("answerable"), *[mean(F.col(c), ~due).alias(c) for c in ("groundedness", "relevance", "completeness")],
+        F.count_if(told & due).alias("refusals"), mean(F.col("refusal_correct").cast("double"), due).alias("refusal_accuracy"), F.count_if(~told).alias("unjudged"),
+    )
+
+
 def usage_totals(rows: DataFrame) -> DataFrame:
     """One row with the sum of each counter of USAGE; a counter that is null or absent counts 0."""
     return rows.agg(*[F.coalesce(F.sum(c) if c in rows.columns else F.lit(None), F.lit(0)).cast("long").alias(c) for c in USAGE])

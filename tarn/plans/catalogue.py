@@ -887,6 +887,22 @@ def judged_claims(spark, sf_dir):
     return out.select("query_id", "claim_count", "groundedness", F.size(F.filter("judged", lambda j: j["evidence_quote_found"])).alias("quotes"), F.aggregate("judged", F.lit(0), lambda s, j: s + F.size(j["invalid_source_numbers"])).alias("invalid_numbers"))
 
 
+_JUDGED = "with t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as r from conversations), g as (select conv_id, avg(case turn % 5 when 0 then 1.0 when 1 then 0.5 else 0.0 end)::double as g from t where r <= 2 group by conv_id), c as (select conv_id, conv_id % 5 = 0 as due, conv_id % 7 > 0 as told, round_even(g, 4) as g, least(greatest(conv_id % 9, 1), 5) as rel, case when conv_id % 4 > 0 then greatest(conv_id % 3, 1) end as comp, conv_id % 10 = 0 as fine from g)"
+
+
+@query(_JUDGED + " select count_if(told and not due) as answerable, round_even(round(avg(g) filter (where told and not due), 10), 4) as groundedness, round_even(round(avg(rel) filter (where told and not due), 10), 4) as relevance, round_even(round(avg(comp) filter (where told and not due), 10), 4) as completeness, count_if(told and due) as refusals, round_even(round(avg(fine::int) filter (where told and due), 10), 4) as refusal_accuracy, count_if(not told) as unjudged from c")
+def response_summary(spark, sf_dir):
+    """A judge's fenced JSON for most conversations, with claims of each of their turns."""
+    c, n = table(spark, sf_dir, "conversations"), F.col("conv_id")
+    verdict = F.element_at(F.array(*map(F.lit, ("supported", "partially_supported", "unsupported", "contradicted", "unheard of"))), (F.col("turn") % 5 + 1).cast("int"))
+    claim = F.struct("turn", F.lit("c").alias("claim"), verdict.alias("verdict"), F.array(F.lit(1)).alias("source_numbers"), F.lit("").alias("evidence_quote"))
+    rows = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("evidence"), F.array_sort(F.collect_list(claim)).alias("claims"))
+    cases = rows.select(n.cast("string").alias("query_id"), (n % 5 == 0).alias("expected_refusal"), "evidence", F.lit(3).alias("source_count"))
+    one = F.struct(n.cast("string").alias("id"), "claims", (n % 9).cast("string").alias("answer_relevance"), F.when(n % 4 == 0, "none").otherwise((n % 3).cast("string")).alias("completeness"), (n % 10 == 0).alias("refusal_correct"))
+    told = rows.where(n % 7 > 0).select(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(one).alias("evaluations"))), F.lit("\n```")).alias("text"))
+    return assess.response_summary(cases, assess.replies(told))
+
+
 @query("select cast(sum(user_id) as bigint) as prompt_tokens, cast(sum(event_id % 10) as bigint) as completion_tokens, cast(0 as bigint) as total_tokens, cast(0 as bigint) as prompt_cache_hit_tokens, cast(0 as bigint) as prompt_cache_miss_tokens from events")
 def token_usage(spark, sf_dir):
     return assess.usage_totals(table(spark, sf_dir, "events").select(F.col("user_id").alias("prompt_tokens"), (F.col("event_id") % 10).alias("completion_tokens"), F.lit(None).cast("long").alias("total_tokens")))

@@ -63,3 +63,14 @@ def test_runs_without_rows(spark):
     assert assess.filter_accuracy(wanted.limit(0), wanted).first().filter_accuracy == 1.0
     rows = spark.createDataFrame([(1, None, "e", 2)], "query_id int, claims array<struct<claim:string,verdict:string,source_numbers:array<int>,evidence_quote:string>>, evidence string, source_count int")
     assert [(r.claim_count, r.groundedness) for r in assess.judged(rows).collect()] == [(0, None)]
+
+
+def test_judge(spark):
+    cases = spark.createDataFrame([(q, q == "r", "We use Python daily", 1) for q in "abrn"], "query_id string, expected_refusal boolean, evidence string, source_count int")
+    claim = {"claim": "x", "verdict": "supported", "source_numbers": [1, 4], "evidence_quote": "use  python"}
+    told = {"evaluations": [{"id": "a", "claims": [claim, claim | {"verdict": "odd"}], "answer_relevance": 9, "completeness": "much"}, {"id": "r", "refusal_correct": True}, {"id": None}]}
+    texts = [f"```json\n{json.dumps(told)}\n```", json.dumps({"evaluations": [{"id": "b", "claims": None, "answer_relevance": 0, "completeness": 3}]}), "no JSON", None]
+    got = assess.replies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {r.query_id: (r.relevance, r.completeness, r.refusal_correct) for r in got.collect()} == {"a": (5, None, False), "b": (1, 3, False), "r": (None, None, True)}
+    assert tuple(assess.response_summary(cases, got).first()) == (2, 0.5, 3.0, 3.0, 1, 1.0, 1)
+    assert tuple(assess.response_summary(cases.limit(0), got.limit(0)).first()) == (0, None, None, None, 0, None, 0)
