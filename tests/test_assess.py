@@ -4,10 +4,11 @@ import copy
 import hashlib
 import json
 
+import duckdb
 import pytest
 
 from tarn.operators import assess
-from tarn.plans import contract
+from tarn.plans import catalogue, contract
 from tarn.sources import files
 
 VALID = {
@@ -74,3 +75,14 @@ def test_judge(spark):
     assert {r.query_id: (r.relevance, r.completeness, r.refusal_correct) for r in got.collect()} == {"a": (5, None, False), "b": (1, 3, False), "r": (None, None, True)}
     assert tuple(assess.response_summary(cases, got).first()) == (2, 0.5, 3.0, 3.0, 1, 1.0, 1)
     assert tuple(assess.response_summary(cases.limit(0), got.limit(0)).first()) == (0, None, None, None, 0, None, 0)
+
+
+def test_quotes_with_sharp_s_and_edge_blanks_as_in_the_sql(spark, tmp_path):
+    texts = {1: ["St geßch das", "xxgeßch ver"], 2: ["Des chä. es", "xxs chä yy"], 3: ["a \n\tb c", "xx \n\tb cd"], 4: ["ab", "xx"], 5: ["Es ssen", "xxßen es"], 6: ["DU darfst", "xxu darf"]}
+    rows = [(i, n, "user", t) for i, two in texts.items() for n, t in enumerate(two)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.query_id: tuple(r) for r in catalogue.QUERIES["judged_claims"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == {r[0]: r for r in con.execute(catalogue.SQL["judged_claims"]).fetchall()}
+    assert [got[i][3] for i in texts] == [2, 1, 2, 0, 1, 2]
