@@ -27,3 +27,21 @@ def components(links: DataFrame, node: str, via: str) -> DataFrame:
         labels = labels.select("node", "label")
         if not moved:
             return labels.select(F.col("node").alias(node), F.col("label").alias("component"))
+
+
+def grouped(rows: DataFrame, node: str, via: str) -> DataFrame:
+    """rows (without null nodes) with component, a number that all rows have in common which shared nodes and values of `via` connect.
+
+    It is worked out on 64-bit hashes, and first among the values: only those that meet in a node of several values are
+    linked, so nothing else takes part in the rounds. Two hashes that are equal by chance give two components one number, no
+    more: whoever folds a component must compare the keys themselves.
+    """
+    own = rows.withColumns({"node_hash": F.xxhash64(node), "via_hash": F.when(F.col(via).isNotNull(), F.xxhash64(via))})
+    edges = own.select("node_hash", "via_hash").where("via_hash is not null")
+    homes = edges.groupBy("node_hash").agg(F.min("via_hash").alias("home"), F.max("via_hash").alias("last"))
+    linked = components(edges.join(homes.where("home <> last").select("node_hash"), "node_hash", "left_semi"), "via_hash", "node_hash")
+    # rows without a value go with their node's others
+    alone = own.where("via_hash is null").join(homes.select("node_hash", "home"), "node_hash", "left").withColumn("home", F.coalesce("home", "node_hash"))
+    placed = own.where("via_hash is not null").withColumn("home", F.col("via_hash")).unionByName(alone)
+    out = placed.join(linked.withColumnRenamed("via_hash", "home"), "home", "left")
+    return out.select(*rows.columns, F.coalesce("component", "home").alias("component"))

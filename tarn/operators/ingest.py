@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import scalar as S
 from tarn.operators.filters import stale
-from tarn.operators.groups import components
+from tarn.operators.groups import grouped
 from tarn.session import keep
 
 # The fields whose change makes a new version.
@@ -95,21 +95,23 @@ def decide(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     Rows are taken one after the other, by arrival: a row is the job with its fingerprint, else the job that has its
     source and URL at that time (of several the least job_id), else a new one. An updated job moves to the row's URL, an unchanged
     one stays where it is. Rows and stored jobs that are connected by fingerprints and URLs are folded together, in the
-    order of their steps; the batch's narrow columns are all that is moved.
+    order of their steps; narrow columns of the batch and of the stored jobs are all that is moved, once to meet their
+    group's number, where URLs are linked at all, and once to the fold.
     """
     url = F.when(F.col("job_url") != "", F.concat_ws("\n", "source", "job_url")).alias("url")
-    rows = batch.select("fingerprint", url, F.col("arrival").cast("long").alias("arrival"), "content_hash")
-    known = jobs.select("job_id", "fingerprint", url, "content_hash", "is_active")
-    touched = known.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi").unionByName(known.join(rows.select("url").dropna().distinct(), "url", "left_semi"))
-    stored = touched.dropDuplicates(["job_id"]).withColumn("arrival", F.lit(None).cast("long"))
-    both = keep(rows.withColumns({"job_id": F.lit(None).cast("string"), "is_active": F.lit(None).cast("boolean")}).unionByName(stored.select("fingerprint", "url", "arrival", "content_hash", "job_id", "is_active")))
-    group = components(both, "fingerprint", "url")
-    placed = both.join(group, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    rows = batch.select("fingerprint", url, F.col("arrival").cast("long").alias("arrival"), "content_hash", F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("boolean").alias("is_active"))
+    known = jobs.select("fingerprint", url, F.lit(None).cast("long").alias("arrival"), "content_hash", "job_id", "is_active")
+    placed = grouped(keep(rows.unionByName(known)), "fingerprint", "url")
     order = placed.select("component", "arrival", "fingerprint", "url", "content_hash", "job_id", "is_active").repartition("component")
     order = order.sortWithinPartitions("component", F.asc_nulls_last("job_id"), "arrival", "fingerprint", "content_hash", "url")
     return keep(order.mapInArrow(_fold, "fingerprint string, url string, arrival long, content_hash string, job_id string, change string, reactivated boolean, step long"))
 
 
+def row_key() -> Column:
+    """The identity of a batch's row, by what decide() gives of it: fingerprint, arrival, content_hash and url, in 16 bytes."""
+    return F.unhex(F.md5(F.concat_ws("\n", "fingerprint", F.col("arrival").cast("string"), "content_hash", "url")))
+
+
 def upsert(jobs: DataFrame, snapshots: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(jobs, snapshots, changes) after a batch of canonical rows, taken one after the other in the order of their arrival.
 
@@ -118,13 +120,11 @@ def upsert(jobs: DataFrame, snapshots: DataFrame, batch: DataFrame, now: Column)
     of the batch: job_id, change (inserted, updated, unchanged, each against the job's state before that row) and
     reactivated (the first row of a job that was inactive).
     """
-    changes = decide(jobs, batch)
-    last = changes.groupBy("job_id").agg(F.max_by(F.struct("fingerprint", "url", "arrival", "content_hash"), F.when(F.col("change") != "unchanged", F.col("step"))).alias("row"), F.min_by("fingerprint", "step").alias("founder"))
-    last = last.withColumn("row", F.when(F.col("row.arrival").isNotNull(), F.col("row"))).select("job_id", "founder", *[F.col(f"row.{c}").alias(f"row_{c}") for c in ("fingerprint", "url", "arrival", "content_hash")])
+    changes = decide(jobs, batch).withColumn("row", row_key())
+    last = changes.groupBy("job_id").agg(F.max_by("row", F.when(F.col("change") != "unchanged", F.col("step"))).alias("row"), F.min_by("fingerprint", "step").alias("founder"))
     own = [c for c in jobs.columns if c not in ("job_id", "fingerprint", "first_seen_at", "last_seen_at", "is_active")]
-    full = batch.withColumn("url", F.when(F.col("job_url") != "", F.concat_ws("\n", "source", "job_url"))).dropDuplicates(["fingerprint", "url", "arrival", "content_hash"])
-    same = (full["fingerprint"] == last["row_fingerprint"]) & full["url"].eqNullSafe(last["row_url"]) & (full["arrival"] == last["row_arrival"]) & (full["content_hash"] == last["row_content_hash"])
-    values = full.join(last, same).select("job_id", F.struct(*[F.col(c) for c in own]).alias("new"))
+    full = batch.withColumn("url", F.when(F.col("job_url") != "", F.concat_ws("\n", "source", "job_url"))).withColumn("row", row_key()).drop("url").dropDuplicates(["row"])
+    values = full.join(last.where("row is not null").select("row", "job_id"), "row").select("job_id", F.struct(*[F.col(c) for c in own]).alias("new"))
     seen = last.select("job_id", "founder").join(values, "job_id", "left")
     both = jobs.select("job_id", F.struct(*jobs.columns).alias("old")).join(seen, "job_id", "full")
     stays = F.col("founder").isNull()
@@ -136,11 +136,8 @@ def upsert(jobs: DataFrame, snapshots: DataFrame, batch: DataFrame, now: Column)
         F.when(stays, F.col("old.last_seen_at")).otherwise(now).alias("last_seen_at"),
         F.when(stays, F.col("old.is_active")).otherwise(F.lit(True)).alias("is_active"),
     ).select(jobs.columns)
-    text = full.select("fingerprint", "url", "arrival", "content_hash", "description")
-    fresh = changes.where("change <> 'unchanged'").select("job_id", "fingerprint", "url", "arrival", "content_hash").join(snapshots.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
-    fresh, text = fresh.alias("f"), text.alias("t")
-    match = (F.col("f.fingerprint") == F.col("t.fingerprint")) & F.col("f.url").eqNullSafe(F.col("t.url")) & (F.col("f.arrival") == F.col("t.arrival")) & (F.col("f.content_hash") == F.col("t.content_hash"))
-    versions = fresh.join(text, match).select("f.job_id", "f.content_hash", "t.description", now.alias("created_at")).dropDuplicates(["job_id", "content_hash"])
+    fresh = changes.where("change <> 'unchanged'").select("job_id", "row", "content_hash").dropDuplicates(["job_id", "content_hash"]).join(snapshots.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti")
+    versions = fresh.join(full.select("row", "description"), "row").select("job_id", "content_hash", "description", now.alias("created_at"))
     return out, snapshots.unionByName(versions.select(snapshots.columns)), changes.select("job_id", "change", "reactivated")
 
 

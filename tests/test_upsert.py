@@ -118,3 +118,17 @@ def test_components(spark, shape):
     got = {r.n: r.component for r in groups.components(spark.createDataFrame([*links, (None, "v1"), ("lone", None)], "n string, v string"), "n", "v").collect()}
     of = {"chain": lambda i: 0, "star": lambda i: 0, "pairs": lambda i: i - i % 2, "none": None}[shape]
     assert got == {k: f"{of(int(k)):04d}" for k, _ in links}
+
+
+def test_only_linked_values_take_part_in_the_rounds(spark, monkeypatch):
+    """Two nodes of two values each link four values; the star and the rows without a value take no part."""
+    rows = [("a", "u"), ("a", "v"), ("b", "v"), ("c", "w"), ("c", "x"), ("c", None), ("d", None), *[(f"s{i}", "star") for i in range(50)], ("d", None), ("c", "w")]
+    kept, keep = [], groups.keep
+    monkeypatch.setattr(groups, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    got = groups.grouped(spark.createDataFrame(rows, "n string, v string"), "n", "v").collect()
+    assert sorted((r.n, r.v or "") for r in got) == sorted((n, v or "") for n, v in rows)
+    of = {}
+    for r in got:
+        of.setdefault(r.component, set()).add(r.n)
+    assert sorted(map(sorted, of.values())) == [["a", "b"], ["c"], ["d"], sorted(f"s{i}" for i in range(50))]
+    assert max(df.count() for df in kept) == 4
