@@ -47,9 +47,19 @@ def canonical(raw: DataFrame) -> DataFrame:
     )
 
 
+def packed(c: str) -> Column:
+    """A text as bytes, led by 1 and in half the bytes if it is a SHA-256 in lower-case hex, else led by 0."""
+    return F.when(F.col(c).rlike("\\A[0-9a-f]{64}\\z"), F.concat(F.lit(b"\1"), F.unhex(c))).otherwise(F.concat(F.lit(b"\0"), F.encode(c, "utf-8"))).alias(c)
+
+
+def unpacked(c: str) -> Column:
+    rest = F.expr(f"substring({c}, 2)")
+    return F.when(F.substring(c, 1, 1) == F.lit(b"\1"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "utf-8")).alias(c)
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each row does, for rows (component, arrival, fingerprint, url, content_hash, job_id, is_active) sorted by component
-    with its stored jobs, which have a job_id, first.
+    with its stored jobs, which have a job_id, first; fingerprint and content_hash are packed.
 
     The rows are streamed: only the jobs of the component that is being folded are held, by fingerprint and by
     current URL. A URL's jobs are a heap from which those that have moved away are taken when they come up.
@@ -69,7 +79,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     heapq.heappop(held)
                 job_id = job_id or (held[0] if held else None)
                 was = jobs.get(job_id)
-                job_id = job_id or fingerprint[:32]
+                job_id = job_id or (fingerprint[1:].hex() if fingerprint[0] else fingerprint[1:].decode())[:32]
                 change = "inserted" if not was else "unchanged" if was[1] == content else "updated"
                 out.append((*row, job_id, change, bool(was) and not was[2], step))
                 step += 1
@@ -85,7 +95,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 heapq.heappush(urls.setdefault(url, []), job_id)
             jobs[job_id] = (url, content, active)
         cols = list(zip(*out)) or [()] * len(names)
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
+        kinds = (pa.binary(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.bool_(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
@@ -99,12 +109,13 @@ def decide(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     group's number, where URLs are linked at all, and once to the fold.
     """
     url = F.when(F.col("job_url") != "", F.concat_ws("\n", "source", "job_url")).alias("url")
-    rows = batch.select("fingerprint", url, F.col("arrival").cast("long").alias("arrival"), "content_hash", F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("boolean").alias("is_active"))
-    known = jobs.select("fingerprint", url, F.lit(None).cast("long").alias("arrival"), "content_hash", "job_id", "is_active")
+    rows = batch.select(packed("fingerprint"), url, F.col("arrival").cast("long").alias("arrival"), packed("content_hash"), F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("boolean").alias("is_active"))
+    known = jobs.select(packed("fingerprint"), url, F.lit(None).cast("long").alias("arrival"), packed("content_hash"), "job_id", "is_active")
     placed = grouped(keep(rows.unionByName(known)), "fingerprint", "url")
     order = placed.select("component", "arrival", "fingerprint", "url", "content_hash", "job_id", "is_active").repartition("component")
     order = order.sortWithinPartitions("component", F.asc_nulls_last("job_id"), "arrival", "fingerprint", "content_hash", "url")
-    return keep(order.mapInArrow(_fold, "fingerprint string, url string, arrival long, content_hash string, job_id string, change string, reactivated boolean, step long"))
+    done = keep(order.mapInArrow(_fold, "fingerprint binary, url string, arrival long, content_hash binary, job_id string, change string, reactivated boolean, step long"))
+    return done.withColumns({c: unpacked(c) for c in ("fingerprint", "content_hash")})
 
 
 def row_key() -> Column:

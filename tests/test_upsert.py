@@ -132,3 +132,10 @@ def test_only_linked_values_take_part_in_the_rounds(spark, monkeypatch):
         of.setdefault(r.component, set()).add(r.n)
     assert sorted(map(sorted, of.values())) == [["a", "b"], ["c"], ["d"], sorted(f"s{i}" for i in range(50))]
     assert max(df.count() for df in kept) == 4
+
+
+def test_packed_texts_come_back(spark):
+    texts = ["ab" * 32, "AB" * 32, "ab" * 31, "", "é" * 40, "0" * 64 + "\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select(ingest.packed("x"))
+    assert sorted(len(r.x) for r in df.collect() if r.x is not None) == [1, 33, 63, 65, 66, 81]
+    assert sorted(map(str, (r.x for r in df.select(ingest.unpacked("x")).collect()))) == sorted(map(str, texts))
