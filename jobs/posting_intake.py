@@ -18,7 +18,7 @@ table makes a batch without rows; repeated rows are unchanged postings; columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobs.common import counted, log, main
@@ -62,18 +62,19 @@ def take(spark: SparkSession, landed: DataFrame, number: int, out: str, conf: di
     # a posting keeps the fingerprint that founded it, which is not always that of the row
     founded = changes.where("change = 'inserted'").select("job_id", F.col("fingerprint").alias("founder"))
     founder = before.select("job_id", F.col("fingerprint").alias("founder")).join(changes.select("job_id").distinct(), "job_id", "left_semi").unionByName(founded)
-    keys = ["fingerprint", "url", "arrival", "content_hash"]
-    full = rows.withColumn("url", F.when(F.col("job_url") != "", F.concat_ws("\n", "source", "job_url"))).dropDuplicates(keys).alias("r")
-    match = [F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    found = changes.alias("c").join(full, match).select("r.*", "c.job_id", "c.change", F.col("c.step").alias("nth"))
-    found = keep(found.drop("fingerprint").join(founder.withColumnRenamed("founder", "fingerprint"), "job_id").withColumn("n_chars", F.coalesce(F.length("description"), F.lit(0)).cast("long")))
+    # who founded it and what came last is settled on narrow rows; only the texts that are cut move, once to meet them
+    told = changes.withColumn("row", ingest.row_key()).select("job_id", "change", F.col("step").alias("nth"), "row").join(founder.withColumnRenamed("founder", "fingerprint"), "job_id")
+    told = keep(told.withColumn("is_last", F.col("nth") == F.max("nth").over(Window.partitionBy("job_id"))))
+    url = F.when(F.col("job_url") != "", F.concat_ws("\n", "source", "job_url"))
+    keyed = rows.withColumn("url", url).withColumn("row", ingest.row_key()).withColumn("n_chars", F.coalesce(F.length("description"), F.lit(0)).cast("long"))
+    found = told.join(keyed.drop("url", "fingerprint", "description").dropDuplicates(["row"]), "row")
 
     spread = [F.col("source"), F.pmod(F.xxhash64("job_id"), F.lit(conf["files_per_source"]))]
     names = [f.name for f in spark.createDataFrame([], VERSIONS).schema if f.name != "batch"]
     new, wrote = counted(found.select(*names).repartition(*spread), changed=F.count_if(F.col("change") == "updated"))
     new.write.mode("overwrite").partitionBy("source").parquet(f"{out}/versions/batch={number}")
-    last = found.groupBy("job_id").agg(F.max_by(F.struct("source", "description"), "nth").alias("v")).select("job_id", "v.*")
-    pieces = last.select("job_id", "source", F.posexplode(chunking.stride(F.col("description"), conf["chunk_chars"], conf["chunk_overlap"])).alias("piece", "content"))
+    texts = told.where("is_last").select("row", "job_id").join(keyed.where("description <> ''").select("row", "source", "description").dropDuplicates(["row"]), "row")
+    pieces = texts.select("job_id", "source", F.posexplode(chunking.stride(F.col("description"), conf["chunk_chars"], conf["chunk_overlap"])).alias("piece", "content"))
     cut, cuts = counted(pieces.withColumn("content_hash", F.sha2("content", 256)).repartition(*spread))
     cut.write.mode("overwrite").partitionBy("source").parquet(f"{out}/chunks/batch={number}")
     log.info("batch %s: read %s rows, wrote %s versions (%s of known postings) and %s chunks", number, read.get["rows"], wrote.get["rows"], wrote.get["changed"], cuts.get["rows"])

@@ -151,3 +151,13 @@ def test_equals_sql(spark, sf_dir, name):
     assert sorted(names) == cols
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
     assert sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr) == want
+
+
+def test_texts_are_written_once_besides_the_chunks(spark, tmp_path, monkeypatch):
+    """Of the tables that a batch keeps on its way, only the rows that it read have texts."""
+    kept, keep = [], posting_intake.keep
+    monkeypatch.setattr(posting_intake, "keep", lambda df: kept.append(df.columns) or keep(df))
+    rows = spark.createDataFrame([(i, "some text", "en", "src", 9) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    posting_intake.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", config("posting_intake"))
+    assert [("description" in c) for c in kept].count(True) == 1 and posting_intake.current(spark, f"{tmp_path}/out").count() == 5
