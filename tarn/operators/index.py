@@ -60,10 +60,11 @@ def _length(names: list[str]) -> Column:
     return reduce(lambda a, b: a + b, map(F.size, names))
 
 
-def postings(chunks: DataFrame, fields: dict[str, float] = FIELDS, key: str = "chunk_id") -> DataFrame:
+def postings(chunks: DataFrame, fields: dict[str, float] = FIELDS, key: str = "chunk_id", sizes: bool = False) -> DataFrame:
     """key, job_id, dl, field, term, positions: where each word of a chunk stands in each of its fields, without a shuffle.
 
-    field is the place in `fields`; dl is the chunk's number of words. Positions count from 0 in their field.
+    field is the place in `fields`; dl is the chunk's number of words. Positions count from 0 in their field. With sizes,
+    each chunk has one more row, without a term, so that one pass over the texts gives lengths() as well.
     """
     names = [f"w{i}" for i in range(len(fields))]
     rows = chunks.select(F.col(key).alias("k"), "job_id", *[words(F.col(c)).alias(n) for c, n in zip(fields, names)])
@@ -75,6 +76,9 @@ def postings(chunks: DataFrame, fields: dict[str, float] = FIELDS, key: str = "c
             origin, dl, field, term, positions = [], [], [], [], []
             for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, batch.num_columns)))):
                 total = sum(map(len, row))
+                if sizes:
+                    for c, x in zip((origin, dl, field, term, positions), (i, total, None, None, None)):
+                        c.append(x)
                 for f, tokens in enumerate(row):
                     places: dict[str, list[int]] = {}
                     for at, t in enumerate(tokens):
@@ -181,6 +185,11 @@ class Index:
         self.totals = totals(spark.createDataFrame([], "dl int"))
         self._next = 0
 
+    def _cut(self, chunks: DataFrame) -> Segment:
+        # the texts are read once: sorting by ranges reads what it sorts again for each of its samples
+        rows = keep(postings(chunks, self.fields, sizes=True))
+        return self._write(rows.where("term is not null"), rows.where("term is null").select("chunk_id", "job_id", "dl"))
+
     def _write(self, postings: DataFrame, lengths: DataFrame) -> Segment:
         # files of neighbouring terms: a scan's term filter skips files; a frequent term is split by chunk
         rows = keep(postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
@@ -194,7 +203,7 @@ class Index:
         dead = touched.select("job_id").distinct()
         older = [self.dead, *[dead.select("job_id", F.lit(s.number).alias("segment")) for s in self.segments]]
         self.dead = keep(reduce(DataFrame.unionByName, older).distinct())
-        new = self._write(postings(chunks, self.fields), lengths(chunks, self.fields))
+        new = self._cut(chunks)
         self.segments = [*self.segments, new]
         if len(self.segments) > SEGMENTS:
             self._merge()

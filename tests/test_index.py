@@ -126,3 +126,12 @@ def test_the_scan_gets_the_words_as_a_filter(spark, corpus):
 def test_accents_come_from_the_rule():
     fold = dict(zip(index.ACCENTED, index.PLAIN))
     assert len(fold) > 100 and fold["é"] == "e" and fold["ñ"] == "n" and fold["ü"] == "u" and "ß" not in fold and "ø" not in fold
+
+
+def test_one_pass_gives_postings_and_lengths(spark):
+    rows = [("c1", "j1", "A b", None, "", "x", "b a b"), ("c2", "j1", "", "", "", "", ""), ("c3", "j2", None, None, None, None, "?!")]
+    df = spark.createDataFrame(rows, "chunk_id string, job_id string, " + ", ".join(f"{f} string" for f in index.FIELDS))
+    both = index.postings(df, sizes=True).cache()
+    key = lambda d: sorted(map(repr, d.collect()))
+    assert key(both.where("term is not null")) == key(index.postings(df))
+    assert key(both.where("term is null").select("chunk_id", "job_id", "dl")) == key(index.lengths(df))
