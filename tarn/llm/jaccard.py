@@ -17,7 +17,11 @@ that is within RADIUS of the Jaccard distance, which is a metric.
 3. What is left of a region is joined in the metric of sketches, the numbers of shingles in
    bins, whose L1 distance never exceeds the symmetric difference. The empty set is the
    first pivot: a set lies as far from it as its size, so regions fall into bands of sizes, with
-   the next band as window. Regions over LEAF classes are dealt to their nearest of PIVOTS more
+   the next band as window. Cells over LEAF classes are first taken apart by what their classes have
+   apart from the cell's common set, the shingles of most of a sample of it: classes so near to it that
+   they link for sure join the nearest, and of all others two that link share one of the rarest
+   differences (_differences). So near copies of one text part, however many, by a number of rows that
+   follows theirs. What stays over LEAF is dealt to its nearest of PIVOTS more
    pivots, and a class is replicated to another cell where the triangle inequality lets a linked
    class stand there; cells are dealt again, until each fits a task, which goes on in the same
    way (join_cell). Cells that no pivot divides are joined by pairs of blocks.
@@ -44,6 +48,8 @@ SIZE = 5
 RADIUS = 0.2
 #: Classes and bytes of sketches of a cell that one task joins; pivots that divide a larger cell; classes of a block.
 LEAF, LEAF_BYTES, PIVOTS, BLOCK = 1024, 16 << 20, 16, 512
+#: Sets of a large cell by which its common set is found.
+COMMON = 15
 #: A cell that keeps more than this part of its region's classes is not divided further.
 STUBBORN = 0.75
 #: The sample by which frequent shingles are found, and how many of them are remembered.
@@ -338,17 +344,108 @@ def _divided(rows: DataFrame, some: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("parent", "k").alias("cell"), "cls", "inside", "label", "n", "w", "m")
 
 
-def _cells(members: DataFrame, some: DataFrame) -> DataFrame:
-    """cell, cls, inside, label: the regions' classes (pivot, cls, label, n, w), in cells that each fit a task."""
+def _bands(members: DataFrame) -> DataFrame:
+    """cell, cls, inside, label, n, w: the regions' classes (pivot, cls, label, n, w) by bands of sizes, the next one as window."""
     band = F.floor(F.log("n") / float(np.log(1.25)) + 1e-9)
     bands = F.inline(F.array(F.struct(band.alias("band"), F.lit(True).alias("inside")), F.struct((band - 1).alias("band"), F.lit(False).alias("inside"))))
-    rows = members.select("pivot", "cls", "label", "n", "w", bands).select(F.xxhash64("pivot", "band").alias("cell"), "cls", "inside", "label", "n", "w", F.lit(None).cast("long").alias("m"))
-    out = None
+    return members.select("pivot", "cls", "label", "n", "w", bands).select(F.xxhash64("pivot", "band").alias("cell"), "cls", "inside", "label", "n", "w")
+
+
+def _fits():
+    return (F.col("size") <= LEAF) & (F.col("bytes") <= LEAF_BYTES)
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """cell, size, bytes, of: the cells of rows that have two labels and something inside."""
+    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("bytes"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("inside").alias("core"), F.max("m").alias("of"))
+    return keep(sizes.where("core and l0 <> l1").select("cell", "size", "bytes", "of"))
+
+
+def common_set(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that two of some sets or more have (one or more of fewer than three), and in how many."""
+    tokens, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets]), return_counts=True)
+    often = counts >= min(2, len(sets) // 2 + 1)
+    return tokens[often], counts[often]
+
+
+def differences(own: np.ndarray, tokens: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Shingles that a set has apart from the common set, those of more than half of k sets, in one order for all sets:
+    what it has more before what it lacks, what is rare among the k first."""
+    common = tokens[2 * counts > k]
+    more, less = np.setdiff1d(own, common, True), np.setdiff1d(common, own, True)
+    seen = np.zeros(len(more), np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, more), len(tokens) - 1)
+        seen = np.where(tokens[at] == more, counts[at], 0)
+    lack = k - counts[np.searchsorted(tokens, less)]
+    return np.concatenate((more[np.lexsort((more, seen))], less[np.lexsort((less, lack))]))
+
+
+def _differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """cell, cls, excess, apart, first for the rows (cell, cls, n) of large cells: how many shingles a class has apart from its
+    cell's common set, nine times that less its size, and the first of them, a quarter of its size at most and one."""
+    most = F.least(F.lit(COMMON), F.greatest(F.lit(3), F.floor(F.lit(LEAF_BYTES) / (8 * F.max("n")))))
+    share = rows.groupBy("cell").agg(most.alias("k"))
+    some = rows.withColumn("draw", F.pmod(F.xxhash64("cls", "cell"), F.lit(COMMON))).groupBy("cell", "draw").agg(F.min("cls").alias("cls"))
+    some = some.join(share, "cell").where("draw < k").join(sets, "cls").groupBy("cell").agg(F.collect_list("own").alias("sets"))
+
+    def middle():
+        def make(cell, sets_):
+            tokens, counts = common_set(sets_)
+            return cell, tokens.tobytes(), counts.astype(np.uint8).tobytes(), len(sets_)
+
+        return make
+
+    centres = keep(map_rows(some, middle, "cell long, tokens binary, counts binary, k int"))
+
+    def parted():
+        def make(cell, cls, n, own, tokens, counts, k):
+            apart_ = differences(np.frombuffer(own, np.uint64), np.frombuffer(tokens, np.uint64), np.frombuffer(counts, np.uint8).astype(np.int64), k)
+            return cell, cls, 9 * len(apart_) - n, len(apart_), apart_[: n // 4 + 1].view(np.int64).tolist()
+
+        return make
+
+    dealt = rows.join(sets, "cls").join(centres, "cell").select("cell", "cls", "n", "own", "tokens", "counts", "k")
+    return map_rows(dealt, parted, "cell long, cls long, excess long, apart long, first array<long>")
+
+
+def _stars(apart: DataFrame) -> DataFrame:
+    """cell, least, centre, open: the smallest excess of a cell, its class, and the smallest excess of those that do not link with it
+    for sure, null without any.
+
+    Two classes differ in the sum of their differences at most, so they link if their excesses sum to 0 or less. If
+    any two do, both do with the class of the smallest.
+    """
+    best = apart.groupBy("cell").agg(F.min(F.struct("excess", "cls")).alias("x")).select("cell", F.col("x.excess").alias("least"), F.col("x.cls").alias("centre"))
+    rest = apart.join(best, "cell").where("excess + least > 0").groupBy("cell").agg(F.min("excess").alias("open"))
+    return best.join(rest, "cell", "left")
+
+
+def _parted(rows: DataFrame, apart: DataFrame, stars: DataFrame) -> DataFrame:
+    """rows (cell, cls, inside, label, n, w) of large cells in a cell for each difference that two labels share.
+
+    Two classes link if they share (e + f) / 18 differences, e and f their excesses. Let e be the smaller one: its class
+    finds f >= e, and f >= open if it is itself sure of the centre; the other finds e >= least, and no class of over
+    1.25 times its size. So many of the last of an order may be left out as must be shared, less one.
+    """
+    sure = F.col("excess") + F.col("least") <= 0
+    low = F.ceil((F.col("excess") + F.greatest("excess", "open")) / 18)
+    high = F.ceil(F.greatest((F.col("excess") + F.col("least")) / 18, (4 * F.col("excess") - 5 * F.col("n")) / 36))
+    length = lambda shared: F.greatest(F.lit(0), F.col("apart") - shared + 1).cast("int")
+    own = apart.join(stars.where("open is not null"), "cell").join(rows, ["cell", "cls"])
+    own = own.withColumns({"low": length(low), "both": F.when(sure, length(low)).otherwise(F.greatest(length(low), length(high)))})
+    placed = own.select("cell", "cls", "inside", "label", "n", "w", "low", F.posexplode(F.slice("first", F.lit(1), F.col("both"))).alias("at", "difference"))
+    placed = placed.select(F.xxhash64("cell", "difference").alias("cell"), "cls", "inside", "label", "n", "w", (F.col("at") < F.col("low")).alias("low"))
+    shared = placed.groupBy("cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("inside").alias("core"), F.max("low").alias("low"))
+    return placed.drop("low").join(shared.where("core and low and l0 <> l1").select("cell"), "cell", "left_semi")
+
+
+def _cells(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """cell, cls, inside, label: rows (cell, cls, inside, label, n, w), in cells that each fit a task."""
+    rows, fits, out = rows.withColumn("m", F.lit(None).cast("long")), _fits(), None
     while True:
         rows = keep(rows)
-        sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("bytes"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("inside").alias("core"), F.max("m").alias("of"))
-        sizes = keep(sizes.where("core and l0 <> l1").select("cell", "size", "bytes", "of"))
-        fits = (F.col("size") <= LEAF) & (F.col("bytes") <= LEAF_BYTES)
+        sizes = _sizes(rows)
         stuck = ~fits & (F.coalesce(F.col("size") > STUBBORN * F.col("of"), F.lit(False)))
         done = rows.join(sizes.where(fits).select("cell"), "cell", "left_semi").select("cell", "cls", "inside", "label")
         out = done if out is None else out.union(done)
@@ -431,8 +528,11 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     some = keep(firsts.join(ids, "cls", "left_semi").groupBy("cls").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")))
     reps = keep(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")).join(ids, "cls", "left_semi"))
 
-    def fetched(pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+
+    def fetched(classes: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        wanted = classes.distinct()
         return keep(_members(docs, reps.join(wanted if but is None else wanted.join(but.select("cls"), "cls", "left_anti"), "cls", "left_semi")))
 
     def named(table: DataFrame, label: DataFrame, cls: str, name: str) -> DataFrame:
@@ -443,7 +543,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     # each class against its nearest pivot, then the others where components still differ
     near = keep(_near_pivots(regions, some))
-    sets = fetched(near)
+    sets = fetched(ends(near))
     first = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     found = keep(_measured(first, sets))
     label = components(found)
@@ -451,7 +551,19 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     label = components(found)
     # what the pivots have not decided: the likeliest pair of two components first, then, of the cells that gave any, all
     members = named(regions.join(some.select("cls", "n", F.length("sketch").cast("long").alias("w")), "cls"), label, "cls", "label")
-    cells = keep(_cells(members, some))
+    banded = keep(_bands(members))
+    large = _sizes(banded.withColumn("m", F.lit(None).cast("long"))).where(~_fits())
+    if not large.isEmpty():
+        part = keep(banded.join(large.select("cell"), "cell", "left_semi"))
+        sets = sets.union(fetched(part.select("cls"), sets))
+        apart_ = keep(_differences(part, sets))
+        stars = keep(_stars(apart_))
+        star = apart_.join(stars, "cell").where("excess + least <= 0 and cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+        found = keep(found.union(_measured(open_(star, label), sets)))
+        label = components(found)
+        part = _parted(named(part.drop("label"), label, "cls", "label"), apart_, stars)
+        banded = banded.join(large.select("cell"), "cell", "left_anti").unionByName(part)
+    cells = keep(_cells(banded, some))
     # few classes that only share a passage pass even coarse sketches: most cells end here
     cells = keep(cells.join(_candidates(cells, keep(_coarse(some)), "any").select("cell"), "cell", "left_semi"))
     tried = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -463,7 +575,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
             if pairs.isEmpty():
                 break
         else:
-            sets = sets.union(fetched(fresh_, sets))
+            sets = sets.union(fetched(ends(fresh_), sets))
             found, tried = keep(found.union(_measured(fresh_, sets))), tried.union(fresh_)
             label = components(found)
         cells = named(cells.drop("label").join(pairs.select("cell").distinct(), "cell", "left_semi"), label, "cls", "label")

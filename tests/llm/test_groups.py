@@ -173,6 +173,30 @@ def test_jaccard_family_without_links(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_jaccard_rows_of_a_family(spark, monkeypatch):
+    """A large family of near copies, of which many link with none, stands in no more rows of cells than it has texts."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for at in rng.sample(range(27), rng.randint(0, 7)):
+            w[5 * at] = f"v{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    for name, value in {"LEAF": 64, "BLOCK": 32, "PIVOTS": 4}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    held, plain = [], jaccard._candidates
+
+    def counted(cells, some, wanted):
+        held.append(cells.count())
+        return plain(cells, some, wanted)
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(docs).collect()} == plain_components(rows)
+    assert held[0] <= len(rows), held
+
+
 def test_jaccard_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(docs).collect()}
