@@ -32,30 +32,37 @@ def _ideal(grades: DataFrame, k: int, gain) -> DataFrame:
     return best.groupBy("query_id").agg(F.sum(gain(F.col("grade")) / F.log2(F.col("p") + 1)).alias("ideal"))
 
 
-def metrics(ranking: DataFrame, grades: DataFrame, k: int = 8) -> DataFrame:
+def metrics(ranking: DataFrame, grades: DataFrame, k: int = 8, runs: DataFrame | None = None) -> DataFrame:
     """query_id, recall, rr, ndcg (binary), graded_ndcg, condensed_ndcg at k, for each query that has grades.
 
+    With runs, a short table of one column, the ranking has that column too and each run gets a row for each query; the grades
+    are read and summed up once for all runs.
+
     Condensed nDCG ranks only items known to be positive, so that unjudged ones do not count as bad.
     A query without positives has 0 everywhere.
     """
     grades = grades.groupBy("query_id", "item").agg(F.max("grade").alias("grade"))
     positive = grades.where("grade > 0")
+    asked = [*(runs.columns if runs is not None else []), "query_id"]
     hits = ranking.join(grades, ["query_id", "item"])
     top = hits.where((F.col("place") <= k) & (F.col("grade") > 0))
-    found = top.groupBy("query_id").agg(
+    found = top.groupBy(*asked).agg(
         F.count(F.lit(1)).alias("found"),
         F.min("place").alias("first"),
         F.sum(1 / F.log2(F.col("place") + 1)).alias("dcg"),
         F.sum(_gain(F.col("grade")) / F.log2(F.col("place") + 1)).alias("graded"),
     )
-    known = ranking.join(positive, ["query_id", "item"]).withColumn("p", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "item"))).where(F.col("p") <= k)
-    condensed = known.groupBy("query_id").agg(F.sum(_gain(F.col("grade")) / F.log2(F.col("p") + 1)).alias("condensed"))
+    known = ranking.join(positive, ["query_id", "item"]).withColumn("p", F.row_number().over(Window.partitionBy(*asked).orderBy("place", "item"))).where(F.col("p") <= k)
+    condensed = known.groupBy(*asked).agg(F.sum(_gain(F.col("grade")) / F.log2(F.col("p") + 1)).alias("condensed"))
     totals = positive.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
     rows = grades.select("query_id").distinct()
-    for part in (totals, found, condensed, _ideal(grades, k, lambda g: F.lit(1.0)).withColumnRenamed("ideal", "ideal1"), _ideal(grades, k, _gain)):
+    for part in (totals, _ideal(grades, k, lambda g: F.lit(1.0)).withColumnRenamed("ideal", "ideal1"), _ideal(grades, k, _gain)):
         rows = rows.join(part, "query_id", "left")
+    rows = rows.crossJoin(F.broadcast(runs)) if runs is not None else rows
+    for part in (found, condensed):
+        rows = rows.join(part, asked, "left")
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return rows.select("query_id", share(F.col("found"), F.col("relevant")).alias("recall"), share(F.lit(1.0), F.col("first")).alias("rr"), share(F.col("dcg"), F.col("ideal1")).alias("ndcg"), share(F.col("graded"), F.col("ideal")).alias("graded_ndcg"), share(F.col("condensed"), F.col("ideal")).alias("condensed_ndcg"))
+    return rows.select(*asked, share(F.col("found"), F.col("relevant")).alias("recall"), share(F.lit(1.0), F.col("first")).alias("rr"), share(F.col("dcg"), F.col("ideal1")).alias("ndcg"), share(F.col("graded"), F.col("ideal")).alias("graded_ndcg"), share(F.col("condensed"), F.col("ideal")).alias("condensed_ndcg"))
 
 
 def silver(texts: DataFrame, questions: DataFrame, key: str = "item", limit: int = 10) -> DataFrame:
@@ -119,14 +126,16 @@ def tune(vector: DataFrame, keyword: DataFrame, grades: DataFrame, grid: list[di
     """config, recall, rr, graded_ndcg of every grid point, best first.
 
     Both lists (query_id, chunk_id, job_id, score, rank) are scored once; the grid, a table of a few rows, is
-    joined to them, and the fusion, the cap and the metrics run for all points in one plan.
+    joined to them, and the fusion, the cap and the metrics run for all points in one plan. Of a list only the ranks that the
+    grid asks for go on, and grades are not repeated for its points.
     """
     grid = configs() if grid is None else grid
+    deepest = max((g["candidate_k"] for g in grid), default=0)
     spark = vector.sparkSession
     points = F.broadcast(spark.createDataFrame([(config_name(g), *g.values()) for g in grid], "config string, mode string, candidate_k int, per_job int, rrf_k int, vw double, kw double"))
 
     def side(df: DataFrame, mode: str, weight: str) -> DataFrame:
-        rows = df.join(points, (F.col("rank") <= F.col("candidate_k")) & F.col("mode").isin(mode, "hybrid"))
+        rows = df.where(F.col("rank") <= deepest).join(points, (F.col("rank") <= F.col("candidate_k")) & F.col("mode").isin(mode, "hybrid"))
         return rows.select("config", "per_job", "query_id", "chunk_id", "job_id", (F.col(weight) / (F.col("rrf_k") + F.col("rank"))).alias("part"), F.lit(mode).alias("side"), "rank")
 
     both = side(vector, "vector", "vw").unionByName(side(keyword, "keyword", "kw"))
@@ -134,9 +143,9 @@ def tune(vector: DataFrame, keyword: DataFrame, grades: DataFrame, grid: list[di
     order = [F.desc("rrf"), F.asc_nulls_last("vr"), F.asc_nulls_last("kr"), "chunk_id"]
     kept = fused.withColumn("o", F.row_number().over(Window.partitionBy("config", "query_id", "job_id").orderBy(*order))).where("o <= per_job")
     placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("config", "query_id").orderBy(*order)))
-    ranking = first_places(placed.select(F.concat_ws("|", "config", "query_id").alias("query_id"), F.col("job_id").alias("item"), "place"))
-    named = grades.join(points.select("config")).select(F.concat_ws("|", "config", "query_id").alias("query_id"), "item", "grade")
-    rows = metrics(ranking, named, k).withColumn("config", F.substring_index("query_id", "|", 1))
+    once = placed.groupBy("config", "query_id", F.col("job_id").alias("item")).agg(F.min("place").alias("place"))
+    ranking = once.withColumn("place", F.row_number().over(Window.partitionBy("config", "query_id").orderBy("place", "item")))
+    rows = metrics(ranking, grades, k, points.select("config"))
     # ten digits first, so that the order of a sum decides no half
     mean = lambda c: F.bround(F.round(F.avg(c), 10), 4).alias(c)
     return rows.groupBy("config").agg(mean("recall"), mean("rr"), mean("graded_ndcg")).orderBy(F.desc("graded_ndcg"), F.desc("recall"), F.desc("rr"), "config")
