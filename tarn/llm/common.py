@@ -10,26 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from tarn.session import keep
+from tarn.session import keep, small_batches
 
 __all__ = ["bounded_sample", "documents", "fresh", "held_out", "keep", "map_rows", "per_worker", "small_batches"]
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df; sets Arrow batches of 2,000 rows in its session where Spark's default of 10,000 stands.
-
-    Rows here are whole texts or sets, of some KB each and at times far more; an executor holds
-    several batches at once, twice over while a buffer grows.
-    """
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH, "10000") == "10000":
-        conf.set(_BATCH, "2000")
-    return df
-
-
 #: Rows that map_rows turns into Python objects at once.
 ROWS = 1000
 

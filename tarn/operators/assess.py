@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarn.functions import lexicon as L
 from tarn.functions import scalar as S
 from tarn.operators.evaluation import first_places, metrics
+from tarn.session import small_batches
 
 # Least means over a holdout's questions.
 HOLDOUT = {"recall": 0.75, "graded_ndcg": 0.75, "filter_accuracy": 1.0}
@@ -79,7 +80,7 @@ def rerank(pairs: DataFrame, score: Callable[[str, list[str]], list[float]], bat
                 out.loc[part] = score(q, passage.loc[part].fillna("").tolist())
         return out
 
-    return pairs.withColumn("score", F.pandas_udf(scored, "double")("query", "passage"))
+    return small_batches(pairs).withColumn("score", F.pandas_udf(scored, "double")("query", "passage"))
 
 
 def job_scores(scored: DataFrame) -> DataFrame:

@@ -26,6 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; sets Arrow batches of 2,000 rows in its session where Spark's default of 10,000 stands.
+
+    For rows of whole texts or sets, of some KB each and at times far more; an executor holds
+    several batches at once, twice over while a buffer grows.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "10000") == "10000":
+        conf.set(_BATCH, "2000")
+    return df
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there."""
     path = shared_dir(df.sparkSession)
