@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.session import keep
+from tarn.session import keep, small_batches
 
 #: Terms whose occurrences one pass over the texts counts; they go to every task.
 TERM_BLOCK = 50_000
@@ -92,7 +92,8 @@ def silver(texts: DataFrame, questions: DataFrame, key: str = "item", limit: int
             machine.make_automaton()
             for batch in batches:
                 origin, term, counts = [], [], []
-                for row, text in enumerate(batch.column(1).to_pylist()):
+                for row, value in enumerate(batch.column(1)):
+                    text = value.as_py()  # one text at a time
                     free: dict[int, int] = {}
                     hits: dict[int, int] = {}
                     for end, n in machine.iter(text):
@@ -104,7 +105,7 @@ def silver(texts: DataFrame, questions: DataFrame, key: str = "item", limit: int
                     counts += hits.values()
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(origin, pa.int64())), pa.array(term, pa.string()), pa.array(counts, pa.int64())], [key, "term", "n"])
 
-        part = low.mapInArrow(run, f"{key} {kind}, term string, n long")
+        part = small_batches(low).mapInArrow(run, f"{key} {kind}, term string, n long")
         found = part if found is None else found.unionByName(part)
     scored = found.join(terms, "term").groupBy("query_id", key).agg(F.sum("n").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
