@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import fresh, keep, map_rows, per_worker
+from tarn.llm.common import fresh, keep, map_rows, per_worker, small_batches
 
 WINDOW, MIN_COVER, MIN_WORDS, MIN_LITERAL = 8, 0.6, 5, 4
 #: The least above the 20 words on end that an item with one number changed may share with a clean document (test_decontamination).
 LONG_RUN = 21
 #: Bytes of the bit map at most; bits of it for each window of an item while it is smaller; bits that a window must find set.
 BLOCK_BYTES, ROOM, PROBES = 8 << 20, 32, 4
-#: Words whose form a worker remembers.
-HELD = 200_000
+#: Words whose form a worker remembers; words of texts that are cut into windows together.
+HELD, GROUP = 200_000, 1 << 16
 # Units of measurement.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years kb mb gb tb hz khz mhz ghz w kw v a k usd eur gbp dollar dollars euro euros cent cents percent metre metres meter meters kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms litre litres liter liters".split())
 _TOKEN = r"[^\W_]+(?:[.,](?<=\d.)(?=\d)[^\W_]+)*|[.!?\n]"
@@ -58,7 +58,13 @@ _CAPITAL, _MARK, _BITS = 1, 2, 2
 _OPEN, _WITHIN, _PLAIN = 0, 1, 2
 _WEIGHTS, _CHECKS = (np.array([pow(x, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _PROBES = np.array([pow(0xC2B2AE3D27D4EB4F, j + 1, 1 << 64) for j in range(PROBES)], np.uint64)
-_find = re.compile(_TOKEN).findall
+#: What _TOKEN finds in a text without _: only a word that ends in a digit can go on after a mark, and no word is tried again for less.
+_FAST = re.compile(r"\w++(?:(?<!\d)|(?:[.,](?<=\d.)(?=\d)\w++)*+)|[.!?\n]").findall
+
+
+def split(text: str | None) -> list[str]:
+    """The words and marks of a text; _ stands between words."""
+    return _FAST((text or "").replace("_", " "))
 
 
 def literal(low: str) -> int:
@@ -157,7 +163,7 @@ def _plain(low: Sequence[str]) -> np.ndarray:
 def item_windows(text: str | None) -> list[tuple]:
     """The windows of an item: (hash, check, variant, place, whether a name opens the item there, number of windows, size,
     places of the slots in the window, their kinds, their values)."""
-    words = _find(text or "")
+    words = split(text)
     forms, out = Forms(), []
     codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
     plain = False
@@ -184,38 +190,64 @@ def item_windows(text: str | None) -> list[tuple]:
     return out
 
 
-def text_windows(text: str | None, forms: Forms, sizes: Sequence[int], plain: Sequence[int], passes: Callable[[np.ndarray], np.ndarray]) -> list[tuple]:
-    """Of a document's windows of these sizes (plain: as they are) those whose hash passes: (hash, check, place, whether its first
-    word is read as a name, values of its slots)."""
-    words = _find(text or "")
-    if len(words) < min([*sizes, *plain], default=math.inf):
-        return []
+def text_windows(texts: Iterable[str | None], forms: Forms, sizes: Sequence[int], plain: Sequence[int], passes: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple]:
+    """Of documents' windows of these sizes (plain: as they are) those whose hash passes: (number of the text, hash, check, place,
+    whether its first word is read as a name, values of its slots).
+
+    Texts are cut together until they have GROUP words, with a sentence mark after each: what follows it is read as a text's beginning.
+    """
+    least = min([*sizes, *plain], default=math.inf)
+    words, of, begins = [], [], []
+    for n, text in enumerate(texts):
+        own = split(text)
+        if len(own) < least:
+            continue
+        of.append(n)
+        begins.append(len(words))
+        words += own
+        words.append("\n")
+        if len(words) >= GROUP:
+            yield from _group_windows(words, of, begins, forms, sizes, plain, passes)
+            words, of, begins = [], [], []
+    if of:
+        yield from _group_windows(words, of, begins, forms, sizes, plain, passes)
+
+
+def _group_windows(words: list[str], of: list[int], begins: list[int], forms: Forms, sizes: Sequence[int], plain: Sequence[int], passes: Callable[[np.ndarray], np.ndarray]) -> list[tuple]:
+    """text_windows of texts, numbered by of, that begin at these places of words."""
     codes = np.fromiter(map(forms.__getitem__, words), np.int64, len(words))
     ids, at, end, opens = template(codes)
-    out = []
+    bounds, out = np.array([*begins, len(words)]), []
 
-    def add(own: np.ndarray, starts: np.ndarray, hashes: np.ndarray, size: int, head: bool = False) -> None:
+    def add(own: np.ndarray, places: np.ndarray, starts: np.ndarray, hashes: np.ndarray, size: int, head: bool = False) -> None:
         open_ = np.flatnonzero(passes(hashes))
+        text = np.searchsorted(bounds, places[starts[open_]], "right") - 1
+        inside = places[starts[open_] + size - 1] < bounds[text + 1]
+        open_, text = open_[inside], text[inside]
         if not len(open_):
             return
         starts = starts[open_]
         checks = _at(own, starts, size, _CHECKS, _NAME if head else None).view(np.int64).tolist()
-        for d, h, c in zip(starts.tolist(), hashes[open_].view(np.int64).tolist(), checks):
-            values = [value(words, at[d + j], end[d + j]) for j in range(size) if own[d + j] < _FIRST_WORD or (head and not j)] if own is ids else []
-            out.append((h, c, d, head, values))
+        place = starts - np.searchsorted(places, bounds[text])
+        for n, s, d, h, c in zip(text.tolist(), starts.tolist(), place.tolist(), hashes[open_].view(np.int64).tolist(), checks):
+            values = [value(words, at[s + j], end[s + j]) for j in range(size) if own[s + j] < _FIRST_WORD or (head and not j)] if own is ids else []
+            out.append((of[n], h, c, d, head, values))
 
     for size in sizes:
         count = len(ids) - size + 1
         if count > 0:
-            add(ids, np.arange(count), _hashes(ids, size), size)
+            add(ids, at, np.arange(count), _hashes(ids, size), size)
             # a document's sentence may open with the name that an item begins with
             heads = np.flatnonzero(opens[:count])
-            add(ids, heads, _at(ids, heads, size, _WEIGHTS, _NAME), size, True)
+            add(ids, at, heads, _at(ids, heads, size, _WEIGHTS, _NAME), size, True)
     if plain:
-        own = _plain([w.lower() for w in words if w not in ".!?\n"])
+        places = np.flatnonzero((codes & _MARK) == 0)
+        own = -(codes[places] >> _BITS)
+        slots = np.flatnonzero(own > -_FIRST_WORD)
+        own[slots] = _plain([words[i].lower() for i in places[slots].tolist()])
         for size in plain:
             if len(own) >= size:
-                add(own, np.arange(len(own) - size + 1), _hashes(own, size), size)
+                add(own, places, np.arange(len(own) - size + 1), _hashes(own, size), size)
     return out
 
 
@@ -269,7 +301,7 @@ class Index:
     def hits(self, text: str | None, forms: Forms) -> Iterator[tuple[int, float, bool]]:
         """(item id, cover, verbatim) of each item found in the text."""
         matches: dict[int, list[tuple]] = defaultdict(list)
-        for h, c, d, head, own in text_windows(text, forms, self.sizes, self.plain, lambda x: np.isin(x.view(np.int64), self.known)):
+        for _, h, c, d, head, own in text_windows([text], forms, self.sizes, self.plain, lambda x: np.isin(x.view(np.int64), self.known)):
             for n, variant, p, named, windows, size, places, kinds, theirs in self.windows.get((h, c), ()):
                 if named or not head:
                     matches[n].append((variant, p, d - p, windows, size, places, kinds, theirs, own))
@@ -303,10 +335,11 @@ def passing(words: np.ndarray, bits: int) -> Callable[[np.ndarray], np.ndarray]:
 
     def passes(hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), bool)
-        left = np.arange(len(hashes))
+        left = None
         for k in range(PROBES):
-            at = _probe(hashes[left], k, bits)
-            left = left[(words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0]
+            at = _probe(hashes if left is None else hashes[left], k, bits)
+            hit = np.flatnonzero((words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1))
+            left = hit if left is None else left[hit]
         out[left] = True
         return out
 
@@ -330,13 +363,17 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits = max(5, min((ROOM * sum(r["count"] for r in counts)).bit_length(), (8 * BLOCK_BYTES).bit_length() - 1))
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(items, bits))
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms, passes = per_worker(("template forms",), Forms), passing(shared.value, bits)
-        return lambda row, doc_id, text: (row, doc_id, text_windows(text, forms, sizes, plain, passes))
+        for batch in batches:
+            got = list(text_windows((x.as_py() for x in batch.column(2)), forms, sizes, plain, passes))
+            of, *cols = zip(*got) if got else [()] * 6
+            source = pa.array(of, pa.int64())
+            cols = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(source), batch.column(1).take(source), *cols], ["row", "doc_id", "h", "c", "d", "head", "own"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    open_ = map_rows(rows, make, "row long, doc_id long, w array<struct<h:long,c:long,d:int,head:boolean,own:array<string>>>")
-    open_ = keep(open_.where(F.size("w") > 0).select("row", "doc_id", F.inline("w")))
+    open_ = keep(small_batches(rows).mapInArrow(run, "row long, doc_id long, h long, c long, d int, head boolean, own array<string>"))
     match = F.struct("variant", "p", (F.col("d") - F.col("p")).alias("shift"), "windows", "size", "places", "kinds", "theirs", "own")
     met = open_.join(items, ["h", "c"]).where("named or not head").groupBy("row", "doc_id", "item", "item_id").agg(F.collect_list(match).alias("matches"))
 
