@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators.retrieval import CANDIDATES, best, hit_schema, query_blocks, rank, units
+from tarn.operators.retrieval import CANDIDATES, Best, hit_schema, query_blocks, rank, units
 from tarn.session import keep, shared_dir
 
 #: Rows that centroids are fitted on, at most; the most cells, and how many vectors a cell should have at least.
 SAMPLE, CELLS, FEWEST = 20_000, 4096, 32
-#: Rounds of k-means, and files that a cell is spread over.
-ROUNDS, SPREAD = 6, 8
+#: Rounds of k-means; a cell is spread over a file for each so many of its vectors, by its share of the sample.
+ROUNDS, SPREAD = 6, 8192
 #: Scores are rounded to six digits; bounds give way by so much.
 SLACK = 2e-6
 
@@ -68,24 +68,28 @@ class VectorIndex:
         draw = F.pmod(F.xxhash64(key), F.lit(1_000_003)) / 1_000_003
         some = rows.where(draw < min(1.0, 0.9 * SAMPLE / max(1, total))).orderBy(key).limit(SAMPLE).select("embedding").toArrow()
         sample = units(some["embedding"]) if some.num_rows else np.zeros((0, 1))
-        sample = sample[np.abs(sample).sum(1) > 0]
+        drawn, sample = len(sample), sample[np.abs(sample).sum(1) > 0]
         n = max(1, min(CELLS, int(np.sqrt(total)), len(sample) // FEWEST))
         centres = _centroids(sample, n) if len(sample) else np.zeros((1, sample.shape[1]))
-        shared = rows.sparkSession.sparkContext.broadcast(centres)
-        schema = f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>, angle double, cell int"
+        # the last is for cell -1
+        share = np.append(np.bincount((sample @ centres.T).argmax(1), minlength=n), drawn - len(sample)) / max(1, drawn)
+        shared = rows.sparkSession.sparkContext.broadcast((centres, (1 + share * total // SPREAD).astype(np.int32)))
+        schema = f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>, angle double, files int, cell int"
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, files = shared.value
             for batch in batches:
                 if batch.num_rows:
                     own = units(batch.column(1))
-                    cosine = own @ shared.value.T
+                    cosine = own @ centres.T
                     cell = np.where(np.abs(own).sum(1) > 0, cosine.argmax(1), -1).astype(np.int32)
                     angle = np.arccos(np.clip(cosine.max(1), -1, 1))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(angle), pa.array(cell)], [key, "embedding", "angle", "cell"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(angle), pa.array(files[cell]), pa.array(cell)], [key, "embedding", "angle", "files", "cell"])
 
         path = shared_dir(rows.sparkSession)
         placed = rows.mapInArrow(place, schema)
-        placed.repartition("cell", F.pmod(F.xxhash64(key), F.lit(SPREAD))).write.partitionBy("cell").parquet(path)
+        placed = placed.repartition("cell", F.pmod(F.xxhash64(key), "files")).drop("files")
+        placed.write.partitionBy("cell").parquet(path)
         stored = rows.sparkSession.read.schema(placed.schema).parquet(path)
         seen = stored.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
         cells = np.array([r["cell"] for r in seen], int)
@@ -98,20 +102,21 @@ class VectorIndex:
         angle = np.arccos(np.clip(block @ self.centres.T, -1, 1))
         return np.where(self.cells < 0, 0.0, np.cos(np.maximum(0.0, angle - self.radius)))
 
-    def _scan(self, rows: DataFrame, ids: pa.Array, block: np.ndarray, wanted: np.ndarray, k: int, schema: str) -> DataFrame:
-        """Hits of the cells that each query wants (query by cell); cells that none wants are not read."""
-        asked = {int(self.cells[c]): np.flatnonzero(wanted[:, c]) for c in np.flatnonzero(wanted.any(0))}
+    def _scan(self, rows: DataFrame, ids: pa.Array, block: np.ndarray, wanted: np.ndarray, k: int, schema: str, least: np.ndarray | None = None) -> DataFrame:
+        """Of each task the k best of the cells that each query wants (query by cell), not below least; cells that none wants are not read."""
+        asked = {int(self.cells[c]): c for c in np.flatnonzero(wanted.any(0))}
         self.measured += int((wanted * self.sizes).sum())
-        key, shared = self.key, rows.sparkSession.sparkContext.broadcast((ids, block, asked))
+        key, shared = self.key, rows.sparkSession.sparkContext.broadcast((ids, block, asked, wanted, least))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, block, asked = shared.value
+            ids, block, asked, wanted, least = shared.value
+            top = Best(ids, block, k, least)
             for batch in batches:
                 cells = batch.column(2).to_numpy()
                 for cell in np.unique(cells):
                     part = batch.filter(pa.array(cells == cell))
-                    q = asked[int(cell)]
-                    yield best(part.column(0), units(part.column(1)), ids.take(pa.array(q)), block[q], k, key)
+                    top.add(part.column(0), units(part.column(1)), np.flatnonzero(wanted[:, asked[int(cell)]]))
+            yield from top.hits(key)
 
         return rows.where(F.col("cell").isin(list(asked))).select(key, "embedding", "cell").mapInArrow(run, schema)
 
@@ -135,7 +140,7 @@ class VectorIndex:
             of = dict(zip(kth["query_id"].to_pylist(), kth["score"].to_pylist()))
             least = np.array([of.get(q, -2.0) for q in ids.to_pylist()])
             more = (bound >= least[:, None] - SLACK) & ~first
-            both = hits.unionByName(self._scan(rows, ids, block, more, k, schema)) if more.any() else hits
+            both = hits.unionByName(self._scan(rows, ids, block, more, k, schema, least)) if more.any() else hits
             found = both if found is None else found.unionByName(both)
         if found is None:
             found = queries.sparkSession.createDataFrame([], schema)
