@@ -253,10 +253,15 @@ def citation_coverage(answer: Column, claims: Column) -> Column:
     return F.when(claims <= 0, 1.0).otherwise(F.least(F.try_divide(F.size(citations(answer)).cast("double"), claims), F.lit(1.0)))
 
 
+def quote_words(c: Column) -> Column:
+    """Text as quotes are compared: in lower case, with single blanks."""
+    return F.when(c.isNotNull(), F.lower(collapse(c)))
+
+
 def quote_found(quote: Column, evidence: Column) -> Column:
-    """Whether the evidence contains the quote, whatever the case and the blanks; an empty quote is not found."""
-    words = F.lower(collapse(quote))
-    return (words != "") & F.lower(collapse(evidence)).contains(words)
+    """Whether the evidence, as quote_words gives it, contains the quote, whatever the case and the blanks; an empty quote is not found, and of a null one, or in null, nothing is known."""
+    words = quote_words(quote)
+    return (words != "") & evidence.contains(words)
 
 
 def numeric_id(source_id: Column, url: Column) -> Column:
