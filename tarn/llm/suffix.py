@@ -15,10 +15,12 @@ row in which it stands.
    texts) would make one large group: their runs are cut into single strings, whose own hash
    is their bucket, so they spread evenly. The sample changes the size of groups, never the result.
 3. Anchors that stand in different contexts are compared byte by byte: the contexts, read from
-   the texts, are sorted on both sides of the anchor by multikey quicksort to a shallow depth and
+   the texts, are sorted on both sides of the anchor by words of eight bytes to a shallow depth and
    blind tries for the groups with longer common prefixes. From the two orders and their common
-   prefix lengths follows which strings of a context occur in an earlier one. An anchor with
-   over SPLIT contexts is spread by the hashes of the strings themselves.
+   prefix lengths follows which strings stand in several contexts: those of one class, in both
+   orders, by the bytes they have before and after the anchor. Pairs of contexts are never formed,
+   so an anchor's time grows with its contexts. An anchor with over SPLIT contexts is spread by the
+   hashes of the strings themselves.
 4. The repeats meet their texts, which are cut.
 
 Null and empty texts are empty. Rows with a null id come after all others, in the order of their
@@ -42,13 +44,14 @@ from tarn.llm.common import keep, per_worker, small_batches
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
-#: Bytes of text for one bucket, and contexts of one anchor that one sort takes.
-BUCKET_BYTES, SPLIT = 32 << 20, 2000
+#: Bytes of text for one bucket, contexts of one anchor that one sort takes, and contexts, of any anchors, that are sorted together.
+BUCKET_BYTES, SPLIT, TOGETHER = 32 << 20, 100_000, 1 << 16
 #: The sample by which anchors with many contexts are found: its rows, the contexts from which an anchor counts, and how many are remembered.
 SAMPLE_ROWS, HOT_FROM, HOT = 6_000, 40, 50_000
 #: Texts are hashed in pieces of so many bytes.
 PIECE = 1 << 20
-SHALLOW = 16
+#: Bytes by which contexts are sorted before blind tries: the number of the group, the gram and 16 more.
+SHALLOW = 8 + GRAM + 16
 _LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -321,85 +324,79 @@ class BlindTrie:
         return out
 
 
+def _words(strings: list[bytes], width: int) -> np.ndarray:
+    """The first width bytes of each string, zeros after its end; width is a multiple of 8."""
+    return np.frombuffer(b"".join([s[:width].ljust(width, b"\0") for s in strings]), np.uint8).reshape(len(strings), width)
+
+
 def deep_shallow(strings: list[bytes], depth: int = SHALLOW) -> list[int]:
-    """Indices in sorted order: multikey quicksort over the first depth bytes, then blind tries."""
-    out: list[int] = []
-    stack = [(list(range(len(strings))), 0)]
-    while stack:
-        group, d = stack.pop()
-        if len(group) == 1:
-            out += group
-        elif d < 0:  # strings that ended: equal
-            out += group
-        elif d >= depth:
-            trie = BlindTrie(strings, group[0])
-            for i in group[1:]:
+    """Indices in sorted order: by the first depth bytes, eight at a time, then blind tries for what still ties."""
+    if not depth:
+        order, tied = np.arange(len(strings)), np.ones(max(0, len(strings) - 1), bool)
+    else:
+        key = _words(strings, -(-depth // 8) * 8).view(">u8").astype(_U)
+        order = np.lexsort(key.T[::-1])
+        tied = (key[order[1:]] == key[order[:-1]]).all(1)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], tied, [0]))))
+    for a, b in edges.reshape(-1, 2).tolist():
+        equal: dict[bytes, list[int]] = {}
+        for i in order[a : b + 1].tolist():
+            equal.setdefault(strings[i], []).append(i)
+        if len(equal) > 1:
+            heads = [x[0] for x in equal.values()]
+            trie = BlindTrie(strings, heads[0])
+            for i in heads[1:]:
                 trie.add(i)
-            out += trie.order()
-        else:
-            byte = [strings[i][d] if d < len(strings[i]) else -1 for i in group]
-            pivot = sorted((byte[0], byte[len(byte) // 2], byte[-1]))[1]
-            less = [i for i, b in zip(group, byte) if b < pivot]
-            same = [i for i, b in zip(group, byte) if b == pivot]
-            more = [i for i, b in zip(group, byte) if b > pivot]
-            if more:
-                stack.append((more, d))
-            stack.append((same, -1 if pivot == -1 else d + 1))
-            if less:
-                stack.append((less, d))
-    return out
+            order[a : b + 1] = [i for head in trie.order() for i in equal[strings[head]]]
+    return order.tolist()
 
 
 def _common(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(rank of each string, common prefix with the one before in sorted order)."""
-    order = deep_shallow(strings)
+    order = np.array(deep_shallow(strings), np.int64)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return rank, np.array([0] + [_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:])], np.int64)
-
-
-def _to_all(k: int, rank: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Common prefix of string k with every other, from the sorted order."""
-    r = rank[k]
-    line = np.full(len(rank), 1 << 30, np.int64)
-    line[r + 1 :] = np.minimum.accumulate(before[r + 1 :])
-    line[:r] = np.minimum.accumulate(before[1 : r + 1][::-1])[::-1]
-    return line[rank]
-
-
-def compare(contexts: list[tuple[int, int, int, int, int, bytes]], wanted: list[np.ndarray | None]) -> Iterator[tuple[int, int, int, int]]:
-    """(document, version, first start, last start) of strings that an earlier context has too.
-
-    A context is (document, version, first start, last start, anchor's place, bytes from the first start);
-    the anchors are equal, and contexts come in order of document, version and start. wanted may mask the
-    starts that count.
+    size = np.array([len(s) for s in strings], np.int64)[order]
+    rows = _words(strings, -(-max(size.tolist(), default=0) // 8) * 8 + 8)[order]
+    before = np.zeros(len(order), np.int64)
+    before[1:] = np.minimum((rows[1:] != rows[:-1]).argmax(1), np.minimum(size[1:], size[:-1]))
+    same = (rows[1:] == rows[:-1]).all(1)
+    before[1:][same] = np.minimum(size[1:], size[:-1])[same]
+    return rank, before
+
+
+def compare(group: np.ndarray, doc: np.ndarray, ver: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, data: list[bytes], wanted: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """(document, version, first start, last start) of strings that an earlier context of their group has too.
+
+    A context is a group's number, document, version, first start, last start, anchor's place and the bytes from the first
+    start; the anchors of a group are equal, and contexts come in order of group, document, version and start. wanted may mask
+    the starts that count. All contexts are sorted at once on each side of their anchors, by their groups first. A string
+    with x bytes before its anchor is known by two places in the orders, that of its x bytes before and of its LENGTH - x others;
+    equal strings stand in one class of both, and the first of a class is the one that stays.
     """
-    places = np.array([at - first for _, _, first, _, at, _ in contexts])
-    ends = np.array([last - first for _, _, first, last, _, _ in contexts])
-    right = _common([c[5][x:] for c, x in zip(contexts, places)])
-    left = _common([c[5][:x][::-1] for c, x in zip(contexts, places)])
-    for k in range(1, len(contexts)):
-        doc, ver, first, _, at, _ = contexts[k]
-        x, n = int(places[k]), int(ends[k])
-        ahead, behind = _to_all(k, *right)[:k], _to_all(k, *left)[:k]
-        # a string from o on is shared if x - o bytes agree before the anchor and the others from it on,
-        # and the other context counts it among its own strings
-        shift = places[:k] - x
-        low = np.maximum(x - np.minimum(behind, x), -shift)
-        high = np.minimum(np.minimum(n, x + np.minimum(ahead, 2 * LENGTH) - LENGTH), ends[:k] - shift)
-        ok = low <= high
-        if not ok.any():
+    place = at - first
+    names = [g.to_bytes(8) for g in group.tolist()]
+    right, right_before = _common([g + d[x:] for g, d, x in zip(names, data, place.tolist())])
+    left, left_before = _common([g + d[:x][::-1] for g, d, x in zip(names, data, place.tolist())])
+    n, before = len(group), np.arange(SPAN)
+    counts = (place[:, None] >= before) & ((at - last)[:, None] <= before)
+    for k in [k for k, w in enumerate(wanted) if w is not None]:
+        counts[k, at[k] - last[k] : place[k] + 1] = np.frombuffer(wanted[k], bool)[::-1]
+    hit = np.zeros((n, SPAN + 1), bool)  # by start, and a column that parts the rows
+    for x in range(SPAN):
+        who = np.flatnonzero(counts[:, x])
+        if len(who) < 2:
             continue
-        ok &= np.array([c[0] != doc or c[1] != ver or c[4] != at for c in contexts[:k]])
-        marks = np.zeros(n + 2, np.int64)
-        np.add.at(marks, low[ok], 1)
-        np.add.at(marks, high[ok] + 1, -1)
-        hit = np.cumsum(marks)[: n + 1] > 0
-        if wanted[k] is not None:
-            hit &= wanted[k]
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
-        for a, b in edges.reshape(-1, 2):
-            yield doc, ver, first + int(a), first + int(b) - 1
+        kind = np.cumsum(left_before < x + 8)[left[who]] * (n + 1) + np.cumsum(right_before < LENGTH - x + 8)[right[who]]
+        order = np.argsort(kind, kind="stable")
+        new = np.concatenate(([True], kind[order[1:]] != kind[order[:-1]]))
+        own = who[order]
+        lead = own[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+        hit[own, SPAN - 1 - x] = (doc[own] != doc[lead]) | (ver[own] != ver[lead]) | (at[own] != at[lead])
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit.ravel())))).reshape(-1, 2)
+    k = edges[:, 0] // (SPAN + 1)
+    low, high = (edges - (k * (SPAN + 1))[:, None]).T
+    return doc[k], ver[k], at[k] - (SPAN - 1) + low, at[k] - SPAN + high
 
 
 def _fetch(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
@@ -442,18 +439,16 @@ def _compare_all(contexts: DataFrame, buckets: int) -> DataFrame:
     """kind 1 rows of the repeats among contexts."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("anchor", "part", "doc", "ver", "first", "last", "at", "data", "wanted"))), key=lambda r: r[:5])
-        found: list[tuple[int, int, int, int]] = []
-        start = 0
-        for i in range(1, len(rows) + 1):
-            if i == len(rows) or rows[i][:2] != rows[start][:2]:
-                if i - start > 1:
-                    group = rows[start:i]
-                    found += compare([r[2:8] for r in group], [None if r[8] is None else np.frombuffer(r[8], bool) for r in group])
-                start = i
+        anchor, part, *lines = (table[c].to_numpy() for c in ("anchor", "part", "doc", "ver", "first", "last", "at"))
+        order = np.lexsort((lines[2], lines[1], lines[0], part, anchor))
+        new = np.concatenate(([True], (np.diff(anchor[order]) != 0) | (np.diff(part[order]) != 0)))
+        group = np.cumsum(new)
+        start = np.flatnonzero(new)
         out: list = []
-        if found:
-            doc, ver, low, high = np.array(found, np.int64).T
+        for some in np.split(np.arange(len(order)), start[np.flatnonzero(np.diff(start // TOGETHER)) + 1]):
+            own = order[some]
+            texts = table.select(["data", "wanted"]).take(pa.array(own))
+            doc, ver, low, high = compare(group[some], *(x[own] for x in lines), texts["data"].to_pylist(), texts["wanted"].to_pylist())
             _repeats(out, doc, ver, low, high + LENGTH, buckets)
         return pa.Table.from_batches([_record([(1, *x) for x in out])])
 
@@ -508,7 +503,7 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     buckets = _buckets(rows)
     judged = keep(_judge(_send(rows, buckets), buckets))
     keyed = keyed.withColumn("bucket", F.pmod(F.col("doc").bitwiseXOR(F.col("ver")), F.lit(buckets).cast("long")))
-    contexts = _fetch(keyed.select("bucket", "doc", "ver", "text"), judged.where("kind = 2").select("bucket", "packed"), buckets)
+    contexts = _fetch(keyed, judged.where("kind = 2").select("bucket", "packed"), buckets)
     more = _compare_all(contexts, buckets)
     gone = judged.where("kind = 1").select("bucket", "packed").unionByName(more.select("bucket", "packed"))
     return _cut(keyed, gone, texts)

@@ -310,6 +310,25 @@ def test_suffix_needs_the_sort(spark, monkeypatch):
     assert found() != plain_removal(rows)
 
 
+def test_suffix_takes_an_anchor_of_many_texts_once(spark, monkeypatch):
+    """A context goes to one sort, however many contexts its anchor has, and pairs of them are not formed."""
+    rng = random.Random(12)
+    shared = "".join(rng.choice("abcd") for _ in range(90))
+    texts = ["".join(rng.choice("efgh") for _ in range(120)) for _ in range(40)]
+    rows = [(i, rng.choice(texts)[rng.randint(0, 9) :] + shared + "".join(rng.choice("efgh") for _ in range(120))) for i in range(3000)]
+    monkeypatch.setattr(suffix, "HOT_FROM", 1 << 40)
+    seen, compare = [], suffix._compare_all
+
+    def counted(contexts, buckets):
+        seen.append(contexts.groupBy("anchor", "doc", "ver", "first").count().agg(F.max("count"), F.count("*")).first())
+        return compare(contexts, buckets)
+
+    monkeypatch.setattr(suffix, "_compare_all", counted)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_removal(rows)
+    assert seen[0][0] == 1 and seen[0][1] > 3000
+
+
 def test_suffix_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 512)
     rng = random.Random(6)
